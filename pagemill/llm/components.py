@@ -1,0 +1,48 @@
+"""Connected components by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagemill.llm.common import dropped, stored
+
+
+def _towards_least(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) with the least b or a of each a as m.
+
+    An aggregate joined back instead of a window: the aggregate combines before
+    the shuffle and the join's hot keys can be split, so a star with very many
+    leaves does not have to fit one task.
+    """
+    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return pairs.join(least, "a")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Label each node of edges(a, b) with the least node that it is connected to.
+
+    Returns (node, component) for nodes with an edge to another node. Self
+    loops and repeated edges are allowed; an empty table gives an empty table.
+    Each round is written to the shared folder, so a lost executor costs no
+    more than the round that runs.
+    """
+    now = stored(
+        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc"
+    )
+    seen = None
+    while True:
+        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _towards_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.where("a <> b").distinct()
+        small = _towards_least(large)
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
+            small.select("a", F.col("m").alias("b"))
+        )
+        after = stored(small.where("a <> b").distinct(), "cc")
+        mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        dropped(now)
+        now = after
+        if mark == seen:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        seen = mark
