@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import simhash
+from pagemill.llm import decontaminate, language, mixing, quality, sharding, simhash, token_files, toxicity, warc
 from pagemill.llm.common import table
 
+#: The vocabulary file that op7 encodes with, and the id that ends a document.
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
@@ -18,11 +27,149 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 or more of a benchmark item's five-word shingles."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5, 0.8)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from four of five folds."""
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back through the merged index."""
+    out = warc.written_and_indexed(table(spark, sf_dir, "pages"), least_bytes=0)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive", "offset"]
+    return out.select(*names)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on a ring of 8 shards with bounded loads, by the law `rows`."""
+    out = sharding.assigned(table(spark, sf_dir, "documents"), shards=8)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, packed by shared turns and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.written(turns.unionByName(more)))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in files, read back."""
+    return token_files.encoded_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from three of four folds."""
+    return language.held_out_predictions(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-first quality verdicts of all documents."""
+    out = quality.verdicts(table(spark, sf_dir, "documents"))
+    return out.withColumn("lost", F.round("lost", 6))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to their sources' target weights."""
+    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_decontaminate": op2_decontaminate,
+        "op3_toxicity": op3_toxicity,
+        "op4_warc": op4_warc,
+        "op5_sharding": op5_sharding,
+        "op6_chat": op6_chat,
+        "op7_token_files": op7_token_files,
+        "op8_language": op8_language,
+        "op9_quality": op9_quality,
+        "op10_mixing": op10_mixing,
     }
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_OP2 = r"""
+WITH norm AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
+), item AS (
+  SELECT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark
+), item_gram AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS gram
+  FROM (SELECT item_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)
+), needed AS (
+  SELECT item_id, count(*) AS q FROM item_gram GROUP BY item_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM norm
+), doc_gram AS (
+  SELECT DISTINCT doc_id, gram FROM (
+    SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS gram
+    FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+  ) WHERE gram IS NOT NULL
+)
+SELECT d.doc_id, g.item_id, any_value(n.q) AS item_shingles, count(*) AS matched_shingles,
+       round(count(*) / any_value(n.q), 6) AS containment
+FROM doc_gram d JOIN item_gram g ON d.gram = g.gram AND g.k = 5 JOIN needed n ON n.item_id = g.item_id
+GROUP BY d.doc_id, g.item_id HAVING count(*) * 10 >= 8 * any_value(n.q)
+"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_OP9 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), line AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d
+), judged AS (
+  SELECT doc_id, x, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS black,
+         regexp_matches(x, {_quoted(quality.NAVIGATION)}) OR regexp_matches(x, {_quoted(quality.PUNCTUATION)})
+         OR regexp_matches(x, {_quoted(quality.BOILERPLATE)})
+         OR (NOT regexp_matches(x, {_quoted(quality.ENDED)}) AND len(regexp_extract_all(x, '{_WORD}')) <= 4) AS failed
+  FROM line WHERE regexp_matches(x, '{_WORD}')
+), lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE failed) AS n_failed_lines, count(*) - count(DISTINCT x) AS n_dup_lines,
+         coalesce(sum(black) FILTER (WHERE failed), 0) AS gone
+  FROM judged GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), gram AS (
+  SELECT doc_id, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS g
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), twice AS (
+  SELECT doc_id, i FROM gram WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY doc_id
+), base AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(gone, 0) AS gone
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered c USING (doc_id)
+), final AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         CASE WHEN word_chars > 0 THEN gone / word_chars ELSE 0.0 END AS share
+  FROM base
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND share <= 0.3 AS kept, n_lines, n_failed_lines, round(share, 6) AS lost
+FROM final
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_decontaminate": _OP2,
+        "op9_quality": _OP9,
+    }
