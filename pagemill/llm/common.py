@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +84,10 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def fanned(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow for a function of record batches."""
-    return df.mapInArrow(fn, schema)
+#: Sides of a join with up to so many rows (of under 200 bytes) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if its count is within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

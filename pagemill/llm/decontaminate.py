@@ -18,10 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.llm.common import stored, text_of
-
-#: Sides of a join with up to so many rows (of under 200 bytes) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+from pagemill.llm.common import small, stored, text_of
 
 
 def normal_words(text: Column) -> Column:
@@ -39,11 +36,6 @@ def _grams(rows: DataFrame, keep: list[str], words: str, size: int) -> DataFrame
     return rows.withColumn("h", F.xxhash64(*names))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _items(benchmark: DataFrame, size: int, at_least: float) -> tuple[DataFrame, list[int]]:
     """All distinct shingles of the items, with q (how many), need (how many must be found) and sketch (is it in the sketch)."""
     items = benchmark.select("item_id", normal_words(text_of()).alias("w")).where(F.size("w") > 0)
@@ -86,7 +78,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, at_least:
     if empty is not None:
         return empty.select("doc_id", "item_id", *[F.lit(0).cast(t).alias(n) for n, t in (("item_shingles", "long"), ("matched_shingles", "long"), ("containment", "double"))])
     split = docs.select("doc_id", normal_words(F.col("text")).alias("w"))
-    sketch = _small(items.where("sketch").select("item_id", "k", "h"))
+    sketch = small(items.where("sketch").select("item_id", "k", "h"))
     every = None
     for k in sizes:
         met = _grams(split, ["doc_id"], "w", k).select("doc_id", "h").join(sketch.where(F.col("k") == k), "h")
@@ -94,10 +86,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, at_least:
         every = met if every is None else every.unionAll(met)
     candidates = stored(every.distinct(), "candidates")
 
-    ids = _small(stored(candidates.select("doc_id").distinct(), "candidate-docs"))
+    ids = small(stored(candidates.select("doc_id").distinct(), "candidate-docs"))
     kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     kept = kept.select("doc_id", normal_words(F.col("text")).alias("w"))
-    wanted = _small(items.select("item_id", "k", "gram", "h", "q", "need"))
+    wanted = small(items.select("item_id", "k", "gram", "h", "q", "need"))
     every = None
     for k in sizes:
         gram = F.array(*[f"g{i}" for i in range(k)])
@@ -115,5 +107,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, at_least:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, at_least: float = 0.8) -> DataFrame:
     """The rows of docs in which no item is found, all columns kept."""
-    ids = _small(stored(contaminated(docs, benchmark, size, at_least).select("doc_id").distinct(), "contaminated"))
+    ids = small(stored(contaminated(docs, benchmark, size, at_least).select("doc_id").distinct(), "contaminated"))
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_anti")

@@ -130,45 +130,67 @@ def _plan(counts: pd.DataFrame) -> pd.DataFrame:
     return counts.assign(take=take)[["source", "size", "whole", "total", "target", "take"]]
 
 
+def _turned(docs: DataFrame, seed: int, size: Column | None, *keep: Column | str) -> DataFrame:
+    """docs' columns to keep, with _source, _size, _turn (a seeded hash) and _slice (the hash's leading bits)."""
+    text = text_of()
+    size = word_count(text) if size is None else size
+    turn = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(text.cast("binary")))
+    rows = docs.select(*keep, F.col("source").alias("_source"), size.cast("long").alias("_size"), turn.alias("_turn"))
+    return rows.withColumn("_slice", F.shiftright("_turn", 58).cast("int") + SLICES // 2)
+
+
+def _planned(rows: DataFrame, passes: int) -> DataFrame:
+    """For each (_source, _size, _slice) of rows: the number of whole passes, how many more to take of the length, and how many come in earlier slices."""
+    slices = stored(rows.groupBy("_source", "_size", "_slice").agg(F.count("*").alias("n")), "lengths")
+    counts = slices.groupBy("_source", "_size").agg(F.sum("n").alias("n"))
+    sums = counts.groupBy("_source").agg(F.sum(F.col("n") * F.col("_size")).alias("total"))
+    total = targets(sums.withColumnRenamed("_source", "source"), passes)
+    whole = F.when(F.col("total") > 0, F.floor(F.floor(F.col("target") + 0.5) / F.col("total"))).otherwise(0).cast("long")
+    total = total.withColumn("whole", whole)
+    counts = counts.join(total, F.col("source").eqNullSafe(F.col("_source"))).select("source", F.col("_size").alias("size"), "n", "whole", "total", "target")
+    plan = counts.groupBy("source").applyInPandas(_plan, "source string, size long, whole long, total long, target double, take long")
+    own = Window.partitionBy("_source", "_size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.withColumn("start", F.coalesce(F.sum("n").over(own), F.lit(0))).drop("n")
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    joined = starts.join(plan, same).select(*[F.col(c).alias("_p" + c) for c in ("_source", "_size", "_slice", "start", "whole", "take", "total", "target")])
+    return stored(joined, "plan")
+
+
+def _counted(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with _copies and the plan's columns."""
+    place = Window.partitionBy("_source", "_size", "_slice").orderBy("_turn")
+    ranked = rows.withColumn("_rank", F.row_number().over(place))
+    both = ranked.join(plan, [F.col(c).eqNullSafe(F.col("_p" + c)) for c in ("_source", "_size", "_slice")])
+    return both.withColumn("_copies", F.col("_pwhole") + (F.col("_rank") + F.col("_pstart") <= F.col("_ptake")).cast("long"))
+
+
 def mixed(docs: DataFrame, seed: int = 17, passes: int = PASSES, size: Column | None = None) -> DataFrame:
     """docs' doc_id and source with size, source_size, target, copies and taken.
 
     size is the number of words (null text: none) unless a column is given.
-    copies says how often the mix takes the document, passes at most, taken is
+    copies says how often the mix takes the document, passes at most; taken is
     copies times size. Documents without words add nothing; they come in the
     whole passes only. Which documents fill the remainder depends on the seed,
     doc_id and the text's crc32 alone; rows equal in these are ranked in any
     order, with the same counts. A null source is a source of its own. An empty
     table gives an empty table.
     """
-    text = text_of()
-    size = word_count(text) if size is None else size
-    turn = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(text.cast("binary")))
-    rows = docs.select("doc_id", "source", size.cast("long").alias("size"), turn.alias("_turn"))
-    rows = rows.withColumn("_slice", F.shiftright("_turn", 58).cast("int") + SLICES // 2)
-    rows = stored(rows, "sizes")
-
-    slices = stored(rows.groupBy("source", "size", "_slice").agg(F.count("*").alias("n")), "lengths")
-    counts = slices.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    total = targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total")), passes)
-    whole = F.when(F.col("total") > 0, F.floor(F.floor(F.col("target") + 0.5) / F.col("total"))).otherwise(0).cast("long")
-    total = total.withColumn("whole", whole)
-    same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    counts = counts.join(total.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "weight")
-    plan = counts.groupBy("source").applyInPandas(
-        lambda part: _plan(part), "source string, size long, whole long, total long, target double, take long"
-    )
-    own = Window.partitionBy("source", "size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.withColumn("_start", F.coalesce(F.sum("n").over(own), F.lit(0)))
-    plan = plan.withColumnsRenamed({"source": "_ps", "size": "_pz"})
-    starts = starts.join(plan, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("size") == F.col("_pz")))
-    starts = stored(starts.drop("_ps", "_pz", "n"), "plan")
-
-    place = Window.partitionBy("source", "size", "_slice").orderBy("_turn", "doc_id")
-    ranked = rows.withColumn("_rank", F.row_number().over(place))
-    both = ranked.alias("r").join(starts.alias("p"), [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("source", "size", "_slice")])
-    copies = F.col("whole") + (F.col("_rank") + F.col("_start") <= F.col("take")).cast("long")
-    return both.select(
-        "r.doc_id", "r.source", "r.size", F.col("total").alias("source_size"), "target", copies.alias("copies"),
-        (copies * F.col("r.size")).alias("taken"),
+    rows = stored(_turned(docs, seed, size, "doc_id"), "sizes")
+    out = _counted(rows, _planned(rows, passes))
+    return out.select(
+        "doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_ptotal").alias("source_size"),
+        F.col("_ptarget").alias("target"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"),
     )
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, passes: int = PASSES, size: Column | None = None) -> DataFrame:
+    """The mix itself: docs' rows, each as often as mixed() takes it, with the columns of docs.
+
+    Lengths are counted in one pass; texts are dealt out in a second one, in
+    which each goes through one exchange.
+    """
+    plan = _planned(_turned(docs, seed, size), passes)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    out = _counted(_turned(docs, seed, size, row), plan)
+    out = out.where(F.col("_copies") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return out.select("_row.*")

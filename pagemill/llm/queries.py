@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, language, mixing, quality, sharding, simhash, token_files, toxicity, warc
+from pagemill.llm import chat, decontaminate, language, mixing, quality, sharding, simhash, token_files, toxicity, warc
 from pagemill.llm.common import table
 
 #: The vocabulary file that op7 encodes with, and the id that ends a document.

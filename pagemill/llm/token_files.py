@@ -262,8 +262,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = stored(files.mapInArrow(each, "file string, doc_id long, start long, n_tokens long, ids_crc32 long"), "token-rows")
     ids_in = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     # one row for each file; a file's name has the number of its part, then its own number within the part
-    number = lambda mark: F.regexp_extract("file", mark + r"(\d+)", 1).cast("long")
-    order = Window.orderBy(number("^part-"), number("-c")).rowsBetween(Window.unboundedPreceding, -1)
+    number = lambda mark: F.regexp_extract("file", mark, 1).cast("long")
+    order = Window.orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)\.")).rowsBetween(Window.unboundedPreceding, -1)
     base = ids_in.select(F.col("file").alias("_f"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     joined = rows.join(base, F.col("file") == F.col("_f"))
     return joined.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
