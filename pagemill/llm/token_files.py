@@ -20,13 +20,17 @@ Beside the files lies the table of ranks, which is as long as the vocabulary.
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,8 +43,8 @@ HEAD = struct.Struct("<4sIIQI")
 BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Blocks in one file.
 FILE_BLOCKS = 16
-#: Words that a worker remembers the ids of.
-REMEMBERED = 400_000
+#: Pieces in a generation of those that a worker remembers; it keeps two.
+REMEMBERED = 500_000
 _LENGTHS = 1 + ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3)  # of the four ids of each control byte
 
 
@@ -97,51 +101,108 @@ def blocks(raw: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarra
 class Encoder:
     """A tokenizer's ids of whole texts.
 
-    The vocabulary's pre-tokenizer drops white space and never joins across it,
-    so a text's ids are those of its space-separated pieces, in order; pieces
-    repeat, and a worker remembers their ids. A piece that is a word with
-    punctuation behind it is looked up in two parts, which the pre-tokenizer
-    keeps apart too.
+    With a vocabulary whose pre-tokenizer drops white space, never joins across
+    it and sets letters apart from marks, a text's ids are those of its
+    space-separated pieces, in order; pieces repeat, and a worker remembers the
+    ids of those it met lately. New pieces of plain letters, with or without
+    punctuation behind, go through the tokenizer's own byte-pair model many at a
+    time: they are lower-cased as its normalizer would, and ids that end a word
+    tell where the next begins. All other pieces go through the whole tokenizer.
+    A tokenizer of any other kind encodes whole texts.
     """
 
     def __init__(self, path: str, end: int | None):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = b"" if end is None else struct.pack("<I", end)
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        parts: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_words = bool(suffix) and spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER
+        if self.by_words:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and (end or 0) < 1 << 16 else "<u4"
+        self.end = b"" if end is None else np.array([end], dtype=self.width).tobytes()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.width).tobytes() for e in found]
+
+    def _words(self, joined: str, n: int) -> list[bytes]:
+        """Ids of n words that spaces divide, in one go."""
+        ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.width)
+        ends = ids.itemsize * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != n:
+            raise ValueError("word ends don't match the words")
+        raw, cuts = ids.tobytes(), [0, *ends.tolist()]
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        known, before = self.known, self.before
+        plain: list[tuple[bytes, bytes, bytes]] = []  # piece, its letters, the marks behind
+        wide: list[tuple[bytes, str, bytes]] = []
+        rest: list[bytes] = []
         for piece in pieces:
-            core = piece.rstrip(b".,;:!?")
-            apart = core and core != piece and core.decode()[-1].isalpha()
-            parts[piece] = core if apart else b""
-        wanted = [p for piece, core in parts.items() for p in ((core, piece[len(core) :]) if core else (piece,))]
-        wanted = [p for p in dict.fromkeys(wanted) if p not in self.known]
-        for at in range(0, len(wanted), 4096):
-            some = wanted[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            for p, e in zip(some, found, strict=True):
-                self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for piece, core in parts.items():
-            if core:
-                self.known[piece] = self.known[core] + self.known[piece[len(core) :]]
+            if piece in before:
+                known[piece] = before[piece]
+            elif piece.isalpha():  # ASCII letters
+                plain.append((piece, piece.lower(), b""))
+            elif (core := piece.rstrip(_MARKS)).isalpha():
+                plain.append((piece, core.lower(), piece[len(core) :]))
+            elif core and not core.isascii() and _LETTERS.fullmatch(text := core.decode()):
+                wide.append((piece, text.lower(), piece[len(core) :]))
+            else:
+                rest.append(piece)
+        for group in (plain, wide):
+            words = list(dict.fromkeys([w for _, w, _ in group]))
+            if not words:
+                continue
+            joined = b" ".join(words).decode() if group is plain else " ".join(words).encode().decode("latin-1").translate(_BYTE_LETTERS)
+            of = dict(zip(words, self._words(joined, len(words)), strict=True))
+            for piece, word, marks in group:
+                known[piece] = of[word] + self._tail(marks) if marks else of[word]
+        known.update(zip(rest, self._whole([p.decode() for p in rest]), strict=True))
+
+    @lru_cache(maxsize=4096)  # noqa: B019
+    def _tail(self, marks: bytes) -> bytes:
+        return self._whole([marks.decode()])[0]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Each UTF-8 text's ids and the end id, as little-endian unsigned 32-bit integers."""
-        out = []
-        for text in texts:
-            pieces = text.split()  # at ASCII white space; the tokenizer sees any other
-            try:
-                ids = b"".join([self.known[p] for p in pieces])
-            except KeyError:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
-                ids = b"".join([self.known[p] for p in pieces])
-            out.append(ids + self.end)
-        return out
+        """Each UTF-8 text's ids and the end id, as little-endian unsigned integers of self.width."""
+        if not self.by_words:
+            return [ids + self.end for ids in self._whole([t.decode() for t in texts])]
+        split = [t.split() for t in texts]  # at ASCII white space; the tokenizer sees any other
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        missing = set().union(*split).difference(self.known)
+        if missing:
+            self._learn(missing)
+        get = self.known.__getitem__
+        return [b"".join(map(get, pieces)) + self.end for pieces in split]
+
+
+#: The normalizer and pre-tokenizer, as in a vocabulary file, for which pieces stand for the text. Fixed values.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Letters that composition leaves alone and that have one lower-case letter each, and the marks that may follow.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = b".,;:!?"
+#: Byte-level models write the bytes 161 to 172 and 174 to 255 as the characters of that number, those from 127 to 160 and 173 as 289 on.
+_BYTE_LETTERS = {b: 289 + i for i, b in enumerate([*range(127, 161), 173])}
 
 
 @cache
@@ -149,15 +210,16 @@ def encoder(path: str, end: int | None) -> Encoder:
     return Encoder(path, end)
 
 
-def _packed(ids: bytes) -> bytes:
-    """Ids as they travel between stages: deflated, in the fewest bytes."""
-    values = np.frombuffer(ids, dtype="<u4")
-    small = not len(values) or int(values.max()) < 1 << 16
-    return (b"\2" if small else b"\4") + zlib.compress(values.astype("<u2" if small else "<u4").tobytes(), 1)
+_SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _packed(ids: bytes, width: str) -> bytes:
+    """Ids as they travel between stages: compressed, with their width."""
+    return width[-1:].encode() + _SQUEEZE.compress(ids)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(memoryview(raw)[1:]), dtype="<u2" if raw[0] == 2 else "<u4").astype(np.uint32)
+    return np.frombuffer(_EXPAND.decompress(memoryview(raw)[1:]), dtype="<u" + chr(raw[0]))
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end: int | None = 1) -> DataFrame:
@@ -166,11 +228,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None = 1) -> DataFrame
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, end)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
                 ids = encode(some.column(1).to_pylist())
-                packed = pa.array([_packed(x) for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column(0), packed, pa.array([len(x) // 4 for x in ids])], ["doc_id", "ids", "n"])
+                packed = pa.array([_packed(x, encode.width) for x in ids], pa.binary())
+                n = pa.array([len(x) // int(encode.width[-1]) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0), packed, n], ["doc_id", "ids", "n"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).mapInArrow(each, "doc_id long, ids binary, n long")
 
@@ -180,12 +243,24 @@ def frequency_ranks(tokens: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def count() -> None:
+            nonlocal seen, size
+            got = np.bincount(np.concatenate(held)) if held else seen[:0]
+            seen = np.append(seen, np.zeros(max(0, len(got) - len(seen)), dtype=np.int64))
+            seen[: len(got)] += got
+            held.clear()
+            size = 0
+
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                got = np.bincount(_unpacked(raw))
-                if len(got) > len(seen):
-                    seen = np.append(seen, np.zeros(len(got) - len(seen), dtype=np.int64))
-                seen[: len(got)] += got
+            for raw in batch.column(0):
+                held.append(_unpacked(raw.as_py()))
+                size += len(held[-1])
+                if size > BLOCK_IDS:
+                    count()
+        count()
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["id", "n"])
 

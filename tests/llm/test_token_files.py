@@ -40,14 +40,19 @@ TEXTS = [
 ]
 
 
-def test_encoder_equals_tokenizer():
+def test_encoder_equals_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
     encode = token_files.Encoder(PATH, 1)
     for text in TEXTS:
         want = [*t.encode(text or "", add_special_tokens=False).ids, 1]
-        assert np.frombuffer(encode([(text or "").encode()])[0], "<u4").tolist() == want, text
+        assert np.frombuffer(encode([(text or "").encode()])[0], encode.width).tolist() == want, text
+    monkeypatch.setattr(token_files, "REMEMBERED", 3)
+    for text in TEXTS + TEXTS:
+        want = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        assert np.frombuffer(encode([(text or "").encode()])[0], encode.width).tolist() == want, text
+    assert token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 1).by_words is False
 
 
 @pytest.mark.parametrize("small", [False, True])
