@@ -44,7 +44,7 @@ BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Blocks in one file.
 FILE_BLOCKS = 16
 #: Pieces in a generation of those that a worker remembers; it keeps two.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _LENGTHS = 1 + ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3)  # of the four ids of each control byte
 
 
@@ -112,7 +112,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, end: int | None):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
@@ -122,8 +122,8 @@ class Encoder:
         suffix = spec["model"].get("end_of_word_suffix")
         self.by_words = bool(suffix) and spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER
         if self.by_words:
-            self.bare = Tokenizer.from_file(path)
-            self.bare.normalizer = normalizers.Sequence([])
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+            self.bare = Tokenizer(models.BPE(vocab=spec["model"]["vocab"], merges=merges, end_of_word_suffix=suffix, cache_capacity=0))
             self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -147,28 +147,33 @@ class Encoder:
 
     def _learn(self, pieces: set[bytes]) -> None:
         known, before = self.known, self.before
-        plain: list[tuple[bytes, bytes, bytes]] = []  # piece, its letters, the marks behind
-        wide: list[tuple[bytes, str, bytes]] = []
+        if before:
+            known.update([(p, before[p]) for p in pieces if p in before])
+            pieces = [p for p in pieces if p not in before]
+        plain = [p for p in pieces if p.isalpha()]  # ASCII letters
+        marked: list[tuple[bytes, bytes]] = []  # piece, its letters
+        wide: list[tuple[bytes, str, bytes]] = []  # piece, its letters in lower case, the marks behind
         rest: list[bytes] = []
         for piece in pieces:
-            if piece in before:
-                known[piece] = before[piece]
-            elif piece.isalpha():  # ASCII letters
-                plain.append((piece, piece.lower(), b""))
-            elif (core := piece.rstrip(_MARKS)).isalpha():
-                plain.append((piece, core.lower(), piece[len(core) :]))
+            if piece.isalpha():
+                continue
+            core = piece.rstrip(_MARKS)
+            if core.isalpha():
+                marked.append((piece, core))
             elif core and not core.isascii() and _LETTERS.fullmatch(text := core.decode()):
                 wide.append((piece, text.lower(), piece[len(core) :]))
             else:
                 rest.append(piece)
-        for group in (plain, wide):
-            words = list(dict.fromkeys([w for _, w, _ in group]))
-            if not words:
-                continue
-            joined = b" ".join(words).decode() if group is plain else " ".join(words).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        plain += {core for _, core in marked if core not in known}.difference(plain)
+        if plain:
+            known.update(zip(plain, self._words(b" ".join(plain).lower().decode(), len(plain)), strict=True))
+        for piece, core in marked:
+            known[piece] = known[core] + self._tail(piece[len(core) :])
+        if wide:
+            words = list({w for _, w, _ in wide})
+            joined = " ".join(words).encode().decode("latin-1").translate(_BYTE_LETTERS)
             of = dict(zip(words, self._words(joined, len(words)), strict=True))
-            for piece, word, marks in group:
-                known[piece] = of[word] + self._tail(marks) if marks else of[word]
+            known.update([(piece, of[w] + self._tail(marks) if marks else of[w]) for piece, w, marks in wide])
         known.update(zip(rest, self._whole([p.decode() for p in rest]), strict=True))
 
     @lru_cache(maxsize=4096)  # noqa: B019
@@ -179,7 +184,7 @@ class Encoder:
         """Each UTF-8 text's ids and the end id, as little-endian unsigned integers of self.width."""
         if not self.by_words:
             return [ids + self.end for ids in self._whole([t.decode() for t in texts])]
-        split = [t.split() for t in texts]  # at ASCII white space; the tokenizer sees any other
+        split = [_pieces(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
         missing = set().union(*split).difference(self.known)
@@ -189,6 +194,11 @@ class Encoder:
         return [b"".join(map(get, pieces)) + self.end for pieces in split]
 
 
+def _pieces(text: bytes) -> list[bytes]:
+    """A text's pieces at ASCII white space (the tokenizer sees any other), capitals made small unless there may be a control string."""
+    return (text if b"<|" in text else text.lower()).split()
+
+
 #: The normalizer and pre-tokenizer, as in a vocabulary file, for which pieces stand for the text. Fixed values.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PRE_TOKENIZER = {
@@ -223,17 +233,28 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end: int | None = 1) -> DataFrame:
-    """doc_id, ids (packed) and n of every whole text; null is an empty text."""
+    """doc_id, ids (packed) and n of every whole text; null is an empty text.
+
+    Each task adds one row with n = -1, how often it met each id (packed in
+    eight bytes each), so that frequencies need no pass over the ids.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, end)
+        seen = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
                 ids = encode(some.column(1).to_pylist())
+                got = np.bincount(np.frombuffer(b"".join(ids), dtype=encode.width))
+                seen = np.append(seen, np.zeros(max(0, len(got) - len(seen)), dtype=np.int64))
+                seen[: len(got)] += got
                 packed = pa.array([_packed(x, encode.width) for x in ids], pa.binary())
                 n = pa.array([len(x) // int(encode.width[-1]) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column(0), packed, n], ["doc_id", "ids", "n"])
+        if len(seen):
+            row = [pa.array([None], pa.int64()), pa.array([_packed(seen.astype("<u8").tobytes(), "<u8")]), pa.array([-1])]
+            yield pa.RecordBatch.from_arrays(row, ["doc_id", "ids", "n"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).mapInArrow(each, "doc_id long, ids binary, n long")
 
@@ -242,29 +263,13 @@ def frequency_ranks(tokens: DataFrame) -> DataFrame:
     """(id, rank) of all ids found, the most frequent first, then by id. No longer than the vocabulary."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, dtype=np.int64)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def count() -> None:
-            nonlocal seen, size
-            got = np.bincount(np.concatenate(held)) if held else seen[:0]
-            seen = np.append(seen, np.zeros(max(0, len(got) - len(seen)), dtype=np.int64))
-            seen[: len(got)] += got
-            held.clear()
-            size = 0
-
         for batch in batches:
             for raw in batch.column(0):
-                held.append(_unpacked(raw.as_py()))
-                size += len(held[-1])
-                if size > BLOCK_IDS:
-                    count()
-        count()
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["id", "n"])
-
-    counts = tokens.select("ids").mapInArrow(each, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+                seen = _unpacked(raw.as_py()).astype(np.int64)
+                at = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["id", "n"])
+
+    counts = tokens.where("n = -1").select("ids").mapInArrow(each, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1
     return counts.select("id", rank.cast("long").alias("rank"))
 
@@ -304,7 +309,7 @@ def write(tokens: DataFrame, path: str) -> None:
         if ids:
             yield full()
 
-    ordered = tokens.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "n", "ids")
+    ordered = tokens.where("n >= 0").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "n", "ids")
     raw = ordered.select("doc_id", "ids").mapInArrow(each, "raw binary").select(F.col("raw").cast("string").alias("value"))
     raw.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_BLOCKS).text(f"{path}/files")
 
