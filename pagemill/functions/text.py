@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 
 def token_id(column: Column, line: Column, token: Column) -> Column:
@@ -60,7 +61,11 @@ def cleaned_reply(reply: Column) -> Column:
     return F.nullif(F.trim(bare), F.lit(""))
 
 
-@F.pandas_udf("double")
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def ratio(a: Column, b: Column) -> Column:
     """Ratcliff/Obershelp similarity, which built-in functions lack; for short names."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    def each(x: pd.Series, y: pd.Series) -> pd.Series:
+        found = [None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)]
+        return pd.Series(found, dtype="float64")
+
+    return F.pandas_udf(each, "double", PandasUDFType.SCALAR)(a, b)

@@ -11,19 +11,16 @@ def _over(by: list[str], *order: Column | str) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def reciprocal_top_k(df: DataFrame, by: list[str], a: str, b: str, score: str, k: int | Column) -> DataFrame:
-    """Pairs that are among the k best of both their row and their column; ties by the other key."""
-    ra = F.row_number().over(_over([*by, a], F.desc(score), b))
-    rb = F.row_number().over(_over([*by, b], F.desc(score), a))
-    return df.withColumn("rank_a", ra).withColumn("rank_b", rb).where((F.col("rank_a") <= k) & (F.col("rank_b") <= k))
-
-
-def near_best(df: DataFrame, by: list[str], a: str, b: str, score: str, margin: float) -> DataFrame:
-    """Pairs within a margin of the best of their row and of their column. Maxima are aggregated and joined back."""
-    best_a = df.groupBy(*by, a).agg(F.max(score).alias("best_a"))
-    best_b = df.groupBy(*by, b).agg(F.max(score).alias("best_b"))
-    rows = df.join(best_a, [*by, a]).join(best_b, [*by, b])
-    return rows.where((F.col(score) >= F.col("best_a") - margin) & (F.col(score) >= F.col("best_b") - margin))
+def reciprocal_top_k(df: DataFrame, by: list[str], a: str, b: str, score: str, k: int | Column, margin: float | None = None) -> DataFrame:
+    """Pairs that are among the k best of both their row and their column, ties by the other key, and, with a margin,
+    no further below the best of either. Rank and best of a row come from one sort."""
+    wa, wb = _over([*by, a], F.desc(score), b), _over([*by, b], F.desc(score), a)
+    rows = df.withColumns({"rank_a": F.row_number().over(wa), "best_a": F.first(score).over(wa)})
+    rows = rows.withColumns({"rank_b": F.row_number().over(wb), "best_b": F.first(score).over(wb)})
+    fine = (F.col("rank_a") <= k) & (F.col("rank_b") <= k)
+    if margin is not None:
+        fine = fine & (F.col(score) >= F.col("best_a") - margin) & (F.col(score) >= F.col("best_b") - margin)
+    return rows.where(fine)
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column | str], out: str = "number") -> DataFrame:

@@ -154,8 +154,9 @@ def token_scores(pairs: DataFrame, p: Params, steps: int = 40) -> DataFrame:
                 a, b = _arrays(r.a, "dtw" in weights), _arrays(r.b, "dtw" in weights)
                 m = _components(a, b, p, steps)
                 score = sum(w * (m[k] - getattr(r, f"m_{k}")) / (getattr(r, f"d_{k}") + 1e-8) for k, w in weights.items()) / total
+                score = np.round(score, 9)  # equal candidates tie, whatever the order of summation
                 apart = a[2][:, None] - b[2][None]
-                alike = np.hypot(apart[..., 0], apart[..., 1]) <= radius
+                alike = np.hypot(apart[..., 0], apart[..., 1]) <= radius + 1e-9
                 long = np.exp(a[2][:, None, 0]) >= p.min_match
                 fine = alike & long & (np.exp(b[2][None, :, 0]) >= p.min_match)
                 ta, tb, u, t, i, j = K.best_by_token(score, fine, a[0], b[0])
@@ -205,7 +206,7 @@ def accepted(scored: DataFrame, p: Params, k: Column | None = None) -> DataFrame
     by = ["page_a", "page_b"]
     k = F.when(F.col("page_a") == F.col("page_b"), p.k_within).otherwise(p.k) if k is None else k
     rows = scored.where(F.col("t").isNotNull())
-    rows = W.near_best(W.reciprocal_top_k(rows, by, "tok_a", "tok_b", "t", k), by, "tok_a", "tok_b", "t", p.margin)
+    rows = W.reciprocal_top_k(rows, by, "tok_a", "tok_b", "t", k, p.margin)
     fine = (F.col("z") >= p.z) & (F.col("t") >= p.floor)
     return rows.where(fine & ((F.col("page_a") != F.col("page_b")) | (F.col("tok_a") < F.col("tok_b"))))
 
@@ -225,9 +226,10 @@ def summary(found: DataFrame, pages: DataFrame) -> DataFrame:
     return every.join(counts, ["page_a", "page_b"], "left").select("page_a", "page_b", F.col("kind").alias("type"), F.coalesce("n", F.lit(0)).alias("n_matches"), F.coalesce("c", F.lit(0)).alias("n_context_only"))
 
 
-def clusters(found: DataFrame, candidates: DataFrame, overlap: float = 0.5) -> DataFrame:
-    """Clusters of accepted matches; candidates(page, tok, cand, x0, x1, ...) are identified by page and number."""
-    node = lambda page, cand: F.xxhash64(page, cand)
+def clusters(found: DataFrame, candidates: DataFrame, overlap: float = 0.5, numbered: bool = True) -> DataFrame:
+    """Clusters of accepted matches. candidates(page, tok, cand, x0, ...) are named by cand alone if those are numbered
+    through over all pages, else by page and number."""
+    node = (lambda page, cand: cand) if numbered else (lambda page, cand: F.xxhash64(page, cand))
     edges = found.select(node(F.col("page_a"), F.col("i")).alias("a"), node(F.col("page_b"), F.col("j")).alias("b"), "z")
     members = candidates.select(node(F.col("page"), F.col("cand")).alias("node"), "page", F.col("tok").alias("token"), "cand", "x0", "y0", "x1", "y1")
     return A.cluster_summary(members, stored(edges, "edges"), overlap).drop("node")

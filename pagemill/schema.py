@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_KINDS = {
+    "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType(), "BOOLEAN": T.BooleanType(),
+    "ARRAY<FLOAT>": T.ArrayType(T.FloatType()),
+}
+
+
 def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(" ".join(ddl.split()))
+    """A schema from `name TYPE, ...`; needs no session, unlike StructType.fromDDL."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (part.split() for part in ddl.split(","))])
 
 
 BOX = _schema("x0 INT, y0 INT, x1 INT, y1 INT, width INT, height INT, group INT")

@@ -18,7 +18,7 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
 
 def decimals(c: Column, n: int) -> Column:
     """A number with fixed decimals; empty for null."""
-    return F.coalesce(F.format_string(f"%.{n}f", c), F.lit(""))
+    return F.when(c.isNull(), "").otherwise(F.format_string(f"%.{n}f", c))
 
 
 def match_rows(found: DataFrame, a: str | None = None, b: str | None = None) -> DataFrame:
