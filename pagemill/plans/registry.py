@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import catalog_ops, catalog_pipes
+from pagemill.plans import catalog_more, catalog_ops, catalog_pipes
 
-_MODULES = (catalog_pipes, catalog_ops)
+_MODULES = (catalog_pipes, catalog_ops, catalog_more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
