@@ -160,7 +160,8 @@ def links(rows: DataFrame, key: list[str], node: str, words: dict[str, list[str]
                 fine = np.ones(len(i), dtype=bool)
                 for group, names in words.items():
                     at = np.flatnonzero(fine)
-                    far = sum(np.bitwise_count(of[c][i[at]] ^ of[c][j[at]]).astype(np.int64) for c in names)
+                    # unsigned: of a signed number, bitwise_count takes the absolute value
+                    far = sum(np.bitwise_count((of[c][i[at]] ^ of[c][j[at]]).view(np.uint64)).astype(np.int64) for c in names)
                     fine[at] = far <= limits[group]
                 return fine
 

@@ -89,3 +89,21 @@ def test_blocks_meet():
     for _ in range(300):
         flipped = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
         assert any(flipped & m == 0 for m in masks)
+
+
+def test_sign_bit(spark):
+    """Pairs that differ in the highest bit are told apart like any other."""
+    rng = np.random.default_rng(9)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 30)]
+    prints = base + [b ^ (1 << 63) ^ (1 << int(rng.integers(63))) for b in base] + [b ^ (1 << 63) ^ 0x1F for b in base]
+    rows = [(0, 1, 0, p - (1 << 64) if p >> 63 else p) for p in prints]
+    df = spark.createDataFrame(rows, "t int, k long, cell int, fp long")
+    linked = simhash.links(df, ["t", "k", "cell"], "fp", {"s": ["fp"]}, {"s": 4}).collect()
+    want = plain_components(dict(enumerate(prints)))
+    root = {p: p for p in prints}
+    for _ in prints:
+        for r in linked:
+            a, b = r.a % 2**64, r.b % 2**64
+            root[a] = root[b] = min(root[a], root[b])
+    same = lambda label, of: {frozenset(of(i) for i in label if label[i] == c) for c in label.values()}
+    assert same(root, lambda p: p) == same(want, lambda i: prints[i])
