@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.storage import BROADCAST_ROWS, new_path, shared_dir, small, stored
+
+__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "crc_mod", "dropped", "free_name", "new_path", "shared_dir", "small", "stored", "table", "text_of", "word_count", "words_of"]
+
 #: ASCII white space, as a character class.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word: a run of anything else.
@@ -38,35 +40,6 @@ def crc_mod(doc_id: Column, divisor: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor).cast("int")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where that is unset, a local master (tests) gets a temporary folder; a
-    cluster is refused, as its machines would not see each other's files.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="pagemill-")
-        sc.setCheckpointDir(path)
-        path = sc.getCheckpointDir()
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the shared folder."""
-    return f"{shared_dir(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts the lineage."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a stored() table that is no longer read."""
     jvm = df.sparkSession.sparkContext._jvm
@@ -82,12 +55,3 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-#: Sides of a join with up to so many rows (of under 200 bytes) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A stored table of narrow rows, marked for broadcast if its count is within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

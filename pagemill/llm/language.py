@@ -191,6 +191,10 @@ def fit(docs: DataFrame, each_language: int = EACH) -> Model:
     turn = F.xxhash64(F.lit("language"), F.col("doc_id"))
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     ranked = known.select("doc_id", "lang", turn.alias("turn"))
+    # a language may have a third of all rows: only those whose hash is within twice the bound's share are ranked
+    share = ranked.groupBy("lang").agg((F.lit(2.0 * each_language) / F.count("*")).alias("_share"))
+    even = (F.col("turn") / F.lit(2.0**63) + 1) / 2
+    ranked = ranked.join(share, "lang").where(even <= F.col("_share"))
     ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id")))
     some = ranked.where(F.col("n") <= each_language).select("doc_id", "turn").distinct()
     rows = known.join(F.broadcast(some), "doc_id").select("turn", "lang", "text")

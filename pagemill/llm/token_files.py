@@ -45,18 +45,21 @@ BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 FILE_BLOCKS = 16
 #: Pieces in a generation of those that a worker remembers; it keeps two.
 REMEMBERED = 300_000
-_LENGTHS = 1 + ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3)  # of the four ids of each control byte
+_LENGTHS = (1 + ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3)).astype(np.uint8)  # of the four ids of each control byte
+_PLACES = np.arange(4, dtype=np.uint8)
 
 
 def coded(ranks: np.ndarray) -> bytes:
     """Control bytes and data bytes of ranks."""
-    ranks = ranks.astype("<u4")
-    sizes = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    ranks = ranks.astype("<u4", copy=False)
+    more = (ranks > 0xFF).view(np.uint8) + (ranks > 0xFFFF).view(np.uint8) + (ranks > 0xFFFFFF).view(np.uint8)
     two = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    two[: len(ranks)] = sizes - 1
-    control = (two.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
+    two[: len(ranks)] = more
+    two = two.reshape(-1, 4)
+    control = two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6
     octets = ranks.view(np.uint8).reshape(-1, 4)
-    return control.tobytes() + octets[np.arange(4) < sizes[:, None]].tobytes()
+    width = int(more.max(initial=0)) + 1  # bytes beyond the longest are all left out
+    return control.tobytes() + octets[:, :width][_PLACES[:width] <= more[:, None]].tobytes()
 
 
 def decoded(raw: bytes | memoryview, n: int) -> np.ndarray:
@@ -64,12 +67,12 @@ def decoded(raw: bytes | memoryview, n: int) -> np.ndarray:
     octets = np.frombuffer(raw, dtype=np.uint8)
     control, data = octets[: -(-n // 4)], octets[-(-n // 4) :]
     sizes = _LENGTHS[control].reshape(-1)[:n]
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
     if n and ends[-1] != len(data):
         raise ValueError("data bytes don't match the control bytes")
     starts = ends - sizes
     ranks = data[starts].astype(np.uint32)
-    for more in (1, 2, 3):
+    for more in range(1, int(sizes.max(initial=1))):
         at = np.flatnonzero(sizes > more)
         ranks[at] |= data[starts[at] + more].astype(np.uint32) << np.uint32(8 * more)
     return ranks

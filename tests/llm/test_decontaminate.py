@@ -32,7 +32,7 @@ def plain(docs, items, at_least=0.8):
 @pytest.mark.parametrize("rows", [200_000, 0])
 def test_against_plain(spark, monkeypatch, rows):
     """With sides broadcast and with sides shuffled."""
-    monkeypatch.setattr("pagemill.llm.common.BROADCAST_ROWS", rows)
+    monkeypatch.setattr("pagemill.storage.BROADCAST_ROWS", rows)
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(300)]
     items = [(i, " ".join(rng.choice(vocabulary, int(n)))) for i, n in enumerate([1, 3, 5, 6, 20, 33, 57, 200, 9, 14])]
