@@ -107,3 +107,16 @@ def stream_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumn("w", F.lit(1.0))
     return A.profiles(e, ["label"], "embedding", "w", 64).select("label", "size", F.round(F.col("profile")[0], 6).alias("first"))
+
+
+@query()
+def kernel_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks found on drawn pages, by kind."""
+    rows = P.marks(_drawn(spark, sf_dir))
+    return rows.groupBy("page", "kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def kernel_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.polygons(_drawn(spark, sf_dir)).where("error is null")
+    return rows.select("page", "id", F.size("polygon").alias("points"), F.size("baseline").alias("base"))

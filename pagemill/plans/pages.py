@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.kernels import image as I
+from pagemill.kernels import marks as M
 from pagemill.kernels import pairs as K
-from pagemill.kernels import signal as S
+from pagemill.kernels import polygons as L
+from pagemill.operators import rules as R
 from pagemill.storage import stored
 
 _TOKENS = "page string, column int, line int, token int, x0 int, y0 int, x1 int, y1 int, width int, height int, group int, error string"
@@ -19,7 +21,6 @@ _CANDIDATES = (
     "page string, column int, line int, token int, tok long, cand long, tid string, is_full boolean, x0 int, y0 int, x1 int, y1 int, w double, h double, "
     "unit double, hog array<float>, seq array<float>, error string"
 )
-_MARKS = "page string, kind string, x0 int, y0 int, x1 int, y1 int, area int, spacing double, stroke double, error string"
 
 
 def pixels(row) -> np.ndarray:
@@ -75,16 +76,51 @@ def candidates(images: DataFrame, layout: I.Layout = I.Layout(), least: float =
     return _by_page(images, work, _CANDIDATES, empty)
 
 
+_PART = "page string, kind string, x0 int, y0 int, x1 int, y1 int, spacing double, stroke double, measures map<string,double>, error string"
+
+
+def measured(images: DataFrame) -> DataFrame:
+    """Everything on a page that may be a mark, with its measures: kind rule, part, stroke or brace (candidates)."""
+
+    def work(page: str, im: np.ndarray) -> list[dict]:
+        found, out = M.page_marks(im), []
+        for kind, rows in (("rule", found["rules"]), ("part", found["parts"]), ("stroke", found["strokes"]), ("brace", found["braces"])):
+            for r in rows:
+                numbers = {k: float(v) for k, v in r.items() if k not in ("x0", "y0", "x1", "y1", "label", "kind") and np.isfinite(v)}
+                out.append({k: r[k] for k in ("x0", "y0", "x1", "y1")} | {"kind": kind, "spacing": found["spacing"], "stroke": found["stroke"], "measures": numbers})
+        return out
+
+    return _by_page(images, work, _PART, dict.fromkeys(("x0", "y0", "x1", "y1"), -1) | {"kind": None, "spacing": None, "stroke": None, "measures": None})
+
+
 def marks(images: DataFrame) -> DataFrame:
-    """Ruled lines of each page with its line spacing and stroke width; the measures that the other rules take are components'."""
+    """Marks of each page by the decision rules: rule, dash, circle, filler, slash, brace. A component gets the first kind that fits."""
+    rows = measured(images)
+    m = lambda c: F.coalesce(F.try_element_at("measures", F.lit(c)), F.lit(float("inf")))
+    yes = lambda c: m(c) == 1.0
+    dash = R.dash(m("width"), m("height"), m("slope"), m("wave"), m("thickness"), m("below"), yes("clear"), m("dark"))
+    circle = R.circle(F.greatest(m("width"), m("height")), m("aspect"), m("around"), m("axes"), m("error"), m("covered"), m("centre"), m("dark"))
+    filler = R.filler(m("height"), m("width"), m("area"), yes("last"), m("gap"), F.lit(False))
+    slash = R.slash(m("angle"), m("rms"), m("length"), m("iso_left"), m("iso_right"), m("support")) & (m("length") >= 1.3)
+    brace = R.brace(m("slope"), m("resid"), m("left_text"), m("arms"), m("height"), m("iso_left"), m("iso_right"))
+    kind = (
+        F.when(F.col("error").isNotNull(), F.lit(None)).when(F.col("kind") == "rule", "rule").when((F.col("kind") == "brace") & brace, "brace")
+        .when((F.col("kind") == "stroke") & slash, "slash").when((F.col("kind") == "part") & dash, "dash").when((F.col("kind") == "part") & circle, "circle")
+        .when((F.col("kind") == "part") & filler, "filler")
+    )
+    out = rows.withColumn("kind", kind).where("kind is not null or error is not null")
+    return out.select("page", "kind", "x0", "y0", "x1", "y1", "spacing", "stroke", F.to_json("measures").alias("attributes"), "error")
+
+
+def polygons(images: DataFrame, layout: I.Layout = I.Layout()) -> DataFrame:  # noqa: B008
+    """Text lines of each page as polygons and baselines."""
+    kinds = "page string, id string, polygon array<array<double>>, baseline array<array<double>>, error string"
 
     def work(page: str, im: np.ndarray) -> list[dict]:
         ink = I.binarised(im)
-        spacing, stroke = S.line_pitch(ink), I.stroke_width(ink)
-        rows = I.horizontal_rules(ink, spacing, stroke)
-        return [{k: r[k] for k in ("kind", "x0", "y0", "x1", "y1", "area")} | {"spacing": spacing, "stroke": stroke} for r in rows]
+        return L.line_polygons(ink, I.text_lines(ink, layout))
 
-    return _by_page(images, work, _MARKS, dict.fromkeys(("x0", "y0", "x1", "y1", "area"), -1) | {"kind": None, "spacing": None, "stroke": None})
+    return _by_page(images, work, kinds, {"id": None, "polygon": None, "baseline": None})
 
 
 def components(images: DataFrame) -> DataFrame:
