@@ -3,8 +3,8 @@
 Pages become WARC 1.1 records: a response for one page of each payload, and
 revisit records, which carry no payload, for its other copies. Records are
 dealt to archives by page_id; Spark's text writer writes them, one record a
-row, so tasks commit as Spark's own do on any file system. Archives hold a
-bounded number of records.
+row, gzipped, so tasks commit as Spark's own do on any file system. Archives
+hold a bounded number of records; offsets count unzipped bytes.
 
 Reading an archive gives a capture run, sorted by URL key, timestamp and record
 id. The index is an external merge of these runs: each range of URL keys gets
@@ -14,6 +14,7 @@ the parts of all runs that fall into it, and a loser tree merges them.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import new_path, stored, text_of
+from pagemill.llm.common import new_path, small, stored, text_of
 
 #: Records in one archive.
 ARCHIVE_RECORDS = 2000
@@ -65,7 +66,7 @@ def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     # counted before the join: only payloads with copies come into it, and the side that repeats a digest can be split
     last = narrow.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
     last = last.where((F.col("_n") > 1) & (F.col("payload_bytes") >= least_bytes)).select("payload_digest", "_last")
-    rows = rows.join(stored(last, "copies"), "payload_digest", "left")
+    rows = rows.join(small(stored(last, "copies")), "payload_digest", "left")
     refers = F.when(F.col("_last").isNotNull() & ~F.col("_last").eqNullSafe(F.col("page_id")), F.col("_last"))
     return rows.select(
         "page_id", "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest",
@@ -117,7 +118,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     rows = decided(pages, least_bytes).select("page_id", "url", "payload", "payload_digest", "refers_to")
     rows = rows.repartition("page_id")  # archives of even size, though a payload may be a third of all
     raw = rows.mapInArrow(each, "raw binary").select(F.col("raw").cast("string").alias("value"))
-    raw.write.option("lineSep", "\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    raw.write.option("lineSep", "\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "gzip").text(path)
 
 
 def _page(text: str) -> int | None:
@@ -136,7 +137,7 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out = []
-                for at, head, body in records(raw.as_py()):
+                for at, head, body in records(gzip.decompress(raw.as_py())):
                     http, _, payload = body.partition(b"\r\n\r\n")
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     plain = head["warc-type"] == "response"
