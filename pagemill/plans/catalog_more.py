@@ -120,3 +120,42 @@ def kernel_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kernel_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.polygons(_drawn(spark, sf_dir)).where("error is null")
     return rows.select("page", "id", F.size("polygon").alias("points"), F.size("baseline").alias("base"))
+
+
+@query("""
+WITH w AS (SELECT 'p' || l_linenumber AS page, l_orderkey % 90 AS cluster FROM lineitem WHERE l_orderkey < 4000)
+SELECT page, count(*) AS words, count(DISTINCT cluster) AS clusters, count(DISTINCT cluster) FILTER (n > 1) AS repeated
+FROM (SELECT *, count(*) OVER (PARTITION BY page, cluster) AS n FROM w) GROUP BY page
+""")
+def sink_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 4000")
+    rows = li.select(F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("page"), (F.col("l_orderkey") % 90).alias("cluster"))
+    return S.page_summary(rows)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN x0 < 500 AND 500 - x1 <= 240 THEN CASE WHEN c >= 0.8 THEN 'member' ELSE 'borderline' END END AS relation FROM (
+  SELECT l_orderkey, l_linenumber, l_partkey % 600 AS x0, l_partkey % 600 + 50 AS x1,
+         greatest(0, least(l_orderkey % 400 + 20, 260) - greatest(l_orderkey % 400, 100)) / 20.0 AS c FROM lineitem)
+WHERE x0 < 500 AND 500 - x1 <= 240 AND c >= 0.25
+""")
+def join_brace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as text lines beside one brace for each ship flag."""
+    from pagemill.operators import rules as R
+
+    li = table(spark, sf_dir, "lineitem")
+    x, y = F.col("l_partkey") % 600, F.col("l_orderkey") % 400
+    lines = li.select("l_orderkey", "l_linenumber", "l_returnflag", x.alias("x0"), (x + 50).alias("x1"), y.alias("y0"), (y + 20).alias("y1"))
+    braces = li.select("l_returnflag").distinct().select("l_returnflag", F.lit(100).alias("b_y0"), F.lit(260).alias("b_y1"), F.lit(500).alias("b_x0"), F.lit(40.0).alias("spacing"))
+    return R.brace_lines(lines, braces, ["l_returnflag"]).select("l_orderkey", "l_linenumber", "relation")
+
+
+@query("""
+WITH c AS (SELECT user_id AS cluster_id, event_type AS name, event_id FROM events), v AS (
+  SELECT cluster_id, name, count(*) AS n, min(event_id) AS o FROM c GROUP BY ALL)
+SELECT cluster_id, arg_max(name, n * 1000000 - o) AS auto FROM v WHERE n >= 2 GROUP BY cluster_id
+""")
+def anno_auto_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by vote: those with two votes or more."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("cluster_id"), F.col("event_type").alias("name"), "event_id")
+    return A.majority(e, ["cluster_id"], "name", "event_id").where("n >= 2").select("cluster_id", F.col("auto_name").alias("auto"))

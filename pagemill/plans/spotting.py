@@ -270,3 +270,9 @@ def cluster_pages(rows: DataFrame) -> DataFrame:
     repeated = F.array_join(F.transform(F.filter("p", lambda x: x["n"] > 1), lambda x: x["page"]), "; ")
     scope = F.when(F.size("p") == 1, "within page").otherwise("across pages")
     return out.select("cluster", "size", F.size("p").alias("n_pages"), scope.alias("scope"), text.alias("pages"), repeated.alias("repeated_within"))
+
+
+def page_summary(rows: DataFrame) -> DataFrame:
+    """For each page: its clustered words, its clusters, and clusters with more than one word on it."""
+    counts = rows.groupBy("page", "cluster").agg(F.count("*").alias("n"))
+    return counts.groupBy("page").agg(F.sum("n").alias("words"), F.count("*").alias("clusters"), F.count_if(F.col("n") > 1).alias("repeated"))
