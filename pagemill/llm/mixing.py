@@ -24,6 +24,7 @@ from pagemill.llm.common import stored, text_of, word_count
 PASSES = 3
 #: A length's documents are ranked in so many slices of the hash, so that a length with very many documents is no single task.
 SLICES = 64
+_PLACE = ["_name", "_none", "_size", "_slice"]
 
 
 def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -135,13 +136,14 @@ def _turned(docs: DataFrame, seed: int, size: Column | None, *keep: Column | str
     text = text_of()
     size = word_count(text) if size is None else size
     turn = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(text.cast("binary")))
-    rows = docs.select(*keep, F.col("source").alias("_source"), size.cast("long").alias("_size"), turn.alias("_turn"))
+    named = F.coalesce("source", F.lit("")).alias("_name"), F.col("source").isNull().alias("_none")  # keys without nulls
+    rows = docs.select(*keep, F.col("source").alias("_source"), *named, size.cast("long").alias("_size"), turn.alias("_turn"))
     return rows.withColumn("_slice", F.shiftright("_turn", 58).cast("int") + SLICES // 2)
 
 
 def _planned(rows: DataFrame, passes: int) -> DataFrame:
     """For each (_source, _size, _slice) of rows: the number of whole passes, how many more to take of the length, and how many come in earlier slices."""
-    slices = stored(rows.groupBy("_source", "_size", "_slice").agg(F.count("*").alias("n")), "lengths")
+    slices = stored(rows.groupBy("_source", *_PLACE).agg(F.count("*").alias("n")), "lengths")
     counts = slices.groupBy("_source", "_size").agg(F.sum("n").alias("n"))
     sums = counts.groupBy("_source").agg(F.sum(F.col("n") * F.col("_size")).alias("total"))
     total = targets(sums.withColumnRenamed("_source", "source"), passes)
@@ -152,15 +154,14 @@ def _planned(rows: DataFrame, passes: int) -> DataFrame:
     own = Window.partitionBy("_source", "_size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.withColumn("start", F.coalesce(F.sum("n").over(own), F.lit(0))).drop("n")
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
-    joined = starts.join(plan, same).select(*[F.col(c).alias("_p" + c) for c in ("_source", "_size", "_slice", "start", "whole", "take", "total", "target")])
+    joined = starts.join(plan, same).select(*_PLACE, *[F.col(c).alias("_p" + c) for c in ("start", "whole", "take", "total", "target")])
     return stored(joined, "plan")
 
 
 def _counted(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with _copies and the plan's columns."""
-    place = Window.partitionBy("_source", "_size", "_slice").orderBy("_turn")
-    ranked = rows.withColumn("_rank", F.row_number().over(place))
-    both = ranked.join(plan, [F.col(c).eqNullSafe(F.col("_p" + c)) for c in ("_source", "_size", "_slice")])
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*_PLACE).orderBy("_turn")))
+    both = ranked.join(plan, _PLACE)  # by the window's keys: rows, with their texts, are dealt out once for both
     return both.withColumn("_copies", F.col("_pwhole") + (F.col("_rank") + F.col("_pstart") <= F.col("_ptake")).cast("long"))
 
 
