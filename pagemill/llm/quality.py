@@ -109,7 +109,9 @@ def measured(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> Dat
         )
 
     part = free_name(docs, "_part")
-    out = docs.withColumn(part, _let(F.struct(words.alias("w"), lines.alias("l")), lambda v: judged(v["w"], v["l"])))
+    # a generator of one row: what reads the measures, filters above all, can't be merged with it and compute them again
+    once = F.explode(F.array(_let(F.struct(words.alias("w"), lines.alias("l")), lambda v: judged(v["w"], v["l"]))))
+    out = docs.select("*", once.alias(part))
     p = F.col(part)
     bad = (p["n_words"] < rules.least_words) | (100 * p["n_repeat_words"] > rules.most_repeated * p["n_words"])
     gone = F.aggregate(p["failed"], F.lit(0), lambda a, x: a + black(x))
