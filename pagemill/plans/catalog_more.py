@@ -44,7 +44,7 @@ def agg_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's first letters drawn as bars on white: two columns of lines of words, as images."""
+    """Every embedding drawn as a word of bars on the page of its label: two columns, three words to a line, as images."""
 
     def each(parts):
         import pandas as pd
@@ -52,18 +52,18 @@ def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
         for part in parts:
             out = []
             for row in part.itertuples():
-                im = np.full((400, 300), 235, dtype=np.uint8)
-                words = row.text.split()[:48]
-                for n, word in enumerate(words):
-                    col, line, at = n // 24, n % 24 // 3, n % 3
-                    x, y = 20 + 150 * col + 38 * at, 30 + 45 * line
-                    for k, c in enumerate(word[:7]):
-                        im[y : y + 8 + ord(c) % 7, x + 3 * k : x + 3 * k + 2] = 20
-                out.append((row.page, 400, 300, 1, im.tobytes()))
+                lines = -(-len(row.words) // 6)
+                im = np.full((max(400, 60 + 45 * lines), 300), 235, dtype=np.uint8)
+                for n, word in enumerate(row.words):
+                    x, y = 20 + 150 * (n % 2) + 38 * (n // 2 % 3), 30 + 45 * (n // 6)
+                    for k, v in enumerate(word["v"][:7]):
+                        im[y : y + 12 + int(abs(v) * 40) % 7, x + 3 * k : x + 3 * k + 2] = 20
+                out.append((row.page, *im.shape, 1, im.tobytes()))
             yield pd.DataFrame(out, columns=["page", "height", "width", "channels", "data"])
 
-    d = table(spark, sf_dir, "documents").where("doc_id < 24").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("page"), "text")
-    return d.repartition(8).mapInPandas(each, "page string, height int, width int, channels int, data binary")
+    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("page"), F.struct("vec_id", F.slice("embedding", 1, 7).alias("v")).alias("w"))
+    pages = e.groupBy("page").agg(F.sort_array(F.collect_list("w")).alias("words"))
+    return pages.mapInPandas(each, "page string, height int, width int, channels int, data binary")
 
 
 @query()
@@ -123,13 +123,13 @@ def kernel_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT 'p' || l_linenumber AS page, l_orderkey % 90 AS cluster FROM lineitem WHERE l_orderkey < 4000)
+WITH w AS (SELECT 'p' || l_linenumber AS page, l_orderkey AS cluster FROM lineitem)
 SELECT page, count(*) AS words, count(DISTINCT cluster) AS clusters, count(DISTINCT cluster) FILTER (n > 1) AS repeated
 FROM (SELECT *, count(*) OVER (PARTITION BY page, cluster) AS n FROM w) GROUP BY page
 """)
 def sink_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 4000")
-    rows = li.select(F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("page"), (F.col("l_orderkey") % 90).alias("cluster"))
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("page"), F.col("l_orderkey").alias("cluster"))
     return S.page_summary(rows)
 
 

@@ -82,12 +82,12 @@ def scan_import_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT name, note FROM (SELECT min(p_type) AS name, min(p_brand) FILTER (p_type = t) AS note FROM (SELECT *, min(p_type) OVER (PARTITION BY lower(trim(p_type))) AS t FROM part) GROUP BY lower(trim(p_type)))
-WHERE lower(trim(name)) NOT IN (SELECT lower(trim(p_type)) FROM part WHERE p_partkey % 40 = 0)
+WHERE lower(trim(name)) NOT IN (SELECT lower(trim(p_type)) FROM part WHERE p_size = 50)
 """)
 def scan_new_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     rows = p.select(F.col("p_type").alias("name"), F.col("p_brand").alias("note"))
-    return RD.new_concepts(rows, p.where("p_partkey % 40 = 0").select(F.col("p_type").alias("name")))
+    return RD.new_concepts(rows, p.where("p_size = 50").select(F.col("p_type").alias("name")))
 
 
 @query("""
@@ -129,11 +129,11 @@ def scan_chosen_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT l_partkey::VARCHAR AS a, l_suppkey::VARCHAR AS b, l_quantity AS z FROM lineitem WHERE l_orderkey < 3000)
+WITH e AS (SELECT l_partkey::VARCHAR AS a, l_suppkey::VARCHAR AS b, l_quantity AS z FROM lineitem)
 SELECT a, b, max(z) AS z FROM (SELECT * FROM e UNION ALL SELECT b, a, z FROM e) GROUP BY a, b
 """)
 def join_symmetric_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
+    li = table(spark, sf_dir, "lineitem")
     rows = li.select(F.create_map(F.concat_ws("|", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")), F.col("l_quantity").cast("double")).alias("m"))
     return RD.edges_of(rows)
 
@@ -145,20 +145,20 @@ def sink_timing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page, count(*) AS columns, sum(lines) AS lines FROM (SELECT l_suppkey AS page, l_linenumber AS c, count(DISTINCT l_orderkey) AS lines FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL) GROUP BY page
+SELECT page, count(*) AS columns, sum(lines) AS lines FROM (SELECT l_suppkey AS page, l_linenumber AS c, count(DISTINCT l_orderkey) AS lines FROM lineitem GROUP BY ALL) GROUP BY page
 """)
 def sink_nested_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    li = table(spark, sf_dir, "lineitem")
     box = {c: F.lit(i) for i, c in enumerate(("x0", "y0", "x1", "y1", "width", "height", "group"))}
     rows = li.select(F.col("l_suppkey").alias("page"), F.col("l_linenumber").alias("column"), F.col("l_orderkey").alias("line"), F.col("l_partkey").alias("token"), *[v.alias(k) for k, v in box.items()])
     doc = F.from_json("document", "array<struct<column:int,lines:array<struct<line:int>>>>")
     return WR.nested_segmentation(rows).withColumn("d", doc).select("page", F.size("d").cast("long").alias("columns"), F.aggregate("d", F.lit(0), lambda a, c: a + F.size(c["lines"])).cast("long").alias("lines"))
 
 
-@query("SELECT event_id, event_type, value FROM events WHERE event_id % 10 <> 0 OR event_type <> 'error' UNION ALL SELECT event_id, 'ok', 1.0 FROM events WHERE event_id % 10 = 0 AND event_type = 'error'")
+@query("SELECT event_id, event_type, value FROM events WHERE value < 20 OR event_type <> 'error' UNION ALL SELECT event_id, 'ok', 1.0 FROM events WHERE value >= 20 AND event_type = 'error'")
 def sink_retried_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    again = e.where("event_id % 10 = 0 and event_type = 'error'").select("event_id", F.lit("ok").alias("event_type"), F.lit(1.0).alias("value"))
+    again = e.where("value >= 20 and event_type = 'error'").select("event_id", F.lit("ok").alias("event_type"), F.lit(1.0).alias("value"))
     return J.replaced(e, again, ["event_id"])
 
 
@@ -232,22 +232,23 @@ def filter_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- joins ------------------------------------------------------------------------------------------------------------------
 
-_PART = "SELECT p_partkey, p_size::DOUBLE AS w, p_retailprice AS h FROM part WHERE p_partkey % 3 = {r}"
+_PART = "SELECT p_partkey, p_size::DOUBLE AS w, p_retailprice AS h FROM part"
 _ALIKE = "sqrt(pow(ln(a.w / b.w), 2) + pow(ln(a.h / b.h), 2)) <= -ln({s})"
 
 
-def _parts(spark: SparkSession, sf_dir: str, r: int) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.col("p_partkey") % 3 == r).select("p_partkey", F.col("p_size").cast("double").alias("w"), F.col("p_retailprice").alias("h"))
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("w"), F.col("p_retailprice").alias("h"))
 
 
-@query(f"SELECT a.p_partkey AS p_partkey_a, b.p_partkey AS p_partkey_b FROM ({_PART.format(r=0)}) a, ({_PART.format(r=1)}) b WHERE " + _ALIKE.format(s=0.95))
+@query(f"SELECT a.p_partkey AS p_partkey_a, b.p_partkey AS p_partkey_b FROM ({_PART}) a, (SELECT p_partkey, p_size + 1.0 AS w, p_retailprice * 1.1 AS h FROM part) b WHERE " + _ALIKE.format(s=0.985))
 def join_band_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.band_join(_parts(spark, sf_dir, 0), _parts(spark, sf_dir, 1), 0.95).select("p_partkey_a", "p_partkey_b")
+    a = _parts(spark, sf_dir)
+    return J.band_join(a, a.withColumns({"w": F.col("w") + 1.0, "h": F.col("h") * 1.1}), 0.985).select("p_partkey_a", "p_partkey_b")
 
 
-@query(f"SELECT a.p_partkey AS p_partkey_a, b.p_partkey AS p_partkey_b, round(exp(-sqrt(pow(ln(a.w / b.w), 2) + pow(ln(a.h / b.h), 2))), 6) AS similarity FROM ({_PART.format(r=0)}) a, ({_PART.format(r=0)}) b WHERE a.p_partkey < b.p_partkey AND " + _ALIKE.format(s=0.97))
+@query(f"SELECT a.p_partkey AS p_partkey_a, b.p_partkey AS p_partkey_b, round(exp(-sqrt(pow(ln(a.w / b.w), 2) + pow(ln(a.h / b.h), 2))), 6) AS similarity FROM ({_PART}) a, ({_PART}) b WHERE a.p_partkey < b.p_partkey AND " + _ALIKE.format(s=0.985))
 def join_triangular_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = J.triangular_band_join(_parts(spark, sf_dir, 0), "p_partkey", 0.97)
+    out = J.triangular_band_join(_parts(spark, sf_dir), "p_partkey", 0.985)
     return out.select("p_partkey_a", "p_partkey_b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -448,7 +449,7 @@ def agg_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGES = """
-WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id < 500 AND b.vec_id < 500
+WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
   WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4),
 l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 """
@@ -456,7 +457,7 @@ l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, a AS b FROM
 
 @query(_EDGES + "SELECT a AS node, min(b) AS component FROM r GROUP BY a")
 def agg_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", V.scaled(F.col("embedding")).alias("f"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", V.scaled(F.col("embedding")).alias("f"))
     a, b = e.alias("a"), e.alias("b")
     edges = a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).where(V.dot(F.col("a.f"), F.col("b.f")) >= 0.4)
     return components(edges.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b")))

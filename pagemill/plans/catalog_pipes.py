@@ -298,7 +298,7 @@ def anno_web_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Orders and lines as annotations and symbols on the pages of their suppliers."""
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey <= 20")
+    li = table(spark, sf_dir, "lineitem")
     box = [(F.col("l_partkey") % 300).cast("int").alias("x0"), (F.col("l_orderkey") % 200).cast("int").alias("y0"), ((F.col("l_partkey") % 300) + 9).cast("int").alias("x1"), ((F.col("l_orderkey") % 200) + 9).cast("int").alias("y1")]
     page = F.concat(F.lit("pg"), F.col("l_suppkey").cast("string")).alias("page")
     notes = li.where("l_linenumber = 1").select(F.col("l_linestatus").alias("concept"), F.concat(F.lit("nAme "), F.col("l_returnflag"), (F.col("l_partkey") % 5).cast("string")).alias("name"), page, *box)
@@ -308,7 +308,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 _GRAPH = """
-WITH li AS (SELECT *, l_partkey % 300 AS x0, l_orderkey % 200 AS y0, 'pg' || l_suppkey AS page FROM lineitem WHERE l_suppkey <= 20),
+WITH li AS (SELECT *, l_partkey % 300 AS x0, l_orderkey % 200 AS y0, 'pg' || l_suppkey AS page FROM lineitem),
 ann AS (SELECT 'Annotation' AS type, 'Name ' || lower(l_returnflag) || (l_partkey % 5) AS name, page, x0, y0, CAST(NULL AS VARCHAR) AS relation FROM li WHERE l_linenumber = 1),
 sy AS (SELECT *, 'brace' || (l_orderkey % 40) AS symbol, CASE WHEN l_linenumber = 2 THEN 'symbol' ELSE 'member' END AS relation FROM li WHERE l_linenumber > 1),
 fine AS (SELECT * FROM sy WHERE EXISTS (SELECT 1 FROM sy o WHERE o.page = sy.page AND o.symbol = sy.symbol AND o.relation = 'symbol')),
@@ -349,7 +349,7 @@ def trace_set_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- retrieval ------------------------------------------------------------------------------------------------------------
 
 _GOLD = _sql("a.page = 'p0' AND b.page = 'p1'") + """
-, gold AS (SELECT tok_a, tok_b FROM tu WHERE (tok_a + tok_b) % 37 = 0),
+, gold AS (SELECT tok_a, tok_b FROM tu WHERE u >= 2),
 rk AS (
   SELECT g.tok_a, g.tok_b, 1 + (SELECT count(*) FROM tu o WHERE o.tok_a = s.tok_a AND o.u > s.u) AS rank_a, 1 + (SELECT count(*) FROM tu o WHERE o.tok_b = s.tok_b AND o.u > s.u) AS rank_b
   FROM gold g JOIN tu s ON s.tok_a = g.tok_a AND s.tok_b = g.tok_b
@@ -365,13 +365,13 @@ def _two_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_GOLD + "SELECT round(avg(1.0 / rank), 6) AS mrr, round(avg((rank <= 1)::INT), 6) AS hit1, round(avg((rank <= 3)::INT), 6) AS hit3, median(rank)::DOUBLE AS median_rank FROM ur")
 def agg_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _two_page_scores(spark, sf_dir)
-    gold = scores.where("(tok_a + tok_b) % 37 = 0").select("tok_a", "tok_b")
+    gold = scores.where("u >= 2").select("tok_a", "tok_b")
     out = A.retrieval_metrics(A.retrieval(scores, gold, ["page_a", "page_b"], "tok_a", "tok_b", "u"), ["page_a"])
     return out.select(*[F.round(c, 6).alias(c) for c in ("mrr", "hit1", "hit3")], F.col("median_rank").cast("double").alias("median_rank"))
 
 
-@query(_GOLD + "SELECT count(*) FILTER ((tok_a + tok_b) % 37 = 0) AS correct, count(*) FILTER ((tok_a + tok_b) % 37 <> 0 AND tok_a % 2 = 0) AS wrong, count(*) FILTER ((tok_a + tok_b) % 37 <> 0 AND tok_a % 2 <> 0) AS unjudged FROM m")
+@query(_GOLD + "SELECT count(*) FILTER (score >= 2) AS correct, count(*) FILTER (score < 2 AND z_base >= 1.8) AS wrong, count(*) FILTER (score < 2 AND z_base < 1.8) AS unjudged FROM m")
 def agg_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).where("page in ('p0', 'p1')")
     found = stored(S.matches(c, tokens(c), PARAMS, within=False), "matches")
-    return A.judged(found, found.where("(tok_a + tok_b) % 37 = 0"), found.where("tok_a % 2 = 0"), "tok_a", "tok_b")
+    return A.judged(found, found.where("score >= 2"), found.where("z_base >= 1.8"), "tok_a", "tok_b")
