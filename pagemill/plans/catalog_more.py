@@ -53,11 +53,13 @@ def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = []
             for row in part.itertuples():
                 lines = -(-len(row.words) // 6)
-                im = np.full((max(400, 60 + 45 * lines), 300), 235, dtype=np.uint8)
+                im = np.full((max(400, 110 + 45 * lines), 300), 235, dtype=np.uint8)
                 for n, word in enumerate(row.words):
                     x, y = 20 + 150 * (n % 2) + 38 * (n // 2 % 3), 30 + 45 * (n // 6)
                     for k, v in enumerate(word["v"][:7]):
                         im[y : y + 12 + int(abs(v) * 40) % 7, x + 3 * k : x + 3 * k + 2] = 20
+                im[-12:-9, 10:290] = 20  # a ruled line, and a dash above it
+                im[-32:-28, 120:160] = 20
                 out.append((row.page, *im.shape, 1, im.tobytes()))
             yield pd.DataFrame(out, columns=["page", "height", "width", "channels", "data"])
 
