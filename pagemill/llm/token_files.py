@@ -27,7 +27,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Blocks in one file.
 FILE_BLOCKS = 16
 #: Pieces in a generation of those that a worker remembers; it keeps two.
-REMEMBERED = 300_000
+REMEMBERED = 360_000
 _LENGTHS = (1 + ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3)).astype(np.uint8)  # of the four ids of each control byte
 _PLACES = np.arange(4, dtype=np.uint8)
 
@@ -121,6 +121,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         suffix = spec["model"].get("end_of_word_suffix")
@@ -171,18 +172,23 @@ class Encoder:
         plain += {core for _, core in marked if core not in known}.difference(plain)
         if plain:
             known.update(zip(plain, self._words(b" ".join(plain).lower().decode(), len(plain)), strict=True))
+        tails = self.tails
         for piece, core in marked:
-            known[piece] = known[core] + self._tail(piece[len(core) :])
+            marks = piece[len(core) :]
+            known[piece] = known[core] + (tails[marks] if marks in tails else self._tail(marks))
         if wide:
             words = list({w for _, w, _ in wide})
             joined = " ".join(words).encode().decode("latin-1").translate(_BYTE_LETTERS)
             of = dict(zip(words, self._words(joined, len(words)), strict=True))
-            known.update([(piece, of[w] + self._tail(marks) if marks else of[w]) for piece, w, marks in wide])
+            known.update([(piece, of[w] + (tails[marks] if marks in tails else self._tail(marks))) for piece, w, marks in wide])
         known.update(zip(rest, self._whole([p.decode() for p in rest]), strict=True))
 
-    @lru_cache(maxsize=4096)  # noqa: B019
     def _tail(self, marks: bytes) -> bytes:
-        return self._whole([marks.decode()])[0]
+        """Ids of the marks behind a word; those up to four long are remembered for good."""
+        ids = self._whole([marks.decode()])[0]
+        if len(marks) <= 4:
+            self.tails[marks] = ids
+        return ids
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Each UTF-8 text's ids and the end id, as little-endian unsigned integers of self.width."""
@@ -370,8 +376,10 @@ def encoded_and_read(docs: DataFrame, tokenizer: str, end: int | None = 1) -> Da
     table gives an empty table. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
-    tokens = stored(tokenized(docs, tokenizer, end), "tokens")
     path = new_path(spark, "token-files")
+    found = tokenized(docs, tokenizer, end)
+    found.write.option("compression", "uncompressed").parquet(f"{path}/tokens")  # the ids are compressed already
+    tokens = spark.read.schema(found.schema).parquet(f"{path}/tokens")
     write(tokens, path)
     dropped(tokens)
     return read(spark, path)
