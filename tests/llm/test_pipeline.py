@@ -99,3 +99,30 @@ def test_stage_keeps_empty_tables(spark, stage):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where(F.lit(False))
     out = C.STAGES[stage][1](spark, docs, DATA)
     assert out.columns == COLUMNS and out.count() == 0
+
+
+def copies_by(edit, target, rng, n=300):
+    """A text and a copy with words appended, cut or replaced until the similarity is just at target or above."""
+    base = [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    if edit == "appended":
+        copy = base + [f"w{i}" for i in rng.integers(0, 10**6, int((n - 4) * (1 / target - 1)))]
+    elif edit == "cut":
+        copy = base[: n - int((n - 4) * (1 - target))]
+    else:
+        copy, k = list(base), int((n - 4) * (1 - target) / (1 + target) / 5)
+        for at in range(k):
+            copy[5 + at * (n // k)] = f"x{at}"
+    return " ".join(base), " ".join(copy)
+
+
+@pytest.mark.parametrize("target", [0.8, 0.85, 0.9])
+@pytest.mark.parametrize("edit", ["appended", "cut", "replaced"])
+def test_search_finds_all_kinds_of_edits(edit, target):
+    """Pairs at the similarity share a search key, however the copy was made."""
+    rng = np.random.default_rng(4)
+    n = len(simhash.SEARCH)
+    for _ in range(100):
+        a, b = copies_by(edit, target, rng)
+        assert target <= jaccard(shingles(a), shingles(b)) < target + 0.03
+        a, b = (simhash.wide_fingerprint(t.encode())[:n] for t in (a, b))
+        assert any(x == y for x, y in zip(a, b, strict=True))
