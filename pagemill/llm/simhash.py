@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import small, stored, text_of
+from pagemill.llm.common import free_name, small, stored, text_of
 from pagemill.operators.components import components
 
 #: A key with more classes than this is split into cells of about this size.
@@ -209,12 +209,14 @@ def components_by_distance(docs: DataFrame, size: int = 4, distance: int = 4, sh
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Columns of the dedup stage: keys of bands of minima for the search, fingerprints of five-word shingles for the verdict.
+#: The dedup stage's search: keys of BANDS bands of WIDTH minima of the shingle set, and a bit of each minimum in s.
 BANDS, WIDTH = 21, 3
-SEARCH, VERDICT = [f"k{i}" for i in range(BANDS)], ["v0", "v1", "v2", "v3"]
-#: A pair is a near copy if so many of the 256 bits differ at most. Shingle sets with a Jaccard similarity j differ in
-#: 256 / pi * acos(2 j / (1 + j)) bits on average: 39 for 0.8, with a deviation of 5.7.
-MOST_DIFFERENT = 46
+SEARCH = [f"k{i}" for i in range(BANDS)]
+#: Pairs under a key are looked at further if so many bits of s differ at most. Shingle sets with a Jaccard similarity j
+#: differ in 63 * (1 - j) / 2 bits on average: 6.3 for 0.8, with a deviation of 2.4; at 0.3 it is 22.
+MOST_SEARCH = 22
+#: Near copies have this Jaccard similarity of shingle sets or more, as a fraction.
+LEAST_ALIKE = (4, 5)
 
 
 def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
@@ -237,58 +239,136 @@ def _minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def search_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of WIDTH minima."""
-    bands = _minima(shingles).reshape(BANDS, WIDTH)
+def searched(shingles: np.ndarray) -> list[int]:
+    """A key for each band of WIDTH minima, then s, a bit of each minimum."""
+    least = _minima(shingles)
+    bands = least.reshape(BANDS, WIDTH)
     key = np.zeros(BANDS, dtype=np.uint64)
     for i in range(WIDTH):
         key = _mixed(key ^ bands[:, i], i)
-    return key
+    bits = np.zeros(64, dtype=np.uint8)
+    bits[: len(least)] = _mixed(least, WIDTH) & np.uint64(1)
+    return [*key.tolist(), int(np.packbits(bits).view(np.uint64)[0])]
 
 
-def wide_fingerprint(text: bytes | None, size: int = 5) -> list[int]:
-    """Search keys and verdict fingerprints of a text; all 0 without words."""
+def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
+    """Hashes of a text's distinct word shingles, in order; empty without words."""
     words = (text or b"").lower().split()
-    if not words:
-        return [0] * (len(SEARCH) + len(VERDICT))
-    shingles = np.unique(_shingle_hashes(words, size))
-    return search_keys(shingles).tolist() + [_majority(_mixed(shingles, i)) for i in range(len(VERDICT))]
+    return np.unique(_shingle_hashes(words, size)) if words else np.zeros(0, dtype=np.uint64)
 
 
-def wide_fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
-    names = SEARCH + VERDICT
+def sketch(text: bytes | None, size: int = 5) -> list[int]:
+    """Search keys, s, and the digest of the shingle set, which tells different sets apart; all 0 without words."""
+    shingles = shingle_set(text, size)
+    if not len(shingles):
+        return [0] * (len(SEARCH) + 2)
+    return [*searched(shingles), xxhash.xxh64_intdigest(shingles.tobytes(), _SEED)]
+
+
+def sketches(rows: DataFrame, size: int = 5) -> DataFrame:
+    """rows(row, doc_id, text) with sketches in place of texts."""
+    names = [*SEARCH, "s", "node"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(t, size) for t in batch.column(1).to_pylist()]
+            found = [sketch(t, size) for t in batch.column(2).to_pylist()]
             words = np.array(found, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(words[:, i].copy()) for i in range(len(names))]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(words[:, i].copy()) for i in range(len(names))]], ["row", "doc_id", *names])
+
+    narrow = rows.select("row", "doc_id", text_of().cast("binary").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(each, f"row long, doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
-    narrow = docs.select("doc_id", text_of().cast("binary").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(each, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+
+def alike(sets: list[np.ndarray]) -> np.ndarray:
+    """The least index each set is linked to, directly or through others; sets link if their Jaccard similarity is LEAST_ALIKE or more.
+
+    Each set found is compared with all that are still unlinked, so copies of
+    one text end after one pass.
+    """
+    part, whole = LEAST_ALIKE
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ids = np.split(ids, np.cumsum(sizes)[:-1])
+    mask = np.zeros(max(map(np.max, ids)) + 1, dtype=bool)
+    label = np.arange(len(sets))
+    left = np.arange(len(sets))
+    while len(left):
+        first, left = left[0], left[1:]
+        front, flat = [first], None
+        while front and len(left):
+            at = front.pop()
+            if flat is None:
+                flat, starts = np.concatenate([ids[x] for x in left]), np.cumsum(sizes[left]) - sizes[left]
+            mask[ids[at]] = True
+            both = np.add.reduceat(mask[flat], starts, dtype=np.int64)
+            mask[ids[at]] = False
+            near = whole * both >= part * (sizes[at] + sizes[left] - both)
+            if near.any():
+                label[left[near]] = first
+                front.extend(left[near].tolist())
+                left, flat = left[~near], None
+    return label
+
+
+def verified(texts: DataFrame, size: int = 5) -> DataFrame:
+    """(node, root) of texts(part, node, text): root is the least node of a part that is linked by exact similarity."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            at = np.array(nodes, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(at[alike(sets)])], ["node", "root"])
+
+        held, nodes, sets = None, [], []
+        for batch in batches:
+            for part, node, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if part != held and nodes:
+                    yield linked(nodes, sets)
+                    nodes, sets = [], []
+                held = part
+                nodes.append(node)
+                sets.append(shingle_set(text, size))
+        if nodes:
+            yield linked(nodes, sets)
+
+    dealt = texts.select("part", "node", "text").repartition("part").sortWithinPartitions("part", "node")
+    return dealt.mapInArrow(each, "node long, root long")
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a number for each row, and that column's name."""
+    row = free_name(docs, "_row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def _labelled(held: DataFrame, row: str, size: int) -> DataFrame:
+    """(row, doc_id, node, root) of all rows of held; near copies share a root."""
+    held = held.select(F.col(row).alias("row"), "doc_id", "text")
+    prints = stored(sketches(held, size), "sketches")
+    classes = stored(prints.groupBy("node", "s", *SEARCH).agg(F.min("row").alias("row")), "sketch-classes")
+    rows = classes.select("node", "s", F.posexplode(F.array(*SEARCH)).alias("t", "k"))
+    found = links(_cells(rows, F.col("node")), ["t", "k", "cell"], "node", {"s": ["s"]}, {"s": MOST_SEARCH})
+    parts = components(found).withColumnRenamed("component", "part")
+    parts = small(stored(classes.select("node", "row").join(parts, "node").select("row", "node", "part"), "search-parts"))
+    texts = held.select("row", text_of().cast("binary").alias("text")).join(parts, "row")
+    roots = small(stored(verified(texts, size), "near-copy-roots"))
+    return prints.select("row", "doc_id", "node").join(roots, "node", "left").select("row", "doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
 def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, component_id) of all documents; near copies share a component.
 
-    Near copies have a similarity of five-word shingles of about 0.8 or more,
-    by the Hamming distance of 256-bit fingerprints. Pairs are searched by
-    MinHash bands: 21 keys of 3 minima of the shingle set. What an edit is does
-    not matter, only the similarity j: a pair shares no key with a chance of
-    (1 - j ** 3) ** 21, which is 3e-7 at 0.8 and 1e-12 at 0.9.
+    Near copies have a Jaccard similarity of their sets of five-word shingles of
+    0.8 or more, directly or through others. Pairs are searched by MinHash bands:
+    21 keys of 3 minima of the shingle set. What an edit is does not matter, only
+    the similarity j: a pair shares no key with a chance of (1 - j ** 3) ** 21,
+    which is 3e-7 at 0.8 and 1e-12 at 0.9. Of the pairs under a key a loose limit
+    takes the unlike ones; what is linked then is verified by its shingles.
     """
-    prints = stored(wide_fingerprints(docs, size), "wide-fingerprints")
-    node = F.xxhash64(*SEARCH, *VERDICT).alias("node")
-    classes = stored(prints.groupBy(*SEARCH, *VERDICT).agg(F.min("doc_id").alias("least")).select(node, *SEARCH, *VERDICT, "least"), "wide-classes")
-    rows = classes.select("node", *VERDICT, F.posexplode(F.array(*SEARCH)).alias("t", "k"))
-    found = links(_cells(rows, F.col("node")), ["t", "k", "cell"], "node", {"v": VERDICT}, {"v": MOST_DIFFERENT})
-    parts = components(found).withColumnRenamed("node", "_node")
-    joined = classes.select("node", "least").join(parts, F.col("node") == F.col("_node"), "left")
-    joined = stored(joined.select("node", "least", F.coalesce("component", "node").alias("root")), "wide-labels")
-    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = joined.join(roots, "root").select("node", "component_id")
-    return prints.select("doc_id", node).join(labels, "node").select("doc_id", "component_id")
+    held, row = _numbered(docs.select("doc_id", "text"))
+    labelled = stored(_labelled(held, row, size), "near-copy-labels")
+    roots = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(roots, "root").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, size: int = 5) -> DataFrame:

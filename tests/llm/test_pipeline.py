@@ -124,5 +124,37 @@ def test_search_finds_all_kinds_of_edits(edit, target):
     for _ in range(100):
         a, b = copies_by(edit, target, rng)
         assert target <= jaccard(shingles(a), shingles(b)) < target + 0.03
-        a, b = (simhash.wide_fingerprint(t.encode())[:n] for t in (a, b))
+        a, b = (simhash.sketch(t.encode())[:n] for t in (a, b))
         assert any(x == y for x, y in zip(a, b, strict=True))
+
+
+def linked(sets, at_least=0.8):
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(sets[i], sets[j]) >= at_least:
+                root = [root[j] if r == root[i] else r for r in root]
+    return {frozenset(i for i in range(len(sets)) if root[i] == r) for r in root}
+
+
+def test_near_copies_are_exact(spark):
+    """Groups are those of all pairs at an exact similarity of 0.8 or more; pairs just below stay apart."""
+    rng = np.random.default_rng(12)
+    texts = ["", "one", "one two three four five six", "one two three four five six seven"]
+    for edit in ("appended", "cut", "replaced"):
+        for target in (0.6, 0.7, 0.74, 0.78, 0.79, 0.8, 0.82, 0.9):
+            for n in (40, 300):
+                texts.extend(copies_by(edit, target, rng, n))
+    sets = [shingles(t) for t in texts]
+    got = {}
+    for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.component_id, set()).add(r.doc_id)
+    assert {frozenset(x) for x in got.values()} == linked(sets)
+
+
+def test_alike_links_through_others():
+    """A chain of sets, each like the next only, is one group, and what is like none is its own."""
+    whole = np.arange(1000, dtype=np.uint64)
+    sets = [whole[a : a + 400] for a in (0, 40, 80, 120, 500)]
+    assert simhash.alike(sets).tolist() == [0, 0, 0, 0, 4]
+    assert simhash.alike([sets[0]]).tolist() == [0]
