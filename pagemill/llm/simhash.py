@@ -372,12 +372,17 @@ def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, size: int = 5) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near copies; all columns kept.
+    """One row of each group of near copies; all columns kept.
 
-    Texts without words are copies of each other. Rows that share a doc_id stay
-    or go together; rows with a null doc_id go if their group has a doc_id and
-    all stay otherwise. An empty table stays empty.
+    The row with the least doc_id stays, nulls last; of several with that
+    doc_id, one with the least digest of its shingles, and of equal ones any.
+    Rows count one by one, whether or not they share a doc_id or have none.
+    Texts without words are copies of each other. An empty table stays empty.
     """
-    gone = near_copies(docs, size).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    gone = small(stored(gone.distinct(), "near-copies"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    held, row = _numbered(docs)
+    labelled = stored(_labelled(held, row, size), "near-copy-labels")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "row")
+    kept = labelled.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.row").alias("row"))
+    gone = labelled.select("row").join(kept, "row", "left_anti")
+    gone = small(stored(gone.withColumnRenamed("row", row), "near-copies"))
+    return held.join(gone, row, "left_anti").drop(row)

@@ -158,3 +158,11 @@ def test_alike_links_through_others():
     sets = [whole[a : a + 400] for a in (0, 40, 80, 120, 500)]
     assert simhash.alike(sets).tolist() == [0, 0, 0, 0, 4]
     assert simhash.alike([sets[0]]).tolist() == [0]
+
+
+def test_deduplicated_rows(spark):
+    """One row of each group stays: repeated rows, equal and null ids, and one id with two texts."""
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(5, a), (7, a), (5, b), (3, b), (None, c), (None, c), (None, c), (9, "x y z"), (9, "x y z"), (None, a)]
+    out = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.text, r.doc_id) for r in out.collect()) == [(a, 5), (b, 3), (c, None), ("x y z", 9)]
