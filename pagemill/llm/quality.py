@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import SPACE, WORD, free_name, text_of, words_of
+from pagemill.llm.common import SPACE, WORD, free_name, text_of, word_count, words_of
 
 #: Separators as found between the entries of a menu.
 NAVIGATION = r"([|»›•·].*){3}|(\s>\s.*){2}"
@@ -91,7 +91,7 @@ def measured(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> Dat
     lines = F.filter(F.split(raw, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
 
     def failed(x: Column) -> Column:
-        unended = ~F.rlike(x, F.lit(ENDED)) & (F.size(F.split(F.trim(x), f"{SPACE}+")) <= rules.short_line)
+        unended = ~F.rlike(x, F.lit(ENDED)) & (word_count(x) <= rules.short_line)
         return F.rlike(x, F.lit(NAVIGATION)) | F.rlike(x, F.lit(PUNCTUATION)) | F.rlike(x, F.lit(BOILERPLATE)) | unended
 
     def black(x: Column) -> Column:

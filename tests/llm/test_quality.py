@@ -54,6 +54,14 @@ def test_lines(spark):
     assert texts == {1: f"{PROSE}\n{more}", 3: f"{PROSE}\n{more}", 4: PROSE + " " + more}
 
 
+def test_short_lines_led_or_ended_by_white_space(spark):
+    """A line of four words fails whatever white space is around it, and one of five stays."""
+    around = ["{}", "{}\r", "\t{}", " \t{}\x0b\r", "  {} \x0c"]
+    cases = [(10 * n + i, f"{PROSE}\n{a.format(' '.join('abcde'[:n]))}\n{PROSE}") for n in (4, 5) for i, a in enumerate(around)]
+    got = {r.doc_id: r.n_failed_lines for r in quality.verdicts(spark.createDataFrame(cases, SCHEMA)).collect()}
+    assert got == {10 * n + i: int(n == 4) for n in (4, 5) for i in range(len(around))}
+
+
 def test_columns_and_rows(spark):
     docs = spark.createDataFrame([(1, PROSE, "x", 9, 1.0), (1, PROSE, "x", 9, 1.0), (None, None, None, None, None)], "doc_id long, text string, q string, _part int, n_chars double")
     assert sorted(quality.measured(docs).columns) == sorted([*docs.columns, "q_"])
