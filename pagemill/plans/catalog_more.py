@@ -29,8 +29,8 @@ def query(sql: str | None = None):
 
 @query()
 def pipe_match_with_dtw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two pages, with the embeddings read as sequences of 16 steps for the warping component."""
-    c = candidates(spark, sf_dir).where("page in ('p0', 'p1')").withColumn("seq", F.col("feat"))
+    """All pairs of pages, with the embeddings read as sequences of 16 steps for the warping component."""
+    c = candidates(spark, sf_dir).withColumn("seq", F.col("feat"))
     out = S.matches(c, tokens(c), replace(S.Params(), z=1.5), within=False, steps=16)
     return out.select("page_a", "page_b", "tok_a", "tok_b", "i", "j", *[F.round(x, 6).alias(x) for x in ("z", "score", "cos", "dtw")])
 

@@ -150,3 +150,21 @@ def test_retrieval_and_votes(spark):
     v = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (2, "z", 1), (2, "z", 2)], "c int, r string, o int")
     got = {x.c: (x.r, x.votes, x.auto_name) for x in A.majority(v, ["c"], "r", "o").collect()}
     assert got == {1: ("y", "1/2", None), 2: ("z", "2/2", "z")}
+
+
+def test_warping_match_runs_over_all_page_pairs(spark):
+    """Matches come from more pages than the first two, and those of a pair of pages are as if it were alone."""
+    from dataclasses import replace
+
+    from pagemill.plans import catalog_more as M
+    from pagemill.plans import spotting as S
+    from pagemill.plans.standins import candidates, tokens
+
+    data = "/root/testdata/sf0.001"
+    key = lambda r: (r.page_a, r.page_b, r.tok_a, r.tok_b, r.i, r.j)
+    got = {key(r): round(r.z, 4) for r in M.pipe_match_with_dtw(spark, data).collect()}
+    assert {k[:2] for k in got} - {("p0", "p1")}
+    for pair in (("p0", "p1"), ("p2", "p3")):
+        c = candidates(spark, data).where(f"page in {pair}").withColumn("seq", F.col("feat"))
+        alone = S.matches(c, tokens(c), replace(S.Params(), z=1.5), within=False, steps=16).collect()
+        assert {k: v for k, v in got.items() if k[:2] == pair} == {key(r): round(r.z, 4) for r in alone}
