@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagemill.storage import BROADCAST_ROWS, new_path, shared_dir, small, stored
 
-__all__ = ["BROADCAST_ROWS", "SPACE", "WORD", "crc_mod", "dropped", "free_name", "new_path", "shared_dir", "small", "stored", "table", "text_of", "word_count", "words_of"]
+__all__ = [
+    "BROADCAST_ROWS", "SPACE", "WORD", "crc_mod", "dropped", "free_name", "named", "new_path", "sampled", "shared_dir", "small", "stored", "table", "text_of",
+    "word_count", "words_of",
+]
 
 #: ASCII white space, as a character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -49,6 +53,42 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def named(df: DataFrame) -> list[Column]:
+    """df's columns, quoted, so that dots and spaces in names don't matter."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sampled(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
+    """Of rows(doc_id, text, by): one row for each of at most so many different ids of each group, with turn, a hash of the id, that decides which.
+
+    Ids are counted, not rows, so an id that repeats takes one place only, with
+    the text of the least hash. A first filter by the hash keeps, of a group with
+    n ids (an estimate, by HyperLogLog), about 4 * most + 200; it can't leave fewer
+    than most but by a chance below 1e-100. So a group with a third of all rows is
+    no more work for a task than a small one. Null ids are not in the sample.
+    """
+    keys = [by] if by else []
+    known = rows.where("doc_id is not null").withColumn("turn", F.xxhash64(F.lit("sample"), "doc_id"))
+    n = known.groupBy(*keys).agg(F.approx_count_distinct("doc_id", 0.03).alias("_n"))
+    even = (F.col("turn") / F.lit(2.0**63) + 1) / 2
+    share = F.lit(4.0 * most + 200) / F.greatest(F.col("_n"), F.lit(1))
+    few = known.select("doc_id", "turn", *keys)
+    few = few.join(small(stored(n, "sample-sizes")), by) if by else few.crossJoin(F.broadcast(n))  # one row
+    few = few.where(even <= share).select("doc_id", "turn", *keys).distinct()
+    if by:
+        rank = F.row_number().over(Window.partitionBy(by).orderBy("turn", "doc_id"))
+        few = few.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+    else:
+        few = few.orderBy("turn", "doc_id").limit(most)
+    few = small(stored(few, "sample-ids")).drop("turn")
+    text = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("_t")
+    return known.join(few, ["doc_id", *keys], "left_semi").groupBy("doc_id", "turn", *keys).agg(text).select("doc_id", "turn", *keys, "_t.text")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df has it, whatever the case."""
     taken = {c.lower() for c in df.columns}
