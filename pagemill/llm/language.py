@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pagemill.llm.common import crc_mod, text_of
+from pagemill.llm.common import crc_mod, sampled
 
 BITS = 15
 SIZES = (2, 3, 4)
@@ -179,7 +178,12 @@ def _least_confidence(p: np.ndarray, y: np.ndarray, precision: float = 0.99) ->
 
 
 def fit(docs: DataFrame, each_language: int = EACH) -> Model:
-    """Learn from docs' text and lang; rows with a null in either teach nothing. The sample is bounded for each language."""
+    """Learn from docs' text and lang; rows with a null in either, or in doc_id, teach nothing.
+
+    The sample holds each_language different ids of every language at most, all
+    of them if it has no more, however often rows repeat. An id with several
+    texts of one language counts by one of them.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,17 +192,9 @@ def fit(docs: DataFrame, each_language: int = EACH) -> Model:
             n = pa.array([b.astype("<i4").tobytes() for _, b in got], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at, n], ["turn", "lang", "buckets", "counts"])
 
-    turn = F.xxhash64(F.lit("language"), F.col("doc_id"))
-    known = docs.where("lang is not null and text is not null and doc_id is not null")
-    ranked = known.select("doc_id", "lang", turn.alias("turn"))
-    # a language may have a third of all rows: only those whose hash is within twice the bound's share are ranked
-    share = ranked.groupBy("lang").agg((F.lit(2.0 * each_language) / F.count("*")).alias("_share"))
-    even = (F.col("turn") / F.lit(2.0**63) + 1) / 2
-    ranked = ranked.join(share, "lang").where(even <= F.col("_share"))
-    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id")))
-    some = ranked.where(F.col("n") <= each_language).select("doc_id", "turn").distinct()
-    rows = known.join(F.broadcast(some), "doc_id").select("turn", "lang", "text")
-    got = rows.mapInArrow(each, "turn long, lang string, buckets binary, counts binary").collect()  # bounded by each_language
+    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    rows = sampled(known, each_language, "lang").select("turn", "lang", "text")
+    got = rows.mapInArrow(each, "turn long, lang string, buckets binary, counts binary").collect()  # each_language rows for each language
     got.sort(key=lambda r: (r["turn"], r["lang"], r["buckets"], r["counts"]))
     unpacked = [(np.frombuffer(r["buckets"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.int64)) for r in got]
     return train(unpacked, [r["lang"] for r in got])
@@ -225,7 +221,10 @@ def held_out_predictions(docs: DataFrame, folds: int = 4, fold: int = 2) -> Data
     Columns: doc_id, held_out, lang_pred, score, accepted. Texts that are null
     or have no letter are `und` with score 0 and are never accepted; without
     rows to learn from all are. accepted is the calibrated rejection and does
-    not change lang_pred. One row for each row of docs.
+    not change lang_pred; of languages as likely the first by name is taken. One
+    row for each row of docs; repeated rows get equal results. Texts of any
+    length are averaged in slices. An empty table gives an empty table. Columns
+    other than doc_id, text and lang are not read.
     """
     place = crc_mod(F.col("doc_id"), folds)
     model = fit(docs.where(place != fold))
