@@ -1,6 +1,7 @@
 """Line-first quality rules.
 
-Each line is judged by itself: punctuation, navigation and boilerplate rules.
+Each line is judged by itself: punctuation, navigation and boilerplate rules,
+the latter by phrases and, in any language, by links and letters' share.
 Failing lines are removed, and a document that loses too large a share of its
 text is rejected. Only DataFrame functions: each document is worked on inside
 its own row, nothing is shuffled.
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import SPACE, WORD, free_name, text_of, word_count, words_of
+from pagemill.llm.common import SPACE, WORD, free_name, named, text_of, word_count, words_of
 
 #: Separators as found between the entries of a menu.
 NAVIGATION = r"([|»›•·].*){3}|(\s>\s.*){2}"
@@ -21,12 +22,17 @@ NAVIGATION = r"([|»›•·].*){3}|(\s>\s.*){2}"
 PUNCTUATION = r"([#*$%&]{2}.*){3}|([!?]{2}.*){3}"
 #: A line's end: a mark that ends a sentence, and closing quotes or brackets.
 ENDED = r"[.!?…:;,][\"'”’»)\]]*[\x20\x09-\x0D]*$"
-#: Legal and site text that says nothing about the page.
+#: Legal and site text that says nothing about the page, in the languages that pages are mostly written in.
 BOILERPLATE = (
-    r"(?i)\ball rights reserved\b|\bcopyright (©|\(c\)|\d{4})|©\s*\d{4}|\blicensed under\b|\bterms of (use|service)\b"
-    r"|\bprivacy policy\b|\bcookie (policy|settings|preferences)\b|\b(enable|requires) javascript\b|\blorem ipsum\b"
+    r"(?i)\b(all rights reserved|tous droits réservés|alle rechte vorbehalten|todos los derechos reservados|tutti i diritti riservati)\b"
+    r"|\bcopyright (©|\(c\)|\d{4})|[©®]\s*\d{4}|\b(licen[cs]ed under|sous licence|lizenziert unter|bajo la licencia)\b"
+    r"|\b(terms of (use|service)|conditions générales|nutzungsbedingungen|allgemeine geschäftsbedingungen|términos de uso)\b"
+    r"|\b(privacy policy|politique de confidentialité|datenschutzerklärung|política de privacidad)\b"
+    r"|\bcookie (policy|settings|preferences)\b|\b(enable|requires|activer|aktivieren|activar) javascript\b|\blorem ipsum\b"
     r"|\bsubscribe to our\b|\bclick here\b|\bpowered by\b|\bspdx-license-identifier\b"
 )
+#: A link.
+LINK = r"(https?://|www\.)[^\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -77,6 +83,21 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _black(x: Column) -> Column:
+    """Characters other than white space."""
+    return F.char_length(F.regexp_replace(x, f"{SPACE}+", ""))
+
+
+def failed(x: Column, rules: Rules) -> Column:
+    """Does a line with words fail? By navigation, punctuation or boilerplate patterns; as a short line without an end; by
+    links that make up over half of it, or letters that make up less than a third: evidence in any language."""
+    unended = ~F.rlike(x, F.lit(ENDED)) & (word_count(x) <= rules.short_line)
+    pattern = F.rlike(x, F.lit(NAVIGATION)) | F.rlike(x, F.lit(PUNCTUATION)) | F.rlike(x, F.lit(BOILERPLATE))
+    letters = F.char_length(F.regexp_replace(x, r"[^\p{L}\p{M}]+", ""))
+    linked = F.rlike(x, F.lit(LINK)) & (2 * _black(F.regexp_replace(x, LINK, "")) < _black(x))
+    return pattern | unended | (3 * letters < _black(x)) | linked
+
+
 def measured(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:  # noqa: B008
     """docs with one more struct column q of measures and verdicts.
 
@@ -84,46 +105,39 @@ def measured(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> Dat
     n_lines, n_failed_lines, lost (share of non-space characters in failed
     lines), cleaned (text without the failed lines), kept. A null text counts as
     an empty one and fails. Every row gets its own verdict; repeated rows get
-    equal ones. The columns of docs stay as they are, whatever their names.
+    equal ones. The columns of docs stay as they are, whatever their names. A
+    very long text is one row's work, in time about linear in its length.
     """
     raw = text_of(text)
-    words = words_of(raw)
-    lines = F.filter(F.split(raw, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
-
-    def failed(x: Column) -> Column:
-        unended = ~F.rlike(x, F.lit(ENDED)) & (word_count(x) <= rules.short_line)
-        return F.rlike(x, F.lit(NAVIGATION)) | F.rlike(x, F.lit(PUNCTUATION)) | F.rlike(x, F.lit(BOILERPLATE)) | unended
-
-    def black(x: Column) -> Column:
-        return F.char_length(F.regexp_replace(x, f"{SPACE}+", ""))
 
     def judged(w: Column, ls: Column) -> Column:
-        n = F.size(w).cast("long")
-        chars = F.char_length(F.array_join(w, "")).cast("long")
-        symbols = F.char_length(F.regexp_replace(raw, "[^#*$%&|<>]+", "")).cast("long")
-        twice = (F.size(ls) - F.size(F.array_distinct(ls))).cast("long")
+        """ls are all lines, blank ones too; each line's patterns are tried once."""
+        black = F.filter(ls, lambda x: F.rlike(x, F.lit(WORD)))
+        flags = F.transform(ls, lambda x: F.rlike(x, F.lit(WORD)) & failed(x, rules))
         return F.struct(
-            n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), twice.alias("n_dup_lines"),
-            _repeated_words(w, rules.window).alias("n_repeat_words"), F.size(ls).alias("n_lines"),
-            F.filter(ls, failed).alias("failed"),
+            F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.char_length(F.regexp_replace(raw, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            _let(black, lambda b: F.struct(F.size(b).alias("n"), (F.size(b) - F.size(F.array_distinct(b))).cast("long").alias("twice"))).alias("lines"),
+            _repeated_words(w, rules.window).alias("n_repeat_words"), flags.alias("failed"),
         )
 
     part = free_name(docs, "_part")
+    split = F.split(raw, "\n")
     # a generator of one row: what reads the measures, filters above all, can't be merged with it and compute them again
-    once = F.explode(F.array(_let(F.struct(words.alias("w"), lines.alias("l")), lambda v: judged(v["w"], v["l"]))))
+    once = F.explode(F.array(_let(F.struct(words_of(raw).alias("w"), split.alias("l")), lambda v: judged(v["w"], v["l"]))))
     out = docs.select("*", once.alias(part))
     p = F.col(part)
+    n_failed = F.size(F.filter(p["failed"], lambda f: f))
     bad = (p["n_words"] < rules.least_words) | (100 * p["n_repeat_words"] > rules.most_repeated * p["n_words"])
-    gone = F.aggregate(p["failed"], F.lit(0), lambda a, x: a + black(x))
-    lost = F.when(p["word_chars"] > 0, gone / p["word_chars"]).otherwise(F.lit(0.0))
-    left = F.filter(F.split(raw, "\n"), lambda x: ~F.rlike(x, F.lit(WORD)) | ~failed(x))
-    rest = F.when(F.size(p["failed"]) > 0, F.array_join(left, "\n")).otherwise(F.col(text))
-    name = free_name(docs, "q")
+    gone = F.aggregate(F.filter(split, lambda x, i: F.get(p["failed"], i)), F.lit(0), lambda a, x: a + _black(x))
+    lost = F.when(n_failed > 0, gone / p["word_chars"]).otherwise(F.lit(0.0))
+    left = F.filter(split, lambda x, i: ~F.get(p["failed"], i))
+    rest = F.when(n_failed > 0, F.array_join(left, "\n")).otherwise(F.col(text))
     return out.withColumn(
-        name,
+        free_name(docs, "q"),
         F.struct(
-            *[p[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")],
-            F.size(p["failed"]).alias("n_failed_lines"), bad.alias("base_failed"), lost.alias("lost"),
+            *[p[c].alias(c) for c in ("n_words", "word_chars", "n_symbols")], p["lines"]["twice"].alias("n_dup_lines"), p["n_repeat_words"].alias("n_repeat_words"),
+            p["lines"]["n"].alias("n_lines"), n_failed.alias("n_failed_lines"), bad.alias("base_failed"), lost.alias("lost"),
             (~bad & (lost <= rules.most_lost)).alias("kept"), rest.alias("cleaned"),
         ),
     ).drop(part)
@@ -137,9 +151,14 @@ def verdicts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B00
 
 
 def cleaned(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """The documents kept, their failed lines removed and n_chars, where there is such a column, counted anew."""
+    """The documents kept, their failed lines removed and n_chars, where there is such a column, counted anew.
+
+    A row stays or goes by its own text: null, empty and blank texts go, equal
+    rows stay or go together, very long texts are judged whole. Columns of any
+    name come out as they went in. An empty table stays empty.
+    """
     q = free_name(docs, "q")
     out = measured(docs, rules).where(F.col(q)["kept"]).withColumn("text", F.col(q)["cleaned"])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*named(docs))

@@ -137,7 +137,9 @@ WITH d AS (
   SELECT doc_id, x, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS black,
          regexp_matches(x, {_quoted(quality.NAVIGATION)}) OR regexp_matches(x, {_quoted(quality.PUNCTUATION)})
          OR regexp_matches(x, {_quoted(quality.BOILERPLATE)})
-         OR (NOT regexp_matches(x, {_quoted(quality.ENDED)}) AND len(regexp_extract_all(x, '{_WORD}')) <= 4) AS failed
+         OR (NOT regexp_matches(x, {_quoted(quality.ENDED)}) AND len(regexp_extract_all(x, '{_WORD}')) <= 4)
+         OR 3 * length(regexp_replace(x, '[^\p{{L}}\p{{M}}]+', '', 'g')) < black
+         OR (regexp_matches(x, {_quoted(quality.LINK)}) AND 2 * length(regexp_replace(regexp_replace(x, {_quoted(quality.LINK)}, '', 'g'), '[\x20\x09-\x0D]+', '', 'g')) < black) AS failed
   FROM line WHERE regexp_matches(x, '{_WORD}')
 ), lines AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE failed) AS n_failed_lines, count(*) - count(DISTINCT x) AS n_dup_lines,

@@ -54,6 +54,17 @@ def test_lines(spark):
     assert texts == {1: f"{PROSE}\n{more}", 3: f"{PROSE}\n{more}", 4: PROSE + " " + more}
 
 
+@pytest.mark.parametrize("line", [
+    "https://example.org/a/very/long/path see www.example.net/and/another/one too", "12.03.2019 | 14:55 | +49 30 1234567 | 0815", "Tous droits réservés par la maison, bien entendu.",
+    "Es gelten die Nutzungsbedingungen dieser Seite, wie immer.", "© 2020 Some Company and others, in this town.", "==== ---- ~~~~ ++++ ==== ----",
+])
+def test_boilerplate_of_any_language(spark, line):
+    """Lines that fail by their make-up or by a phrase; the rest of the document stays."""
+    docs = spark.createDataFrame([(1, f"{PROSE}\n{line}\n{PROSE[::-1]}."), (2, f"{PROSE}\nVoir la page 12 du livre, ou http://a.b dit la même chose.")], SCHEMA)
+    got = {r.doc_id: r for r in quality.verdicts(docs).collect()}
+    assert (got[1].n_failed_lines, got[2].n_failed_lines) == (1, 0)
+
+
 def test_short_lines_led_or_ended_by_white_space(spark):
     """A line of four words fails whatever white space is around it, and one of five stays."""
     around = ["{}", "{}\r", "\t{}", " \t{}\x0b\r", "  {} \x0c"]
@@ -71,6 +82,21 @@ def test_columns_and_rows(spark):
     assert quality.verdicts(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, PROSE, 1, 2, 3)], "doc_id long, text string, `a.b` int, `c d` int, `q``x` int")
+    out = quality.cleaned(docs)
+    assert out.columns == docs.columns and out.collect() == docs.collect()
+    empty = quality.cleaned(docs.limit(0))
+    assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_one_very_long_line(spark):
+    """Lines of a megabyte without spaces or with one mark only: time stays about linear."""
+    docs = spark.createDataFrame([(1, "x" * 1_000_000), (2, "|" + " word" * 200_000 + "."), (3, "a@" * 500_000), (4, "." * 1_000_000)], SCHEMA)
+    got = {r.doc_id: r.kept for r in quality.verdicts(docs).collect()}
+    assert got == dict.fromkeys((1, 2, 3, 4), False)
+
+
 @pytest.mark.parametrize("n", [200_000])
 def test_very_long(spark, n):
     text = " ".join(str(i % 1000) for i in range(n))
