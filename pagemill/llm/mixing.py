@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.llm.common import stored, text_of, word_count
+from pagemill.llm.common import named, stored, text_of, word_count
 
 #: No document is taken more often than this.
 PASSES = 3
@@ -188,10 +188,13 @@ def mixed_documents(docs: DataFrame, seed: int = 17, passes: int = PASSES, size:
     """The mix itself: docs' rows, each as often as mixed() takes it, with the columns of docs.
 
     Lengths are counted in one pass; texts are dealt out in a second one, in
-    which each goes through one exchange.
+    which each goes through one exchange. Null and empty texts come in whole
+    passes only; a null source is a source; rows equal in doc_id and text are
+    interchangeable; very long texts count by their words like any. Columns of
+    any name come out as they went in. An empty table stays empty.
     """
     plan = _planned(_turned(docs, seed, size), passes)
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    row = F.struct(*named(docs)).alias("_row")
     out = _counted(_turned(docs, seed, size, row), plan)
     out = out.where(F.col("_copies") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return out.select("_row.*")

@@ -19,11 +19,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import free_name, small, stored, text_of
+from pagemill.llm.common import dropped, free_name, small, stored, text_of
 from pagemill.operators.components import components
 
 #: A key with more classes than this is split into cells of about this size.
 CELL = 2048
+#: Runs of up to so many rows under one key are compared place by place.
+SHORT_RUN = 48
 _LANES = np.uint64(0x0101010101010101)
 _SEED = 42
 
@@ -130,8 +132,14 @@ def _least_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _links(starts: np.ndarray, close) -> np.ndarray:
-    """The least row linked to each row; rows i < j of one run are linked if close(i, j)."""
-    left = np.repeat(starts[1:], np.diff(starts)) - np.arange(starts[-1])  # rows of the run from this one on
+    """The least row linked to each row; rows i < j of one run are linked if close(i, j).
+
+    Short runs are compared place by place, all at once. In a long run each set
+    found grows by comparing its new rows with those still unlinked, so a run of
+    rows that are all alike takes one pass.
+    """
+    sizes = np.diff(starts)
+    left = np.repeat(np.where(sizes <= SHORT_RUN, starts[1:], starts[:-1]), sizes) - np.arange(starts[-1])  # rows of a short run from this one on
     a, b, d, rows = [], [], 1, np.flatnonzero(left > 1)
     while len(rows):
         yes = rows[close(rows, rows + d)]
@@ -139,10 +147,32 @@ def _links(starts: np.ndarray, close) -> np.ndarray:
         b.append(yes + d)
         d += 1
         rows = rows[left[rows] > d]
+    for run in np.flatnonzero(sizes > SHORT_RUN):
+        label = _grown(np.arange(starts[run], starts[run + 1]), close)
+        a.append(np.arange(starts[run], starts[run + 1]))
+        b.append(label)
     none = [np.zeros(0, dtype=np.int64)]
     return _least_linked(np.concatenate(a or none), np.concatenate(b or none), int(starts[-1]))
 
 
+def _grown(rows: np.ndarray, close, room: int = 1 << 20) -> np.ndarray:
+    """The least row linked to each of rows, directly or through others."""
+    label, left = rows.copy(), rows
+    while len(left):
+        first, left = left[0], left[1:]
+        front = np.array([first])
+        while len(front) and len(left):
+            hit = np.zeros(len(left), dtype=bool)
+            step = max(1, room // len(left))
+            for at in range(0, len(front), step):
+                some, rest = front[at : at + step], np.flatnonzero(~hit)
+                near = close(np.repeat(some, len(rest)), np.tile(left[rest], len(some)))
+                hit[rest[near.reshape(len(some), len(rest)).any(axis=0)]] = True
+            front, left = left[hit], left[~hit]
+            label[front - rows[0]] = first
+    return label
+
+
 def links(rows: DataFrame, key: list[str], node: str, words: dict[str, list[str]], limits: dict[str, int]) -> DataFrame:
     """Links (a, b) between the nodes of rows that share the key and are close.
 
@@ -209,14 +239,17 @@ def components_by_distance(docs: DataFrame, size: int = 4, distance: int = 4, sh
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The dedup stage's search: keys of BANDS bands of WIDTH minima of the shingle set, and a bit of each minimum in s.
-BANDS, WIDTH = 21, 3
+#: The dedup stage's search: keys of BANDS bands of WIDTH minima of the shingle set, and BITS bits of each minimum in MARKS.
+BANDS, WIDTH, BITS = 21, 3, 4
 SEARCH = [f"k{i}" for i in range(BANDS)]
-#: Pairs under a key are looked at further if so many bits of s differ at most. Shingle sets with a Jaccard similarity j
-#: differ in 63 * (1 - j) / 2 bits on average: 6.3 for 0.8, with a deviation of 2.4; at 0.3 it is 22.
-MOST_SEARCH = 22
+MARKS = [f"s{i}" for i in range(BITS)]
+#: Pairs under a key are looked at further if so many bits of MARKS differ at most. Shingle sets with a Jaccard similarity j
+#: differ in 126 * (1 - j) of 252 bits on average: 25 at 0.8, with a deviation of 7.3, so 62 is five deviations off; at 0.3 it is 88.
+MOST_SEARCH = 62
 #: Near copies have this Jaccard similarity of shingle sets or more, as a fraction.
 LEAST_ALIKE = (4, 5)
+#: Texts that are verified together in one task's memory.
+TOGETHER = 512
 
 
 def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
@@ -240,15 +273,15 @@ def _minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def searched(shingles: np.ndarray) -> list[int]:
-    """A key for each band of WIDTH minima, then s, a bit of each minimum."""
+    """A key for each band of WIDTH minima, then MARKS, each with one bit of every minimum."""
     least = _minima(shingles)
     bands = least.reshape(BANDS, WIDTH)
     key = np.zeros(BANDS, dtype=np.uint64)
     for i in range(WIDTH):
         key = _mixed(key ^ bands[:, i], i)
-    bits = np.zeros(64, dtype=np.uint8)
-    bits[: len(least)] = _mixed(least, WIDTH) & np.uint64(1)
-    return [*key.tolist(), int(np.packbits(bits).view(np.uint64)[0])]
+    bits = np.zeros((BITS, 64), dtype=np.uint8)
+    bits[:, : len(least)] = (_mixed(least, WIDTH) >> np.arange(BITS, dtype=np.uint64)[:, None]) & np.uint64(1)
+    return [*key.tolist(), *np.packbits(bits, axis=1).view(np.uint64)[:, 0].tolist()]
 
 
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -258,16 +291,16 @@ def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
 
 
 def sketch(text: bytes | None, size: int = 5) -> list[int]:
-    """Search keys, s, and the digest of the shingle set, which tells different sets apart; all 0 without words."""
+    """Search keys, marks, and the digest of the shingle set, which tells different sets apart; all 0 without words."""
     shingles = shingle_set(text, size)
     if not len(shingles):
-        return [0] * (len(SEARCH) + 2)
+        return [0] * (len(SEARCH) + len(MARKS) + 1)
     return [*searched(shingles), xxhash.xxh64_intdigest(shingles.tobytes(), _SEED)]
 
 
 def sketches(rows: DataFrame, size: int = 5) -> DataFrame:
     """rows(row, doc_id, text) with sketches in place of texts."""
-    names = [*SEARCH, "s", "node"]
+    names = [*SEARCH, *MARKS, "node"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,22 +313,26 @@ def sketches(rows: DataFrame, size: int = 5) -> DataFrame:
     return narrow.mapInArrow(each, f"row long, doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
-def alike(sets: list[np.ndarray]) -> np.ndarray:
+def alike(sets: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
     """The least index each set is linked to, directly or through others; sets link if their Jaccard similarity is LEAST_ALIKE or more.
 
-    Each set found is compared with all that are still unlinked, so copies of
-    one text end after one pass.
+    Sets with one number in known are linked from the start. Each set found is
+    compared with all that are still unlinked, so copies of one text end after
+    one pass.
     """
     part, whole = LEAST_ALIKE
     sizes = np.array([len(x) for x in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ids = np.split(ids, np.cumsum(sizes)[:-1])
-    mask = np.zeros(max(map(np.max, ids)) + 1, dtype=bool)
+    mask = np.zeros(max((int(x.max()) for x in ids if len(x)), default=0) + 1, dtype=bool)
+    known = np.arange(len(sets)) if known is None else known
     label = np.arange(len(sets))
     left = np.arange(len(sets))
     while len(left):
-        first, left = left[0], left[1:]
-        front, flat = [first], None
+        first = left[0]
+        front, left = left[known[left] == known[first]].tolist(), left[known[left] != known[first]]
+        label[front] = first
+        flat = None
         while front and len(left):
             at = front.pop()
             if flat is None:
@@ -305,6 +342,7 @@ def alike(sets: list[np.ndarray]) -> np.ndarray:
             mask[ids[at]] = False
             near = whole * both >= part * (sizes[at] + sizes[left] - both)
             if near.any():
+                near = np.isin(known[left], known[left[near]])
                 label[left[near]] = first
                 front.extend(left[near].tolist())
                 left, flat = left[~near], None
@@ -312,27 +350,95 @@ def alike(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(texts: DataFrame, size: int = 5) -> DataFrame:
-    """(node, root) of texts(part, node, text): root is the least node of a part that is linked by exact similarity."""
+    """(part, node, root) of texts(part, cell, node, known, text): root is the least node of a cell that is linked by exact
+    similarity or, from the start, by an equal known. A cell is one task's memory."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        def linked(part: int, nodes: list[int], known: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
             at = np.array(nodes, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(at[alike(sets)])], ["node", "root"])
+            root = at[alike(sets, np.array(known, dtype=np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part)), pa.array(at), pa.array(root)], ["part", "node", "root"])
 
-        held, nodes, sets = None, [], []
+        held, nodes, known, sets = None, [], [], []
         for batch in batches:
-            for part, node, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if part != held and nodes:
-                    yield linked(nodes, sets)
-                    nodes, sets = [], []
-                held = part
+            for part, cell, node, group, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if (part, cell) != held and nodes:
+                    yield linked(held[0], nodes, known, sets)
+                    nodes, known, sets = [], [], []
+                held = (part, cell)
                 nodes.append(node)
+                known.append(group)
                 sets.append(shingle_set(text, size))
         if nodes:
-            yield linked(nodes, sets)
+            yield linked(held[0], nodes, known, sets)
+
+    dealt = texts.select("part", "cell", "node", "known", "text").repartition("part", "cell").sortWithinPartitions("part", "cell", "node")
+    return dealt.mapInArrow(each, "part long, node long, root long")
+
+
+def _chunked(rows: DataFrame, together: int, turn: int) -> DataFrame:
+    """rows(part, node, ...) with cell: a chunk of about so many nodes of the part, by a hash that the turn changes."""
+    n = rows.groupBy("part").agg(F.ceil(F.count("*") / F.lit(together)).alias("_chunks"))
+    cell = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("_chunks"))
+    return rows.join(small(stored(n, "chunks")), "part").withColumn("cell", cell).drop("_chunks")
 
-    dealt = texts.select("part", "node", "text").repartition("part").sortWithinPartitions("part", "node")
-    return dealt.mapInArrow(each, "node long, root long")
+
+def _roots(texts: DataFrame, size: int, together: int) -> DataFrame:
+    """(node, root) of texts(part, node, text), linked by exact similarity within parts; no task holds more than a few times `together` texts.
+
+    Parts that fit are verified at once. Of larger ones, chunks are verified, and
+    the least text of each group found stands for it in the next round, until
+    the part's groups fit one chunk or hardly merge any more: copies of one text
+    end in one group, with work in proportion to their number. If groups are
+    left apart, their members may still be alike: chunks of different groups
+    are compared with each other, those within a group are not.
+    """
+    n = texts.groupBy("part").agg(F.count("*").alias("n"))
+    large = stored(n.where(F.col("n") > together), "large-parts")
+    if large.isEmpty():
+        one = texts.withColumn("cell", F.lit(0).cast("long")).withColumn("known", F.col("node"))
+        return verified(one, size).select("node", "root")
+    large = small(large.select("part"))
+    fit = texts.join(large, "part", "left_anti").withColumn("cell", F.lit(0).cast("long")).withColumn("known", F.col("node"))
+    done = stored(verified(fit, size).select("node", "root"), "small-roots")
+    rest = stored(texts.join(large, "part", "left_semi"), "large-texts")
+
+    kin = None
+    now, count, turn = rest, rest.count(), 0
+    while True:  # each turn ends with fewer texts, or is the last
+        found = stored(verified(_chunked(now, together, turn).withColumn("known", F.col("node")), size), "chunk-roots")
+        edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        kin = edges if kin is None else kin.unionAll(edges)
+        firsts = found.where("node = root").select("node")
+        now, turn = now.join(small(stored(firsts, "firsts")), "node", "left_semi"), turn + 1
+        before, count = count, firsts.count()
+        if count > 0.7 * before or now.groupBy("part").count().where(F.col("count") > 1).isEmpty():
+            break
+
+    groups = components(kin).withColumnRenamed("component", "root")
+    named = rest.select("part", "node").join(groups, "node", "left").select("part", "node", F.coalesce("root", "node").alias("known"))
+    named = stored(named, "groups")
+    apart = named.groupBy("part").agg(F.min("known").alias("_a"), F.max("known").alias("_b")).where("_a <> _b").select("part")
+    apart = small(stored(apart, "apart"))
+    split = named.join(apart, "part", "left_semi")
+    sizes = split.groupBy("part", "known").agg(F.count("*").alias("_n"))
+    sizes = stored(sizes.withColumn("_own", F.when(F.col("_n") >= together, F.col("known"))), "group-sizes")  # a large group has chunks of its own, small ones share some
+    chunks = sizes.groupBy(F.col("part").alias("_part"), F.col("_own").alias("_of")).agg(F.ceil(F.sum("_n") / F.lit(together)).alias("_chunks"))
+    sizes = sizes.join(chunks, (F.col("part") == F.col("_part")) & F.col("_own").eqNullSafe(F.col("_of"))).select("part", "known", "_own", "_chunks")
+    key = F.when(F.col("_own").isNull(), F.xxhash64("known")).otherwise(F.xxhash64("node"))  # a small group stays whole
+    place = F.struct("_own", F.pmod(key, F.col("_chunks")).alias("at")).alias("place")
+    placed = stored(split.join(sizes, ["part", "known"]).select("part", "node", "known", place), "placed")
+    places = placed.select("part", "place").distinct()
+    a, b = places.withColumnRenamed("place", "pa"), places.withColumnRenamed("place", "pb")
+    # one row for each two chunks of a part that hold different groups; chunks, not texts, are paired
+    pairs = a.join(b, "part").where("pa <= pb and (pa._own is null or not pa._own <=> pb._own)")
+    pairs = pairs.withColumn("cell", F.xxhash64("part", "pa", "pb"))
+    cells = pairs.select("part", F.col("pa").alias("place"), "cell").unionAll(pairs.where("pa <> pb").select("part", F.col("pb").alias("place"), "cell"))
+    across = placed.join(cells, ["part", "place"]).select("part", "cell", "node", "known")
+    across = across.join(rest.select("node", "text"), "node")
+    more = stored(verified(across, size).where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "across")
+    own = named.where("node <> known").select(F.col("node").alias("a"), F.col("known").alias("b"))
+    return done.unionAll(components(own.unionAll(more)).select("node", F.col("component").alias("root")))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -342,17 +448,21 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _labelled(held: DataFrame, row: str, size: int) -> DataFrame:
-    """(row, doc_id, node, root) of all rows of held; near copies share a root."""
+    """(row, doc_id, node, root) of all rows of held, written; near copies share a root."""
     held = held.select(F.col(row).alias("row"), "doc_id", "text")
     prints = stored(sketches(held, size), "sketches")
-    classes = stored(prints.groupBy("node", "s", *SEARCH).agg(F.min("row").alias("row")), "sketch-classes")
-    rows = classes.select("node", "s", F.posexplode(F.array(*SEARCH)).alias("t", "k"))
-    found = links(_cells(rows, F.col("node")), ["t", "k", "cell"], "node", {"s": ["s"]}, {"s": MOST_SEARCH})
+    classes = stored(prints.groupBy("node", *MARKS, *SEARCH).agg(F.min("row").alias("row")), "sketch-classes")
+    rows = classes.select("node", *MARKS, F.posexplode(F.array(*SEARCH)).alias("t", "k"))
+    found = links(_cells(rows, F.col("node")), ["t", "k", "cell"], "node", {"s": MARKS}, {"s": MOST_SEARCH})
     parts = components(found).withColumnRenamed("component", "part")
     parts = small(stored(classes.select("node", "row").join(parts, "node").select("row", "node", "part"), "search-parts"))
-    texts = held.select("row", text_of().cast("binary").alias("text")).join(parts, "row")
-    roots = small(stored(verified(texts, size), "near-copy-roots"))
-    return prints.select("row", "doc_id", "node").join(roots, "node", "left").select("row", "doc_id", "node", F.coalesce("root", "node").alias("root"))
+    dropped(classes)
+    texts = held.select("row", text_of().cast("binary").alias("text")).join(parts, "row").select("part", "node", "text")
+    roots = small(stored(_roots(texts, size, TOGETHER), "near-copy-roots"))
+    out = prints.select("row", "doc_id", "node").join(roots, "node", "left").select("row", "doc_id", "node", F.coalesce("root", "node").alias("root"))
+    out = stored(out, "near-copy-labels")
+    dropped(prints)
+    return out
 
 
 def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -363,10 +473,11 @@ def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     21 keys of 3 minima of the shingle set. What an edit is does not matter, only
     the similarity j: a pair shares no key with a chance of (1 - j ** 3) ** 21,
     which is 3e-7 at 0.8 and 1e-12 at 0.9. Of the pairs under a key a loose limit
-    takes the unlike ones; what is linked then is verified by its shingles.
+    takes the unlike ones; what is linked then is verified by its shingles, in
+    parts of bounded size.
     """
     held, row = _numbered(docs.select("doc_id", "text"))
-    labelled = stored(_labelled(held, row, size), "near-copy-labels")
+    labelled = _labelled(held, row, size)
     roots = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(roots, "root").select("doc_id", "component_id")
 
@@ -380,7 +491,7 @@ def deduplicated(docs: DataFrame, size: int = 5) -> DataFrame:
     Texts without words are copies of each other. An empty table stays empty.
     """
     held, row = _numbered(docs)
-    labelled = stored(_labelled(held, row, size), "near-copy-labels")
+    labelled = _labelled(held, row, size)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "row")
     kept = labelled.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.row").alias("row"))
     gone = labelled.select("row").join(kept, "row", "left_anti")

@@ -1,6 +1,7 @@
 """The corpus pipeline: each stage on its own input, planted cases, and the whole against a plain version of its decisions."""
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from pagemill.llm import simhash
+from pagemill.llm import mixing, simhash
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -58,19 +59,53 @@ def test_deduplicated_edges(spark):
     assert simhash.deduplicated(spark.createDataFrame([], schema)).count() == 0
 
 
+def plain_clean(text):
+    """The quality stage on one text: what stays of it, or None."""
+    from pagemill.llm import quality
+
+    space, word = "\x20\x09-\x0D", r"[^\x20\x09-\x0D]+"
+    text = text or ""
+    words = re.findall(word, text)
+    grams = {}
+    for i in range(len(words) - 4):
+        grams.setdefault(tuple(words[i : i + 5]), []).append(i)
+    covered = {i + k for at in grams.values() if len(at) > 1 for i in at for k in range(5)}
+    letters = lambda x: sum(unicodedata.category(c)[0] in "LM" for c in x)
+    black = lambda x: len(re.sub(f"[{space}]+", "", x))
+    kept, gone = [], 0
+    for line in text.split("\n"):
+        bad = bool(re.search(word, line)) and (
+            any(re.search(p, line) for p in (quality.NAVIGATION, quality.PUNCTUATION, quality.BOILERPLATE))
+            or (not re.search(quality.ENDED, line) and len(re.findall(word, line)) <= 4)
+            or 3 * letters(line) < black(line)
+            or bool(re.search(quality.LINK, line) and 2 * black(re.sub(quality.LINK, "", line)) < black(line))
+        )
+        gone += black(line) if bad else 0
+        kept += [] if bad else [line]
+    if len(words) < 10 or 100 * len(covered) > 20 * len(words) or gone > 0.3 * sum(map(len, words)):
+        return None
+    return "\n".join(kept)
+
+
 def test_stages_and_run(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert [n for n, _ in C.STAGES] == ["quality rules", "near-dedup", "decontamination", "mixing", "token files"]
-    seen = []
+    seen, raw = [], {r.doc_id: r.text for r in docs.collect()}
     for _, stage in C.STAGES[:-1]:
         docs = C.stored(stage(spark, docs, DATA), "stage")
         assert docs.columns == COLUMNS
         seen.append({r.doc_id: (r.text, r.source) for r in docs.collect()})
     clean, unique, safe, mixed = seen
     assert set(mixed) <= set(safe) <= set(unique) <= set(clean)
-    # near-dedup: no two texts left that are equal, and of those dropped each has a like one that stayed or linked to one
-    texts = [t for t, _ in unique.values()]
-    assert len(texts) == len(set(texts))
+    # quality rules: as judged one by one
+    assert {i: t for i, (t, _) in clean.items()} == {i: x for i, t in raw.items() if (x := plain_clean(t)) is not None}
+    # near-dedup: the least doc_id of each group of all pairs at 0.8 or more
+    ids = sorted(clean)
+    groups = linked([shingles(clean[i][0]) for i in ids])
+    assert set(unique) == {ids[min(g)] for g in groups}
+    # mixing: copies as the operator's own figures say, which test_mixing holds against targets
+    copies = {r.doc_id: r.copies for r in mixing.mixed(spark.createDataFrame([(i, *x) for i, x in safe.items()], "doc_id long, text string, source string")).collect()}
+    assert {r.doc_id: r["count"] for r in docs.groupBy("doc_id").count().collect()} == {i: n for i, n in copies.items() if n}
     # decontamination: what went holds a benchmark item, what stayed none
     items = []
     for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
@@ -129,16 +164,20 @@ def test_search_finds_all_kinds_of_edits(edit, target):
 
 
 def linked(sets, at_least=0.8):
+    """Groups of all pairs at the similarity, by comparing all."""
     root = list(range(len(sets)))
     for i in range(len(sets)):
         for j in range(i):
-            if root[i] != root[j] and jaccard(sets[i], sets[j]) >= at_least:
+            alike = min(len(sets[i]), len(sets[j])) >= at_least * max(len(sets[i]), len(sets[j]))  # no pair of less even sizes is
+            if alike and root[i] != root[j] and jaccard(sets[i], sets[j]) >= at_least:
                 root = [root[j] if r == root[i] else r for r in root]
     return {frozenset(i for i in range(len(sets)) if root[i] == r) for r in root}
 
 
-def test_near_copies_are_exact(spark):
+@pytest.mark.parametrize("together", [512, 5])
+def test_near_copies_are_exact(spark, monkeypatch, together):
     """Groups are those of all pairs at an exact similarity of 0.8 or more; pairs just below stay apart."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
     rng = np.random.default_rng(12)
     texts = ["", "one", "one two three four five six", "one two three four five six seven"]
     for edit in ("appended", "cut", "replaced"):
@@ -152,12 +191,39 @@ def test_near_copies_are_exact(spark):
     assert {frozenset(x) for x in got.values()} == linked(sets)
 
 
+def test_large_parts(spark, monkeypatch):
+    """Parts of the search that don't fit a chunk: chains through many chunks, a large group, and groups that meet in one pair of texts only."""
+    monkeypatch.setattr(simhash, "TOGETHER", 6)
+    monkeypatch.setattr(simhash, "MOST_SEARCH", 252)
+    words = [f"w{i}" for i in range(4000)]
+    rng = np.random.default_rng(2)
+    chain = [" ".join(words[12 * i : 12 * i + 300]) for i in range(40)]  # each like the next few only
+    hot = []
+    for _ in range(60):
+        copy = words[2000:2300]
+        for at in rng.integers(0, 300, 3):
+            copy[at] = f"x{rng.integers(10**6)}"
+        hot.append(" ".join(copy))
+    other = [" ".join(words[2000 + 18 * i : 2300 + 18 * i]) for i in (5, 6, 7, 8)]  # like each other; too far from the hot text
+    bridge = [" ".join(words[2000 + 18 * i : 2300 + 18 * i]) for i in (2,)]
+    texts = chain + hot + other + bridge
+    sets = [shingles(t) for t in texts]
+    got = {}
+    for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect():
+        got.setdefault(r.component_id, set()).add(r.doc_id)
+    want = linked(sets)
+    assert {frozenset(x) for x in got.values()} == want and max(map(len, want)) >= 40
+
+
 def test_alike_links_through_others():
     """A chain of sets, each like the next only, is one group, and what is like none is its own."""
     whole = np.arange(1000, dtype=np.uint64)
     sets = [whole[a : a + 400] for a in (0, 40, 80, 120, 500)]
     assert simhash.alike(sets).tolist() == [0, 0, 0, 0, 4]
     assert simhash.alike([sets[0]]).tolist() == [0]
+    assert simhash.alike(sets, np.array([7, 8, 9, 10, 8])).tolist() == [0, 0, 0, 0, 0]
+    apart = [whole[a : a + 100] for a in (0, 200, 400, 600)]
+    assert simhash.alike(apart, np.array([3, 4, 3, 5])).tolist() == [0, 1, 0, 3]
 
 
 def test_deduplicated_rows(spark):
