@@ -1,22 +1,27 @@
 """WARC archives and their capture index.
 
 Pages become WARC 1.1 records: a response for one page of each payload, and
-revisit records, which carry no payload, for its other copies. Records are
-dealt to archives by page_id; Spark's text writer writes them, one record a
-row, gzipped, so tasks commit as Spark's own do on any file system. Archives
-hold a bounded number of records; offsets count unzipped bytes.
-
-Reading an archive gives a capture run, sorted by URL key, timestamp and record
-id. The index is an external merge of these runs: each range of URL keys gets
-the parts of all runs that fall into it, and a loser tree merges them.
+revisit records, which carry no payload, for its other copies. Each record is a
+gzip member of its own, so the offset in the index is where a reader can seek
+to and begin. Records go to archives where their rows are, without a shuffle;
+archives end at a bounded number of bytes. Spark's text writer writes them, so
+tasks commit as Spark's own do on any file system: a row holds many members less
+the last byte, which is 0 (the highest byte of the member's size), and the line
+separator is that byte.
+
+Reading an archive gives a capture run, sorted by URL key, timestamp and page_id.
+The index is an external merge of these runs: each range of keys gets the parts
+of all runs that fall into it, in the order they have there, and a loser tree
+merges them.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from typing import Any
@@ -28,9 +33,14 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import new_path, small, stored, text_of
 
-#: Records in one archive.
-ARCHIVE_RECORDS = 2000
+#: A row for the writer ends with the record that brings it to so many compressed bytes; an archive holds so many rows.
+SEGMENT_BYTES, ARCHIVE_SEGMENTS = 8 << 20, 8
+#: A gzip member holds so many bytes of a record at most; a longer record is several members in a row.
+MEMBER_BYTES = 8 << 20
+#: Captures in one range of the merge, about.
+RANGE_CAPTURES = 250_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The date of captures that have none.
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -52,16 +62,18 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + path
 
 
-def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest and refers_to (null for responses).
+def decided(pages: DataFrame, least_bytes: int = 0, captured: str | None = None) -> DataFrame:
+    """page_id, url, date, payload, payload_bytes, payload_digest and refers_to (null for responses).
 
     Of equal payloads with at least least_bytes bytes the row with the largest
     page_id is the response, by which the rest is revisited; smaller payloads
     are responses all. Rows with a null page_id never have one refer to them
-    unless all copies have none.
+    unless all copies have none. The payload of a revisit is null: what repeats
+    doesn't travel further than to where it is found out.
     """
     payload = text_of("html").cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("payload_digest"))
+    date = F.lit(_DATE) if captured is None else F.coalesce(F.date_format(F.col(captured).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(_DATE))
+    rows = pages.select("page_id", "url", date.alias("date"), payload.alias("payload"), base32_sha1(payload).alias("payload_digest"))
     narrow = rows.select("page_id", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
     # counted before the join: only payloads with copies come into it, and the side that repeats a digest can be split
     last = narrow.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
@@ -69,15 +81,15 @@ def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = rows.join(small(stored(last, "copies")), "payload_digest", "left")
     refers = F.when(F.col("_last").isNotNull() & ~F.col("_last").eqNullSafe(F.col("page_id")), F.col("_last"))
     return rows.select(
-        "page_id", "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest",
-        refers.alias("refers_to"),
+        "page_id", "url", "date", F.when(refers.isNull(), F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        "payload_digest", refers.alias("refers_to"),
     )
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = _DATE) -> bytes:
-    """One WARC record, with the two line ends behind it."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    body = http + payload if refers_to is None else http
+def record(page_id: int | None, url: str | None, date: str, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One WARC record, with the two line ends behind it. size is the payload's, which a revisit doesn't carry."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+    body = http + (payload or b"") if refers_to is None else http
     clean = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
@@ -89,36 +101,80 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, body) of an archive's records; raises on damage."""
-    at = 0
-    while at < len(raw):
-        end = raw.find(b"\r\n\r\n", at)
-        lines = raw[at:end].decode().split("\r\n")
+def member(raw: bytes) -> bytes:
+    """A record as a gzip member, or several if it is long; the last byte is 0."""
+    parts = []
+    for at in range(0, len(raw), MEMBER_BYTES):
+        squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+        parts.append(squeeze.compress(raw[at : at + MEMBER_BYTES]) + squeeze.flush())
+    return b"".join(parts)
+
+
+def members(raw: bytes | memoryview, at: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of a gzip file's members from an offset on; raises on damage."""
+    view = memoryview(raw)
+    while at < len(view):
+        expand, start, parts = zlib.decompressobj(31), at, []
+        while not expand.eof:
+            if at >= len(view):
+                raise ValueError(f"cut off member at byte {start}")
+            some = view[at : at + (1 << 14)]
+            try:
+                parts.append(expand.decompress(some))
+            except zlib.error as e:
+                raise ValueError(f"damaged member at byte {start}") from e
+            at += len(some) - len(expand.unused_data)
+        yield start, b"".join(parts)
+
+
+def records(raw: bytes | memoryview, at: int = 0) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers, body) of a gzipped archive's records from an offset on; raises on damage."""
+    found = members(raw, at)
+    for offset, data in found:
+        end = data.find(b"\r\n\r\n")
+        lines = data[:end].decode().split("\r\n")
         if end < 0 or not lines[0].startswith("WARC/1."):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record at byte {offset}")
         head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(head["content-length"])
-        body = raw[end + 4 : end + 4 + size]
-        if len(body) != size or raw[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"damaged record at byte {at}")
-        yield at, head, body
-        at = end + 8 + size
+        size = end + 4 + int(head["content-length"]) + 4
+        more = [data]
+        held = len(data)
+        while held < size:
+            more.append(next(found, (0, b""))[1])
+            if not more[-1]:
+                raise ValueError(f"cut off record at byte {offset}")
+            held += len(more[-1])
+        data = b"".join(more)
+        if len(data) != size or data[-4:] != b"\r\n\r\n":
+            raise ValueError(f"damaged record at byte {offset}")
+        yield offset, head, data[end + 4 : -4]
+
+
+def write(pages: DataFrame, path: str, least_bytes: int = 0, captured: str | None = None) -> None:
+    """Write archives of all pages under path; captured names the column with the time of capture."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write archives of all pages under path."""
+        def row() -> pa.RecordBatch:
+            raw = b"".join(held)[:-1]  # the writer ends each row with its last byte, 0
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["raw"])
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
         for batch in batches:
-            rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
-            # the writer ends each row with a newline, the record's last byte
-            yield pa.RecordBatch.from_arrays([pa.array([record(*r)[:-1] for r in rows], pa.binary())], ["raw"])
-
-    rows = decided(pages, least_bytes).select("page_id", "url", "payload", "payload_digest", "refers_to")
-    rows = rows.repartition("page_id")  # archives of even size, though a payload may be a third of all
+            for values in zip(*batch.columns, strict=True):
+                held.append(member(record(*[v.as_py() for v in values])))
+                size += len(held[-1])
+                if size >= SEGMENT_BYTES:
+                    yield row()
+                    size = 0
+        if held:
+            yield row()
+
+    rows = decided(pages, least_bytes, captured).select("page_id", "url", "date", "payload", "payload_bytes", "payload_digest", "refers_to")
     raw = rows.mapInArrow(each, "raw binary").select(F.col("raw").cast("string").alias("value"))
-    raw.write.option("lineSep", "\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "gzip").text(path)
+    raw.write.option("lineSep", "\x00").option("maxRecordsPerFile", ARCHIVE_SEGMENTS).text(path)
 
 
 def _page(text: str) -> int | None:
@@ -137,7 +193,7 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out = []
-                for at, head, body in records(gzip.decompress(raw.as_py())):
+                for at, head, body in records(raw.as_buffer()):
                     http, _, payload = body.partition(b"\r\n\r\n")
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     plain = head["warc-type"] == "response"
@@ -204,51 +260,56 @@ class LoserTree:
             self.losers[0] = winner
 
 
+def ascending(rows: Iterator[tuple], key=lambda x: x) -> list[list[tuple]]:
+    """rows cut into runs where one comes before the row ahead of it."""
+    out: list[list[tuple]] = []
+    last = None
+    for row in rows:
+        own = key(row)
+        if last is None or own < last:
+            out.append([])
+        out[-1].append(row)
+        last = own
+    return out
+
+
 def merged(captures: DataFrame) -> DataFrame:
     """The captures in global order: a range of URL keys in each partition, merged from the runs by a loser tree.
 
-    A range gets each run's captures in the run's order. Captures of one URL
-    key may fill several ranges, as timestamps and page_ids divide them too; no
-    key has to fit one task. How many captures a range has is left to Spark's
-    sampling; they are held in memory as columns of one partition, not more.
+    A range gets each run's captures in the run's order, run by run: what the
+    shuffle brings is cut where the order breaks, and those ascending parts are
+    merged without sorting. Captures of one URL key may fill several ranges, as
+    timestamps and page_ids divide them too; no key has to fit one task. There
+    are so many ranges that each holds about RANGE_CAPTURES captures, which is
+    what a task keeps in memory.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = list(batches)
-        if not table:
-            return
-        names = table[0].schema.names
-        by_run: dict[str, list[tuple]] = {}
-        for batch in table:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                by_run.setdefault(row[0], []).append(row)
-        for run in by_run.values():
-            run.sort(key=_order)  # already so but for the shuffle's blocks of one run; sorting sorted parts is linear
-        out: list[tuple] = []
-        for row in LoserTree([iter(by_run[a]) for a in sorted(by_run)], _order):
-            out.append(row)
-            if len(out) == 4096:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=_ARROW)
-                out = []
-        if out:
+        names = [c.split()[0] for c in _CAPTURE.split(", ")]
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        tree = iter(LoserTree([iter(run) for run in ascending(rows, _order)], _order))
+        while out := list(itertools.islice(tree, 4096)):
             yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=_ARROW)
 
-    ranged = captures.repartitionByRange("url_key", "timestamp", "page_id", "archive", "offset")
+    ranges = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE_CAPTURES))
+    ranged = captures.repartitionByRange(ranges, "url_key", "timestamp", "page_id", "archive", "offset")
     return ranged.mapInArrow(each, _CAPTURE)
 
 
-def written_and_indexed(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def written_and_indexed(pages: DataFrame, least_bytes: int = 0, captured: str | None = None) -> DataFrame:
     """Write pages to new archives in the shared folder, read them back and merge the captures.
 
     One row for each row of pages, in the order of URL key, timestamp and
     page_id. payload_bytes and payload_digest are the full payload's, also for
-    revisits; a null html is an empty payload, a null url an empty one. Rows
-    equal in page_id and payload are responses both. Columns other than
-    page_id, url and html are not read. An empty table gives an empty index.
+    revisits; a null html is an empty payload, a null url an empty one, a null
+    time of capture the date of pages without. Rows equal in page_id and payload
+    are responses both. A page of any length is one record, and a task holds one
+    archive's bytes. Columns other than page_id, url, html and captured are not
+    read. An empty table gives an empty index.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write(pages, path, least_bytes)
+    write(pages, path, least_bytes, captured)
     return merged(stored(runs(spark, path), "captures"))
 
 

@@ -1,6 +1,8 @@
 """WARC archives: round trip, revisits, the loser tree and the order of the index."""
 
 import base64
+import glob
+import gzip
 import hashlib
 
 import numpy as np
@@ -40,9 +42,12 @@ def pages():
     return rows + [(100 + i, f"http://h{i % 5}.com/{i}", "hot" if i % 3 == 0 else f"page {i}") for i in range(90)]
 
 
-@pytest.mark.parametrize("least", [0, 4])
-def test_round_trip(spark, monkeypatch, least):
-    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 7)
+@pytest.mark.parametrize(("least", "rows_for_broadcast"), [(0, 200_000), (4, 200_000), (0, 0)])
+def test_round_trip(spark, monkeypatch, least, rows_for_broadcast):
+    monkeypatch.setattr("pagemill.storage.BROADCAST_ROWS", rows_for_broadcast)
+    monkeypatch.setattr(warc, "SEGMENT_BYTES", 700)
+    monkeypatch.setattr(warc, "ARCHIVE_SEGMENTS", 2)
+    monkeypatch.setattr(warc, "RANGE_CAPTURES", 10)
     rows = pages()
     got = warc.written_and_indexed(spark.createDataFrame(rows, SCHEMA), least)
     out = got.collect()
@@ -61,11 +66,65 @@ def test_round_trip(spark, monkeypatch, least):
     assert warc.histories(got).agg(F.sum("captures")).first()[0] == len(rows)
 
 
-def test_damage():
-    raw = warc.record(1, "http://a", b"abc", "X", None)
-    assert [h["warc-type"] for _, h, _ in warc.records(raw + raw)] == ["response", "response"]
-    with pytest.raises(ValueError):
-        list(warc.records(raw[:-3]))
+def made(page_id, payload, refers_to=None):
+    return warc.record(page_id, "http://a", "2024-01-01T00:00:00Z", payload, len(payload), "X", refers_to)
+
+
+def test_members_seek_and_damage(monkeypatch):
+    """Archives are plain gzip, each offset is where a reader can begin, a long record is several members, and damage is found."""
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 4096)
+    rng = np.random.default_rng(0)
+    raw = [made(1, b"abc"), made(2, rng.bytes(300_000)), made(3, b"", 1), made(4, b"x" * 50_000)]
+    packed = [warc.member(r) for r in raw]
+    assert all(m[-1] == 0 for m in packed)
+    whole = b"".join(packed)
+    assert gzip.decompress(whole) == b"".join(raw)
+    found = list(warc.records(whole))
+    assert [h["warc-type"] for _, h, _ in found] == ["response", "response", "revisit", "response"]
+    assert [at for at, _, _ in found] == np.cumsum([0, *map(len, packed)])[:-1].tolist()
+    for i, (at, head, body) in enumerate(found):
+        assert next(warc.records(whole, at)) == (at, head, body)
+        assert body == raw[i].partition(b"\r\n\r\n")[2][:-4]
+    for bad in (whole[:-3], whole[:-1], whole[: len(packed[0]) + 5000], whole[:40] + b"?" + whole[41:], whole[5:], warc.member(raw[0][:-3])):
+        with pytest.raises(ValueError):
+            list(warc.records(bad))
+
+
+def test_archives_are_bounded_in_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "SEGMENT_BYTES", 20_000)
+    monkeypatch.setattr(warc, "ARCHIVE_SEGMENTS", 2)
+    rng = np.random.default_rng(1)
+    rows = [(i, f"http://a/{i}", rng.bytes(3000).hex()) for i in range(200)] + [(999, "http://a/long", rng.bytes(400_000).hex())]
+    path = str(tmp_path / "archives")
+    warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+    sizes = sorted(len(open(f, "rb").read()) for f in glob.glob(f"{path}/part-*"))
+    assert len(sizes) > 10 and sizes[-2] < 2 * 23_500 and sizes[-1] > 400_000
+    assert sum(len(list(warc.records(open(f, "rb").read()))) for f in glob.glob(f"{path}/part-*")) == len(rows)
+
+
+def test_captures_of_one_url_in_order_of_time(spark, monkeypatch):
+    """Timestamps order the captures of a URL, whatever the page_ids and archives; a null time is the default date."""
+    monkeypatch.setattr(warc, "SEGMENT_BYTES", 500)
+    monkeypatch.setattr(warc, "ARCHIVE_SEGMENTS", 1)
+    times = ["2024-03-01 00:00:00", "2023-05-06 07:08:09", None, "2025-01-01 00:00:00"]
+    rows = [(i, f"http://h.com/{i % 3}", f"v{i}", times[i % 4]) for i in range(40)]
+    got = warc.written_and_indexed(spark.createDataFrame(rows, SCHEMA + ", at string").repartition(4), captured="at").collect()
+    stamp = {i: (t or "2024-01-01 00:00:00").translate(str.maketrans("", "", "- :")) for i, _, _, t in rows}
+    assert {r.page_id: r.timestamp for r in got} == stamp
+    want = sorted((f"com,h)/{i % 3}", stamp[i], i) for i in stamp)
+    assert [(r.url_key, r.timestamp, r.page_id) for r in got] == want
+
+
+def test_ascending():
+    assert warc.ascending(iter([])) == []
+    assert warc.ascending(iter([1, 2, 2, 1, 5, 0])) == [[1, 2, 2], [1, 5], [0]]
+
+
+def test_very_long_payload(spark):
+    html = "é<p>" * 4_000_000  # 20 MB: several members
+    r = warc.written_and_indexed(spark.createDataFrame([(1, "http://a", html), (2, "http://b", "x")], SCHEMA)).where("page_id = 1").first()
+    raw = html.encode()
+    assert (r.payload_bytes, r.payload_digest, r.digest_ok) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), True)
 
 
 def test_empty_and_repeated(spark):
