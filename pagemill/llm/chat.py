@@ -12,8 +12,8 @@ only the turns that the one before didn't have. The walk needs one path at a
 time, so a first turn that a third of all conversations have fits any number of
 tasks.
 
-A packed sequence holds a bounded number of characters (here the tokens), each
-node of the tree once:
+A packed sequence holds each node of the tree once, in characters; tokenized()
+gives the same in the ids of a tokenizer:
 
 - text;
 - nodes: start, end, position (the position id of the first character; it
@@ -22,8 +22,9 @@ node of the tree once:
 - loss: intervals under the loss mask, the assistants' texts;
 - members: conv_id and the node of its last turn.
 
-A new sequence emits the path of its first conversation anew. A conversation
-longer than the bound has a sequence of its own.
+A new sequence emits the path of its first conversation anew. What bounds a
+sequence are the characters beyond that path, so a first turn of any length is
+still shared by as many conversations as a short one.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import stored
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: A sequence is closed after so many characters or conversations.
-SEQUENCE_CHARS, SEQUENCE_MEMBERS = 1 << 16, 1 << 12
+#: A sequence is closed after so many characters beyond its first conversation, or conversations.
+SEQUENCE_CHARS, SEQUENCE_MEMBERS = 1 << 16, 1 << 14
 LOSS_ROLE = "assistant"
 PACKED = (
     "text string, nodes array<struct<start:long,end:long,position:long,sees:array<struct<a:long,b:long>>>>, "
@@ -88,7 +89,7 @@ class Packer:
 
     def __init__(self) -> None:
         self.parts: list[str] = []
-        self.size = 0
+        self.size, self.first = 0, 0
         self.nodes: list[dict] = []
         self.loss: list[dict] = []
         self.members: list[dict] = []
@@ -116,10 +117,11 @@ class Packer:
             self.parts.append(chars)
             self.size += len(chars)
             self.path.append((turn, len(self.nodes) - 1))
+        self.first = self.first if self.members else self.size
         self.members.append({"conv_id": conv_id, "leaf": self.path[-1][1] if self.path else -1})
 
     def full(self) -> bool:
-        return self.size >= SEQUENCE_CHARS or len(self.members) >= SEQUENCE_MEMBERS
+        return self.size - self.first >= SEQUENCE_CHARS or len(self.members) >= SEQUENCE_MEMBERS
 
     def row(self) -> dict:
         return {"text": "".join(self.parts), "nodes": self.nodes, "loss": self.loss, "members": self.members}
@@ -160,8 +162,9 @@ def packed(turns: DataFrame) -> DataFrame:
 
     Rows of one conv_id are put in order of turn, then role, then text, nulls
     first; a null role or text is an empty one. Rows with a null conv_id are one
-    conversation. Repeated rows are turns of their own. An empty table gives no
-    sequences. Other columns are not read.
+    conversation. Repeated rows are turns of their own. Equal conversations share
+    all their nodes. Texts of any length are whole; a conversation is one row's
+    work. An empty table gives no sequences. Other columns are not read.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +183,58 @@ def packed(turns: DataFrame) -> DataFrame:
     return ordered.select("conv_id", "turns").mapInArrow(each, PACKED)
 
 
+TOKENS = PACKED.replace("text string", "ids array<int>")
+_TOKEN_ARROW = pa.schema([("ids", pa.list_(pa.int32())), *[f for f in _ARROW if f.name != "text"]])
+
+
+def in_tokens(row, encode) -> dict:
+    """A packed sequence in token ids: ids, nodes with start, end, position and sees, loss intervals, members.
+
+    encode gives the ids of each text of a list. A turn's head, text and end are
+    encoded one by one, so the loss mask falls on borders of tokens and a node's
+    ids don't depend on its neighbours.
+    """
+    parts = []
+    for node in row["nodes"]:
+        chars = row["text"][node["start"] : node["end"]]
+        head = chars.index("\n") + 1
+        parts += [chars[:head], chars[head : -len(END)], END]
+    found = encode(parts)
+    sizes = np.array([len(x) for x in found], dtype=np.int64).reshape(-1, 3)
+    ends = sizes.sum(axis=1).cumsum()
+    starts = ends - sizes.sum(axis=1)
+    begin = {n["start"]: i for i, n in enumerate(row["nodes"])}
+    finish = {n["end"]: i for i, n in enumerate(row["nodes"])}
+    nodes = []
+    for i, node in enumerate(row["nodes"]):
+        sees = [{"a": int(starts[begin[x["a"]]]), "b": int(ends[finish[x["b"]]])} for x in node["sees"]]
+        nodes.append({"start": int(starts[i]), "end": int(ends[i]), "position": sum(x["b"] - x["a"] for x in sees), "sees": sees})
+    of = {n["start"]: i for i, n in enumerate(row["nodes"])}
+    places = sorted(of)
+    loss = []
+    for x in row["loss"]:
+        i = of[places[bisect_left(places, x["a"] + 1) - 1]]
+        if sizes[i, 1]:
+            loss.append({"a": int(starts[i] + sizes[i, 0]), "b": int(starts[i] + sizes[i, 0] + sizes[i, 1])})
+    return {"ids": [t for x in found for t in x], "nodes": nodes, "loss": loss, "members": row["members"]}
+
+
+def tokenized(sequences: DataFrame, tokenizer: str) -> DataFrame:
+    """Packed sequences in the ids of a tokenizer's vocabulary file: shared turns' ids once, with position ids, attention and loss intervals."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(tokenizer)
+        encode = lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
+                yield pa.RecordBatch.from_pylist([in_tokens(row, encode)], schema=_TOKEN_ARROW)
+
+    return sequences.mapInArrow(each, TOKENS)
+
+
 def written(turns: DataFrame) -> DataFrame:
     """The packed sequences, written to the shared folder and read back."""
     return stored(packed(turns), "packed")
