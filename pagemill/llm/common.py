@@ -62,17 +62,20 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def sampled(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
+def sampled(rows: DataFrame, most: int, by: str | None = None, ids: DataFrame | None = None) -> DataFrame:
     """Of rows(doc_id, text, by): one row for each of at most so many different ids of each group, with turn, a hash of the id, that decides which.
 
     Ids are counted, not rows, so an id that repeats takes one place only, with
     the text of the least hash. A first filter by the hash keeps, of a group with
     n ids (an estimate, by HyperLogLog), about 4 * most + 200; it can't leave fewer
     than most but by a chance below 1e-100. So a group with a third of all rows is
-    no more work for a task than a small one. Null ids are not in the sample.
+    no more work for a task than a small one. Null ids are not in the sample. ids
+    (doc_id, by), if given, are the ones to choose from; texts are read when the
+    choice is made.
     """
     keys = [by] if by else []
-    known = rows.where("doc_id is not null").withColumn("turn", F.xxhash64(F.lit("sample"), "doc_id"))
+    turn = F.xxhash64(F.lit("sample"), "doc_id")
+    known = (rows if ids is None else ids).select("doc_id", *keys).where("doc_id is not null").withColumn("turn", turn)
     n = known.groupBy(*keys).agg(F.approx_count_distinct("doc_id", 0.03).alias("_n"))
     even = (F.col("turn") / F.lit(2.0**63) + 1) / 2
     share = F.lit(4.0 * most + 200) / F.greatest(F.col("_n"), F.lit(1))
@@ -84,9 +87,9 @@ def sampled(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
         few = few.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
     else:
         few = few.orderBy("turn", "doc_id").limit(most)
-    few = small(stored(few, "sample-ids")).drop("turn")
+    few = small(stored(few, "sample-ids"))
     text = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("_t")
-    return known.join(few, ["doc_id", *keys], "left_semi").groupBy("doc_id", "turn", *keys).agg(text).select("doc_id", "turn", *keys, "_t.text")
+    return rows.join(few, ["doc_id", *keys]).groupBy("doc_id", "turn", *keys).agg(text).select("doc_id", "turn", *keys, "_t.text")
 
 
 def free_name(df: DataFrame, name: str) -> str:

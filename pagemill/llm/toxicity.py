@@ -206,8 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     own = docs.select("doc_id", text_of().alias("text"))
-    toxic = own.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    return train(_featured(sampled(toxic, positives)), _featured(sampled(own, unlabelled)), prior)
+    toxic = own.select("doc_id").join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return train(_featured(sampled(own, positives, ids=toxic)), _featured(sampled(own, unlabelled)), prior)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

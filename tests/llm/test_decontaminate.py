@@ -64,3 +64,15 @@ def test_empty_and_extra_columns(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, one).collect()] == [(None, 7)]
     assert decontaminate.decontaminated(d, one).count() == 0
     assert decontaminate.decontaminated(d, none).columns == d.columns
+
+
+def test_very_long_ties_and_names(spark):
+    """An item at the end of a megabyte, repeated items and documents, and columns with dots."""
+    item = "one two three four five six seven"
+    docs = [(1, "word " * 200_000 + item, 1), (2, "x" * 1_000_000, 2), (3, item, 3), (3, item, 4), (4, "one two three four five six", 5)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, `a.b` int")
+    b = spark.createDataFrame([(7, item), (7, item), (8, item)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.item_shingles, r.matched_shingles) for r in decontaminate.contaminated(d, b).collect())
+    assert got == [(i, j, 3, 3) for i in (1, 3) for j in (7, 8)]
+    kept = decontaminate.decontaminated(d, b)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4]

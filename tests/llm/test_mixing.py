@@ -94,3 +94,15 @@ def test_edges(spark):
     one = spark.createDataFrame([(None, None, None, "x", 1), (None, None, None, "x", 1)], schema)
     assert [(r["size"], r.taken) for r in mixing.mixed(one).collect()] == [(0, 0)] * 2
     assert mixing.mixed_documents(one).columns == one.columns
+
+
+def test_names_ties_and_very_long_texts(spark):
+    """Columns with dots, sources that differ in case only, equal rows, and a text of a million words."""
+    schema = "doc_id long, text string, source string, `a.b` int, _row int, _copies int"
+    rows = [(i, "a b c", "S" if i % 2 else "s", i, 1, 2) for i in range(30)] + [(99, "w " * 1_000_000, "s", 0, 1, 2)] + [(7, "a b c", "S", 7, 1, 2)] * 3
+    docs = spark.createDataFrame(rows, schema)
+    got = mixing.mixed(docs).collect()
+    sizes = {"S": 3 * 18, "s": 3 * 15 + 1_000_000}
+    assert {r.source: (r.source_size, round(r.target, 6)) for r in got} == {s: (sizes[s], round(t, 6)) for s, t in plain_targets(sizes).items()}
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)

@@ -50,7 +50,7 @@ def test_limited_movement(spark):
     docs = docs_of(spark, 3000)
     a = {r.doc_id: r.shard for r in sharding.assigned(docs, 8).collect()}
     b = {r.doc_id: r.shard for r in sharding.assigned(docs, 9).collect()}
-    assert sum(a[i] != b[i] for i in a) < 0.35 * len(a)
+    assert sum(a[i] != b[i] for i in a) < 0.16 * len(a)  # a ninth must move; the rest is what fills up arcs anew
     a = {r.doc_id: r.shard for r in sharding.keyed(docs, 8).collect()}
     b = {r.doc_id: r.shard for r in sharding.keyed(docs, 9).collect()}
     assert {b[i] for i in a if a[i] != b[i]} == {8}
@@ -64,3 +64,13 @@ def test_repeats_and_nulls(spark):
     assert sharding.keyed(docs, 2).columns == ["doc_id", "text", "shard", "shard_"]
     with pytest.raises(ValueError):
         sharding.assigned(docs, 0)
+
+
+def test_very_long_texts_and_one_hot_id(spark):
+    rows = [(1, "é" * 2_000_000), (2, "")] + [(7, "same")] * 3000 + [(7, f"t{i}") for i in range(500)]
+    got = sharding.assigned(spark.createDataFrame(rows, SCHEMA), 8).collect()
+    assert len(got) == len(rows) and {r.doc_id: r["size"] for r in got if r.doc_id < 7} == {1: 4_000_001, 2: 1}
+    counts = Counter(r.shard for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    for s in counts:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))

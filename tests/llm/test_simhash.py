@@ -107,3 +107,27 @@ def test_sign_bit(spark):
             root[a] = root[b] = min(root[a], root[b])
     same = lambda label, of: {frozenset(of(i) for i in label if label[i] == c) for c in label.values()}
     assert same(root, lambda p: p) == same(want, lambda i: prints[i])
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in rng.integers(0, 50_000, 300_000)]
+    near = list(words)
+    near[150_000] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "x" * 2_000_000), (4, "word " * 500_000)]
+    got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.components_by_distance(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: fp for i, (fp, _) in got.items()} == {i: plain_fingerprint(t) for i, t in rows[2:]} | {i: got[i][0] for i in (1, 2)}
+    assert [got[i][1] for i in (1, 2, 3, 4)] == [1, 1, 3, 4]
+
+
+def test_long_runs_grow_like_short_ones(monkeypatch):
+    """Chains, hot sets and single rows: both ways of linking a run give the same labels."""
+    rng = np.random.default_rng(5)
+    places = np.concatenate([np.arange(0, 300, 2), rng.integers(400, 420, 200), 1000 + 50 * np.arange(60)])
+    starts = np.array([0, 130, 150, len(places)])
+    close = lambda i, j: np.abs(places[i] - places[j]) <= 3
+    want = simhash._links(starts, close)
+    monkeypatch.setattr(simhash, "SHORT_RUN", 10**6)
+    assert simhash._links(starts, close).tolist() == want.tolist()
+    whole = simhash._grown(np.arange(150, len(places)), close, room=64)
+    assert whole.tolist() == want[150:].tolist()
