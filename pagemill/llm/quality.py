@@ -22,14 +22,14 @@ NAVIGATION = r"([|»›•·].*){3}|(\s>\s.*){2}"
 PUNCTUATION = r"([#*$%&]{2}.*){3}|([!?]{2}.*){3}"
 #: A line's end: a mark that ends a sentence, and closing quotes or brackets.
 ENDED = r"[.!?…:;,][\"'”’»)\]]*[\x20\x09-\x0D]*$"
-#: Legal and site text that says nothing about the page, in the languages that pages are mostly written in.
+#: Legal and site text that says nothing about the page, in the languages that pages are mostly written in. All phrases begin at one word border.
 BOILERPLATE = (
-    r"(?i)\b(all rights reserved|tous droits réservés|alle rechte vorbehalten|todos los derechos reservados|tutti i diritti riservati)\b"
-    r"|\bcopyright (©|\(c\)|\d{4})|[©®]\s*\d{4}|\b(licen[cs]ed under|sous licence|lizenziert unter|bajo la licencia)\b"
-    r"|\b(terms of (use|service)|conditions générales|nutzungsbedingungen|allgemeine geschäftsbedingungen|términos de uso)\b"
-    r"|\b(privacy policy|politique de confidentialité|datenschutzerklärung|política de privacidad)\b"
-    r"|\bcookie (policy|settings|preferences)\b|\b(enable|requires|activer|aktivieren|activar) javascript\b|\blorem ipsum\b"
-    r"|\bsubscribe to our\b|\bclick here\b|\bpowered by\b|\bspdx-license-identifier\b"
+    r"(?i)\b(?:(?:all rights reserved|tous droits réservés|alle rechte vorbehalten|todos los derechos reservados|tutti i diritti riservati"
+    r"|licen[cs]ed under|sous licence|lizenziert unter|bajo la licencia"
+    r"|terms of (?:use|service)|conditions générales|nutzungsbedingungen|allgemeine geschäftsbedingungen|términos de uso"
+    r"|privacy policy|politique de confidentialité|datenschutzerklärung|política de privacidad"
+    r"|cookie (?:policy|settings|preferences)|(?:enable|requires|activer|aktivieren|activar) javascript"
+    r"|lorem ipsum|subscribe to our|click here|powered by|spdx-license-identifier)\b|copyright (?:©|\(c\)|\d{4}))|[©®]\s*\d{4}"
 )
 #: A link.
 LINK = r"(https?://|www\.)[^\x20\x09-\x0D]+"
@@ -55,13 +55,13 @@ def _repeated_words(words: Column, window: int) -> Column:
     comparison of two sizes.
     """
     n = F.size(words) - window + 1
-    parts = [F.slice(words, i + 1, F.greatest(n, F.lit(0))).alias(f"w{i}") for i in range(window)]
-    hashes = F.transform(F.arrays_zip(*parts), lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(window)]))
+    places = F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
+    hashes = F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
 
     def counted(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
-        def places(s: Column) -> Column:
+        def repeated(s: Column) -> Column:
             same = F.filter(
                 s,
                 lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)),
@@ -72,7 +72,7 @@ def _repeated_words(words: Column, window: int) -> Column:
             each = F.transform(p, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(p, i + 1) - x, F.lit(window))))
             return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
-        return _let(pairs, lambda s: _let(places(s), covered))
+        return _let(pairs, lambda s: _let(repeated(s), covered))
 
     value = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), counted(h)).otherwise(0))
     return F.when(n > 1, value).otherwise(0).cast("long")
