@@ -45,7 +45,7 @@ BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Blocks in one file.
 FILE_BLOCKS = 16
 #: Pieces in a generation of those that a worker remembers; it keeps two.
-REMEMBERED = 360_000
+REMEMBERED = 300_000
 _LENGTHS = (1 + ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3)).astype(np.uint8)  # of the four ids of each control byte
 _PLACES = np.arange(4, dtype=np.uint8)
 
@@ -303,6 +303,7 @@ def write(tokens: DataFrame, path: str) -> None:
     shared = spark.sparkContext.broadcast(table)  # 4 bytes for each id of the vocabulary
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker that encoded before needs the room now
         ids: list[int | None] = []
         counts: list[int] = []
         parts: list[np.ndarray] = []
@@ -344,6 +345,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(back)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 at = 0
@@ -372,8 +374,9 @@ def encoded_and_read(docs: DataFrame, tokenizer: str, end: int | None = 1) -> Da
     """Write all documents' ids to new files in the shared folder and read them back.
 
     Null texts have only the end id. Documents with a null doc_id come first.
-    Repeated doc_ids are documents of their own, ordered by their ids. An empty
-    table gives an empty table. Columns other than doc_id and text are not read.
+    Repeated doc_ids are documents of their own, ordered by their ids. A text of
+    any length is one document of one block. An empty table gives an empty table.
+    Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
     path = new_path(spark, "token-files")

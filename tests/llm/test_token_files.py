@@ -90,3 +90,20 @@ def test_ranks_by_frequency(spark):
     from tokenizers import Tokenizer
 
     assert rows[0] == Tokenizer.from_file(PATH).encode("the").ids[0] and rows[1] == 1
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """Megabytes of words, of one word and of marks: ids of the whole text, as the library gives them."""
+    from tokenizers import Tokenizer
+
+    from pagemill.llm.queries import tokenizer_path
+
+    own = Tokenizer.from_file(tokenizer_path())
+    texts = ["The end of a line, and more. " * 40_000, "x" * 200_000, "!?" * 100_000, "é " * 300_000, "long\n" * 3]
+    docs = spark.createDataFrame([(i, t, 1, "a") for i, t in enumerate(texts)], "doc_id long, text string, ids int, `n.x` string")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.encoded_and_read(docs, tokenizer_path(), 1).collect()}
+    at = 0
+    for i, t in enumerate(texts):
+        ids = np.array([*own.encode(t, add_special_tokens=False).ids, 1], dtype="<u4")
+        assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
