@@ -474,7 +474,7 @@ def agg_status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.status_counts(table(spark, sf_dir, "documents"), ["source"], "lang", ["en", "fr", "xx"])
 
 
-@query("SELECT l_suppkey, string_agg(f, '; ' ORDER BY o) AS flags FROM (SELECT l_suppkey, l_returnflag || l_linestatus AS f, min(l_orderkey * 10 + l_linenumber) AS o FROM lineitem GROUP BY ALL) GROUP BY l_suppkey")
+@query("SELECT l_suppkey, string_agg(f, '; ' ORDER BY o, f) AS flags FROM (SELECT l_suppkey, l_returnflag || l_linestatus AS f, min(l_orderkey * 10 + l_linenumber) AS o FROM lineitem GROUP BY ALL) GROUP BY l_suppkey")
 def agg_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("f"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
     return A.ordered_distinct(li, ["l_suppkey"], "f", "o", "flags")
