@@ -42,20 +42,58 @@ def triangular_band_join(df: DataFrame, key: str, at_least: float = 0.85, by: li
     return band_join(df, df, at_least, by, width, height).where(F.col(key + "_a") < F.col(key + "_b"))
 
 
+#: Pages are dealt to so many parts a side where each is paired with each.
+PARTS = 16
+
+
 def page_pairs(pages: DataFrame, page: str = "page", how: str = "all") -> DataFrame:
-    """Pairs (page_a, page_b, kind) of distinct pages in order: all within and cross pairs, cross only, or each page with the next."""
+    """Pairs (page_a, page_b, kind) of distinct pages in order: all within and cross pairs, cross only, or each page with the next.
+
+    Names are dealt to a grid of parts, so pairs meet by an equality of cells and no side is held whole.
+    """
     names = pages.select(F.col(page).alias("page_a")).distinct()
     if how == "next":
         after = F.lead("page_a").over(Window.orderBy("page_a"))  # one row for each page
         return names.withColumn("page_b", after).where("page_b is not null").withColumn("kind", F.lit("cross"))
-    pairs = names.join(names.withColumnRenamed("page_a", "page_b"), F.col("page_a") < F.col("page_b")).withColumn("kind", F.lit("cross"))
+    own, every = F.pmod(F.xxhash64("page_a"), F.lit(PARTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    left = names.select("page_a", own.alias("_i"), every.alias("_j"))
+    right = names.select(F.col("page_a").alias("page_b"), own.alias("_j"), every.alias("_i"))
+    pairs = left.join(right, ["_i", "_j"]).where("page_a < page_b").select("page_a", "page_b", F.lit("cross").alias("kind"))
     if how == "cross":
         return pairs
-    return pairs.unionByName(names.withColumn("page_b", F.col("page_a")).withColumn("kind", F.lit("within")))
+    return pairs.unionByName(names.select("page_a", F.col("page_a").alias("page_b"), F.lit("within").alias("kind")))
+
+
+def _sliced(df: DataFrame, lo: str, hi: str, size: float, out: str) -> DataFrame:
+    """A row for each slice of the given size that the interval reaches into."""
+    return df.withColumn(out, F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))))
+
 
+def meeting(a: DataFrame, b: DataFrame, by: list[str], spans: list[tuple[str, str, str, str]], size: float) -> DataFrame:
+    """Pairs of rows of a group whose intervals share a slice, each pair once; spans names (lo, hi) of a and (lo, hi) of b for each dimension.
+
+    Intervals are dealt to slices of a fixed size (boxes to cells), so rows meet
+    their neighbours only. A pair meets in several slices and is kept in the
+    first that both have. Empty intervals meet nothing.
+    """
+    keys = []
+    for n, (a0, a1, b0, b1) in enumerate(spans):
+        keys.append(f"_cell{n}")
+        a = _sliced(a.where(F.col(a0) < F.col(a1)), a0, a1, size, keys[n])
+        b = _sliced(b.where(F.col(b0) < F.col(b1)), b0, b1, size, keys[n])
+    pairs = a.join(b, [*by, *keys])
+    for key, (a0, _, b0, _) in zip(keys, spans, strict=True):
+        pairs = pairs.where(F.col(key) == F.floor(F.greatest(F.col(a0), F.col(b0)) / size))
+    return pairs.drop(*keys)
+
+
+def meeting_boxes(a: DataFrame, b: DataFrame, by: list[str], prefix: str, size: float) -> DataFrame:
+    """Pairs of boxes of a group that share a cell of a grid; b's corners have a prefix."""
+    return meeting(a, b, by, [("x0", "x1", prefix + "x0", prefix + "x1"), ("y0", "y1", prefix + "y0", prefix + "y1")], size)
 
-def spatial_links(words: DataFrame, boxes: DataFrame, by: list[str], least: float = 0.5, order: str = "ord") -> DataFrame:
-    """Each word with the boxes of its page that hold at least a share of its area; unmatched words stay.
+
+def spatial_links(words: DataFrame, boxes: DataFrame, by: list[str], least: float = 0.5, order: str = "ord", cell: float = 64) -> DataFrame:
+    """Each word with the boxes of its page that hold at least a share (above 0) of its area; unmatched words stay.
 
     boxes has symbol, relation, line and the order column besides its corners;
     all hits of a word are put together with "; " in that order.
@@ -64,7 +102,7 @@ def spatial_links(words: DataFrame, boxes: DataFrame, by: list[str], least: floa
     b = boxes.where(F.col("relation").isin("member", "borderline", "note"))
     b = b.select(*by, *[F.col(c).alias("b_" + c) for c in ("x0", "y0", "x1", "y1", "symbol", "relation", "line", order)])
     share = G.overlap_share(G.box(), G.box("b_"))
-    hits = rows.select("_word", *by, "x0", "y0", "x1", "y1").join(b, by).where(share >= least)
+    hits = meeting_boxes(rows.select("_word", *by, "x0", "y0", "x1", "y1"), b, by, "b_", cell).where(share >= least)
     text = lambda c: F.array_join(F.transform(F.col("_hits"), lambda h: h[c].cast("string")), "; ").alias(f"symbol_{c}" if c != "symbol" else c)
     hit = F.struct(F.col("b_" + order).alias("o"), *[F.coalesce(F.col("b_" + c).cast("string"), F.lit("")).alias(c) for c in ("symbol", "relation", "line")])
     joined = hits.groupBy("_word").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
@@ -72,17 +110,16 @@ def spatial_links(words: DataFrame, boxes: DataFrame, by: list[str], least: floa
     return rows.join(joined, "_word", "left").drop("_word")
 
 
-def span_overlaps(spans: DataFrame, by: list[str], key: str, least: float = 0.5) -> DataFrame:
-    """Pairs (key_a < key_b) of spans of one token whose x-intervals overlap by IoU."""
-    keep = [*by]
-    a = spans.select(*keep, F.col(key).alias(key + "_a"), F.col("x0").alias("_p"), F.col("x1").alias("_q"))
-    b = spans.select(*keep, F.col(key).alias(key + "_b"), F.col("x0").alias("_r"), F.col("x1").alias("_s"))
+def span_overlaps(spans: DataFrame, by: list[str], key: str, least: float = 0.5, size: float = 32) -> DataFrame:
+    """Pairs (key_a < key_b) of spans of one token whose x-intervals overlap by IoU of a share above 0."""
+    a = spans.select(*by, F.col(key).alias(key + "_a"), F.col("x0").alias("_p"), F.col("x1").alias("_q"))
+    b = spans.select(*by, F.col(key).alias(key + "_b"), F.col("x0").alias("_r"), F.col("x1").alias("_s"))
     share = G.x_iou(F.col("_p"), F.col("_q"), F.col("_r"), F.col("_s"))
-    pairs = a.join(b, by).where((F.col(key + "_a") < F.col(key + "_b")) & (share >= least))
+    pairs = meeting(a, b, by, [("_p", "_q", "_r", "_s")], size).where((F.col(key + "_a") < F.col(key + "_b")) & (share >= least))
     return pairs.select(*by, key + "_a", key + "_b", share.alias("iou"))
 
 
-def carried_over(old: DataFrame, new: DataFrame, least_iou: float = 0.5, least_share: float = 0.5) -> DataFrame:
+def carried_over(old: DataFrame, new: DataFrame, least_iou: float = 0.5, least_share: float = 0.5, cell: float = 64) -> DataFrame:
     """For each new cluster, the old one that covers the largest share of its boxes, if that is at least least_share.
 
     Both have cluster, page and corners. A box counts once for each old cluster
@@ -91,7 +128,7 @@ def carried_over(old: DataFrame, new: DataFrame, least_iou: float = 0.5, least_s
     n = new.withColumn("_item", F.monotonically_increasing_id()) if "item" not in new.columns else new.withColumn("_item", F.col("item"))
     sizes = new.groupBy(F.col("cluster").alias("new_cluster")).agg(F.count("*").alias("size"))
     o = old.select("page", F.col("cluster").alias("old_cluster"), *[F.col(c).alias("o_" + c) for c in ("x0", "y0", "x1", "y1")])
-    hits = n.select("_item", "page", F.col("cluster").alias("new_cluster"), "x0", "y0", "x1", "y1").join(o, "page")
+    hits = meeting_boxes(n.select("_item", "page", F.col("cluster").alias("new_cluster"), "x0", "y0", "x1", "y1"), o, ["page"], "o_", cell)
     hits = hits.where(G.iou(G.box(), G.box("o_")) >= least_iou).select("_item", "new_cluster", "old_cluster").distinct()
     counts = hits.groupBy("new_cluster", "old_cluster").agg(F.count("*").alias("n")).join(sizes, "new_cluster")
     counts = counts.withColumn("share", F.col("n") / F.col("size")).where(F.col("share") >= least_share)
@@ -99,11 +136,11 @@ def carried_over(old: DataFrame, new: DataFrame, least_iou: float = 0.5, least_s
     return counts.groupBy("new_cluster").agg(best.alias("_b")).select("new_cluster", "_b.old_cluster", "_b.share")
 
 
-def best_overlap(words: DataFrame, refs: DataFrame, by: list[str], word: str, ref: str, least: float = 0.4) -> DataFrame:
+def best_overlap(words: DataFrame, refs: DataFrame, by: list[str], word: str, ref: str, least: float = 0.4, cell: float = 64) -> DataFrame:
     """Each word with the ref of its page that it overlaps most, by the smaller area, or null below the limit."""
     r = refs.select(*by, F.col(ref).alias("_ref"), *[F.col(c).alias("r_" + c) for c in ("x0", "y0", "x1", "y1")])
     share = G.least_overlap(G.box(), G.box("r_"))
-    hits = words.select(word, *by, "x0", "y0", "x1", "y1").join(r, by).withColumn("_share", share).where(F.col("_share") >= least)
+    hits = meeting_boxes(words.select(word, *by, "x0", "y0", "x1", "y1"), r, by, "r_", cell).withColumn("_share", share).where(F.col("_share") >= least)
     best = hits.groupBy(word).agg(F.max_by(F.struct(F.col("_ref").alias(ref), F.col("_share").alias("share")), F.struct("_share", -F.col("_ref"))).alias("_b"))
     return words.join(best, word, "left").select(*words.columns, f"_b.{ref}", "_b.share")
 
@@ -130,29 +167,39 @@ def nearest(points: DataFrame, refs: DataFrame, by: list[str], key: str, at: str
     return out.withColumns({"nearest": F.when(fine, F.col("nearest")), "distance": F.when(fine, F.col("distance"))})
 
 
-def containing_or_nearest(points: DataFrame, spans: DataFrame, by: list[str], key: str, at: str) -> DataFrame:
-    """Each point with the span (lo, hi, name) of its group that contains it, else the one whose edge is nearest; of equals the first by lo."""
-    gap = F.greatest(F.lit(0), F.col("lo") - F.col(at), F.col(at) - F.col("hi"))
-    pairs = points.select(key, *by, at).join(spans.select(*by, "lo", "hi", "name"), by).withColumn("gap", gap)
-    best = pairs.groupBy(key).agg(F.min_by(F.struct("name", "gap"), F.struct("gap", "lo", "name")).alias("_b"))
-    return points.join(best, key, "left").select(*points.columns, "_b.name", "_b.gap")
-
-
-def contained(items: DataFrame, spans: DataFrame, by: list[str], member: float = 0.8, borderline: float = 0.25, size: int = 1000) -> DataFrame:
-    """Items with the spans that cover a share of them: relation member or borderline, and the coverage.
+def containing_or_nearest(points: DataFrame, spans: DataFrame, by: list[str], key: str, at: str, size: float = 64) -> DataFrame:
+    """Each point with the span (lo, hi, name) of its group that contains it, else the one whose edge is nearest; of equals the first by lo, then name.
 
-    items(lo, hi), spans(s_lo, s_hi); both intervals are dealt to slices of a
-    fixed size, the item by its middle reach, so that only neighbours meet. An
-    item meets a span in several slices and is kept in the first they share.
+    Containing spans meet points in slices; the nearest edges on either side of
+    the other points come from one sorted pass over points, ends and starts.
     """
-    first, last = F.floor(F.col("lo") / size), F.floor(F.col("hi") / size)
-    a = items.withColumn("_slice", F.explode(F.sequence(first, last)))
-    b = spans.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("s_lo") / size), F.floor(F.col("s_hi") / size))))
+    inside = points.select(key, *by, at, F.floor(F.col(at) / size).alias("_slice")).join(_sliced(spans.select(*by, "lo", "hi", "name"), "lo", "hi", size, "_slice"), [*by, "_slice"])
+    inside = inside.where(F.col(at).between(F.col("lo"), F.col("hi")))
+    inside = inside.groupBy(key).agg(F.min_by(F.struct("name", F.lit(0).alias("gap")), F.struct("lo", "name")).alias("_in"))
+    none = F.lit(None)
+    kinds = {c: spans.schema[c].dataType for c in ("lo", "hi", "name")}
+    p = points.select(*by, F.col(at).alias("_x"), F.lit(1).alias("_kind"), *[none.cast(k).alias(c) for c, k in kinds.items()], F.col(key).alias("_key"))
+    edge = lambda x, kind: spans.select(*by, F.col(x).alias("_x"), F.lit(kind).alias("_kind"), "lo", "hi", "name", none.cast(points.schema[key].dataType).alias("_key"))
+    both = p.unionByName(edge("hi", 0)).unionByName(edge("lo", 2))
+    span = lambda kind: F.when(F.col("_kind") == kind, F.struct("lo", "hi", "name"))
+    before = Window.partitionBy(*by).orderBy("_x", "_kind", F.desc("lo"), F.desc("name")).rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*by).orderBy("_x", "_kind", "lo", "name").rowsBetween(0, Window.unboundedFollowing)
+    rows = both.withColumn("_low", F.last(span(0), ignorenulls=True).over(before)).withColumn("_high", F.first(span(2), ignorenulls=True).over(behind)).where("_kind = 1")
+    low, high = F.col("_x") - F.col("_low.hi"), F.col("_high.lo") - F.col("_x")
+    first = F.col("_high").isNull() | (low < high) | ((low == high) & (F.struct("_low.lo", "_low.name") < F.struct("_high.lo", "_high.name")))
+    near = F.when(F.col("_low").isNotNull() & first, F.struct("_low.name", low.alias("gap"))).when(F.col("_high").isNotNull(), F.struct("_high.name", high.alias("gap")))
+    rows = rows.select(F.col("_key").alias(key), near.alias("_near")).groupBy(key).agg(F.first("_near").alias("_near"))
+    out = points.join(inside, key, "left").join(rows, key, "left")
+    name, gap = (F.when(F.col("_in").isNotNull(), F.col(f"_in.{c}")).otherwise(F.col(f"_near.{c}")) for c in ("name", "gap"))
+    return out.select(*points.columns, name.alias("name"), gap.alias("gap"))
+
+
+def contained(items: DataFrame, spans: DataFrame, by: list[str], member: float = 0.8, borderline: float = 0.25, size: float = 1000) -> DataFrame:
+    """Items with the spans that cover a share of them: relation member or borderline, and the coverage. items(lo, hi), spans(s_lo, s_hi)."""
     share = G.coverage(F.col("lo"), F.col("hi"), F.col("s_lo"), F.col("s_hi"))
-    pairs = a.join(b, [*by, "_slice"])
-    pairs = pairs.where(F.col("_slice") == F.greatest(first, F.floor(F.col("s_lo") / size))).withColumn("coverage", share)
+    pairs = meeting(items, spans, by, [("lo", "hi", "s_lo", "s_hi")], size).withColumn("coverage", share)
     relation = F.when(F.col("coverage") >= member, "member").when(F.col("coverage") >= borderline, "borderline")
-    return pairs.withColumn("relation", relation).where("relation is not null").drop("_slice")
+    return pairs.withColumn("relation", relation).where("relation is not null")
 
 
 def reading_neighbours(tokens: DataFrame, reach: int, by: list[str], key: str, order: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.geometry import coverage
+from pagemill.operators.joins import meeting
 
 
 def brace(slope: Column, resid: Column, left_text: Column, arms: Column, height: Column, iso_left: Column, iso_right: Column) -> Column:
@@ -66,12 +67,12 @@ def specks(area: Column, pixels: Column) -> Column:
     return area < F.greatest(F.lit(20), pixels / 2_000_000)
 
 
-def brace_lines(lines: DataFrame, braces: DataFrame, by: list[str], reach: float = 6.0, member: float = 0.8, borderline: float = 0.25) -> DataFrame:
+def brace_lines(lines: DataFrame, braces: DataFrame, by: list[str], reach: float = 6.0, member: float = 0.8, borderline: float = 0.25, size: float = 256) -> DataFrame:
     """Text lines (y0, y1, x0) that a brace (b_y0, b_y1, b_x0, spacing) groups: those that start left of it within reach and
     that its span covers, as member or borderline."""
     near = (F.col("x0") < F.col("b_x0")) & (F.col("b_x0") - F.col("x1") <= reach * F.col("spacing"))
     share = coverage(F.col("y0"), F.col("y1"), F.col("b_y0"), F.col("b_y1"))
-    rows = lines.join(braces, by).where(near).withColumn("coverage", share)
+    rows = meeting(lines, braces, by, [("y0", "y1", "b_y0", "b_y1")], size).where(near).withColumn("coverage", share)
     relation = F.when(F.col("coverage") >= member, "member").when(F.col("coverage") >= borderline, "borderline")
     return rows.withColumn("relation", relation).where("relation is not null")
 

@@ -66,7 +66,7 @@ def moving(df: DataFrame, by: list[str], at: str, value: str, reach: int, how: s
     w = _over(by, at).rowsBetween(-reach, reach)
     f = {"avg": F.avg, "min": F.min, "max": F.max, "median": F.median}[how]
     if how == "median":
-        return df.withColumn("moving", F.expr("aggregate(array(0D), 0D, (a, x) -> a)")).withColumn("moving", _median_of(F.collect_list(value).over(w)))
+        return df.withColumn("moving", _median_of(F.collect_list(value).over(w)))
     return df.withColumn("moving", f(value).over(w))
 
 

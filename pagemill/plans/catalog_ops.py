@@ -240,15 +240,15 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("w"), F.col("p_retailprice").alias("h"))
 
 
-@query(f"SELECT a.p_partkey AS p_partkey_a, b.p_partkey AS p_partkey_b FROM ({_PART}) a, (SELECT p_partkey, p_size + 1.0 AS w, p_retailprice * 1.1 AS h FROM part) b WHERE " + _ALIKE.format(s=0.985))
+@query(f"SELECT a.p_partkey AS p_partkey_a, b.p_partkey AS p_partkey_b FROM ({_PART}) a, (SELECT p_partkey, p_size + 1.0 AS w, p_retailprice * 1.1 AS h FROM part) b WHERE " + _ALIKE.format(s=0.8))
 def join_band_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _parts(spark, sf_dir)
-    return J.band_join(a, a.withColumns({"w": F.col("w") + 1.0, "h": F.col("h") * 1.1}), 0.985).select("p_partkey_a", "p_partkey_b")
+    return J.band_join(a, a.withColumns({"w": F.col("w") + 1.0, "h": F.col("h") * 1.1}), 0.8).select("p_partkey_a", "p_partkey_b")
 
 
-@query(f"SELECT a.p_partkey AS p_partkey_a, b.p_partkey AS p_partkey_b, round(exp(-sqrt(pow(ln(a.w / b.w), 2) + pow(ln(a.h / b.h), 2))), 6) AS similarity FROM ({_PART}) a, ({_PART}) b WHERE a.p_partkey < b.p_partkey AND " + _ALIKE.format(s=0.985))
+@query(f"SELECT a.p_partkey AS p_partkey_a, b.p_partkey AS p_partkey_b, round(exp(-sqrt(pow(ln(a.w / b.w), 2) + pow(ln(a.h / b.h), 2))), 6) AS similarity FROM ({_PART}) a, ({_PART}) b WHERE a.p_partkey < b.p_partkey AND " + _ALIKE.format(s=0.85))
 def join_triangular_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = J.triangular_band_join(_parts(spark, sf_dir), "p_partkey", 0.985)
+    out = J.triangular_band_join(_parts(spark, sf_dir), "p_partkey", 0.85)
     return out.select("p_partkey_a", "p_partkey_b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -262,7 +262,8 @@ def join_next_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.page_pairs(candidates(spark, sf_dir), how="next")
 
 
-_SIDES = f"WITH b AS ({BOXES}), w AS (SELECT * FROM b WHERE l_linenumber = 1), s AS (SELECT * FROM b WHERE l_linenumber = 2)"
+#: Words are the first lines of orders, symbols all others.
+_SIDES = f"WITH b AS ({BOXES}), w AS (SELECT * FROM b WHERE l_linenumber = 1), s AS (SELECT * FROM b WHERE l_linenumber <> 1)"
 
 
 @query(_SIDES + """
@@ -272,7 +273,7 @@ SELECT w.box_id, (SELECT string_agg(symbol, '; ' ORDER BY o) FROM hit WHERE hit.
 """)
 def join_spatial_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
-    s = b.where("l_linenumber = 2").select("page", "x0", "y0", "x1", "y1", F.concat(F.lit("s"), F.col("box_id").cast("string")).alias("symbol"), F.lit("member").alias("relation"), F.col("l_returnflag").alias("line"), F.col("box_id").alias("ord"))
+    s = b.where("l_linenumber <> 1").select("page", "x0", "y0", "x1", "y1", F.concat(F.lit("s"), F.col("box_id").cast("string")).alias("symbol"), F.lit("member").alias("relation"), F.col("l_returnflag").alias("line"), F.col("box_id").alias("ord"))
     w = b.where("l_linenumber = 1").withColumn("word_id", F.col("box_id"))
     return J.spatial_links(w, s, ["page"]).select("box_id", "symbol", "symbol_relation")
 
@@ -308,13 +309,13 @@ SELECT w.box_id, ref, round(share, 6) AS share FROM w LEFT JOIN best USING (box_
 """)
 def join_best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
-    refs = b.where("l_linenumber = 2").withColumnRenamed("box_id", "ref")
+    refs = b.where("l_linenumber <> 1").withColumnRenamed("box_id", "ref")
     return J.best_overlap(b.where("l_linenumber = 1"), refs, ["page"], "box_id", "ref").select("box_id", "ref", F.round("share", 6).alias("share"))
 
 
 @query("""
 WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS s, l_partkey % 5000 AS x FROM lineitem WHERE l_linenumber = 1),
-r AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 5000 AS y FROM lineitem WHERE l_linenumber = 2)
+r AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 5000 AS y FROM lineitem WHERE l_linenumber <> 1)
 SELECT DISTINCT id, nearest, abs(nearest - x) AS distance FROM (
   SELECT id, x, arg_min(y, abs(y - x) * 1000000 + y) AS nearest FROM p LEFT JOIN r USING (s) GROUP BY id, x, s)
 """)
@@ -322,7 +323,7 @@ def join_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     x = (F.col("l_partkey") % 5000).alias("x")
     points = li.where("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("s"), x)
-    refs = li.where("l_linenumber = 2").select(F.col("l_suppkey").alias("s"), x.alias("y"))
+    refs = li.where("l_linenumber <> 1").select(F.col("l_suppkey").alias("s"), x.alias("y"))
     return J.nearest(points, refs, ["s"], "id", "x", "y").select("id", "nearest", "distance").distinct()
 
 
@@ -340,17 +341,17 @@ def join_containing_or_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS s, (l_partkey * 7) % 9000 AS lo, (l_partkey * 7) % 9000 + 20 + l_linenumber AS hi FROM lineitem WHERE l_linenumber <= 2),
-b AS (SELECT DISTINCT l_suppkey AS s, (l_partkey * 11) % 9000 AS s_lo, (l_partkey * 11) % 9000 + 300 AS s_hi FROM lineitem WHERE l_linenumber = 3 AND l_quantity > 40)
+WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS s, (l_partkey * 7) % 9000 AS lo, (l_partkey * 7) % 9000 + 20 + l_linenumber AS hi FROM lineitem WHERE l_linenumber <= 4),
+b AS (SELECT DISTINCT l_suppkey AS s, (l_partkey * 11) % 9000 AS s_lo, (l_partkey * 11) % 9000 + 300 AS s_hi FROM lineitem WHERE l_linenumber > 4)
 SELECT id, s_lo, CASE WHEN c >= 0.8 THEN 'member' ELSE 'borderline' END AS relation, round(c, 6) AS coverage FROM (
   SELECT id, s_lo, greatest(0, least(hi, s_hi) - greatest(lo, s_lo)) / (hi - lo)::DOUBLE AS c FROM i JOIN b USING (s)) WHERE c >= 0.25
 """)
 def join_interval_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     lo = (F.col("l_partkey") * 7) % 9000
-    items = li.where("l_linenumber <= 2").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("s"), lo.alias("lo"), (lo + 20 + F.col("l_linenumber")).alias("hi"))
+    items = li.where("l_linenumber <= 4").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("s"), lo.alias("lo"), (lo + 20 + F.col("l_linenumber")).alias("hi"))
     s = (F.col("l_partkey") * 11) % 9000
-    spans = li.where("l_linenumber = 3 and l_quantity > 40").select(F.col("l_suppkey").alias("s"), s.alias("s_lo"), (s + 300).alias("s_hi")).distinct()
+    spans = li.where("l_linenumber > 4").select(F.col("l_suppkey").alias("s"), s.alias("s_lo"), (s + 300).alias("s_hi")).distinct()
     return J.contained(items, spans, ["s"], size=500).select("id", "s_lo", "relation", F.round("coverage", 6).alias("coverage"))
 
 
