@@ -458,10 +458,9 @@ l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, a AS b FROM
 
 @query(_EDGES + "SELECT a AS node, min(b) AS component FROM r GROUP BY a")
 def agg_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", V.scaled(F.col("embedding")).alias("f"))
-    a, b = e.alias("a"), e.alias("b")
-    edges = a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).where(V.dot(F.col("a.f"), F.col("b.f")) >= 0.4)
-    return components(edges.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b")))
+    from pagemill.plans.spotting import similar
+
+    return components(similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4))
 
 
 @query()

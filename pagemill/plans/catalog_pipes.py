@@ -359,7 +359,7 @@ rk AS (
 
 def _two_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).where("page in ('p0', 'p1')")
-    return stored(S.token_scores(S.block_pairs(S.blocks(c), within=False), PARAMS), "token-scores")
+    return stored(S.token_scores(S.block_pairs(stored(S.blocks(c), "blocks"), within=False), PARAMS), "token-scores")
 
 
 @query(_GOLD + "SELECT round(avg(1.0 / rank), 6) AS mrr, round(avg((rank <= 1)::INT), 6) AS hit1, round(avg((rank <= 3)::INT), 6) AS hit3, median(rank)::DOUBLE AS median_rank FROM ur")

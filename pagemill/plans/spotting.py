@@ -12,8 +12,9 @@ over a whole comparison: a first pass over the block pairs sums these.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, fields
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagemill.functions import vectors as V
 from pagemill.kernels import pairs as K
 from pagemill.operators import aggregates as A
 from pagemill.operators import joins as J
@@ -29,6 +31,8 @@ from pagemill.storage import small, stored
 
 #: Candidates in a block.
 BLOCK = 256
+#: Blocks of either side that a cell of comparisons has, about.
+CELL_BLOCKS = 8
 
 
 @dataclass(frozen=True)
@@ -48,6 +52,8 @@ class Params:
     floor: float = 1.5
     hog_weight: float = 0.5
     dtw_weight: float = 0.5
+    hog_dtw_weight: float = 0.0
+    hog_steps: int = 32
     context_weight: float = 0.35
     context_cap: float = 3.0
     context_reach: int = 2
@@ -67,78 +73,127 @@ def in_width(candidates: DataFrame, p: Params = Params()) -> DataFrame:  # noqa:
 
 
 def blocks(candidates: DataFrame) -> DataFrame:
-    """candidates(page, tok, cand, w, h, unit, feat, seq) as one row for each block of a page's candidates.
+    """candidates(page, tok, cand, w, h, unit, feat, seq, hseq) as one row for each block of a page's candidates.
 
     Rows are numbered within a page by token, so a token's candidates share a
-    block or two. feat must have length 1, seq is flat with `steps` rows, or null.
+    block or two. feat must have length 1; seq and hseq are flat with `steps` and
+    `hog_steps` rows, or null; hseq may be missing.
     """
+    if "hseq" not in candidates.columns:
+        candidates = candidates.withColumn("hseq", F.lit(None).cast("array<double>"))
     n = F.row_number().over(Window.partitionBy("page").orderBy("tok", "cand")) - 1
     rows = candidates.withColumn("block", F.floor(n / BLOCK).cast("int"))
-    row = F.struct("tok", "cand", (F.col("w") / F.col("unit")).alias("w"), (F.col("h") / F.col("unit")).alias("h"), "feat", "seq")
+    row = F.struct("tok", "cand", (F.col("w") / F.col("unit")).alias("w"), (F.col("h") / F.col("unit")).alias("h"), "feat", "seq", "hseq")
     return rows.groupBy("page", "block").agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
 
-def block_pairs(b: DataFrame, within: bool = True, cross: bool = True) -> DataFrame:
-    """Pairs of blocks of every page with itself (all orientations) and of every two pages, the lower first."""
-    right = b.select(F.col("page").alias("page_b"), F.col("block").alias("block_b"), F.col("rows").alias("b"))
-    left = b.select(F.col("page").alias("page_a"), F.col("block").alias("block_a"), F.col("rows").alias("a"))
-    out = []
-    if within:
-        out.append(left.join(right, F.col("page_a") == F.col("page_b")))
-    if cross:
-        out.append(left.join(right, F.col("page_a") < F.col("page_b")))  # every pair of pages is compared: that is the query
-    both = out[0] if len(out) == 1 else out[0].unionByName(out[1])
-    return both.repartition("page_a", "page_b", "block_a", "block_b")
+@dataclass(frozen=True)
+class Cells:
+    """Pairs of blocks as two sides that meet in cells: left and right both have cell, page, block and rows.
+
+    Blocks are dealt to a square grid, so a block is sent to one row or column
+    of cells, not to each block that it is compared with, and no side is held
+    whole. A task has one cell's blocks of either side, CELL_BLOCKS about.
+    """
+
+    left: DataFrame
+    right: DataFrame
+
+    def compared(self, each: Callable[[dict, dict], pd.DataFrame | None], schema: str) -> DataFrame:
+        """each(block a, block b) for every pair with page a <= page b of equal kind, one row set after another."""
+
+        def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            b = b.to_dict("records")
+            out = []
+            for x in a.to_dict("records"):
+                for y in b:
+                    if x["page"] == y["page"] if x["within"] else x["page"] < y["page"]:
+                        found = each(x, y)
+                        if found is not None and len(found):
+                            out.append(found)
+            names = [c.split()[0] for c in schema.split(", ")]
+            return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
+
+        return self.left.groupBy("cell").cogroup(self.right.groupBy("cell")).applyInPandas(cell, schema)
+
 
+def block_pairs(b: DataFrame, within: bool = True, cross: bool = True) -> Cells:
+    """Pairs of blocks of every page with itself (all orientations) and of every two pages, the lower first.
 
-def _arrays(rows, dtw: bool):
-    tok = np.array([r["tok"] for r in rows], dtype=np.int64)
-    cand = np.array([r["cand"] for r in rows], dtype=np.int64)
-    size = np.log(np.array([(r["w"], r["h"]) for r in rows], dtype=np.float64))
-    feat = np.array([r["feat"] for r in rows], dtype=np.float64)
-    seq = np.array([r["seq"] for r in rows], dtype=np.float64) if dtw else None
-    return tok, cand, size, feat, seq
+    b is written already: its blocks are counted here.
+    """
+    def dealt(side: str, rows: DataFrame, group: Column, parts: Column) -> DataFrame:
+        own = F.pmod(F.xxhash64("page", "block"), parts)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_o")
+        rows = rows.select("page", "block", "rows", group.alias("_g"), own.alias("_own"), every)
+        i, j = (F.col("_own"), F.col("_o")) if side == "left" else (F.col("_o"), F.col("_own"))
+        return rows.select(F.xxhash64("_g", i, j).alias("cell"), *[F.col(c).alias(c) for c in ("page", "block", "rows")])  # columns of its own for each side
+
+    sides: dict[str, list[DataFrame]] = {"left": [], "right": []}
+    if within:
+        n = small(stored(b.groupBy("page").agg(F.ceil(F.count("*") / F.lit(CELL_BLOCKS)).alias("_parts")), "page-blocks"))
+        for side, out in sides.items():
+            out.append(dealt(side, b.join(n, "page"), F.col("page"), F.col("_parts")).withColumn("within", F.lit(True)))
+    if cross:  # every pair of pages is compared: that is the query
+        parts = F.lit(max(1, -(-b.count() // CELL_BLOCKS))).cast("long")
+        for side, out in sides.items():
+            out.append(dealt(side, b, F.lit(""), parts).withColumn("within", F.lit(False)))
+    return Cells(*[reduce(DataFrame.unionByName, out) for out in sides.values()])
+
+
+def _arrays(rows, names: list[str]) -> dict[str, np.ndarray]:
+    """A block's rows as arrays; sequences only where a component needs them."""
+    out = {k: np.array([r[k] for r in rows], dtype=np.int64) for k in ("tok", "cand")}
+    out["size"] = np.log(np.array([(r["w"], r["h"]) for r in rows], dtype=np.float64))
+    for key, name in (("feat", "cos"), ("seq", "dtw"), ("hseq", "hog_dtw")):
+        if name in names:
+            out[key] = np.array([r[key] for r in rows], dtype=np.float64)
+    return out
 
 
-def _components(a, b, p: Params, steps: int) -> dict[str, np.ndarray]:
-    """Component matrices of a block pair, by name; those with no weight aren't made. Distances are negated."""
+def _components(a: dict, b: dict, p: Params, steps: int, names: list[str]) -> dict[str, np.ndarray]:
+    """Component matrices of a pair of blocks, by name. Distances are negated."""
     out = {}
-    if p.hog_weight > 0:
-        out["cos"] = K.cosines(a[3], b[3])
-    if p.dtw_weight > 0:
-        out["dtw"] = -K.dtw(a[4].reshape(len(a[4]), steps, -1), b[4].reshape(len(b[4]), steps, -1))
+    if "cos" in names:
+        out["cos"] = K.cosines(a["feat"], b["feat"])
+    for name, key, length in (("dtw", "seq", steps), ("hog_dtw", "hseq", p.hog_steps)):
+        if name in names:
+            out[name] = -K.dtw(a[key].reshape(len(a[key]), length, -1), b[key].reshape(len(b[key]), length, -1))
     return out
 
 
 def _weights(p: Params) -> dict[str, float]:
-    return {n: w for n, w in (("cos", p.hog_weight), ("dtw", p.dtw_weight)) if w > 0}
+    """Components with a weight, by name."""
+    return {n: w for n, w in (("cos", p.hog_weight), ("dtw", p.dtw_weight), ("hog_dtw", p.hog_dtw_weight)) if w > 0}
 
 
-def moments(pairs: DataFrame, p: Params, steps: int = 40) -> DataFrame:
-    """For each comparison, the number of entries and each component's mean and population deviation."""
+def moments(pairs: Cells, p: Params, steps: int = 40) -> DataFrame:
+    """For each comparison, the number of entries and each component's mean and population deviation.
+
+    The cosines of two blocks of unit vectors sum to the product of the vectors'
+    sums, and their squares to the product of the two Gram matrices, so they are
+    never formed here; distances are.
+    """
     names = list(_weights(p))
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for r in part.itertuples():
-                m = _components(_arrays(r.a, "dtw" in names), _arrays(r.b, "dtw" in names), p, steps)
-                first = next(iter(m.values()))
-                row = {"page_a": r.page_a, "page_b": r.page_b, "n": first.size}
-                for k, v in m.items():
-                    row |= {f"s_{k}": v.sum(), f"q_{k}": (v * v).sum()}
-                out.append(row)
-            if out:
-                yield pd.DataFrame(out)
+    def each(x: dict, y: dict) -> pd.DataFrame:
+        a, b = (_arrays(r["rows"], names) for r in (x, y))
+        row = {"page_a": x["page"], "page_b": y["page"], "n": len(a["tok"]) * len(b["tok"])}
+        if "cos" in names:
+            f, g = a["feat"], b["feat"]
+            row |= {"s_cos": f.sum(axis=0) @ g.sum(axis=0), "q_cos": float(((f.T @ f) * (g.T @ g)).sum())}
+        for k, v in _components(a, b, p, steps, [n for n in names if n != "cos"]).items():
+            row |= {f"s_{k}": v.sum(), f"q_{k}": (v * v).sum()}
+        return pd.DataFrame([row])
 
     kinds = "page_a string, page_b string, n long, " + ", ".join(f"s_{k} double, q_{k} double" for k in names)
-    sums = pairs.mapInPandas(each, kinds).groupBy("page_a", "page_b").agg(*[F.sum(c).alias(c) for c in ["n", *[x + k for k in names for x in ("s_", "q_")]]])
+    sums = pairs.compared(each, kinds).groupBy("page_a", "page_b").agg(*[F.sum(c).alias(c) for c in ["n", *[x + k for k in names for x in ("s_", "q_")]]])
     mean = {k: F.col(f"s_{k}") / F.col("n") for k in names}
     spread = {k: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{k}") / F.col("n") - mean[k] * mean[k])) for k in names}
     return sums.select("page_a", "page_b", *[mean[k].alias(f"m_{k}") for k in names], *[spread[k].alias(f"d_{k}") for k in names])
 
 
-def token_scores(pairs: DataFrame, p: Params, steps: int = 40) -> DataFrame:
+def token_scores(pairs: Cells, p: Params, steps: int = 40) -> DataFrame:
     """For each pair of tokens of a comparison: u, the best mixed score of all candidate pairs; t, the best of those alike
     in size and long enough; and the candidates i, j that reach t, with their cosine and distance.
 
@@ -146,39 +201,45 @@ def token_scores(pairs: DataFrame, p: Params, steps: int = 40) -> DataFrame:
     """
     weights, radius = _weights(p), -math.log(p.size)
     total = sum(weights.values())
-    both = pairs.join(small(stored(moments(pairs, p, steps), "moments")), ["page_a", "page_b"])  # one row for each comparison
-
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part.itertuples():
-                a, b = _arrays(r.a, "dtw" in weights), _arrays(r.b, "dtw" in weights)
-                m = _components(a, b, p, steps)
-                score = sum(w * (m[k] - getattr(r, f"m_{k}")) / (getattr(r, f"d_{k}") + 1e-8) for k, w in weights.items()) / total
-                score = np.round(score, 9)  # equal candidates tie, whatever the order of summation
-                apart = a[2][:, None] - b[2][None]
-                alike = np.hypot(apart[..., 0], apart[..., 1]) <= radius + 1e-9
-                long = np.exp(a[2][:, None, 0]) >= p.min_match
-                fine = alike & long & (np.exp(b[2][None, :, 0]) >= p.min_match)
-                ta, tb, u, t, i, j = K.best_by_token(score, fine, a[0], b[0])
-                ga, gb = np.meshgrid(np.arange(len(ta)), np.arange(len(tb)), indexing="ij")
-                i, j = i.ravel(), j.ravel()
-                got = i >= 0
-                none = np.where(got, 0.0, np.nan)
-                at = lambda k: m[k][i, j] + none if k in m else np.full(len(i), np.nan)  # noqa: E731, B023
-                out = pd.DataFrame({
-                    "page_a": r.page_a, "page_b": r.page_b, "tok_a": ta[ga.ravel()], "tok_b": tb[gb.ravel()], "u": u.ravel(),
-                    "t": np.where(got, t.ravel(), np.nan), "i": np.where(got, a[1][i], -1), "j": np.where(got, b[1][j], -1),
-                    "cos": at("cos"), "dtw": -at("dtw"),
-                })
-                yield out[out["tok_a"] != out["tok_b"]] if r.page_a == r.page_b else out
-
-    kinds = "page_a string, page_b string, tok_a long, tok_b long, u double, t double, i long, j long, cos double, dtw double"
-    rows = both.mapInPandas(each, kinds)
+    of = stored(moments(pairs, p, steps), "moments")
+    # a left block gets the moments of its page's comparisons with it: as many rows as pages it meets, of a few numbers
+    names = [f"{x}_{k}" for k in weights for x in ("m", "d")]
+    known = of.groupBy("page_a").agg(F.map_from_entries(F.collect_list(F.struct("page_b", F.array(*names)))).alias("moments"))
+    left = pairs.left.join(known, F.col("page") == F.col("page_a")).drop("page_a")
+
+    def each(x: dict, y: dict) -> pd.DataFrame:
+        a, b = (_arrays(r["rows"], list(weights)) for r in (x, y))
+        m = _components(a, b, p, steps, list(weights))
+        stat = dict(zip(names, dict(x["moments"])[y["page"]], strict=True))
+        score = sum(w * (m[k] - stat[f"m_{k}"]) / (stat[f"d_{k}"] + 1e-8) for k, w in weights.items()) / total
+        score = np.round(score, 9)  # equal candidates tie, whatever the order of summation
+        apart = a["size"][:, None] - b["size"][None]
+        alike = np.hypot(apart[..., 0], apart[..., 1]) <= radius + 1e-9
+        long = np.exp(a["size"][:, None, 0]) >= p.min_match
+        fine = alike & long & (np.exp(b["size"][None, :, 0]) >= p.min_match)
+        ta, tb, u, t, i, j = K.best_by_token(score, fine, a["tok"], b["tok"])
+        ga, gb = np.meshgrid(np.arange(len(ta)), np.arange(len(tb)), indexing="ij")
+        i, j = i.ravel(), j.ravel()
+        got = i >= 0
+        none = np.where(got, 0.0, np.nan)
+        at = lambda k: m[k][i, j] + none if k in m else np.full(len(i), np.nan)
+        out = pd.DataFrame({
+            "page_a": x["page"], "page_b": y["page"], "tok_a": ta[ga.ravel()], "tok_b": tb[gb.ravel()], "u": u.ravel(),
+            "t": np.where(got, t.ravel(), np.nan), "i": np.where(got, a["cand"][i], -1), "j": np.where(got, b["cand"][j], -1),
+            "cos": at("cos"), "dtw": -at("dtw"), "hog_dtw": -at("hog_dtw"),
+        })
+        return out[out["tok_a"] != out["tok_b"]] if x["page"] == y["page"] else out
+
+    kinds = "page_a string, page_b string, tok_a long, tok_b long, u double, t double, i long, j long, cos double, dtw double, hog_dtw double"
+    rows = Cells(left, pairs.right).compared(each, kinds)
     some = ~F.isnan("t")
-    best = F.max(F.when(some, F.struct(F.col("t"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"), "cos", "dtw")))
+    best = F.max(F.when(some, F.struct(F.col("t"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"), "cos", "dtw", "hog_dtw")))
     out = rows.groupBy("page_a", "page_b", "tok_a", "tok_b").agg(F.max("u").alias("u"), best.alias("_t"))
     value = lambda c: F.nanvl(F.col(f"_t.{c}"), F.lit(None).cast("double")).alias(c)
-    return out.select("page_a", "page_b", "tok_a", "tok_b", "u", F.col("_t.t").alias("t"), (-F.col("_t.i")).alias("i"), (-F.col("_t.j")).alias("j"), value("cos"), value("dtw"))
+    return out.select(
+        "page_a", "page_b", "tok_a", "tok_b", "u", F.col("_t.t").alias("t"), (-F.col("_t.i")).alias("i"), (-F.col("_t.j")).alias("j"),
+        value("cos"), value("dtw"), value("hog_dtw"),
+    )
 
 
 def with_context(scores: DataFrame, tokens: DataFrame, p: Params) -> DataFrame:
@@ -212,11 +273,42 @@ def accepted(scored: DataFrame, p: Params, k: Column | None = None) -> DataFrame
 
 
 def matches(candidates: DataFrame, tokens: DataFrame, p: Params = Params(), within: bool = True, cross: bool = True, steps: int = 40) -> DataFrame:  # noqa: B008
-    """All accepted matches: page_a, page_b, tok_a, tok_b, i, j, z, z_base, support, score, cos, dtw."""
+    """All accepted matches: page_a, page_b, tok_a, tok_b, i, j, z, z_base, support, score, cos, dtw, hog_dtw."""
     pairs = block_pairs(stored(blocks(candidates), "blocks"), within, cross)
     scores = stored(token_scores(pairs, p, steps), "token-scores")
     out = accepted(with_context(scores, tokens, p), p)
-    return out.select("page_a", "page_b", "tok_a", "tok_b", "i", "j", "z", "z_base", "support", F.col("t").alias("score"), "cos", "dtw")
+    return out.select("page_a", "page_b", "tok_a", "tok_b", "i", "j", "z", "z_base", "support", F.col("t").alias("score"), "cos", "dtw", "hog_dtw")
+
+
+def similar(rows: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """Links (a, b) that connect rows whose vectors have a cosine of least or more: a join of all with all, in blocks.
+
+    Of a pair of blocks only links to the least row of each set that is connected
+    within it come out, as many as rows at most; components of these links are
+    those of all pairs.
+    """
+    unit = rows.select(F.col(key).cast("long").alias("k"), V.scaled(F.col(vector)).alias("f")).where("f is not null")
+    n = max(1, -(-unit.count() // BLOCK))
+    b = unit.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", "f"))).alias("rows"))
+    b = stored(b.select(F.lit("").alias("page"), "block", "rows"), "vector-blocks")
+
+    def each(x: dict, y: dict) -> pd.DataFrame | None:
+        if x["block"] > y["block"]:
+            return None
+        ids, f = (np.array([r[c] for s in ((x,) if x["block"] == y["block"] else (x, y)) for r in s["rows"]]) for c in ("k", "f"))
+        order = np.argsort(ids, kind="stable")
+        ids, f = ids[order], f[order]
+        near = K.cosines(f, f) >= least
+        label = np.arange(len(ids))
+        while True:
+            low = np.where(near, label[None], len(ids)).min(axis=1).clip(max=label)
+            if np.array_equal(low, label):
+                break
+            label = low
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
+
+    return block_pairs(b, cross=False).compared(each, "a long, b long").distinct()
 
 
 def summary(found: DataFrame, pages: DataFrame) -> DataFrame:
