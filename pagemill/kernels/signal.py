@@ -107,24 +107,29 @@ def seam(cost: np.ndarray) -> np.ndarray:
 
 
 def line_pitch(ink: np.ndarray, least: int = 8, share: float = 0.12, default: float = 40.0) -> float:
-    """Line spacing: the strongest peak of the row profile's autocorrelation, or a third or half of it if nearly as strong."""
-    rows = ink.sum(axis=1).astype(np.float64)
-    if not rows.any():
+    """Line spacing: the fundamental of the row profile's autocorrelation.
+
+    The strongest peak may lie at two or three line spacings. So a peak near a
+    third or a half of it (the third first) is taken if it is at least a quarter
+    as strong.
+    """
+    profile = ink.sum(axis=1, dtype=np.float64)
+    if not profile.any():
         return default
-    rows -= rows.mean()
-    most = max(least + 2, int(share * len(rows)))
-    spectrum = np.abs(np.fft.rfft(rows, 2 * len(rows))) ** 2
-    auto = np.fft.irfft(spectrum)[: most + 2]
-    auto = auto / auto[0] if auto[0] > 0 else auto
-    found = [p for p in peaks(auto) if least <= p <= most]
-    if not found:
+    most = max(least + 2, int(share * len(profile)))
+    power = np.abs(np.fft.rfft(profile - profile.mean(), 2 * len(profile))) ** 2
+    auto = np.fft.irfft(power)[: most + 2]
+    at = peaks(auto)
+    at = at[(at >= least) & (at <= most)]
+    if not len(at):
         return default
-    best = max(found, key=lambda p: auto[p])
-    for part in (3, 2):
-        near = [p for p in found if abs(p - best / part) <= max(2, 0.15 * best / part)]
-        if near and max(auto[p] for p in near) >= 0.25 * auto[best]:
-            return float(max(near, key=lambda p: auto[p]))
-    return float(best)
+    height = auto[at]
+    best = at[height.argmax()]
+    times = np.rint(best / at)  # how many spacings the strongest peak would be
+    off = np.abs(at - best / times) / np.maximum(2, 0.15 * best / times)
+    harmonic = np.isin(times, (2, 3)) & (off <= 1) & (height >= 0.25 * height.max())
+    rank = np.lexsort((height, np.where(harmonic, times, 0)))  # by times, then by strength; the strongest peak itself if none is
+    return float(at[rank[-1]] if harmonic.any() else best)
 
 
 def log_otsu(values: np.ndarray, least: int = 15, apart: float = 1.8) -> float | None:

@@ -12,6 +12,7 @@ from pagemill.operators import aggregates as A
 from pagemill.plans import pages as P
 from pagemill.plans import spotting as S
 from pagemill.plans.standins import candidates, table, tokens
+from pagemill.storage import stored
 from pagemill.streaming import ingest as IN
 
 QUERIES, ORACLE = {}, {}
@@ -35,6 +36,15 @@ def pipe_match_with_dtw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_a", "page_b", "tok_a", "tok_b", "i", "j", *[F.round(x, 6).alias(x) for x in ("z", "score", "cos", "dtw")])
 
 
+@query()
+def pipe_match_three_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of pages by all three components: cosine, profile warping (16 steps) and warping of projected column sequences (8 steps)."""
+    c = candidates(spark, sf_dir).withColumn("seq", F.col("feat")).withColumn("hseq", F.col("feat"))
+    c = stored(P.projected(c, "hseq", 8, 4), "projected")
+    out = S.matches(c, tokens(c), replace(S.Params(), z=1.5, hog_dtw_weight=0.25, hog_steps=8), within=False, steps=16)
+    return out.select("page_a", "page_b", "tok_a", "tok_b", "i", "j", *[F.round(x, 6).alias(x) for x in ("z", "score", "cos", "dtw", "hog_dtw")])
+
+
 @query()
 def agg_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings whitened by the statistics of all rows; the mean cosine with the first axis, rounded."""

@@ -19,7 +19,7 @@ from pagemill.storage import stored
 _TOKENS = "page string, column int, line int, token int, x0 int, y0 int, x1 int, y1 int, width int, height int, group int, error string"
 _CANDIDATES = (
     "page string, column int, line int, token int, tok long, cand long, tid string, is_full boolean, x0 int, y0 int, x1 int, y1 int, w double, h double, "
-    "unit double, hog array<float>, seq array<float>, error string"
+    "unit double, hog array<float>, seq array<float>, hseq array<float>, error string"
 )
 
 
@@ -52,8 +52,8 @@ def tokens(images: DataFrame, layout: I.Layout = I.Layout()) -> DataFrame:  # no
     return _by_page(images, lambda _, im: I.segmented(im, layout), _TOKENS, empty)
 
 
-def candidates(images: DataFrame, layout: I.Layout = I.Layout(), least: float = 0.6, most: float = 4.0) -> DataFrame:  # noqa: B008
-    """Every token's candidate spans with their features. unit is the page's median token height."""
+def candidates(images: DataFrame, layout: I.Layout = I.Layout(), least: float = 0.6, most: float = 4.0, sequences: bool = False) -> DataFrame:  # noqa: B008
+    """Every token's candidate spans with their features. unit is the page's median token height. hseq, the HOG columns, is made if asked for."""
 
     def work(page: str, im: np.ndarray) -> list[dict]:
         found, out = I.segmented(im, layout), []
@@ -61,14 +61,15 @@ def candidates(images: DataFrame, layout: I.Layout = I.Layout(), least: float =
         ink = im <= I.otsu(im)
         for n, t in enumerate(found):
             crop = (slice(t["y0"], t["y1"]), slice(t["x0"], t["x1"]))
-            gaps = I.inner_gaps(ink[crop], unit)
-            for a, b in I.candidate_spans(t["width"], gaps, unit, least, most):
-                hog, seq = I.word_features(im[t["y0"] : t["y1"], t["x0"] + a : t["x0"] + b])
+            cuts = I.inner_cuts(ink[crop], unit)
+            for a, b in I.candidate_spans(t["width"], cuts, unit, least, most):
+                hog, seq, *more = I.word_features(im[t["y0"] : t["y1"], t["x0"] + a : t["x0"] + b], sequence=sequences)
                 name, full = f"c{t['column']}_l{t['line']}_t{t['token']}", (a, b) == (0, t["width"])
                 out.append({
                     "column": t["column"], "line": t["line"], "token": t["token"], "tok": n, "cand": len(out), "tid": name if full else f"{name}[{a}:{b}]", "is_full": full,
                     "x0": t["x0"] + a, "y0": t["y0"], "x1": t["x0"] + b, "y1": t["y1"], "w": float(b - a), "h": float(t["height"]), "unit": unit,
                     "hog": hog.astype(np.float32).tolist(), "seq": seq.astype(np.float32).ravel().tolist(),
+                    "hseq": more[0].astype(np.float32).ravel().tolist() if more else None,
                 })
         return out
 
@@ -146,8 +147,8 @@ def _added(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.tolist()]})
 
 
-def whitening(df: DataFrame, vector: str, dims: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, leading axes and their sample variances of a vector column, from sums over all rows.
+def whitening(df: DataFrame, vector: str, dims: int = 128, steps: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, leading axes and their sample variances of a vector column, from sums over all rows. A row may hold several vectors, its steps, flat.
 
     Each partition sends its count, sum and d x d Gram matrix to eight tasks,
     which add them up; the driver gets eight matrices.
@@ -157,7 +158,7 @@ def whitening(df: DataFrame, vector: str, dims: int = 128) -> tuple[np.ndarray,
         n, s, g = 0, None, None
         for part in parts:
             if len(part):
-                x = np.array(part[vector].tolist(), dtype=np.float64)
+                x = np.array(part[vector].tolist(), dtype=np.float64).reshape(len(part) * steps, -1)
                 n, s, g = n + len(x), x.sum(axis=0) + (0 if s is None else s), x.T @ x + (0 if g is None else g)
         if n:
             yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.ravel().tolist()]})
@@ -191,6 +192,25 @@ def whitened(df: DataFrame, vector: str, out: str = "feat", dims: int = 128) ->
     return df.withColumn(out, F.pandas_udf(each, "array<double>", PandasUDFType.SCALAR)(F.col(vector)))
 
 
+def projected(df: DataFrame, sequence: str, steps: int, dims: int = 24) -> DataFrame:
+    """df with each step of a flat sequence column along the leading axes of all steps of all rows, over the root of their mean
+    variance: axes keep their relative weights."""
+    mean, axes, variances = whitening(df, sequence, dims, steps)
+    scale = float(np.sqrt(max(variances.mean(), 1e-12)))
+    model = df.sparkSession.sparkContext.broadcast((mean, axes, scale))  # dims x d numbers
+
+    def each(values: pd.Series) -> pd.Series:
+        if not len(values):
+            return values
+        m, v, s = model.value
+        x = np.array(values.tolist(), dtype=np.float64).reshape(len(values), steps, -1)
+        return pd.Series(((x - m) @ v.T / s).reshape(len(values), -1).tolist())
+
+    from pyspark.sql.pandas.functions import PandasUDFType
+
+    return df.withColumn(sequence, F.pandas_udf(each, "array<double>", PandasUDFType.SCALAR)(F.col(sequence)))
+
+
 def spotted(images: DataFrame, params=None, dims: int = 128):
     """The folder run: candidates of all pages, pooled whitening, matches within and across pages, clusters.
 
@@ -198,11 +218,12 @@ def spotted(images: DataFrame, params=None, dims: int = 128):
     """
     from pagemill.plans import spotting as P
 
-    rows = stored(candidates(images), "candidates")
-    fine = rows.where("error is null")
-    featured = stored(whitened(fine, "hog", "feat", dims), "features")
+    params = params or P.Params()
+    rows = stored(candidates(images, sequences=params.hog_dtw_weight > 0), "candidates")
+    featured = whitened(rows.where("error is null"), "hog", "feat", dims)
+    featured = stored(projected(featured, "hseq", params.hog_steps) if params.hog_dtw_weight > 0 else featured, "features")
     order = featured.select("page", "tok", F.col("column").alias("col"), "line", F.col("token").alias("pos")).distinct()
-    found = stored(P.matches(featured, order, params or P.Params()), "matches")
+    found = stored(P.matches(featured, order, params), "matches")
     return {
         "candidates": featured, "failed": rows.where("error is not null").select("page", "error"), "matches": found,
         "summary": P.summary(found, featured), "clusters": P.clusters(found, featured, numbered=False),

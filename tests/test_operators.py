@@ -168,3 +168,73 @@ def test_warping_match_runs_over_all_page_pairs(spark):
         c = candidates(spark, data).where(f"page in {pair}").withColumn("seq", F.col("feat"))
         alone = S.matches(c, tokens(c), replace(S.Params(), z=1.5), within=False, steps=16).collect()
         assert {k: v for k, v in got.items() if k[:2] == pair} == {key(r): round(r.z, 4) for r in alone}
+
+
+def test_three_components_against_matrices(spark, monkeypatch):
+    """Token scores of blocks in cells equal those of whole matrices: components standardised over the comparison, mixed by weight."""
+    monkeypatch.setattr(SP, "BLOCK", 4)
+    monkeypatch.setattr(SP, "CELL_BLOCKS", 1)
+    rng = np.random.default_rng(7)
+    rows = []
+    for page, n in (("a", 11), ("b", 7), ("c", 9)):
+        for i in range(n):
+            f = rng.normal(size=6)
+            rows.append((page, i // 2, i, float(rng.integers(20, 40)), float(rng.integers(10, 14)), 10.0, (f / np.linalg.norm(f)).tolist(), rng.normal(size=10).tolist(), rng.normal(size=8).tolist()))
+    df = spark.createDataFrame(rows, "page string, tok long, cand long, w double, h double, unit double, feat array<double>, seq array<double>, hseq array<double>")
+    p = SP.Params(hog_weight=0.5, dtw_weight=0.3, hog_dtw_weight=0.2, hog_steps=4, z=-9.0, floor=-9.0, margin=99.0, k=99, k_within=99)
+    got = {(r.page_a, r.page_b, r.tok_a, r.tok_b): r for r in SP.token_scores(SP.block_pairs(SP.stored(SP.blocks(df), "b")), p, 5).collect()}
+    want = {}
+    of = {page: [r for r in rows if r[0] == page] for page in "abc"}
+    for a, b in [(x, y) for x in "abc" for y in "abc" if x <= y]:
+        x, y = of[a], of[b]
+        col = lambda s, k, shape: np.array([r[k] for r in s]).reshape(shape)
+        parts = [
+            (0.5, col(x, 6, (len(x), -1)) @ col(y, 6, (len(y), -1)).T), (0.3, -SP.K.dtw(col(x, 7, (len(x), 5, -1)), col(y, 7, (len(y), 5, -1)))),
+            (0.2, -SP.K.dtw(col(x, 8, (len(x), 4, -1)), col(y, 8, (len(y), 4, -1)))),
+        ]
+        score = sum(w * (m - m.mean()) / (m.std() + 1e-8) for w, m in parts)
+        for i, r in enumerate(x):
+            for j, q in enumerate(y):
+                if a != b or r[1] != q[1]:
+                    key = (a, b, r[1], q[1])
+                    fine = math.hypot(math.log(r[3] / q[3]), math.log(r[4] / q[4])) <= -math.log(0.8) + 1e-9 and min(r[3], q[3]) >= 12
+                    u, t = want.get(key, (-np.inf, -np.inf))
+                    want[key] = max(u, score[i, j]), max(t, score[i, j] if fine else -np.inf)
+    assert set(got) == set(want)
+    for key, (u, t) in want.items():
+        assert got[key].u == pytest.approx(u, abs=1e-7)
+        assert got[key].t == pytest.approx(t, abs=1e-7) if t > -np.inf else got[key].t is None
+
+
+def test_projection_keeps_relative_variances(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 3, 5)) * np.array([5, 4, 1, 0.5, 0.1])
+    df = spark.createDataFrame([(i, v.ravel().tolist()) for i, v in enumerate(x)], "id long, s array<double>")
+    got = np.array([r.s for r in P.projected(df, "s", 3, 2).orderBy("id").collect()]).reshape(-1, 2)
+    flat = x.reshape(-1, 5)
+    _, sv, v = np.linalg.svd(flat - flat.mean(axis=0), full_matrices=False)
+    variances = sv[:2] ** 2 / (len(flat) - 1)
+    assert np.allclose(np.abs(got), np.abs((flat - flat.mean(axis=0)) @ v[:2].T) / np.sqrt(variances.mean()), atol=1e-6)
+
+
+def test_similar_links_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(SP, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {r.node: r.component for r in components(SP.similar(df, "id", "v", 0.95)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near, label = u @ u.T >= 0.95, np.arange(60)
+    for _ in range(60):
+        label = np.where(near, label[None], 60).min(axis=1)
+    assert got == {i: int(c) for i, c in enumerate(label) if near[i].sum() > 1}
+
+
+def test_containing_or_nearest_against_all(spark):
+    rng = np.random.default_rng(8)
+    spans = [(int(g), int(a), int(a + w), f"n{k}") for k, (g, a, w) in enumerate(zip(rng.integers(0, 3, 40), rng.integers(-50, 300, 40), rng.integers(0, 60, 40), strict=True))]
+    points = [(int(i), int(i % 4), int(x)) for i, x in enumerate(rng.integers(-80, 400, 200))]
+    got = {r.id: (r["name"], r.gap) for r in J.containing_or_nearest(spark.createDataFrame(points, "id int, g int, x int"), spark.createDataFrame(spans, "g int, lo int, hi int, name string"), ["g"], "id", "x").collect()}
+    for i, g, x in points:
+        best = min(((max(0, lo - x, x - hi), lo, name) for h, lo, hi, name in spans if h == g), default=None)
+        assert got[i] == ((best[2], best[0]) if best else (None, None))
