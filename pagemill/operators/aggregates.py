@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagemill.functions import geometry as G
 from pagemill.functions import vectors as V
 from pagemill.operators.components import components
-from pagemill.storage import small, stored
+from pagemill.operators.windows import placed
+from pagemill.storage import stored
 
 
 def token_max(pairs: DataFrame, by: list[str], score: str = "score", allowed: str = "allowed") -> DataFrame:
@@ -91,15 +95,14 @@ def cluster_summary(members: DataFrame, edges: DataFrame, overlap: float = 0.5)
     widest = F.max_by(F.struct(*members.columns), F.struct(F.col("x1") - F.col("x0"), -F.col("node")))
     kept = rows.groupBy("component", "page", "token").agg(widest.alias("_m"))
     sizes = kept.groupBy("component").agg(F.count("*").alias("size"), F.count_distinct("page").alias("n_pages")).where("size > 1").join(best_z, "component")
-    order = Window.orderBy(F.desc("size"), F.desc("best_z"), "component")  # one row for each cluster
-    sizes = sizes.withColumn("cluster", F.row_number().over(order))
+    sizes = placed(sizes, [-F.col("size"), -F.col("best_z"), F.col("component")], "cluster").withColumn("cluster", F.col("cluster").cast("int"))
     return kept.join(sizes, "component").select("cluster", "size", "n_pages", "best_z", "_m.*")
 
 
 def retrieval(scores: DataFrame, gold: DataFrame, by: list[str], a: str, b: str, score: str) -> DataFrame:
-    """Ranks of gold partners from both ends (1 + how many score higher): rank_a among a row's, rank_b among a column's."""
-    g = gold.select(a, b).distinct()
-    own = scores.join(g, [a, b], "left_semi").select(*by, a, b, F.col(score).alias("_s"))
+    """Ranks of gold(by, a, b) partners from both ends (1 + how many score higher): rank_a among a row's, rank_b among a column's."""
+    g = gold.select(*by, a, b).distinct()
+    own = scores.join(g, [*by, a, b], "left_semi").select(*by, a, b, F.col(score).alias("_s"))
     higher_a = own.join(scores.select(*by, a, F.col(score).alias("_o")), [*by, a]).groupBy(*by, a, b).agg((F.count_if(F.col("_o") > F.col("_s")) + 1).alias("rank_a"))
     higher_b = own.join(scores.select(*by, b, F.col(score).alias("_o")), [*by, b]).groupBy(*by, a, b).agg((F.count_if(F.col("_o") > F.col("_s")) + 1).alias("rank_b"))
     return higher_a.join(higher_b, [*by, a, b])
@@ -114,11 +117,11 @@ def retrieval_metrics(ranks: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def judged(accepted: DataFrame, gold: DataFrame, seen: DataFrame, a: str, b: str) -> DataFrame:
-    """How many accepted pairs are gold (correct), judged but not gold (wrong), or never judged."""
-    g = gold.select(a, b).distinct().withColumn("_g", F.lit(True))
-    s = seen.select(a, b).distinct().withColumn("_s", F.lit(True))
-    rows = accepted.select(a, b).join(g, [a, b], "left").join(s, [a, b], "left")
+def judged(accepted: DataFrame, gold: DataFrame, seen: DataFrame, on: list[str]) -> DataFrame:
+    """How many accepted pairs, named by the columns in on, are gold (correct), judged but not gold (wrong), or never judged."""
+    g = gold.select(*on).distinct().withColumn("_g", F.lit(True))
+    s = seen.select(*on).distinct().withColumn("_s", F.lit(True))
+    rows = accepted.select(*on).join(g, on, "left").join(s, on, "left")
     right, known = F.col("_g").isNotNull(), F.col("_s").isNotNull()
     return rows.agg(F.count_if(right).alias("correct"), F.count_if(~right & known).alias("wrong"), F.count_if(~right & ~known).alias("unjudged"))
 
@@ -130,16 +133,39 @@ def profiles(df: DataFrame, by: list[str], vector: str, width: str, dims: int) -
     return out.select(*by, F.array(*[f"s{i}" for i in range(dims)]).alias("profile"), "size", "median_width")
 
 
+#: Profiles that a member is compared with at a time.
+PROFILE_BLOCK = 1024
+
+
 def fit(members: DataFrame, profile: DataFrame, vector: str, own: str = "cluster") -> DataFrame:
     """Mean cosine of each member with each cluster; with its own cluster, itself left out: (dot - 1) / (n - 1). Null for a cluster of one.
 
-    Clusters are few beside members, so they are the side that is sent out, if their number is within the bound.
+    Members are compared with blocks of profiles as matrices; blocks of either
+    side meet in the cells of a grid, so neither is held whole.
     """
-    p = small(stored(profile.select(F.col(own).alias("target"), "profile", "size"), "profiles"))
-    rows = members.withColumn("_u", V.scaled(F.col(vector))).join(p, how="cross")
-    dot, mine = V.dot(F.col("_u"), F.col("profile")), F.col(own) == F.col("target")
-    mean = F.when(mine, F.try_divide(dot - 1, F.col("size") - 1)).otherwise(dot / F.col("size"))
-    return rows.withColumn("mean_cosine", mean).drop("_u", "profile")
+    p = profile.select(F.col(own).alias("target"), "profile", "size")
+    blocks = F.lit(max(1, -(-p.count() // PROFILE_BLOCK)))  # one row for each cluster
+    parts = F.lit(max(1, -(-members.count() // (8 * PROFILE_BLOCK))))
+    rest = [c for c in members.columns if c != vector]
+    left = members.withColumn("_u", V.scaled(F.col(vector))).withColumn("_i", F.pmod(F.xxhash64(*rest), parts)).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    right = p.withColumn("_j", F.pmod(F.xxhash64("target"), blocks)).withColumn("_i", F.explode(F.sequence(F.lit(0), parts - 1)))
+    kind = T.StructType([*members.drop(vector).schema.fields, *p.select("target", "size").schema.fields, T.StructField("mean_cosine", T.DoubleType())])
+
+    def each(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=kind.names)
+        u, q = np.array(a["_u"].tolist(), dtype=np.float64), np.array(b["profile"].tolist(), dtype=np.float64)
+        dot, size = u @ q.T, b["size"].to_numpy(dtype=np.float64)[None]
+        mine = a[own].to_numpy()[:, None] == b["target"].to_numpy()[None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.where(mine, np.where(size > 1, (dot - 1) / (size - 1), np.nan), dot / size)
+        x, y = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+        out = a[rest].iloc[x].reset_index(drop=True)
+        out["target"], out["size"], out["mean_cosine"] = b["target"].to_numpy()[y], b["size"].to_numpy()[y], mean.ravel()
+        return out
+
+    out = left.where("_u is not null").groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(each, kind)
+    return out.withColumn("mean_cosine", F.nanvl("mean_cosine", F.lit(None).cast("double")))
 
 
 def verdicts(fits: DataFrame, key: str, mean: float, deviation: float, margin: float = 0.5, least: float = 1.5, own: str = "cluster") -> DataFrame:
@@ -159,6 +185,24 @@ def verdicts(fits: DataFrame, key: str, mean: float, deviation: float, margin: f
     return out.withColumn("verdict", verdict)
 
 
+def overruled(checks: DataFrame, edges: DataFrame, members: DataFrame, key: str, least: float = 1.5, own: str = "cluster") -> DataFrame:
+    """Verdicts of checks(key, own, own_z, best_target, verdict) after what accepted matches say.
+
+    edges(a, b, z) are matches between members(key, own). A member doesn't move
+    while its strongest match in its own cluster is as strong as that in the
+    target, and isn't removed while it has any in its own.
+    """
+    both = edges.select(F.col("a").alias(key), F.col("b").alias("_other"), "z").unionByName(edges.select(F.col("b").alias(key), F.col("a").alias("_other"), "z"))
+    best = both.join(members.select(F.col(key).alias("_other"), F.col(own).alias("_of")), "_other").groupBy(key, "_of").agg(F.max("z").alias("_z"))
+    mine = best.select(key, F.col("_of").alias(own), F.col("_z").alias("_own_match"))
+    other = best.select(key, F.col("_of").alias("best_target"), F.col("_z").alias("_target_match"))
+    rows = checks.join(mine, [key, own], "left").join(other, [key, "best_target"], "left")
+    held = F.col("_own_match").isNotNull() & (F.col("_target_match").isNull() | (F.col("_own_match") >= F.col("_target_match")))
+    stays = F.when((F.col("own_z") < least) & F.col("_own_match").isNull(), "remove").otherwise("keep")
+    verdict = F.when((F.col("verdict") == "move") & held, stays).when((F.col("verdict") == "remove") & F.col("_own_match").isNotNull(), "keep").otherwise(F.col("verdict"))
+    return rows.withColumn("verdict", verdict).select(*checks.columns)
+
+
 def background(df: DataFrame, vector: str, dims: int) -> DataFrame:
     """Mean and deviation of the cosine over all pairs of different rows, exactly and without forming a pair.
 

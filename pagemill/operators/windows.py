@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from pagemill.storage import stored
+
 
 def _over(by: list[str], *order: Column | str) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
@@ -28,6 +30,20 @@ def numbered(df: DataFrame, by: list[str], order: list[Column | str], out: str =
     return df.withColumn(out, F.row_number().over(_over(by, *order)))
 
 
+def placed(df: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """Rows numbered from 1 over the whole table, without one task for all: rows are sorted by ranges, ranges are counted, and
+    each row's number is that within its range plus the rows of those before. Rows equal in the order are numbered in any."""
+    keys = [f"_k{i}" for i in range(len(order))]
+    ranged = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)]).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = stored(ranged.withColumn("_id", F.monotonically_increasing_id()), "placed")  # partition number above, place within below
+    part = F.shiftright("_id", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + own + 1).drop(*keys, "_id", "_part", "_start")
+
+
 def true_runs(df: DataFrame, by: list[str], at: str, flag: str) -> DataFrame:
     """Runs (start, end exclusive) of places where the flag is true; a missing place ends a run."""
     rows = df.where(F.col(flag))

@@ -95,12 +95,12 @@ def kernel_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.sheets(_drawn(spark, sf_dir)).select("page", "side", "x0", "x1")
 
 
-@query("SELECT count(*) AS rows, sum(value) FILTER (event_id < 0) AS none FROM events")
+@query("SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS ids, sum(event_id)::BIGINT AS id_sum, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table read as a stream of files and appended: nothing is lost or doubled."""
     kind = table(spark, sf_dir, "events").schema
     out = IN.drained(IN.arriving_rows(spark, sf_dir, kind, "events.parquet"), "event-log")
-    return out.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("event_id") < 0, F.col("value"))).alias("none"))
+    return out.groupBy("event_type").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("ids"), F.sum("event_id").alias("id_sum"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagemill.functions import geometry as G
 from pagemill.functions import stats as ST
@@ -15,9 +14,11 @@ from pagemill.operators import joins as J
 from pagemill.operators import rules as R
 from pagemill.operators import windows as W
 from pagemill.operators.components import components
+from pagemill.plans import spotting as S
 from pagemill.plans.standins import BOXES, CANDIDATES, WORDS, boxes, candidates, table, words
 from pagemill.sources import readers as RD
 from pagemill.sources import writers as WR
+from pagemill.storage import stored
 
 QUERIES, ORACLE = {}, {}
 
@@ -80,14 +81,19 @@ def scan_import_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occ.select("occ_id", "cluster_id", "page", "token")
 
 
-@query("""
-SELECT name, note FROM (SELECT min(p_type) AS name, min(p_brand) FILTER (p_type = t) AS note FROM (SELECT *, min(p_type) OVER (PARTITION BY lower(trim(p_type))) AS t FROM part) GROUP BY lower(trim(p_type)))
-WHERE lower(trim(name)) NOT IN (SELECT lower(trim(p_type)) FROM part WHERE p_size = 50)
+_SPELLED = "CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand || ' ' || p_size) ELSE ' ' || lower(p_brand || ' ' || p_size) END"
+
+
+@query(f"""
+WITH r AS (SELECT *, {_SPELLED} AS name FROM part), f AS (SELECT *, min(name) OVER (PARTITION BY lower(trim(name))) AS least FROM r)
+SELECT least AS name, min(p_type) FILTER (name = least) AS note FROM f WHERE lower(trim(name)) NOT IN (SELECT lower(p_brand || ' ' || p_size) FROM part WHERE p_retailprice > 1200) GROUP BY least
 """)
 def scan_new_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands with sizes, spelled in two ways, as concepts; those of dear parts are known."""
     p = table(spark, sf_dir, "part")
-    rows = p.select(F.col("p_type").alias("name"), F.col("p_brand").alias("note"))
-    return RD.new_concepts(rows, p.where("p_size = 50").select(F.col("p_type").alias("name")))
+    plain = F.concat_ws(" ", "p_brand", F.col("p_size").cast("string"))
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper(plain)).otherwise(F.concat(F.lit(" "), F.lower(plain)))
+    return RD.new_concepts(p.select(name.alias("name"), F.col("p_type").alias("note")), p.where("p_retailprice > 1200").select(plain.alias("name")))
 
 
 @query("""
@@ -165,10 +171,13 @@ def sink_retried_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- projections, filters ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('part', 'tokens'), ('box', 'occurrences'), ('sym', 'symbols')) t(input, detected)")
+@query("SELECT l_orderkey * 10 + l_linenumber AS occ_id, l_suppkey AS cluster_id, l_partkey AS x0, l_partkey + 9 AS x1, 'occurrences' AS detected, 'note' AS dropped, 7 AS missing FROM lineitem")
 def proj_schema_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headers = {"part": ["column", "line", "token", "width", "x"], "box": ["occ_id", "cluster_id", "page", "removed"], "sym": ["page", "kind", "ox0", "relation"]}
-    return spark.createDataFrame([(k, RD.detected(v)) for k, v in headers.items()], "input string, detected string")
+    """Line items under a header in another order: the schema it belongs to, its columns in that schema's order, what is left over and what is missing."""
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(F.lit("-").alias("note"), (F.col("l_partkey") + 9).alias("x1"), F.col("l_partkey").alias("x0"), F.col("l_suppkey").alias("cluster_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("occ_id"))
+    out, dropped, missing = RD.projected(rows)
+    return out.withColumns({"detected": F.lit(RD.detected(rows.columns)), "dropped": F.lit("; ".join(dropped)), "missing": F.lit(len(missing))})
 
 
 @query("SELECT p_partkey, round(ln(p_size / 20.0), 6) AS log_w, round(ln(p_retailprice / 1000.0), 6) AS log_h FROM part")
@@ -198,9 +207,7 @@ def proj_size_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page, cand FROM ({CANDIDATES}) WHERE w / 20.0 BETWEEN 1.2 AND 2.5")
 def filter_width_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pagemill.plans.spotting import Params, in_width
-
-    return in_width(candidates(spark, sf_dir), Params(min_width=1.2, max_width=2.5)).select("page", "cand")
+    return S.in_width(candidates(spark, sf_dir), S.Params(min_width=1.2, max_width=2.5)).select("page", "cand")
 
 
 _F = "SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount AS d, l_tax AS t, l_linenumber AS n FROM lineitem"
@@ -395,36 +402,37 @@ def join_anti_done(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAIRS = f"""
 WITH c AS ({CANDIDATES}), p AS (
-  SELECT a.tok AS tok_a, b.tok AS tok_b, a.cand AS i, b.cand AS j, list_cosine_similarity(a.f, b.f) AS score, a.w >= 30 AND b.w >= 30 AS allowed
-  FROM c a, c b WHERE a.page = 'p2' AND b.page = 'p3')
+  SELECT a.page AS page_a, b.page AS page_b, a.tok AS tok_a, b.tok AS tok_b, a.cand AS i, b.cand AS j, list_cosine_similarity(a.f, b.f) AS score, a.w >= 30 AND b.w >= 30 AS allowed
+  FROM c a JOIN c b ON a.page < b.page)
 """
+_BOTH = ["page_a", "page_b"]
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir)
-    side = lambda page, s: c.where(F.col("page") == page).select(F.col("tok").alias("tok_" + s), F.col("cand").alias({"a": "i", "b": "j"}[s]), F.col("w").alias("w_" + s), F.col("feat").alias("f_" + s))
-    p = side("p2", "a").join(side("p3", "b"), how="cross")
-    return p.select("tok_a", "tok_b", "i", "j", V.dot(F.col("f_a"), F.col("f_b")).alias("score"), ((F.col("w_a") >= 30) & (F.col("w_b") >= 30)).alias("allowed"))
+    """All candidates of every two pages."""
+    b = stored(S.blocks(candidates(spark, sf_dir)), "blocks")
+    p = S.candidate_scores(S.block_pairs(b, within=False))
+    return p.select(*_BOTH, "tok_a", "tok_b", "i", "j", "score", ((F.col("w_a") >= 1.5 - 1e-9) & (F.col("w_b") >= 1.5 - 1e-9)).alias("allowed"))
 
 
 @query(_PAIRS + """
-SELECT tok_a, tok_b, round(max(score), 6) AS u, round(max(score) FILTER (allowed), 6) AS t, max(i) FILTER (allowed AND n = 1) AS i, max(j) FILTER (allowed AND n = 1) AS j
-FROM (SELECT *, row_number() OVER (PARTITION BY tok_a, tok_b, allowed ORDER BY score DESC, i, j) AS n FROM p) GROUP BY ALL
+SELECT page_a, page_b, tok_a, tok_b, round(max(score), 6) AS u, round(max(score) FILTER (allowed), 6) AS t, max(i) FILTER (allowed AND n = 1) AS i, max(j) FILTER (allowed AND n = 1) AS j
+FROM (SELECT *, row_number() OVER (PARTITION BY page_a, page_b, tok_a, tok_b, allowed ORDER BY score DESC, i, j) AS n FROM p) GROUP BY ALL
 """)
 def agg_token_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.token_max(_pairs(spark, sf_dir), [])
-    return out.select("tok_a", "tok_b", F.round("u", 6).alias("u"), F.round("t", 6).alias("t"), "i", "j")
+    out = A.token_max(_pairs(spark, sf_dir), _BOTH)
+    return out.select(*_BOTH, "tok_a", "tok_b", F.round("u", 6).alias("u"), F.round("t", 6).alias("t"), "i", "j")
 
 
-@query(_PAIRS + "SELECT i, j, round((score - avg(score) OVER ()) / (stddev_pop(score) OVER () + 1e-8), 6) AS z FROM p")
+@query(_PAIRS + "SELECT page_a, page_b, i, j, round((score - avg(score) OVER g) / (stddev_pop(score) OVER g + 1e-8), 6) AS z FROM p WINDOW g AS (PARTITION BY page_a, page_b)")
 def agg_global_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.standardised(_pairs(spark, sf_dir), "score", "z", []).select("i", "j", F.round("z", 6).alias("z"))
+    return ST.standardised(_pairs(spark, sf_dir), "score", "z", _BOTH).select(*_BOTH, "i", "j", F.round("z", 6).alias("z"))
 
 
-@query(_PAIRS + ", t AS (SELECT tok_a, tok_b, max(score) AS u FROM p GROUP BY ALL) SELECT tok_a, tok_b, round(least((u - avg(u) OVER a) / (stddev_pop(u) OVER a + 1e-8), (u - avg(u) OVER b) / (stddev_pop(u) OVER b + 1e-8)), 6) AS z FROM t WINDOW a AS (PARTITION BY tok_a), b AS (PARTITION BY tok_b)")
+@query(_PAIRS + ", t AS (SELECT page_a, page_b, tok_a, tok_b, max(score) AS u FROM p GROUP BY ALL) SELECT page_a, page_b, tok_a, tok_b, round(least((u - avg(u) OVER a) / (stddev_pop(u) OVER a + 1e-8), (u - avg(u) OVER b) / (stddev_pop(u) OVER b + 1e-8)), 6) AS z FROM t WINDOW a AS (PARTITION BY page_a, page_b, tok_a), b AS (PARTITION BY page_a, page_b, tok_b)")
 def agg_background_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = A.token_max(_pairs(spark, sf_dir), [])
-    return A.background_z(t, [], F.col("u"), "u", "z").select("tok_a", "tok_b", F.round("z", 6).alias("z"))
+    t = stored(A.token_max(_pairs(spark, sf_dir), _BOTH), "token-max")
+    return A.background_z(t, _BOTH, F.col("u"), "u", "z").select(*_BOTH, "tok_a", "tok_b", F.round("z", 6).alias("z"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round((l_quantity * 0.5 - l_tax * 0.25) / 0.75, 6) AS mix FROM lineitem")
@@ -458,9 +466,7 @@ l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, a AS b FROM
 
 @query(_EDGES + "SELECT a AS node, min(b) AS component FROM r GROUP BY a")
 def agg_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pagemill.plans.spotting import similar
-
-    return components(similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4))
+    return components(S.similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4))
 
 
 @query()
@@ -670,9 +676,9 @@ def set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.intersect(table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey"))
 
 
-@query(_PAIRS + "SELECT i, j, round(score, 6) AS score FROM p ORDER BY p.score DESC, i, j LIMIT 15")
+@query(_PAIRS + "SELECT page_a, page_b, i, j, round(score, 6) AS score FROM p ORDER BY p.score DESC, i, j LIMIT 15")
 def sort_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).orderBy(F.desc("score"), "i", "j").limit(15).select("i", "j", F.round("score", 6).alias("score"))
+    return _pairs(spark, sf_dir).orderBy(F.desc("score"), "i", "j").limit(15).select(*_BOTH, "i", "j", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH c AS ({CANDIDATES}), q AS (SELECT * FROM c WHERE cand = 17) SELECT c.cand, round(list_cosine_similarity(c.f, q.f), 6) AS score FROM c, q WHERE c.cand <> 17 AND sqrt(pow(ln(c.w / q.w), 2) + pow(ln(c.h / q.h), 2)) <= -ln(0.85) ORDER BY list_cosine_similarity(c.f, q.f) DESC, c.cand LIMIT 5")
@@ -687,7 +693,7 @@ def sort_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey % 1000, p_partkey) AS place FROM part")
 def sort_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Symbol "), (F.col("p_partkey") % 1000).cast("string")).alias("label"))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy(TX.natural_key(F.col("label")), "p_partkey")).alias("place"))
+    return W.placed(p, [TX.natural_key(F.col("label")), F.col("p_partkey")]).select("p_partkey", "place")
 
 
 @query("SELECT l_orderkey, l_linenumber, (l_suppkey % 4 + 1)::INT AS col, l_linenumber AS line, (l_partkey % 30)::INT AS token FROM lineitem")

@@ -193,6 +193,21 @@ def moments(pairs: Cells, p: Params, steps: int = 40) -> DataFrame:
     return sums.select("page_a", "page_b", *[mean[k].alias(f"m_{k}") for k in names], *[spread[k].alias(f"d_{k}") for k in names])
 
 
+def candidate_scores(pairs: Cells) -> DataFrame:
+    """The score matrices as rows: the cosine of every pair of candidates of every comparison, with their tokens and sizes in pitches."""
+    kinds = "page_a string, page_b string, tok_a long, tok_b long, i long, j long, score double, w_a double, w_b double"
+
+    def each(x: dict, y: dict) -> pd.DataFrame:
+        a, b = (_arrays(r["rows"], ["cos"]) for r in (x, y))
+        i, j = np.repeat(np.arange(len(a["tok"])), len(b["tok"])), np.tile(np.arange(len(b["tok"])), len(a["tok"]))
+        return pd.DataFrame({
+            "page_a": x["page"], "page_b": y["page"], "tok_a": a["tok"][i], "tok_b": b["tok"][j], "i": a["cand"][i], "j": b["cand"][j],
+            "score": K.cosines(a["feat"], b["feat"]).ravel(), "w_a": np.exp(a["size"][i, 0]), "w_b": np.exp(b["size"][j, 0]),
+        })
+
+    return pairs.compared(each, kinds)
+
+
 def token_scores(pairs: Cells, p: Params, steps: int = 40) -> DataFrame:
     """For each pair of tokens of a comparison: u, the best mixed score of all candidate pairs; t, the best of those alike
     in size and long enough; and the candidates i, j that reach t, with their cosine and distance.

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 
 from pagemill import schema
 from pagemill.functions.text import folded
+from pagemill.operators.windows import placed
+from pagemill.storage import stored
 
 #: Suffixes of page images.
 IMAGES = ("jpg", "jpeg", "png", "tif", "tiff", "bmp")
@@ -117,21 +119,18 @@ def page_column(columns: list[str]) -> str | None:
 def imported_clusters(rows: DataFrame, run_id: str, have: DataFrame | None = None, first_cluster: int = 1, first_occurrence: int = 1) -> tuple[DataFrame, DataFrame]:
     """clusters.csv rows as (clusters, occurrences) with ids in the order of first sight; an imported run is refused.
 
-    rows has an order column `ord`. Clusters are numbered among themselves, so
-    only their first rows are sorted in one place.
+    rows has an order column `ord`. Both are numbered by ranges, so neither has
+    to be sorted in one place.
     """
     if have is not None and not have.where(F.col("run_id") == run_id).isEmpty():
         raise InputError(f"run {run_id} is imported already")
     seen = rows.groupBy("cluster").agg(F.min("ord").alias("first"), F.max("best_z").alias("best_z"))
-    ids = seen.withColumn("cluster_id", F.row_number().over(Window.orderBy("first")) + first_cluster - 1)
+    ids = placed(seen, [F.col("first")], "cluster_id").withColumn("cluster_id", F.col("cluster_id") + first_cluster - 1)
+    ids = stored(ids, "cluster-ids")
     out = ids.select("cluster_id", F.lit(run_id).alias("run_id"), F.col("cluster").alias("number"), "best_z", F.lit("pending").alias("status"))
-    place = Window.partitionBy("cluster").orderBy("ord")
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("cluster").agg(F.count("*").alias("_n")).join(ids, "cluster")
-    sizes = sizes.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    occ = rows.withColumn("_k", F.row_number().over(place)).join(sizes.select("cluster", "cluster_id", "_from"), "cluster")
+    occ = placed(rows.drop("best_z").join(ids.select("cluster", "cluster_id"), "cluster"), [F.col("cluster_id"), F.col("ord")], "_place")
     return out, occ.select(
-        (F.col("_from") + F.col("_k") + first_occurrence - 1).alias("occ_id"), "cluster_id", F.col("cluster_id").alias("origin_cluster"),
+        (F.col("_place") + first_occurrence - 1).alias("occ_id"), "cluster_id", F.col("cluster_id").alias("origin_cluster"),
         "page", "token", "candidate", "x0", "y0", "x1", "y1", F.lit(0).alias("removed"),
     )
 

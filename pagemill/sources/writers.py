@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.joins import replaced, without
-from pagemill.storage import stored
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
@@ -64,8 +64,43 @@ def merged_in_order(tables: DataFrame, order: DataFrame, page: str = "page", key
 
 
 def rewritten(df: DataFrame, path: str) -> None:
-    """Replace a table that df itself may be read from: written aside first."""
-    stored(df, "aside").write.mode("overwrite").parquet(path)
+    """Replace a table that df itself may be read from.
+
+    The new table is written beside the old one; then names are exchanged, which
+    a file system does at once, so a crash leaves the old or the new table, and
+    between the two names the old one as path.old, which the next reading by
+    recovered() puts back.
+    """
+    spark = df.sparkSession
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    files, at = _files(spark, path)
+    recovered(spark, path)
+    old = at(f"{path.rstrip('/')}.old")
+    if files.exists(at(path)) and not files.rename(at(path), old):
+        raise OSError(f"can't set {path} aside")
+    if not files.rename(at(new), at(path)):
+        files.rename(old, at(path))
+        raise OSError(f"can't put the new table at {path}")
+    files.delete(old, True)
+
+
+def recovered(spark: SparkSession, path: str) -> str:
+    """path, after a rewrite that was cut off has been undone or finished."""
+    files, at = _files(spark, path)
+    old = at(f"{path.rstrip('/')}.old")
+    if files.exists(old):
+        if files.exists(at(path)):
+            files.delete(old, True)
+        else:
+            files.rename(old, at(path))
+    return path
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a function that makes its paths."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def decided(clusters: DataFrame, occurrences: DataFrame, run: str, include_removed: bool = False) -> DataFrame:

@@ -99,6 +99,17 @@ def test_tables(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_rewrite_cut_off(spark, tmp_path):
+    """A crash between the two exchanges of names leaves the old table aside; it is put back."""
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert spark.read.parquet(WR.recovered(spark, path)).count() == 3
+    spark.range(9).write.parquet(path + ".old")  # the new table is there, the old one not yet deleted
+    WR.rewritten(spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
 def test_graph(spark):
     notes = spark.createDataFrame([("c", "eQuus", "p1", 0, 0, 1, 1), ("c", "EQUUS", "p2", 0, 0, 1, 1), ("c", "Name", "p1", 5, 5, 6, 6)], "concept string, name string, page string, x0 int, y0 int, x1 int, y1 int")
     symbols = spark.createDataFrame([("p1", "s1", "brace", "symbol", 0, 0, 2, 2), ("p1", "s1", "brace", "member", 3, 3, 4, 4), ("p1", "s9", "brace", "note", 3, 3, 4, 4)], "page string, symbol string, kind string, relation string, x0 int, y0 int, x1 int, y1 int")

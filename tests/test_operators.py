@@ -144,7 +144,7 @@ def test_folder_run_on_drawn_pages(spark):
 
 def test_retrieval_and_votes(spark):
     s = spark.createDataFrame([(0, 1, 1, 5.0), (0, 1, 2, 7.0), (0, 2, 1, 1.0), (0, 2, 2, 7.0)], "g int, a int, b int, s double")
-    g = spark.createDataFrame([(1, 1)], "a int, b int")
+    g = spark.createDataFrame([(0, 1, 1)], "g int, a int, b int")
     r = A.retrieval(s, g, ["g"], "a", "b", "s").first()
     assert (r.rank_a, r.rank_b) == (2, 1)
     v = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (2, "z", 1), (2, "z", 2)], "c int, r string, o int")
@@ -238,3 +238,22 @@ def test_containing_or_nearest_against_all(spark):
     for i, g, x in points:
         best = min(((max(0, lo - x, x - hi), lo, name) for h, lo, hi, name in spans if h == g), default=None)
         assert got[i] == ((best[2], best[0]) if best else (None, None))
+
+
+def test_checks_overruled_by_matches(spark):
+    """A match in its own cluster keeps a word, unless one in the target is stronger."""
+    checks = [(1, 10, 1.0, 20, "move"), (2, 10, 1.0, 20, "move"), (3, 10, 0.1, 20, "move"), (4, 10, 0.2, None, "remove"), (5, 10, 0.2, None, "remove"), (6, 20, 3.0, 10, "keep"), (7, 10, 2.0, 20, "move")]
+    edges = [(1, 6, 9.0), (1, 2, 3.0), (2, 1, 3.0), (4, 5, 2.0), (7, 1, 4.0), (6, 7, 4.0)]
+    c = spark.createDataFrame(checks, "occ_id long, cluster long, own_z double, best_target long, verdict string")
+    e = spark.createDataFrame(edges, "a long, b long, z double")
+    got = {r.occ_id: r.verdict for r in A.overruled(c, e, c.select("occ_id", "cluster"), "occ_id").collect()}
+    # 1: 9 in the target beats 3 and 4 in its own; 2: 3 in its own, none there; 3: no match at all; 7: 4 on both sides
+    assert got == {1: "move", 2: "keep", 3: "move", 4: "keep", 5: "keep", 6: "keep", 7: "keep"}
+
+
+def test_placed(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), int(x)) for i, x in enumerate(rng.integers(0, 200, 3000))]
+    got = {r.i: r.place for r in W.placed(spark.createDataFrame(rows, "i int, x int"), [F.col("x"), F.col("i")]).collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
+    assert W.placed(spark.createDataFrame([], "i int, x int"), [F.col("x")]).count() == 0
