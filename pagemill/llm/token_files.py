@@ -20,9 +20,12 @@ Beside the files lies the table of ranks, which is as long as the vocabulary.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import itertools
 import json
+import os
 import re
 import struct
 import zlib
@@ -45,7 +48,7 @@ BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Blocks in one file.
 FILE_BLOCKS = 16
 #: Pieces in a generation of those that a worker remembers; it keeps two.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _LENGTHS = (1 + ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3)).astype(np.uint8)  # of the four ids of each control byte
 _PLACES = np.arange(4, dtype=np.uint8)
 
@@ -236,9 +239,24 @@ _BYTE_LETTERS = {b: 289 + i for i, b in enumerate([*range(127, 161), 173])}
 
 @cache
 def encoder(path: str, end: int | None) -> Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
     return Encoder(path, end)
 
 
+def _given_back() -> None:
+    """Hand freed memory back to the system, where the C library can: a worker lives on for other tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _forgotten() -> None:
+    """Drop what a worker remembers; writing and reading files need the room."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        _given_back()
+
+
 _SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
@@ -271,6 +289,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None = 1) -> DataFrame
                 packed = pa.array([_packed(x, encode.width) for x in ids], pa.binary())
                 n = pa.array([len(x) // int(encode.width[-1]) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column(0), packed, n], ["doc_id", "ids", "n"])
+        _given_back()
         if len(seen):
             row = [pa.array([None], pa.int64()), pa.array([_packed(seen.astype("<u8").tobytes(), "<u8")]), pa.array([-1])]
             yield pa.RecordBatch.from_arrays(row, ["doc_id", "ids", "n"])
@@ -303,7 +322,7 @@ def write(tokens: DataFrame, path: str) -> None:
     shared = spark.sparkContext.broadcast(table)  # 4 bytes for each id of the vocabulary
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # a worker that encoded before needs the room now
+        _forgotten()
         ids: list[int | None] = []
         counts: list[int] = []
         parts: list[np.ndarray] = []
@@ -345,7 +364,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(back)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()
+        _forgotten()
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 at = 0
