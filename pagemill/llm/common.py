@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +13,7 @@ from pyspark.sql.window import Window
 from pagemill.storage import BROADCAST_ROWS, new_path, shared_dir, small, stored
 
 __all__ = [
-    "BROADCAST_ROWS", "SPACE", "WORD", "crc_mod", "dropped", "free_name", "named", "new_path", "sampled", "shared_dir", "small", "stored", "table", "text_of",
+    "BROADCAST_ROWS", "SPACE", "WORD", "crc_mod", "dropped", "free_name", "given_back", "named", "new_path", "sampled", "shared_dir", "small", "stored", "table", "text_of",
     "word_count", "words_of",
 ]
 
@@ -92,6 +96,13 @@ def sampled(rows: DataFrame, most: int, by: str | None = None, ids: DataFrame |
     return rows.join(few, ["doc_id", *keys]).groupBy("doc_id", "turn", *keys).agg(text).select("doc_id", "turn", *keys, "_t.text")
 
 
+def given_back() -> None:
+    """In a worker: hand freed memory back to the system, where the C library can. Workers live on for other tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df has it, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import dropped, free_name, small, stored, text_of
+from pagemill.llm.common import dropped, free_name, given_back, small, stored, text_of
 from pagemill.operators.components import components
 
 #: A key with more classes than this is split into cells of about this size.
@@ -212,6 +212,8 @@ def links(rows: DataFrame, key: list[str], node: str, words: dict[str, list[str]
                 yield linked([c[:last] for c in part], starts[:-1])
         if held is not None and len(held[0]):
             yield linked(held, np.array([0, len(held[0])]))
+            held = None
+            given_back()
 
     dealt = rows.select(*columns).repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInArrow(each, "a long, b long").distinct()
@@ -307,6 +309,7 @@ def sketches(rows: DataFrame, size: int = 5) -> DataFrame:
             found = [sketch(t, size) for t in batch.column(2).to_pylist()]
             words = np.array(found, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(words[:, i].copy()) for i in range(len(names))]], ["row", "doc_id", *names])
+        given_back()
 
     narrow = rows.select("row", "doc_id", text_of().cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -371,6 +374,8 @@ def verified(texts: DataFrame, size: int = 5) -> DataFrame:
                 sets.append(shingle_set(text, size))
         if nodes:
             yield linked(held[0], nodes, known, sets)
+            sets = []
+            given_back()
 
     dealt = texts.select("part", "cell", "node", "known", "text").repartition("part", "cell").sortWithinPartitions("part", "cell", "node")
     return dealt.mapInArrow(each, "part long, node long, root long")

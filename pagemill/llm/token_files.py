@@ -20,8 +20,6 @@ Beside the files lies the table of ranks, which is as long as the vocabulary.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import itertools
 import json
@@ -39,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.llm.common import dropped, new_path, stored, text_of
+from pagemill.llm.common import dropped, given_back, new_path, stored, text_of
 
 MAGIC = b"PMT1"
 HEAD = struct.Struct("<4sIIQI")
@@ -243,18 +241,11 @@ def encoder(path: str, end: int | None) -> Encoder:
     return Encoder(path, end)
 
 
-def _given_back() -> None:
-    """Hand freed memory back to the system, where the C library can: a worker lives on for other tasks."""
-    gc.collect()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def _forgotten() -> None:
     """Drop what a worker remembers; writing and reading files need the room."""
     if encoder.cache_info().currsize:
         encoder.cache_clear()
-        _given_back()
+        given_back()
 
 
 _SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -289,7 +280,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None = 1) -> DataFrame
                 packed = pa.array([_packed(x, encode.width) for x in ids], pa.binary())
                 n = pa.array([len(x) // int(encode.width[-1]) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([some.column(0), packed, n], ["doc_id", "ids", "n"])
-        _given_back()
+        given_back()
         if len(seen):
             row = [pa.array([None], pa.int64()), pa.array([_packed(seen.astype("<u8").tobytes(), "<u8")]), pa.array([-1])]
             yield pa.RecordBatch.from_arrays(row, ["doc_id", "ids", "n"])
