@@ -32,11 +32,13 @@ def _ellipse(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
     return float(np.sqrt(values[0] / values[1])), float(np.mean(np.abs(radius - 1)) * scale), len(np.unique(angle)) / 36, float((radius < 0.3).mean())
 
 
-def measured(image: np.ndarray, ink: np.ndarray, spacing: float, stroke: float) -> list[dict]:
+def measured(image: np.ndarray, ink: np.ndarray, spacing: float, stroke: float, colour: np.ndarray | None = None) -> list[dict]:
     """Every component with its measures. Sizes are in line spacings, thickness, wave and error in stroke widths,
-    surroundings in squared stroke widths; dark is how far ink is from the paper's brightness, as a share."""
+    surroundings in squared stroke widths; dark is how far ink is from the paper's brightness, as a share. With the pixels'
+    saturation, each has its own median saturation, and the page's ink's and paper's."""
     paper = float(np.percentile(image, 90))
     blackest = float(np.percentile(image[ink], 10)) if ink.any() else 0.0
+    tints = {} if colour is None or not ink.any() else {"ink_saturation": float(np.median(colour[ink])), "paper_saturation": float(np.median(colour[~ink]))}
     lab, _ = I.labels(ink)
     right_of = np.array([row.nonzero()[0].max(initial=-1) for row in ink])
     out = []
@@ -60,6 +62,7 @@ def measured(image: np.ndarray, ink: np.ndarray, spacing: float, stroke: float)
             "dark": float((paper - image[y0:y1, x0:x1][own].mean()) / max(1.0, paper - blackest)), "aspect": w / h, "around": float(around) / stroke**2,
             "axes": axes, "error": error / stroke, "covered": covered, "centre": centre,
             "gap": (x0 - int(before.max()) - 1) / spacing if len(before) else np.inf, "last": bool((right_of[y0:y1] < x1).all()),
+            **({"saturation": float(np.median(colour[y0:y1, x0:x1][own])), **tints} if tints else {}),
         })
     return out
 
@@ -117,29 +120,56 @@ def linked_arms(arms: list[dict], spacing: float) -> list[list[dict]]:
     return out
 
 
-def braces(ink: np.ndarray, spacing: float, stroke: float) -> list[dict]:
-    """Candidates for braces with the features of the brace rule: slope, resid (bend towards the cusp), left_text, arms, height, isolation."""
+def _brace(ink: np.ndarray, own: np.ndarray, box: tuple[int, int, int, int], arms: int, spacing: float, stroke: float) -> dict:
+    """What the brace rule is asked about: own are the candidate's pixels within its box, ink the page's other ink."""
+    x0, y0, x1, y1 = box
+    rows = np.flatnonzero(own.any(axis=1))
+    middle = np.array([np.mean(np.nonzero(own[r])[0]) for r in rows])
+    slope, resid = _line_fit(rows, middle)
+    side = max(1, int(0.6 * spacing))
+    left, right = ink[y0:y1, max(0, x0 - side) : x0], ink[y0:y1, x1 : x1 + side]
+    text = ink[y0:y1, max(0, x0 - int(6 * spacing)) : x0]
+    free = lambda m: float(1 - m.any(axis=1).mean()) if m.size else 1.0
+    cusp = int(rows[np.abs(middle - np.median(middle)).argmax()]) + y0
+    return {
+        "x0": x0, "y0": y0, "x1": x1, "y1": y1, "slope": slope, "resid": resid / stroke, "left_text": float(text.any(axis=1).mean()) if text.size else 0.0,
+        "arms": arms, "height": (y1 - y0) / spacing, "iso_left": free(left), "iso_right": free(right), "cusp": cusp,
+    }
+
+
+def traced(ink: np.ndarray, spacing: float, least: float = 1.6, widest: float = 0.9) -> list[tuple[np.ndarray, tuple[int, int, int, int]]]:
+    """Long strokes from top to bottom that touch words, so that they are no component of their own: (pixels, box) of each.
+
+    A path opening keeps the ink that lies on a downward path of at least so
+    many line spacings; what it keeps falls into strokes.
+    """
+    kept = I.path_length(ink.T).T >= least * spacing
+    lab, _ = I.labels(kept)
     out = []
+    for c in I.components(kept):
+        if c["x1"] - c["x0"] <= widest * spacing and c["y1"] - c["y0"] >= least * spacing:
+            box = c["x0"], c["y0"], c["x1"], c["y1"]
+            out.append((lab[c["y0"] : c["y1"], c["x0"] : c["x1"]] == c["label"], box))
+    return out
+
+
+def braces(ink: np.ndarray, spacing: float, stroke: float) -> list[dict]:
+    """Candidates for braces with the features of the brace rule: slope, resid (bend towards the cusp), left_text, arms, height,
+    isolation, and whether they were stacked from parts or traced through other ink."""
+    out, rest = [], ink.copy()
     for chain in linked_arms(brace_arms(ink, spacing), spacing):
-        x0, x1 = min(c["x0"] for c in chain), max(c["x1"] for c in chain)
-        y0, y1 = chain[0]["y0"], chain[-1]["y1"]
-        part = ink[y0:y1, x0:x1]
-        rows = np.flatnonzero(part.any(axis=1))
-        middle = np.array([np.mean(np.nonzero(part[r])[0]) for r in rows])
-        slope, resid = _line_fit(rows, middle)
-        side = max(1, int(0.6 * spacing))
-        left, right = ink[y0:y1, max(0, x0 - side) : x0], ink[y0:y1, x1 : x1 + side]
-        text = ink[y0:y1, max(0, x0 - int(6 * spacing)) : x0]
-        free = lambda m: float(1 - m.any(axis=1).mean()) if m.size else 1.0
-        cusp = int(rows[np.abs(middle - np.median(middle)).argmax()]) + y0
-        out.append({
-            "x0": x0, "y0": y0, "x1": x1, "y1": y1, "slope": slope, "resid": resid / stroke, "left_text": float(text.any(axis=1).mean()) if text.size else 0.0,
-            "arms": len(chain), "height": (y1 - y0) / spacing, "iso_left": free(left), "iso_right": free(right), "cusp": cusp,
-        })
+        box = min(c["x0"] for c in chain), chain[0]["y0"], max(c["x1"] for c in chain), chain[-1]["y1"]
+        out.append(_brace(ink, ink[box[1] : box[3], box[0] : box[2]], box, len(chain), spacing, stroke) | {"traced": 0})
+        for c in chain:
+            rest[c["y0"] : c["y1"], c["x0"] : c["x1"]] = False
+    for own, box in traced(rest, spacing):
+        others = ink.copy()
+        others[box[1] : box[3], box[0] : box[2]] &= ~own
+        out.append(_brace(others, own, box, 1, spacing, stroke) | {"traced": 1})
     return out
 
 
-def page_marks(image: np.ndarray) -> dict:
+def page_marks(image: np.ndarray, colour: np.ndarray | None = None) -> dict:
     """Spacing, stroke width, ruled lines, components, strokes and brace candidates of a page. Ink of a ruled line is taken out before the rest is measured."""
     ink = I.binarised(image)
     spacing, stroke = S.line_pitch(ink), I.stroke_width(ink)
@@ -147,4 +177,4 @@ def page_marks(image: np.ndarray) -> dict:
     rest = ink.copy()
     for r in rules:
         rest[r["y0"] : r["y1"], r["x0"] : r["x1"]] = False
-    return {"spacing": spacing, "stroke": stroke, "rules": rules, "parts": measured(image, rest, spacing, stroke), "strokes": strokes(rest, spacing, stroke), "braces": braces(rest, spacing, stroke)}
+    return {"spacing": spacing, "stroke": stroke, "rules": rules, "parts": measured(image, rest, spacing, stroke, colour), "strokes": strokes(rest, spacing, stroke), "braces": braces(rest, spacing, stroke)}

@@ -54,7 +54,8 @@ def agg_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding drawn as a word of bars on the page of its label: two columns, three words to a line, as images."""
+    """Every embedding drawn as a word of eight bars, each as high as eight of its numbers say, on pages of its label: two
+    columns, three words to a line, as images. A page has the vectors of one label and three hundred ids."""
 
     def each(parts):
         import pandas as pd
@@ -66,14 +67,16 @@ def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
                 im = np.full((max(400, 110 + 45 * lines), 300), 235, dtype=np.uint8)
                 for n, word in enumerate(row.words):
                     x, y = 20 + 150 * (n % 2) + 38 * (n // 2 % 3), 30 + 45 * (n // 6)
-                    for k, v in enumerate(word["v"][:7]):
-                        im[y : y + 12 + int(abs(v) * 40) % 7, x + 3 * k : x + 3 * k + 2] = 20
+                    v = np.abs(np.asarray(word["v"], dtype=np.float64)).reshape(8, -1).sum(axis=1)
+                    for k, high in enumerate(v):
+                        im[y : y + 12 + int(high * 40) % 7, x + 3 * k : x + 3 * k + 2] = 20
                 im[-12:-9, 10:290] = 20  # a ruled line, and a dash above it
                 im[-32:-28, 120:160] = 20
                 out.append((row.page, *im.shape, 1, im.tobytes()))
             yield pd.DataFrame(out, columns=["page", "height", "width", "channels", "data"])
 
-    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("page"), F.struct("vec_id", F.slice("embedding", 1, 7).alias("v")).alias("w"))
+    name = F.concat(F.lit("p"), F.col("label").cast("string"), F.lit("_"), F.floor(F.col("vec_id") / 300).cast("string"))
+    e = table(spark, sf_dir, "embeddings").select(name.alias("page"), F.struct("vec_id", F.col("embedding").alias("v")).alias("w"))
     pages = e.groupBy("page").agg(F.sort_array(F.collect_list("w")).alias("words"))
     return pages.mapInPandas(each, "page string, height int, width int, channels int, data binary")
 
@@ -121,6 +124,20 @@ def agg_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.profiles(e, ["label"], "embedding", "w", 64).select("label", "size", F.round(F.col("profile")[0], 6).alias("first"))
 
 
+@query()
+def kernel_straightened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets found, straight and evenly lit: their size, and how much of each is paper."""
+    rows = P.straightened(_drawn(spark, sf_dir)).where("error is null")
+    return rows.select("page", "height", "width", F.size("to_original").alias("numbers"), F.length("data").alias("pixels"))
+
+
+@query()
+def sink_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the boxes of their words drawn in, as image files."""
+    images = stored(_drawn(spark, sf_dir), "drawn")
+    return P.overlays(images, P.tokens(images).where("error is null")).select("page", (F.length("png") > 60).alias("image"), F.hex(F.substring("png", 1, 4)).alias("kind"))
+
+
 @query()
 def kernel_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks found on drawn pages, by kind."""

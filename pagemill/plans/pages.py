@@ -13,6 +13,7 @@ from pagemill.kernels import image as I
 from pagemill.kernels import marks as M
 from pagemill.kernels import pairs as K
 from pagemill.kernels import polygons as L
+from pagemill.kernels import sheets as SH
 from pagemill.operators import rules as R
 from pagemill.storage import stored
 
@@ -29,15 +30,23 @@ def pixels(row) -> np.ndarray:
     return I.grey(data[..., :3]) if data.shape[2] >= 3 else data[..., 0].astype(np.float64)
 
 
-def _by_page(images: DataFrame, work, schema: str, failed: dict) -> DataFrame:
-    """work(page, pixels) -> rows for each image. A page that fails gives one row with its error and stops nothing."""
+def tint(row) -> np.ndarray | None:
+    """Saturation of a row's pixels; none for grey images."""
+    data = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width, -1)
+    return SH.saturation(data[..., :3]) if data.shape[2] >= 3 else None
+
+
+def _by_page(images: DataFrame, work, schema: str, failed: dict, colour: bool = False) -> DataFrame:
+    """work(page, pixels), with colour work(page, pixels, saturation), -> rows for each image. A page that fails gives one row
+    with its error and stops nothing."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
         for part in parts:
             for row in part.itertuples():
                 try:
-                    out = [r | {"page": row.page, "error": None} for r in work(row.page, pixels(row))]
+                    more = (tint(row),) if colour else ()
+                    out = [r | {"page": row.page, "error": None} for r in work(row.page, pixels(row), *more)]
                 except Exception as e:  # noqa: BLE001
                     out = [failed | {"page": row.page, "error": f"{type(e).__name__}: {e}"[:500]}]
                 if out:
@@ -83,19 +92,20 @@ _PART = "page string, kind string, x0 int, y0 int, x1 int, y1 int, spacing doubl
 def measured(images: DataFrame) -> DataFrame:
     """Everything on a page that may be a mark, with its measures: kind rule, part, stroke or brace (candidates)."""
 
-    def work(page: str, im: np.ndarray) -> list[dict]:
-        found, out = M.page_marks(im), []
+    def work(page: str, im: np.ndarray, colour: np.ndarray | None) -> list[dict]:
+        found, out = M.page_marks(im, colour), []
         for kind, rows in (("rule", found["rules"]), ("part", found["parts"]), ("stroke", found["strokes"]), ("brace", found["braces"])):
             for r in rows:
                 numbers = {k: float(v) for k, v in r.items() if k not in ("x0", "y0", "x1", "y1", "label", "kind") and np.isfinite(v)}
                 out.append({k: r[k] for k in ("x0", "y0", "x1", "y1")} | {"kind": kind, "spacing": found["spacing"], "stroke": found["stroke"], "measures": numbers})
         return out
 
-    return _by_page(images, work, _PART, dict.fromkeys(("x0", "y0", "x1", "y1"), -1) | {"kind": None, "spacing": None, "stroke": None, "measures": None})
+    return _by_page(images, work, _PART, dict.fromkeys(("x0", "y0", "x1", "y1"), -1) | {"kind": None, "spacing": None, "stroke": None, "measures": None}, colour=True)
 
 
 def marks(images: DataFrame) -> DataFrame:
-    """Marks of each page by the decision rules: rule, dash, circle, filler, slash, brace. A component gets the first kind that fits."""
+    """Marks of each page by the decision rules: rule, dash, circle, filler, slash, brace. A component gets the first kind that
+    fits; circles on colour images say whether they are drawn in pencil or ink."""
     rows = measured(images)
     m = lambda c: F.coalesce(F.try_element_at("measures", F.lit(c)), F.lit(float("inf")))
     yes = lambda c: m(c) == 1.0
@@ -110,7 +120,9 @@ def marks(images: DataFrame) -> DataFrame:
         .when((F.col("kind") == "part") & filler, "filler")
     )
     out = rows.withColumn("kind", kind).where("kind is not null or error is not null")
-    return out.select("page", "kind", "x0", "y0", "x1", "y1", "spacing", "stroke", F.to_json("measures").alias("attributes"), "error")
+    tinted = F.map_contains_key("measures", "saturation")
+    medium = F.when((F.col("kind") == "circle") & tinted, F.when(R.pencil(m("saturation"), m("ink_saturation"), m("paper_saturation")), "pencil").otherwise("ink"))
+    return out.select("page", "kind", "x0", "y0", "x1", "y1", "spacing", "stroke", F.to_json("measures").alias("attributes"), medium.alias("medium"), "error")
 
 
 def polygons(images: DataFrame, layout: I.Layout = I.Layout()) -> DataFrame:  # noqa: B008
@@ -131,6 +143,54 @@ def components(images: DataFrame) -> DataFrame:
     return _by_page(images, lambda _, im: I.components(I.binarised(im)), kinds, empty)
 
 
+def straightened(images: DataFrame, inset: float = 0.004) -> DataFrame:
+    """Each photograph's sheet as an upright, evenly lit grey rectangle (page, height, width, channels, data), and to_original, the
+    matrix row by row from its pixels to the photograph's."""
+    kinds = "page string, height int, width int, channels int, data binary, to_original array<double>, error string"
+
+    def work(page: str, im: np.ndarray, colour: np.ndarray | None) -> list[dict]:
+        sheet, matrix = SH.straightened(im, SH.corners(I.sheet_mask(im, colour)), inset)
+        sheet = SH.evened(sheet).astype(np.uint8)
+        return [{"height": sheet.shape[0], "width": sheet.shape[1], "channels": 1, "data": sheet.tobytes(), "to_original": matrix.ravel().tolist()}]
+
+    return _by_page(images, work, kinds, {"height": -1, "width": -1, "channels": -1, "data": None, "to_original": None}, colour=True)
+
+
+def overlays(images: DataFrame, boxes: DataFrame, thick: int = 2) -> DataFrame:
+    """(page, png): each page with its boxes(page, x0, y0, x1, y1) drawn in black, as a PNG file; pages without boxes too."""
+    drawn = boxes.groupBy("page").agg(F.collect_list(F.array("x0", "y0", "x1", "y1")).alias("boxes"))  # the boxes of one page
+    rows = images.select("page", "height", "width", "channels", "data").join(drawn, "page", "left")
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                im = pixels(row).copy()
+                for x0, y0, x1, y1 in row.boxes if row.boxes is not None else ():
+                    inner = im[y0 + thick : max(y0 + thick, y1 - thick), x0 + thick : max(x0 + thick, x1 - thick)].copy()
+                    im[y0:y1, x0:x1] = 0
+                    im[y0 + thick : y0 + thick + inner.shape[0], x0 + thick : x0 + thick + inner.shape[1]] = inner
+                out.append((row.page, I.png(im)))
+            yield pd.DataFrame(out, columns=["page", "png"])
+
+    return rows.mapInPandas(each, "page string, png binary")
+
+
+def crops(images: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """(page, key, png): the part of its page in each of boxes(page, key, x0, y0, x1, y1)."""
+    drawn = boxes.groupBy("page").agg(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), "x0", "y0", "x1", "y1")).alias("boxes"))
+    rows = images.select("page", "height", "width", "channels", "data").join(drawn, "page")
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples():
+                im = pixels(row)
+                out = [(row.page, b["k"], I.png(im[b["y0"] : b["y1"], b["x0"] : b["x1"]])) for b in row.boxes]
+                yield pd.DataFrame(out, columns=["page", key, "png"])
+
+    return rows.mapInPandas(each, f"page string, {key} string, png binary")
+
+
 def sheets(images: DataFrame) -> DataFrame:
     """Pages of each photographed sheet: side P, or L and R, with their columns of pixels."""
     kinds = "page string, side string, x0 int, x1 int, error string"

@@ -8,6 +8,7 @@ from types import ModuleType
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What a spotter module must offer.
 SPOTTER = ("Params", "matches", "clusters")
@@ -36,3 +37,22 @@ def readings(words: DataFrame, read: Callable[[list[bytes]], list[str]], image:
             yield pd.DataFrame({key: part[key], "reading": found})
 
     return words.select(key, image).mapInPandas(each, f"{key} {words.schema[key].dataType.simpleString()}, reading string")
+
+
+def read_all(words: DataFrame, read: Callable[[list[bytes]], list[str]], path: str, progress: Callable[[int, int], None] | None = None, image: str = "crop", key: str = "occ_id", parts: int = 8) -> DataFrame:
+    """All readings, written to path in so many parts by a hash of the key; progress(done, parts) is called after each.
+
+    A part that is there already is not read again, so a run that was cut off
+    goes on where it ended.
+    """
+    spark = words.sparkSession
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for part in range(parts):
+        own = f"{path}/part={part}"
+        done = files(f"{own}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            rows = words.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
+            readings(rows, read, image, key).write.mode("overwrite").parquet(own)
+        if progress is not None:
+            progress(part + 1, parts)
+    return spark.read.parquet(path).drop("part")

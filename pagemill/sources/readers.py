@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +13,7 @@ from pyspark.sql.window import Window
 
 from pagemill import schema
 from pagemill.functions.text import folded
+from pagemill.kernels import sheets as SH
 from pagemill.operators.windows import placed
 from pagemill.storage import stored
 
@@ -54,9 +59,31 @@ def checked_images(files: DataFrame) -> DataFrame:
 
 
 def decoded(spark: SparkSession, folder: str) -> DataFrame:
-    """Pixels of a folder's images by Spark's image source: page, height, width, channels, data (rows of BGR bytes)."""
-    df = spark.read.format("image").option("dropInvalid", "true").load(folder)
-    return df.select(stem(F.col("image.origin")).alias("page"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    """Pixels of a folder's images by Spark's image source: page, height, width, channels, data (rows of BGR bytes).
+
+    Photographs are turned the way their EXIF orientation says. A file that is no
+    image keeps its row, with a height of -1, so that it can be reported.
+    """
+    df = spark.read.format("image").option("dropInvalid", "false").load(folder)
+    df = df.select(stem(F.col("image.origin")).alias("page"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    files = images(spark, folder).select(F.col("page").alias("_page"), "content")
+
+    def tags(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"_page": part["_page"], "_turn": [SH.orientation(bytes(c[: 1 << 18])) for c in part["content"]]})
+
+    def turned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                pixels = SH.upright(np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, -1), int(r.turn))
+                out.append((r.page, *pixels.shape, np.ascontiguousarray(pixels).tobytes()))
+            yield pd.DataFrame(out, columns=["page", "height", "width", "channels", "data"])
+
+    kind = "page string, height int, width int, channels int, data binary"
+    rows = df.join(files.mapInPandas(tags, "_page string, _turn int").where("_turn > 1"), F.col("page") == F.col("_page"), "left").drop("_page")
+    fine = rows.where("_turn is null or height < 0").drop("_turn")
+    return fine.unionByName(rows.where("_turn is not null and height >= 0").withColumnRenamed("_turn", "turn").mapInPandas(turned, kind))
 
 
 def sniffed(header: str) -> str:

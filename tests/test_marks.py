@@ -101,3 +101,90 @@ def test_plugins(spark):
         plugins.spotter("json")
     words = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"b"))], "occ_id int, crop binary")
     assert sorted(r.reading for r in plugins.readings(words, lambda crops: [bytes(c).decode().upper() for c in crops]).collect()) == ["A", "B"]
+
+
+def test_traced_braces():
+    """A long bent stroke that touches a word is traced through the word's ink; letters are too short."""
+    ink = np.zeros((400, 300), dtype=bool)
+    for y in range(60, 340, 40):
+        for x in range(20, 140, 9):
+            ink[y : y + 14, x : x + 3] = True
+    for i in range(140):
+        x = 160 + round(9 * np.sin(np.pi * i / 140))
+        ink[100 + i, x : x + 3] = True
+    ink[220:224, 128:172] = True  # a word's last stroke runs into it
+    found = [b for b in M.braces(ink, 40.0, 3.0) if b["traced"]]
+    assert len(found) == 1
+    b = found[0]
+    assert abs(b["y0"] - 100) <= 2 and abs(b["y1"] - 240) <= 2 and b["arms"] == 1 and b["height"] > 3 and b["left_text"] > 0.3
+    assert b["resid"] > 0.35 and b["iso_right"] > 0.9
+
+
+def test_exif_and_turns():
+    from pagemill.kernels import sheets as SH
+
+    im = np.arange(6).reshape(2, 3)
+    # what a viewer does for each orientation, by where the first row and column go
+    want = {1: im, 2: im[:, ::-1], 3: im[::-1, ::-1], 4: im[::-1], 5: im.T, 6: im.T[:, ::-1], 7: im.T[::-1, ::-1], 8: im.T[::-1]}
+    for turn, seen in want.items():
+        assert (SH.upright(im, turn) == seen).all(), turn
+    for mark, order in ((b"II", "little"), (b"MM", "big")):
+        n = lambda v, size: v.to_bytes(size, order)  # noqa: B023, E731
+        tiff = mark + n(42, 2) + n(8, 4) + n(2, 2) + n(0x0100, 2) + n(3, 2) + n(1, 4) + n(9, 2) + n(0, 2) + n(0x0112, 2) + n(3, 2) + n(1, 4) + n(6, 2) + n(0, 2)
+        body = b"Exif\0\0" + tiff
+        jpeg = b"\xff\xd8" + b"\xff\xe0\x00\x04ab" + b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + b"\xff\xda"
+        assert SH.orientation(jpeg) == 6
+        assert SH.orientation(jpeg[:30]) == 1
+    assert SH.orientation(b"") == SH.orientation(b"\x89PNG") == 1
+
+
+def test_sheet_straight_and_evenly_lit():
+    from pagemill.kernels import image as I
+    from pagemill.kernels import sheets as SH
+
+    quad = np.array([(60, 40), (340, 60), (330, 280), (50, 260)], dtype=float)
+    y, x = np.mgrid[:320, :400]
+    inside = L.inside(quad, x, y)
+    photo = np.where(inside, 150 + 0.2 * x, 20.0)
+    found = SH.corners(I.sheet_mask(photo))
+    assert np.abs(found - quad).max() <= 3
+    sheet, matrix = SH.straightened(photo, found)
+    assert abs(sheet.shape[1] - 281) <= 4 and abs(sheet.shape[0] - 220) <= 4 and (sheet > 100).mean() > 0.995
+    u = matrix @ [0, 0, 1]
+    assert np.abs(u[:2] / u[2] - quad[0]).max() < 5
+    sheet[100:104, 50:200] *= 0.3
+    even = SH.evened(sheet)
+    assert np.median(even) == 255 and (even[101, 60:190] < 60).all() and (even[20:80, 20:260] > 235).all()
+    assert SH.corners(np.zeros((4, 6), dtype=bool)).tolist() == [[0, 0], [5, 0], [5, 3], [0, 3]]
+
+
+def test_colours_overlays_and_readings(spark, tmp_path):
+    """Circles in pencil and ink are told apart by saturation; boxes are drawn; readings go on where they ended."""
+    import zlib
+
+    im = np.full((300, 300, 3), 230, dtype=np.uint8)
+    y, x = np.mgrid[:300, :300]
+    for y0 in range(20, 280, 40):
+        for x0 in range(20, 120, 8):
+            im[y0 : y0 + 12, x0 : x0 + 3] = (120, 30, 20)  # blue ink
+    for cx, cy, c in ((200, 110, (120, 30, 20)), (240, 190, (90, 90, 90))):
+        ring = np.hypot(x - cx, y - cy)
+        im[(ring > 6) & (ring < 9)] = c
+    images = spark.createDataFrame([("p", 300, 300, 3, im.tobytes()), ("bad", 10, 10, 3, b"x")], "page string, height int, width int, channels int, data binary")
+    rows = P.marks(images).collect()
+    assert [r.page for r in rows if r.error] == ["bad"]
+    assert {(r.x0 < 220): r.medium for r in rows if r.kind == "circle"} == {True: "ink", False: "pencil"}
+    fine = images.where("page = 'p'")
+    boxes = spark.createDataFrame([("p", 1, 10, 10, 40, 30)], "page string, id int, x0 int, y0 int, x1 int, y1 int")
+    png = bytes(P.overlays(fine, boxes).first().png)
+    assert png[:8] == b"\x89PNG\r\n\x1a\n"
+    raw = np.frombuffer(zlib.decompress(png[41 : 41 + int.from_bytes(png[33:37], "big")]), dtype=np.uint8).reshape(300, 301)[:, 1:]
+    assert (raw[10:12, 10:40] == 0).all() and (raw[13:27, 13:37] > 0).all()
+    assert P.crops(fine, boxes, "id").first().id == "1"
+    assert P.straightened(images).where("error is null").first().channels == 1
+    words = spark.createDataFrame([(i, bytes([i])) for i in range(20)], "occ_id long, crop binary")
+    seen = []
+    out = plugins.read_all(words, lambda crops: [str(c[0]) for c in crops], str(tmp_path / "r"), lambda a, b: seen.append((a, b)), parts=3)
+    assert seen == [(1, 3), (2, 3), (3, 3)] and {r.occ_id: r.reading for r in out.collect()} == {i: str(i) for i in range(20)}
+    again = plugins.read_all(words, lambda crops: 1 / 0, str(tmp_path / "r"), parts=3)
+    assert again.where("reading is null").count() == 0
