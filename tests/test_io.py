@@ -110,6 +110,29 @@ def test_rewrite_cut_off(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
 
 
+def test_decoded_images(spark, tmp_path):
+    """Photographs come out as their orientation says, other images as they are, and what is no image keeps its row."""
+    import numpy as np
+
+    from pagemill.kernels import image as I
+
+    im = np.full((20, 40), 255.0)
+    im[:5, :5] = 0
+    (tmp_path / "plain.png").write_bytes(I.png(im))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    jvm = spark.sparkContext._jvm
+    raw = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(tmp_path / "plain.png"))), "jpg", raw)
+    jpeg = bytes(raw.toByteArray())
+    tiff = b"II" + (42).to_bytes(2, "little") + (8).to_bytes(4, "little") + (1).to_bytes(2, "little") + bytes([0x12, 1, 3, 0, 1, 0, 0, 0, 6, 0, 0, 0])
+    body = b"Exif\0\0" + tiff
+    (tmp_path / "turned.jpg").write_bytes(jpeg[:2] + b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + jpeg[2:])
+    got = {r.page: r for r in RD.decoded(spark, str(tmp_path)).collect()}
+    assert {p: (r.height, r.width) for p, r in got.items()} == {"plain": (20, 40), "turned": (40, 20), "bad": (-1, -1)}
+    seen = np.frombuffer(got["turned"].data, dtype=np.uint8).reshape(40, 20, -1)
+    assert seen[1, 18, 0] < 60 and seen[1, 1, 0] > 200  # the dark corner is on the upper right now
+
+
 def test_graph(spark):
     notes = spark.createDataFrame([("c", "eQuus", "p1", 0, 0, 1, 1), ("c", "EQUUS", "p2", 0, 0, 1, 1), ("c", "Name", "p1", 5, 5, 6, 6)], "concept string, name string, page string, x0 int, y0 int, x1 int, y1 int")
     symbols = spark.createDataFrame([("p1", "s1", "brace", "symbol", 0, 0, 2, 2), ("p1", "s1", "brace", "member", 3, 3, 4, 4), ("p1", "s9", "brace", "note", 3, 3, 4, 4)], "page string, symbol string, kind string, relation string, x0 int, y0 int, x1 int, y1 int")
