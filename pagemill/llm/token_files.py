@@ -46,7 +46,7 @@ BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Blocks in one file.
 FILE_BLOCKS = 16
 #: Pieces in a generation of those that a worker remembers; it keeps two.
-REMEMBERED = 200_000
+REMEMBERED = 260_000
 _LENGTHS = (1 + ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3)).astype(np.uint8)  # of the four ids of each control byte
 _PLACES = np.arange(4, dtype=np.uint8)
 
@@ -154,15 +154,14 @@ class Encoder:
     def _learn(self, pieces: set[bytes]) -> None:
         known, before = self.known, self.before
         if before:
-            known.update([(p, before[p]) for p in pieces if p in before])
-            pieces = [p for p in pieces if p not in before]
-        plain = [p for p in pieces if p.isalpha()]  # ASCII letters
+            again = before.keys() & pieces
+            known.update(zip(again, map(before.__getitem__, again), strict=True))
+            pieces = pieces.difference(again)
+        plain = list(filter(bytes.isalpha, pieces))  # ASCII letters
         marked: list[tuple[bytes, bytes]] = []  # piece, its letters
         wide: list[tuple[bytes, str, bytes]] = []  # piece, its letters in lower case, the marks behind
         rest: list[bytes] = []
-        for piece in pieces:
-            if piece.isalpha():
-                continue
+        for piece in itertools.filterfalse(bytes.isalpha, pieces):
             core = piece.rstrip(_MARKS)
             if core.isalpha():
                 marked.append((piece, core))
