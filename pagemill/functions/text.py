@@ -52,6 +52,14 @@ def label_text(status: Column, concept: Column, name: Column, merged_into: Colum
     )
 
 
+def page_set_name(stems: Column) -> Column:
+    """A name for a set of pages: their sorted names with + between, or, beyond 60 characters, the first, how many more, and a tag of them all."""
+    ordered = F.array_sort(stems)
+    joined = F.array_join(ordered, "+")
+    short = F.concat(F.get(ordered, 0), F.lit("+"), (F.size(stems) - 1).cast("string"), F.lit("more_"), F.substring(F.md5(joined.cast("binary")), 1, 6))
+    return F.when((F.size(stems) == 1) | (F.char_length(joined) <= 60), joined).otherwise(short)
+
+
 def cleaned_reply(reply: Column) -> Column:
     """A reader's answer without code fences, quotes, a leading label, or lines after the first."""
     plain = F.regexp_replace(reply, r"(?s)```[a-zA-Z]*\n?|```", "")

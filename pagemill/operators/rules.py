@@ -67,6 +67,29 @@ def specks(area: Column, pixels: Column) -> Column:
     return area < F.greatest(F.lit(20), pixels / 2_000_000)
 
 
+def junk(x0: Column, y0: Column, x1: Column, y1: Column, area: Column, char: Column, width: Column, height: Column, border: int = 3) -> Column:
+    """Is a component no writing: a speck, at the page's border, a ruled line, or as long as the page? char is the height of a letter."""
+    w, h = x1 - x0, y1 - y0
+    at_border = (x0 <= border) | (y0 <= border) | (x1 >= width - border) | (y1 >= height - border)
+    return (area < F.greatest(F.lit(10), 0.05 * char * char)) | at_border | ((w > 10 * char) & (h < 1.2 * char)) | (h > 0.5 * height) | (w > 0.6 * width)
+
+
+def edge_stroke(x0: Column, w: Column, h: Column, left: Column, char: Column) -> Column:
+    """Is a component the shadow of a fold: tall, narrow, and close to its column's left edge?"""
+    return (x0 < left + 4 * char) & (h > 3 * char) & (h > 2.5 * w)
+
+
+def border_shadow(x0: Column, y0: Column, x1: Column, y1: Column, area: Column, near: Column, width: Column, height: Column, margin: int = 2) -> Column:
+    """Does a component hug the border: it touches it, and half of it or more (near) lies in the band beside it? What only runs up to it stays."""
+    touches = (x0 < margin) | (y0 < margin) | (x1 > width - margin) | (y1 > height - margin)
+    return touches & (near >= 0.5 * area)
+
+
+def solid(area: Column, stroke: Column) -> Column:
+    """Is a component more than a full stop: three squared stroke widths or more?"""
+    return area >= 3 * stroke * stroke
+
+
 def brace_lines(lines: DataFrame, braces: DataFrame, by: list[str], reach: float = 6.0, member: float = 0.8, borderline: float = 0.25, size: float = 256) -> DataFrame:
     """Text lines (y0, y1, x0) that a brace (b_y0, b_y1, b_x0, spacing) groups: those that start left of it within reach and
     that its span covers, as member or borderline."""

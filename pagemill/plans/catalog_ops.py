@@ -237,6 +237,27 @@ def filter_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click") & (F.col("user_id") % 2 == 0) & (F.col("value") > 10)).select("event_id")
 
 
+_PARTS = "x0, y0, x1, y1, x1 - x0 AS w, y1 - y0 AS h, (x1 - x0) * (y1 - y0) * (box_id % 10) / 10.0 AS area"
+
+
+@query(f"""
+WITH b AS ({BOXES}), c AS (SELECT box_id, {_PARTS} FROM b)
+SELECT box_id, area < greatest(10, 0.05 * 144) OR x0 <= 3 OR y0 <= 3 OR x1 >= 1047 OR y1 >= 713 OR (w > 120 AND h < 14.4) OR h > 358 OR w > 630 AS junk,
+       x0 < 100 + 12 AND h > 9 AND h > 2.5 * w AS edge_stroke, (x0 < 2 OR y0 < 2 OR x1 > 1048 OR y1 > 714) AND area * 0.7 * (box_id % 2) >= 0.5 * area AS shadow, area >= 3 * 64 AS solid
+FROM c
+""")
+def filter_component_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as components of a page of 1050 x 716 pixels: what page cleaning would drop or keep, by each rule."""
+    b = boxes(spark, sf_dir)
+    c = b.withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * (F.col("box_id") % 10) / 10.0)
+    x0, y0, x1, y1, area = (F.col(n) for n in ("x0", "y0", "x1", "y1", "area"))
+    size = F.lit(1050), F.lit(716)
+    return c.select(
+        "box_id", R.junk(x0, y0, x1, y1, area, F.lit(12), *size).alias("junk"), R.edge_stroke(x0, x1 - x0, y1 - y0, F.lit(100), F.lit(3)).alias("edge_stroke"),
+        R.border_shadow(x0, y0, x1, y1, area, area * 0.7 * (F.col("box_id") % 2), *size).alias("shadow"), R.solid(area, F.lit(8)).alias("solid"),
+    )
+
+
 # --- joins ------------------------------------------------------------------------------------------------------------------
 
 _PART = "SELECT p_partkey, p_size::DOUBLE AS w, p_retailprice AS h FROM part"
@@ -708,6 +729,15 @@ def str_capitalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", TX.capitalised(F.col("p_name")).alias("name"))
 
 
+@query("""
+WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list('page' || l_suppkey))) AS stems FROM lineitem GROUP BY l_orderkey), j AS (SELECT *, array_to_string(stems, '+') AS joined FROM s)
+SELECT l_orderkey, CASE WHEN len(stems) = 1 OR length(joined) <= 60 THEN joined ELSE stems[1] || '+' || (len(stems) - 1) || 'more_' || substr(md5(joined), 1, 6) END AS name FROM j
+""")
+def str_page_set_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("page"), F.col("l_suppkey").cast("string"))).alias("stems"))
+    return rows.select("l_orderkey", TX.page_set_name(F.col("stems")).alias("name"))
+
+
 @query("SELECT p_partkey, p_brand AS reply FROM part")
 def str_cleaned_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit("```text\nWord: \""), F.col("p_brand"), F.lit('".\nsecond line```'))
