@@ -141,14 +141,15 @@ def fit(members: DataFrame, profile: DataFrame, vector: str, own: str = "cluster
     """Mean cosine of each member with each cluster; with its own cluster, itself left out: (dot - 1) / (n - 1). Null for a cluster of one.
 
     Members are compared with blocks of profiles as matrices; blocks of either
-    side meet in the cells of a grid, so neither is held whole.
+    side meet in the cells of a grid, so neither is held whole. The cells have
+    one type on both sides: numbers of other types are dealt to other tasks.
     """
     p = profile.select(F.col(own).alias("target"), "profile", "size")
     blocks = F.lit(max(1, -(-p.count() // PROFILE_BLOCK)))  # one row for each cluster
     parts = F.lit(max(1, -(-members.count() // (8 * PROFILE_BLOCK))))
     rest = [c for c in members.columns if c != vector]
-    left = members.withColumn("_u", V.scaled(F.col(vector))).withColumn("_i", F.pmod(F.xxhash64(*rest), parts)).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    right = p.withColumn("_j", F.pmod(F.xxhash64("target"), blocks)).withColumn("_i", F.explode(F.sequence(F.lit(0), parts - 1)))
+    left = members.withColumn("_u", V.scaled(F.col(vector))).withColumn("_i", F.pmod(F.xxhash64(*rest), parts).cast("long")).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
+    right = p.withColumn("_j", F.pmod(F.xxhash64("target"), blocks).cast("long")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))))
     kind = T.StructType([*members.drop(vector).schema.fields, *p.select("target", "size").schema.fields, T.StructField("mean_cosine", T.DoubleType())])
 
     def each(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

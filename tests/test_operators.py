@@ -257,3 +257,18 @@ def test_placed(spark):
     got = {r.i: r.place for r in W.placed(spark.createDataFrame(rows, "i int, x int"), [F.col("x"), F.col("i")]).collect()}
     assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1)}
     assert W.placed(spark.createDataFrame([], "i int, x int"), [F.col("x")]).count() == 0
+
+
+def test_fit_in_many_tasks(spark):
+    rows = [(i, i % 3, [float(i % 5 + 1), 1.0, float(i % 2)]) for i in range(30)]
+    e = spark.createDataFrame(rows, "id long, cluster int, v array<double>")
+    key, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(key, "false")
+    try:
+        got = A.fit(e, A.profiles(e.withColumn("w", F.lit(1.0)), ["cluster"], "v", "w", 3), "v").collect()
+    finally:
+        spark.conf.set(key, before)
+    unit = [np.array(v) / np.linalg.norm(v) for _, _, v in rows]
+    want = {(i, t): np.mean([unit[i] @ unit[j] for j, c, _ in rows if c == t and j != i]) for i, _, _ in rows for t in range(3)}
+    assert len(got) == len(want)
+    assert all(abs(r.mean_cosine - want[r.id, r.target]) < 1e-9 for r in got)
