@@ -279,3 +279,10 @@ def test_band_join_rounds_like_sql(spark):
     df = spark.createDataFrame([(81, 27.0, 908.1), (309, 27.0, 930.9), (600, 27.0, 960.0)], "id int, w double, h double")
     got = J.triangular_band_join(df, "id", 0.85).select("id_a", "id_b", ST.rounded(F.col("similarity"), 6).alias("s"))
     assert {(r.id_a, r.id_b): r.s for r in got.collect()} == {(81, 309): 0.975508, (81, 600): 0.945938, (309, 600): 0.969687}
+
+
+def test_band_join_in_many_tasks(spark):
+    """A few rows have many pairs, so small tables are dealt to many tasks too."""
+    df = spark.createDataFrame([(i, float(10 + i % 40), float(20 + i % 30)) for i in range(500)], "id int, w double, h double")
+    rows = J.triangular_band_join(df, "id", 0.8).withColumn("task", F.spark_partition_id())
+    assert rows.agg(F.count_distinct("task")).first()[0] > spark.sparkContext.defaultParallelism
