@@ -54,13 +54,15 @@ def ordered_distinct(df: DataFrame, by: list[str], value: str, order: str, out:
     return first.groupBy(*by).agg(F.array_join(F.transform(rows, lambda x: x[value].cast("string")), mark).alias(out))
 
 
-def majority(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+def majority(df: DataFrame, by: list[str], value: str, order: str, rank: Column | None = None) -> DataFrame:
     """The most frequent value of each group, the first seen of equals: value, n, total, distinct values, and votes as n/total.
 
-    auto_name is the value if it is the only one or has two votes or more.
+    auto_name is the value if it is the only one or has two votes or more. rank,
+    of n and first (the first sight of a value), decides in place of that order,
+    among the values where it isn't null; of equal ranks the first seen wins.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("_o"))
-    best = F.max_by(F.struct(value, "n"), F.struct("n", -F.col("_o")))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    best = F.max_by(F.struct(value, "n"), F.struct("n", -F.col("first")) if rank is None else F.when(rank.isNotNull(), F.struct(rank, -F.col("first"))))
     out = counts.groupBy(*by).agg(best.alias("_b"), F.sum("n").alias("total"), F.count("*").alias("readings"))
     out = out.select(*by, f"_b.{value}", "_b.n", "total", "readings")
     votes = F.concat_ws("/", F.col("n").cast("string"), F.col("total").cast("string"))

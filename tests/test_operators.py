@@ -286,3 +286,13 @@ def test_band_join_in_many_tasks(spark):
     df = spark.createDataFrame([(i, float(10 + i % 40), float(20 + i % 30)) for i in range(500)], "id int, w double, h double")
     rows = J.triangular_band_join(df, "id", 0.8).withColumn("task", F.spark_partition_id())
     assert rows.agg(F.count_distinct("task")).first()[0] > spark.sparkContext.defaultParallelism
+
+
+def test_majority_by_rank(spark):
+    """By the rank of anno_auto_names, two late votes lose to two early ones and three to two that came over a million events before."""
+    votes = [("a", 1), ("a", 2), ("b", 2_500_000), ("b", 2_500_001), ("b", 2_500_002), ("c", 0)]
+    v = spark.createDataFrame([(1, *x) for x in votes], "g int, name string, id long")
+    rank = F.when(F.col("n") >= 2, F.col("n") * 1000000 - F.col("first"))
+    assert A.majority(v, ["g"], "name", "id", rank).first()["name"] == "a"
+    assert A.majority(v, ["g"], "name", "id").first()["name"] == "b"
+    assert A.majority(v.where("name = 'c'"), ["g"], "name", "id", rank).where("n >= 2").isEmpty()
