@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions import geometry as G
+from pagemill.storage import small, stored
 
 
 def named(df: DataFrame, suffix: str, *keep: str) -> DataFrame:
@@ -182,28 +183,37 @@ def nearest(points: DataFrame, refs: DataFrame, by: list[str], key: str, at: str
 def containing_or_nearest(points: DataFrame, spans: DataFrame, by: list[str], key: str, at: str, size: float = 64) -> DataFrame:
     """Each point with the span (lo, hi, name) of its group that contains it, else the one whose edge is nearest; of equals the first by lo, then name.
 
-    Containing spans meet points in slices; the nearest edges on either side of
-    the other points come from one sorted pass over points, ends and starts.
+    Points at one place of a group fare alike, so places are answered, once each,
+    and points look theirs up. Containing spans meet places in slices; the nearest
+    edges on either side of the other places come from passes over sorted places,
+    ends and starts, one from below and one from above: a frame that runs on to
+    the end of its group would be read again for each row.
     """
-    inside = points.select(key, *by, at, F.floor(F.col(at) / size).alias("_slice")).join(_sliced(spans.select(*by, "lo", "hi", "name"), "lo", "hi", size, "_slice"), [*by, "_slice"])
+    places = stored(points.select(*by, at).distinct(), "places")
+    here = places.where(F.col(at).isNotNull()).select(*by, at, F.floor(F.col(at) / size).alias("_slice"))
+    inside = here.join(_sliced(spans.select(*by, "lo", "hi", "name"), "lo", "hi", size, "_slice"), [*by, "_slice"])
     inside = inside.where(F.col(at).between(F.col("lo"), F.col("hi")))
-    inside = inside.groupBy(key).agg(F.min_by(F.struct("name", F.lit(0).alias("gap")), F.struct("lo", "name")).alias("_in"))
+    inside = inside.groupBy(*by, at).agg(F.min_by(F.struct("name", F.lit(0).alias("gap")), F.struct("lo", "name")).alias("_in"))
     none = F.lit(None)
     kinds = {c: spans.schema[c].dataType for c in ("lo", "hi", "name")}
-    p = points.select(*by, F.col(at).alias("_x"), F.lit(1).alias("_kind"), *[none.cast(k).alias(c) for c, k in kinds.items()], F.col(key).alias("_key"))
-    edge = lambda x, kind: spans.select(*by, F.col(x).alias("_x"), F.lit(kind).alias("_kind"), "lo", "hi", "name", none.cast(points.schema[key].dataType).alias("_key"))
+    p = places.select(*by, F.col(at).alias("_x"), F.lit(1).alias("_kind"), *[none.cast(k).alias(c) for c, k in kinds.items()])
+    edge = lambda x, kind: spans.select(*by, F.col(x).alias("_x"), F.lit(kind).alias("_kind"), "lo", "hi", "name")
     both = p.unionByName(edge("hi", 0)).unionByName(edge("lo", 2))
     span = lambda kind: F.when(F.col("_kind") == kind, F.struct("lo", "hi", "name"))
     before = Window.partitionBy(*by).orderBy("_x", "_kind", F.desc("lo"), F.desc("name")).rowsBetween(Window.unboundedPreceding, 0)
-    behind = Window.partitionBy(*by).orderBy("_x", "_kind", "lo", "name").rowsBetween(0, Window.unboundedFollowing)
-    rows = both.withColumn("_low", F.last(span(0), ignorenulls=True).over(before)).withColumn("_high", F.first(span(2), ignorenulls=True).over(behind)).where("_kind = 1")
+    behind = Window.partitionBy(*by).orderBy(F.desc("_x"), F.desc("_kind"), F.desc("lo"), F.desc("name")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_low", F.last(span(0), ignorenulls=True).over(before)).withColumn("_high", F.last(span(2), ignorenulls=True).over(behind)).where("_kind = 1")
     low, high = F.col("_x") - F.col("_low.hi"), F.col("_high.lo") - F.col("_x")
     first = F.col("_high").isNull() | (low < high) | ((low == high) & (F.struct("_low.lo", "_low.name") < F.struct("_high.lo", "_high.name")))
     near = F.when(F.col("_low").isNotNull() & first, F.struct("_low.name", low.alias("gap"))).when(F.col("_high").isNotNull(), F.struct("_high.name", high.alias("gap")))
-    rows = rows.select(F.col("_key").alias(key), near.alias("_near")).groupBy(key).agg(F.first("_near").alias("_near"))
-    out = points.join(inside, key, "left").join(rows, key, "left")
-    name, gap = (F.when(F.col("_in").isNotNull(), F.col(f"_in.{c}")).otherwise(F.col(f"_near.{c}")) for c in ("name", "gap"))
-    return out.select(*points.columns, name.alias("name"), gap.alias("gap"))
+    keys = [F.col(c).alias("_" + c) for c in by]
+    here = rows.select(*by, F.col("_x").alias(at), near.alias("_near")).join(inside, [*by, at], "left")
+    name, gap = (F.when(F.col("_in").isNotNull(), F.col(f"_in.{c}")).otherwise(F.col(f"_near.{c}")).alias("_" + c + "_") for c in ("name", "gap"))
+    here = small(stored(here.select(*keys, F.col(at).alias("_at"), name, gap), "places-answered"))
+    same = F.col(at).eqNullSafe(F.col("_at"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col("_" + c))
+    return points.join(here, same, "left").select(*points.columns, F.col("_name_").alias("name"), F.col("_gap_").alias("gap"))
 
 
 def contained(items: DataFrame, spans: DataFrame, by: list[str], member: float = 0.8, borderline: float = 0.25, size: float = 1000) -> DataFrame:

@@ -296,3 +296,12 @@ def test_majority_by_rank(spark):
     assert A.majority(v, ["g"], "name", "id", rank).first()["name"] == "a"
     assert A.majority(v, ["g"], "name", "id").first()["name"] == "b"
     assert A.majority(v.where("name = 'c'"), ["g"], "name", "id", rank).where("n >= 2").isEmpty()
+
+
+def test_containing_or_nearest_reads_groups_once(spark):
+    """No frame runs on to the end of a group, which Spark reads again for each row; points at one place are answered once."""
+    points = spark.createDataFrame([(i, 1, i % 9) for i in range(40)], "id int, g int, x int")
+    out = J.containing_or_nearest(points, spark.createDataFrame([(1, 2, 3, "a"), (1, 6, 7, "b")], "g int, lo int, hi int, name string"), ["g"], "id", "x")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    near = ["a", "a", "a", "a", "a", "b", "b", "b", "b"]
+    assert {r.id: r["name"] for r in out.collect()} == {i: near[i % 9] for i in range(40)}
