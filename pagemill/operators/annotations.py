@@ -17,6 +17,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagemill import schema
 from pagemill.functions.text import folded, ratio
@@ -36,6 +37,30 @@ def field(name: str) -> Column:
     return F.get_json_object("payload", f"$.{name}")
 
 
+#: Rows of a range of step numbers that are sorted together.
+STEPS_TOGETHER = 1 << 16
+
+
+def first_behind(asked: DataFrame, steps: DataFrame) -> DataFrame:
+    """asked(thing, since) with next: the first of steps(step, source) whose source is the thing and whose number is above since, or null.
+
+    Both are dealt to ranges of numbers and sorted together there, so no step
+    meets another; a thing's ranges know the first step of those behind them.
+    """
+    ours = asked.select("thing", F.col("since").cast("long").alias("x"), F.lit(0).alias("kind")).where("thing is not null and x is not null").distinct()
+    both = stored(ours.unionAll(steps.select(F.col("source").alias("thing"), F.col("step").cast("long").alias("x"), F.lit(1).alias("kind"))), "asked-steps")
+    n, low, high = both.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    width = max(1, ((high or 0) - (low or 0)) // max(1, n // STEPS_TOGETHER) + 1)
+    both = both.withColumn("part", F.floor((F.col("x") - F.lit(low or 0)) / F.lit(width)).cast("long"))
+    step = F.when(F.col("kind") == 1, F.col("x"))
+    parts = both.groupBy("thing", "part").agg(F.min(step).alias("_first"))
+    later = Window.partitionBy("thing").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    parts = parts.select("thing", "part", F.last("_first", ignorenulls=True).over(later).alias("_later"))
+    above = Window.partitionBy("thing", "part").orderBy(F.desc("x"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_next", F.last(step, ignorenulls=True).over(above)).where("kind = 0").join(parts, ["thing", "part"])
+    return rows.select("thing", F.col("x").alias("since"), F.coalesce("_next", "_later").alias("next"))
+
+
 def settled(steps: DataFrame) -> DataFrame:
     """steps(step, source, into) with last: where a thing that takes the step ends up.
 
@@ -44,9 +69,9 @@ def settled(steps: DataFrame) -> DataFrame:
     2 ** k further on, until none has a next.
     """
     rows = stored(steps, "steps")
-    a, b = rows.alias("a"), rows.alias("b")
-    behind = (F.col("b.source") == F.col("a.into")) & (F.col("b.step") > F.col("a.step"))
-    now = stored(a.join(b, behind, "left").groupBy(F.col("a.step").alias("step")).agg(F.min("b.step").alias("next")), "steps")
+    found = first_behind(rows.select(F.col("into").alias("thing"), F.col("step").alias("since")), rows)
+    known = rows.join(found, (F.col("into") == F.col("thing")) & (F.col("step") == F.col("since")), "left")
+    now = stored(known.groupBy("step").agg(F.min("next").alias("next")), "steps")
     while True:
         ahead = now.select(F.col("step").alias("_s"), F.col("next").alias("_n"), F.lit(True).alias("_there"))
         both = now.join(ahead, F.col("next") == F.col("_s"), "left")
@@ -62,10 +87,12 @@ def followed(rows: DataFrame, steps: DataFrame, at: str, since: str) -> DataFram
     """rows with the column at moved along the steps(step, source, into) that come behind the step number in since. Without steps, rows themselves."""
     if steps.isEmpty():
         return rows
-    first = F.struct("step", "last").alias("_x")
-    paths = settled(steps).groupBy(F.col("source").alias("_source")).agg(F.array_sort(F.collect_list(first)).alias("_paths"))  # a source has a step or two
-    found = F.get(F.filter("_paths", lambda x: x["step"] > F.coalesce(F.col(since), F.lit(0))), 0)["last"]
-    return rows.join(paths, F.col(at) == F.col("_source"), "left").withColumn(at, F.coalesce(found, F.col(at))).drop("_source", "_paths")
+    ends = stored(settled(steps).groupBy(F.col("source").alias("thing"), F.col("step").cast("long").alias("next")).agg(F.min("last").alias("_last")), "settled")
+    start = F.coalesce(F.col(since), F.lit(0)).cast("long")
+    found = first_behind(rows.select(F.col(at).alias("thing"), start.alias("since")), ends.select(F.col("thing").alias("source"), F.col("next").alias("step")))
+    found = found.join(ends, ["thing", "next"]).select(F.col("thing").alias("_thing"), F.col("since").alias("_since"), "_last")
+    moved = rows.join(found, (F.col(at) == F.col("_thing")) & (start == F.col("_since")), "left")
+    return moved.withColumn(at, F.coalesce("_last", F.col(at))).drop("_thing", "_since", "_last")
 
 
 def folded_clusters(base: DataFrame, events: DataFrame) -> DataFrame:

@@ -210,3 +210,14 @@ def test_one_writer_at_a_time(store):
         other.remove(1, "me")
     other.restore(1, "me")
     assert store.events.select("event_id").distinct().count() == store.events.count() == 2
+
+
+def test_first_behind_in_ranges(spark, monkeypatch):
+    from pagemill.operators import annotations
+
+    monkeypatch.setattr(annotations, "STEPS_TOGETHER", 4)
+    steps = [(s, f"c{s * s % 3}") for s in range(1, 60, 2)]
+    asked = [(f"c{c}", s) for c in range(4) for s in range(0, 62, 3)]
+    out = annotations.first_behind(spark.createDataFrame(asked, "thing string, since int"), spark.createDataFrame(steps, "step int, source string"))
+    want = {(c, s): min((n for n, of in steps if of == c and n > s), default=None) for c, s in asked}
+    assert {(r.thing, r.since): r.next for r in out.collect()} == want
