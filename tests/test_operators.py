@@ -305,3 +305,68 @@ def test_containing_or_nearest_reads_groups_once(spark):
     assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
     near = ["a", "a", "a", "a", "a", "b", "b", "b", "b"]
     assert {r.id: r["name"] for r in out.collect()} == {i: near[i % 9] for i in range(40)}
+
+
+def _drawn_blocks(spark, monkeypatch):
+    """Candidates of three pages, three to a token, in blocks of five and cells of two blocks: (rows, blocks)."""
+    monkeypatch.setattr(SP, "BLOCK", 5)
+    monkeypatch.setattr(SP, "CELL_BLOCKS", 2)
+    draw = np.random.default_rng(5)
+    rows = []
+    for i in range(72):
+        f = draw.normal(size=4)
+        rows.append((f"p{i // 24}", i // 3, i, float(20 + i % 15), 10.0, 20.0, (f / np.linalg.norm(f)).tolist(), None))
+    df = spark.createDataFrame(rows, "page string, tok long, cand long, w double, h double, unit double, feat array<double>, seq array<double>")
+    return rows, SP.stored(SP.blocks(df), "blocks")
+
+
+def _exchanged(df) -> int:
+    return df._jdf.queryExecution().sparkPlan().toString().count("Aggregate")
+
+
+def test_tokens_meet_in_one_pair_of_blocks(spark, monkeypatch):
+    rows, b = _drawn_blocks(spark, monkeypatch)
+    places = b.select("page", "block", F.explode(F.array_distinct("rows.tok")).alias("tok"))
+    assert places.groupBy("page", "tok").count().where("count > 1").isEmpty()
+    best = SP.token_best(SP.block_pairs(b, within=False), 1.2)
+    assert _exchanged(best) == 0  # what leaves a pair of blocks is final
+    got = {(r.tok_a, r.tok_b): (r.u, r.t, r.i, r.j) for r in best.collect()}
+    cos = {(x[2], y[2]): float(np.dot(x[6], y[6])) for x in rows for y in rows if x[0] < y[0]}
+    want = {}
+    for (i, j), s in cos.items():
+        u, t, at = want.get((i // 3, j // 3), (-2.0, -2.0, None))
+        fine = rows[i][3] / 20 >= 1.2 and rows[j][3] / 20 >= 1.2
+        want[i // 3, j // 3] = (max(u, s), *((s, (i, j)) if fine and s > t else (t, at)))
+    assert got.keys() == want.keys()
+    for key, (u, t, at) in want.items():
+        assert got[key][0] == pytest.approx(u) and got[key][2:] == (at or (None, None)) and (got[key][1] is None if at is None else got[key][1] == pytest.approx(t))
+
+
+def test_standard_scores_leave_pairs_in_place(spark, monkeypatch):
+    rows, b = _drawn_blocks(spark, monkeypatch)
+    out = SP.standard_scores(SP.block_pairs(b, within=False))
+    assert "Join" not in out._jdf.queryExecution().sparkPlan().toString().split("MapInPandas")[0]
+    got = {(r.i, r.j): r.z for r in out.collect()}
+    for a, c in itertools.combinations(("p0", "p1", "p2"), 2):
+        s = {(x[2], y[2]): float(np.dot(x[6], y[6])) for x in rows for y in rows if (x[0], y[0]) == (a, c)}
+        mean, deviation = np.mean(list(s.values())), np.std(list(s.values()))
+        assert all(got[k] == pytest.approx((v - mean) / (deviation + 1e-8)) for k, v in s.items())
+    assert len(got) == 3 * 24 * 24
+
+
+def test_background_scores(spark, monkeypatch):
+    rows, b = _drawn_blocks(spark, monkeypatch)
+    got = {(r.page_a, r.page_b, r.tok_a, r.tok_b): r.z for r in SP.background_scores(b).collect()}
+    want = 0
+    for a, c in itertools.combinations_with_replacement(("p0", "p1", "p2"), 2):
+        u = {}
+        for x in rows:
+            for y in rows:
+                if (x[0], y[0]) == (a, c) and (a != c or x[1] != y[1]):
+                    u[x[1], y[1]] = max(u.get((x[1], y[1]), -2.0), float(np.dot(x[6], y[6])))
+        z = lambda v, all_: (v - np.mean(all_)) / (np.std(all_) + 1e-8)
+        for (i, j), v in u.items():
+            low = min(z(v, [s for (k, _), s in u.items() if k == i]), z(v, [s for (_, k), s in u.items() if k == j]))
+            assert got[a, c, i, j] == pytest.approx(low)
+        want += len(u)
+    assert len(got) == want
