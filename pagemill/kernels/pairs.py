@@ -27,6 +27,24 @@ def dtw(x: np.ndarray, y: np.ndarray, band: float = 0.2) -> np.ndarray:
     return before[length] / (2 * length)
 
 
+def dtw_rows(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, band: float = 0.2) -> np.ndarray:
+    """dtw of the pairs (x[i], y[j]) alone, by their numbers."""
+    length, room = x.shape[1], 1 << 13
+    reach, out = max(1, int(band * length)), np.empty(len(i))
+    for at in range(0, len(i), room):
+        p, q = x[i[at : at + room]], y[j[at : at + room]]
+        before = np.full((length + 1, len(p)), np.inf)
+        before[0] = 0.0
+        for r in range(length):
+            now = np.full((length + 1, len(p)), np.inf)
+            for c in range(max(0, r - reach), min(length, r + reach + 1)):
+                now[c + 1] = np.sqrt(((p[:, r] - q[:, c]) ** 2).sum(axis=-1)) + np.minimum(np.minimum(before[c + 1], now[c]), before[c])
+            before = now
+            before[0] = np.inf
+        out[at : at + room] = before[length] / (2 * length)
+    return out
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Dot products of unit vectors, in double precision."""
     return a.astype(np.float64) @ b.astype(np.float64).T
@@ -50,6 +68,26 @@ def best_by_token(score: np.ndarray, allowed: np.ndarray, rows: np.ndarray, cols
     return rows[r], cols[c], u, t, i[first].reshape(u.shape), j[first].reshape(u.shape)
 
 
+def best_scores(score: np.ndarray, allowed: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of rows and cols, the best score and the best allowed one of best_by_token, without where that is."""
+    r, c = np.flatnonzero(np.diff(rows, prepend=rows[0] - 1)), np.flatnonzero(np.diff(cols, prepend=cols[0] - 1))
+    best = lambda s: np.maximum.reduceat(np.maximum.reduceat(s, r, axis=0), c, axis=1)
+    return rows[r], cols[c], best(score), best(np.where(allowed, score, -np.inf))
+
+
+def greatest(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest values of each row, or all if there are no more, and their places: the first of equals, in any order."""
+    k = min(k, v.shape[1])
+    least = np.partition(v, v.shape[1] - k, axis=1)[:, v.shape[1] - k : v.shape[1] - k + 1]
+    taken = v >= least
+    many = np.flatnonzero(taken.sum(axis=1) > k)
+    if len(many):
+        equal, above = v[many] == least[many], v[many] > least[many]
+        taken[many] = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    places = np.nonzero(taken)[1].reshape(len(v), k)
+    return np.take_along_axis(v, places, axis=1), places
+
+
 def fit_pca(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, k leading components and their sample variances."""
     mean = x.mean(axis=0)

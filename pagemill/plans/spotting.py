@@ -26,13 +26,12 @@ from pagemill.functions import vectors as V
 from pagemill.kernels import pairs as K
 from pagemill.operators import aggregates as A
 from pagemill.operators import joins as J
-from pagemill.operators import windows as W
 from pagemill.storage import small, stored
 
 #: Candidates in a block.
-BLOCK = 256
+BLOCK = 512
 #: Blocks of either side that a cell of comparisons has, at most on average.
-CELL_BLOCKS = 32
+CELL_BLOCKS = 16
 
 
 @dataclass(frozen=True)
@@ -327,86 +326,227 @@ def background_scores(b: DataFrame, within: bool = True, cross: bool = True) ->
 
 def _with_moments(pairs: Cells, of: DataFrame, names: list[str]) -> DataFrame:
     """Left blocks with the moments of their page's comparisons, by the other page: as many as pages it meets, of a few numbers."""
-    of = stored(of, "moments")
+    return _knowing_moments(pairs, stored(of, "moments"), names)
+
+
+def _knowing_moments(pairs: Cells, of: DataFrame, names: list[str]) -> DataFrame:
     known = of.groupBy("page_a").agg(F.map_from_entries(F.collect_list(F.struct("page_b", F.array(*names)))).alias("moments"))
     return pairs.left.join(known, F.col("page") == F.col("page_a")).drop("page_a")
 
 
-def token_scores(pairs: Cells, p: Params, steps: int = 40) -> DataFrame:
+def _scorer(p: Params, steps: int) -> Callable[[dict, dict, dict[str, np.ndarray]], np.ndarray]:
+    """The mixed standard score of components of entries of block x with entries of block y; x knows the moments."""
+    weights = _weights(p)
+    total, names = sum(weights.values()), _moment_names(p)
+
+    def score(x: dict, y: dict, m: dict[str, np.ndarray]) -> np.ndarray:
+        stat = dict(zip(names, dict(x["moments"])[y["page"]], strict=True))
+        mixed = sum(w * (m[k] - stat[f"m_{k}"]) / (stat[f"d_{k}"] + 1e-8) for k, w in weights.items()) / total
+        return np.round(mixed, 9)  # equal candidates tie, whatever the order of summation
+
+    return score
+
+
+def _moment_names(p: Params) -> list[str]:
+    return [f"{x}_{k}" for k in _weights(p) for x in ("m", "d")]
+
+
+def _fine(a: np.ndarray, b: np.ndarray, p: Params) -> np.ndarray:
+    """Whether sizes (logarithms of width and height, last axis) are alike and both long enough."""
+    apart = a - b
+    alike = np.hypot(apart[..., 0], apart[..., 1]) <= -math.log(p.size) + 1e-9
+    return alike & (np.exp(a[..., 0]) >= p.min_match) & (np.exp(b[..., 0]) >= p.min_match)
+
+
+def token_scores(pairs: Cells, p: Params, steps: int = 40, least: float | None = None) -> DataFrame:
     """For each pair of tokens of a comparison: u, the best mixed score of all candidate pairs; t, the best of those alike
     in size and long enough; and the candidates i, j that reach t, with their cosine and distance.
 
     A page compared with itself leaves out each token with itself, but its moments don't.
+    With least, only pairs whose u is least or more leave their blocks.
     """
-    weights, radius = _weights(p), -math.log(p.size)
-    total = sum(weights.values())
-    names = [f"{x}_{k}" for k in weights for x in ("m", "d")]
-    left = _with_moments(pairs, moments(pairs, p, steps), names)
+    weights, score_of = _weights(p), _scorer(p, steps)
+    left = _with_moments(pairs, moments(pairs, p, steps), _moment_names(p))
 
     def each(x: dict, y: dict) -> pd.DataFrame:
         a, b = (_arrays(r, list(weights)) for r in (x, y))
         m = _components(a, b, p, steps, list(weights))
-        stat = dict(zip(names, dict(x["moments"])[y["page"]], strict=True))
-        score = sum(w * (m[k] - stat[f"m_{k}"]) / (stat[f"d_{k}"] + 1e-8) for k, w in weights.items()) / total
-        score = np.round(score, 9)  # equal candidates tie, whatever the order of summation
-        apart = a["size"][:, None] - b["size"][None]
-        alike = np.hypot(apart[..., 0], apart[..., 1]) <= radius + 1e-9
-        long = np.exp(a["size"][:, None, 0]) >= p.min_match
-        fine = alike & long & (np.exp(b["size"][None, :, 0]) >= p.min_match)
-        ta, tb, u, t, i, j = K.best_by_token(score, fine, a["tok"], b["tok"])
-        ga, gb = np.meshgrid(np.arange(len(ta)), np.arange(len(tb)), indexing="ij")
-        i, j = i.ravel(), j.ravel()
+        ta, tb, u, t, i, j = K.best_by_token(score_of(x, y, m), _fine(a["size"][:, None], b["size"][None], p), a["tok"], b["tok"])
+        kept = np.ones(u.shape, dtype=bool) if least is None else u >= least
+        if x["page"] == y["page"]:
+            kept &= ta[:, None] != tb[None]
+        ga, gb = np.nonzero(kept)
+        i, j, t = i[ga, gb], j[ga, gb], t[ga, gb]
         got = i >= 0
         none = np.where(got, 0.0, np.nan)
         at = lambda k: m[k][i, j] + none if k in m else np.full(len(i), np.nan)
-        out = pd.DataFrame({
-            "page_a": x["page"], "page_b": y["page"], "tok_a": ta[ga.ravel()], "tok_b": tb[gb.ravel()], "u": u.ravel(),
-            "t": np.where(got, t.ravel(), np.nan), "i": np.where(got, a["cand"][i], -1), "j": np.where(got, b["cand"][j], -1),
+        return pd.DataFrame({
+            "page_a": x["page"], "page_b": y["page"], "tok_a": ta[ga], "tok_b": tb[gb], "u": u[ga, gb],
+            "t": np.where(got, t, np.nan), "i": np.where(got, a["cand"][i], -1), "j": np.where(got, b["cand"][j], -1),
             "cos": at("cos"), "dtw": -at("dtw"), "hog_dtw": -at("hog_dtw"),
         })
-        return out[out["tok_a"] != out["tok_b"]] if x["page"] == y["page"] else out
 
-    kinds = "page_a string, page_b string, tok_a long, tok_b long, u double, t double, i long, j long, cos double, dtw double, hog_dtw double"
-    rows = Cells(left, pairs.right).compared(each, kinds)  # two tokens meet in one pair of blocks
+    rows = Cells(left, pairs.right).compared(each, _SCORES)  # two tokens meet in one pair of blocks
     return rows.select("page_a", "page_b", "tok_a", "tok_b", "u", *[_known(c) for c in ("t", "i", "j", "cos", "dtw", "hog_dtw")])
 
 
-def with_context(scores: DataFrame, tokens: DataFrame, p: Params) -> DataFrame:
-    """z of each pair of tokens against its row's and column's background, raised by the z of pairs next to it in reading order.
+_SCORES = "page_a string, page_b string, tok_a long, tok_b long, u double, t double, i long, j long, cos double, dtw double, hog_dtw double"
 
-    tokens(page, tok, col, line, pos) gives the order; neighbours cross lines, not columns.
+
+def leaders(pairs: Cells, p: Params, of: DataFrame, steps: int = 40) -> DataFrame:
+    """Of each comparison, for each token of either side ("a" or "b"): mean and deviation of its u with all tokens of the other,
+    and best, its k greatest t with the tokens that reach them, the first of equals first.
+
+    Each pair of blocks gives two rows, with every token's count, mean, sum of
+    squares about that mean and its k best, as arrays; those of a block and a
+    page are put together in one task, so no pair of tokens leaves its blocks.
+    of are moments.
     """
-    by = ["page_a", "page_b"]
-    rows = A.background_z(scores, by, F.col("t"), "u", "z_base")
-    back = A.background_z(scores, by, F.col("u"), "u", "zu")
-    near = stored(J.reading_neighbours(tokens, p.context_reach, ["page", "col"], "tok", ["line", "pos", "tok"]).select("page", "tok", "side", "neighbour"), "neighbours")
-    left, right = near.withColumnRenamed("page", "page_a"), near.withColumnRenamed("page", "page_b")
-    ra = left.select("page_a", F.col("neighbour").alias("tok_a"), "side", F.col("tok").alias("_ta"))
-    rb = right.select("page_b", F.col("neighbour").alias("tok_b"), "side", F.col("tok").alias("_tb"))
-    sent = back.select(*by, "tok_a", "tok_b", "zu").join(ra, ["page_a", "tok_a"]).join(rb, ["page_b", "tok_b", "side"])
-    support = sent.groupBy(*by, F.col("_ta").alias("tok_a"), F.col("_tb").alias("tok_b")).agg(F.max("zu").alias("support"))
-    rows = rows.join(support, [*by, "tok_a", "tok_b"], "left")
-    bonus = F.least(F.greatest(F.coalesce("support", F.lit(0.0)), F.lit(0.0)), F.lit(p.context_cap))
-    rows = rows.withColumn("support", F.greatest(F.coalesce("support", F.lit(0.0)), F.lit(0.0)))
-    return rows.withColumn("z", F.col("z_base") + F.lit(p.context_weight) * bonus)
-
-
-def accepted(scored: DataFrame, p: Params, k: Column | None = None) -> DataFrame:
-    """Pairs that pass all tests: z, floor, within the margin of both bests and among the k best both ways; pairs of a page with itself once."""
-    by = ["page_a", "page_b"]
-    k = F.when(F.col("page_a") == F.col("page_b"), p.k_within).otherwise(p.k) if k is None else k
-    rows = scored.where(F.col("t").isNotNull())
-    rows = W.reciprocal_top_k(rows, by, "tok_a", "tok_b", "t", k, p.margin)
-    fine = (F.col("z") >= p.z) & (F.col("t") >= p.floor)
-    return rows.where(fine & ((F.col("page_a") != F.col("page_b")) | (F.col("tok_a") < F.col("tok_b"))))
+    weights, score_of = _weights(p), _scorer(p, steps)
+    kinds = "page_a string, page_b string, side string, block int, other int, tok array<long>, n array<long>, m array<double>, q array<double>, t array<double>, at array<long>"
+    out = "page_a string, page_b string, side string, tok long, mean double, deviation double, t array<double>, at array<long>"
+
+    def each(x: dict, y: dict) -> pd.DataFrame:
+        a, b = (_arrays(r, list(weights)) for r in (x, y))
+        score = score_of(x, y, _components(a, b, p, steps, list(weights)))
+        ta, tb, u, t = K.best_scores(score, _fine(a["size"][:, None], b["size"][None], p), a["tok"], b["tok"])
+        within = x["page"] == y["page"]
+        counted = ta[:, None] != tb[None] if within else np.ones(u.shape, dtype=bool)
+        if within:
+            t = np.where(counted, t, -np.inf)
+        rows = []
+        for side, block, other, tok, others, v, w, c in (("a", x, y, ta, tb, u, t, counted), ("b", y, x, tb, ta, u.T, t.T, counted.T)):
+            n = c.sum(axis=1)
+            m = (np.where(c, v, 0.0) if within else v).sum(axis=1) / np.maximum(n, 1)
+            q = v - m[:, None]
+            q = ((np.where(c, q, 0.0) if within else q) ** 2).sum(axis=1)
+            best, places = K.greatest(np.ascontiguousarray(w), p.k_within if within else p.k)
+            rows.append((x["page"], y["page"], side, block["block"], other["block"], tok, n, m, q, best.ravel(), others[places].ravel()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in kinds.split(", ")])
+
+    def together(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("other", kind="stable")
+        n, m, q = (np.stack(rows[c].tolist()) for c in ("n", "m", "q"))
+        tok, k = rows["tok"].iloc[0], p.k_within if key[0] == key[1] else p.k
+        t, at = (np.concatenate([v.reshape(len(tok), -1) for v in rows[c]], axis=1) for c in ("t", "at"))
+        order = np.lexsort((at, -t), axis=1)[:, :k]
+        t, at = np.take_along_axis(t, order, axis=1), np.take_along_axis(at, order, axis=1)
+        total = n.sum(axis=0)
+        mean = (n * m).sum(axis=0) / np.maximum(total, 1)
+        spread = np.sqrt((q + n * (m - mean) ** 2).sum(axis=0) / np.maximum(total, 1))
+        real = [np.flatnonzero(v > -np.inf) for v in t]
+        found = pd.DataFrame({
+            "page_a": key[0], "page_b": key[1], "side": key[2], "tok": tok, "mean": mean, "deviation": spread,
+            "t": [v[r] for v, r in zip(t, real, strict=True)], "at": [v[r] for v, r in zip(at, real, strict=True)],
+        })
+        return found[total > 0]
+
+    left = _knowing_moments(pairs, of, _moment_names(p))
+    parts = Cells(left, pairs.right).compared(each, kinds)
+    return parts.groupBy("page_a", "page_b", "side", "block").applyInPandas(lambda key, rows: together(key, rows), out)
+
+
+def asked_scores(pairs: Cells, p: Params, of: DataFrame, asked: DataFrame, steps: int = 40) -> DataFrame:
+    """What token_scores gives, for the pairs of tokens in asked(page_a, page_b, tok_a, tok_b) alone, which are sent to the left blocks."""
+    weights, score_of = _weights(p), _scorer(p, steps)
+    places = pairs.left.select("page", "block", F.explode(F.array_distinct("rows.tok")).alias("tok")).distinct()
+    placed = asked.join(places.select(F.col("page").alias("page_a"), "block", F.col("tok").alias("tok_a")), ["page_a", "tok_a"])
+    sent = placed.groupBy("page_a", "block", "page_b").agg(F.sort_array(F.collect_list(F.struct("tok_b", "tok_a"))).alias("s"))
+    sent = sent.groupBy(F.col("page_a").alias("page"), "block").agg(F.collect_list(F.struct("page_b", F.col("s.tok_a").alias("tok_a"), F.col("s.tok_b").alias("tok_b"))).alias("asked"))
+    left = _knowing_moments(pairs, of, _moment_names(p)).join(stored(sent, "asked"), ["page", "block"])
+
+    def each(x: dict, y: dict) -> pd.DataFrame | None:
+        if "wanted" not in x:
+            x["wanted"] = {r["page_b"]: (np.array(r["tok_a"], dtype=np.int64), np.array(r["tok_b"], dtype=np.int64)) for r in x.pop("asked")}
+        if y["page"] not in x["wanted"]:
+            return None
+        a, b = (_arrays(r, list(weights)) for r in (x, y))
+        (ta, na), (tb, nb) = (np.unique(r["tok"], return_counts=True) for r in (a, b))
+        tok_a, tok_b = x["wanted"][y["page"]]
+        low, high = np.searchsorted(tok_b, (tb[0], tb[-1] + 1))
+        tok_a, tok_b = tok_a[low:high], tok_b[low:high]
+        ia, ib = np.searchsorted(ta, tok_a), np.searchsorted(tb, tok_b)
+        if not len(ia):
+            return None
+        heads, counts = [np.cumsum(n) - n for n in (na, nb)], na[ia] * nb[ib]
+        starts = np.cumsum(counts) - counts
+        place = np.arange(counts.sum()) - np.repeat(starts, counts)  # of candidate pairs within a pair of tokens, in row order
+        i = np.repeat(heads[0][ia], counts) + place // np.repeat(nb[ib], counts)
+        j = np.repeat(heads[1][ib], counts) + place % np.repeat(nb[ib], counts)
+        m = {}
+        for name in weights:
+            if name == "cos":
+                m[name] = np.einsum("ij,ij->i", a["feat"][i], b["feat"][j])
+            else:
+                key, length = ("seq", steps) if name == "dtw" else ("hseq", p.hog_steps)
+                m[name] = -K.dtw_rows(a[key].reshape(len(a[key]), length, -1), b[key].reshape(len(b[key]), length, -1), i, j)
+        score = score_of(x, y, m)
+        gated = np.where(_fine(a["size"][i], b["size"][j], p), score, -np.inf)
+        u, t = np.maximum.reduceat(score, starts), np.maximum.reduceat(gated, starts)
+        hit = np.flatnonzero((gated == np.repeat(t, counts)) & (gated > -np.inf))
+        of_hit = np.searchsorted(starts, hit, side="right") - 1
+        first = np.full(len(starts), -1)
+        first[of_hit[::-1]] = hit[::-1]
+        got = first >= 0
+        none = np.where(got, 0.0, np.nan)
+        at = lambda k: m[k][first] + none if k in m else np.full(len(first), np.nan)
+        return pd.DataFrame({
+            "page_a": x["page"], "page_b": y["page"], "tok_a": tok_a, "tok_b": tok_b, "u": u, "t": np.where(got, t, np.nan),
+            "i": np.where(got, a["cand"][i[first]], -1), "j": np.where(got, b["cand"][j[first]], -1), "cos": at("cos"), "dtw": -at("dtw"), "hog_dtw": -at("hog_dtw"),
+        })
+
+    rows = Cells(left, pairs.right).compared(each, _SCORES)
+    return rows.select("page_a", "page_b", "tok_a", "tok_b", "u", *[_known(c) for c in ("t", "i", "j", "cos", "dtw", "hog_dtw")])
+
+
+def accepted(known: DataFrame, p: Params) -> DataFrame:
+    """Pairs that are among the k best both ways, within the margin of both bests, not below the floor, and whose z_base context
+    could raise to z; pairs of a page with itself once. known are leaders, and a pair's rank is its place in both of its lists."""
+
+    def side(s: str, own: str, other: str) -> DataFrame:
+        rows = known.where(F.col("side") == s).select("page_a", "page_b", F.col("tok").alias(own), F.col("mean").alias(f"m_{s}"), F.col("deviation").alias(f"s_{s}"), F.get("t", F.lit(0)).alias(f"best_{s}"), F.explode(F.arrays_zip("t", "at")).alias("_l"))
+        rows = rows.withColumns({other: F.col("_l.at"), f"t_{s}": F.col("_l.t")}).drop("_l")
+        return rows.where((F.col(f"t_{s}") >= p.floor) & (F.col(f"t_{s}") >= F.col(f"best_{s}") - p.margin))
+
+    both = side("a", "tok_a", "tok_b").join(side("b", "tok_b", "tok_a"), ["page_a", "page_b", "tok_a", "tok_b"])
+    low = F.least(*[(F.col("t_a") - F.col(f"m_{s}")) / (F.col(f"s_{s}") + 1e-8) for s in "ab"])
+    both = both.where((F.col("page_a") != F.col("page_b")) | (F.col("tok_a") < F.col("tok_b"))).select("page_a", "page_b", "tok_a", "tok_b", F.col("t_a").alias("score"), low.alias("z_base"))
+    return both.where(F.col("z_base") >= p.z - max(0.0, p.context_weight * p.context_cap))
 
 
 def matches(candidates: DataFrame, tokens: DataFrame, p: Params = Params(), within: bool = True, cross: bool = True, steps: int = 40) -> DataFrame:  # noqa: B008
-    """All accepted matches: page_a, page_b, tok_a, tok_b, i, j, z, z_base, support, score, cos, dtw, hog_dtw."""
-    pairs = block_pairs(stored(blocks(candidates), "blocks"), within, cross)
-    scores = stored(token_scores(pairs, p, steps), "token-scores")
-    out = accepted(with_context(scores, tokens, p), p)
-    return out.select("page_a", "page_b", "tok_a", "tok_b", "i", "j", "z", "z_base", "support", F.col("t").alias("score"), "cos", "dtw", "hog_dtw")
+    """All accepted matches: page_a, page_b, tok_a, tok_b, i, j, z, z_base, support, score, cos, dtw, hog_dtw.
+
+    tokens(page, tok, col, line, pos) gives the reading order; a match is raised
+    by the z of pairs next to it, across lines but not across columns.
+
+    Every pair of tokens is scored in its blocks, where each token's background
+    and best partners are found. What is among the best of both and may pass is
+    few, and so are its neighbours in reading order: only these are scored again.
+    """
+    by = ["page_a", "page_b"]
+    b = stored(blocks(candidates), "blocks")
+    of = stored(moments(block_pairs(b, within, cross), p, steps), "moments")
+    known = stored(leaders(block_pairs(b, within, cross), p, of, steps), "leaders")
+    chosen = stored(accepted(known, p), "chosen")
+
+    near = stored(J.reading_neighbours(tokens, p.context_reach, ["page", "col"], "tok", ["line", "pos", "tok"]).select("page", "tok", "side", "neighbour"), "neighbours")
+    ra = near.select(F.col("page").alias("page_a"), F.col("tok").alias("tok_a"), "side", F.col("neighbour").alias("_na"))
+    rb = near.select(F.col("page").alias("page_b"), F.col("tok").alias("tok_b"), "side", F.col("neighbour").alias("_nb"))
+    beside = chosen.select(*by, "tok_a", "tok_b").join(ra, ["page_a", "tok_a"]).join(rb, ["page_b", "tok_b", "side"]).select(*by, "tok_a", "tok_b", "_na", "_nb")
+    beside = stored(beside.where((F.col("page_a") != F.col("page_b")) | (F.col("_na") != F.col("_nb"))), "beside")
+    asked = chosen.select(*by, "tok_a", "tok_b").unionByName(beside.select(*by, F.col("_na").alias("tok_a"), F.col("_nb").alias("tok_b"))).distinct()
+    scores = stored(asked_scores(block_pairs(b, within, cross), p, of, asked, steps), "asked-scores")
+
+    u = scores.select(*by, F.col("tok_a").alias("_na"), F.col("tok_b").alias("_nb"), "u")
+    for s in "ab":
+        u = u.join(known.where(F.col("side") == s).select(*by, F.col("tok").alias(f"_n{s}"), F.col("mean").alias(f"m_{s}"), F.col("deviation").alias(f"s_{s}")), [*by, f"_n{s}"])
+    zu = F.least(*[(F.col("u") - F.col(f"m_{s}")) / (F.col(f"s_{s}") + 1e-8) for s in "ab"])
+    support = beside.join(u.select(*by, "_na", "_nb", zu.alias("zu")), [*by, "_na", "_nb"]).groupBy(*by, "tok_a", "tok_b").agg(F.max("zu").alias("support"))
+    rows = chosen.join(support, [*by, "tok_a", "tok_b"], "left").withColumn("support", F.greatest(F.coalesce("support", F.lit(0.0)), F.lit(0.0)))
+    rows = rows.withColumn("z", F.col("z_base") + F.lit(p.context_weight) * F.least("support", F.lit(p.context_cap))).where(F.col("z") >= p.z)
+    rows = rows.join(scores.select(*by, "tok_a", "tok_b", "i", "j", "cos", "dtw", "hog_dtw"), [*by, "tok_a", "tok_b"])
+    return rows.select(*by, "tok_a", "tok_b", "i", "j", "z", "z_base", "support", "score", "cos", "dtw", "hog_dtw")
 
 
 def similar(rows: DataFrame, key: str, vector: str, least: float) -> DataFrame:

@@ -370,3 +370,40 @@ def test_background_scores(spark, monkeypatch):
             assert got[a, c, i, j] == pytest.approx(low)
         want += len(u)
     assert len(got) == want
+
+
+def _plain_matches(scores, tokens, p):
+    """Matches by whole tables of token scores: backgrounds and context by joins, ranks by windows."""
+    by = ["page_a", "page_b"]
+    rows = A.background_z(A.background_z(scores, by, F.col("t"), "u", "z_base"), by, F.col("u"), "u", "zu")
+    near = [J.reading_neighbours(tokens, p.context_reach, ["page", "col"], "tok", ["line", "pos", "tok"]).select(F.col("page").alias(f"page_{s}"), F.col("tok").alias(f"t{s}"), "side", F.col("neighbour").alias(f"tok_{s}")) for s in "ab"]
+    sent = rows.select(*by, "tok_a", "tok_b", "zu").join(near[0], ["page_a", "tok_a"]).join(near[1], ["page_b", "tok_b", "side"])
+    sent = sent.groupBy(*by, F.col("ta").alias("tok_a"), F.col("tb").alias("tok_b")).agg(F.max("zu").alias("support"))
+    rows = rows.join(sent, [*by, "tok_a", "tok_b"], "left").withColumn("support", F.greatest(F.coalesce("support", F.lit(0.0)), F.lit(0.0)))
+    rows = rows.withColumn("z", F.col("z_base") + p.context_weight * F.least("support", F.lit(p.context_cap))).where("t is not null")
+    rows = W.reciprocal_top_k(rows, by, "tok_a", "tok_b", "t", F.when(F.col("page_a") == F.col("page_b"), p.k_within).otherwise(p.k), p.margin)
+    return rows.where((F.col("z") >= p.z) & (F.col("t") >= p.floor) & ((F.col("page_a") != F.col("page_b")) | (F.col("tok_a") < F.col("tok_b"))))
+
+
+@pytest.mark.parametrize("weight", [0.0, 0.4])
+def test_matches_leave_no_table_of_all_pairs(spark, monkeypatch, weight):
+    """Copies tie, tokens are not numbered in reading order, and blocks are small: the same matches as from whole tables, of which none is written."""
+    monkeypatch.setattr(SP, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    drawn = [rng.normal(size=(2, 6)) for _ in range(30)]
+    rows = []
+    for n in range(150):
+        f, q = drawn[int(rng.integers(30))] + (0.4 * rng.normal(size=(2, 6)) if n % 3 else 0.0)
+        rows.append((f"p{n % 3}", n // 6, n, float(20 + n % 4), 10.0, 10.0, (f / np.linalg.norm(f)).tolist(), q.tolist(), 0, 0, 20, 10))
+    c = spark.createDataFrame(rows, SCHEMA)
+    order = c.select("page", "tok").distinct().withColumns({"col": F.lit(0), "line": F.col("tok").cast("int") % 5, "pos": F.lit(0)})
+    p = SP.Params(z=0.8, floor=0.3, min_match=1.0, dtw_weight=weight)
+    sizes = {}
+    kept = SP.stored
+    monkeypatch.setattr(SP, "stored", lambda df, name: (out := kept(df, name), sizes.update({name: max(out.count(), sizes.get(name, 0))}))[0])
+    key = lambda r, score: (r.page_a, r.page_b, r.tok_a, r.tok_b, r.i, r.j, round(r.z, 6), round(r.z_base, 6), round(r.support, 6), round(r[score], 6), round(r.cos, 6))
+    got = sorted(key(r, "score") for r in SP.matches(c, order, p, steps=3).collect())
+    assert "token-scores" not in sizes and sizes["leaders"] <= 2 * 6 * 25 and sizes["chosen"] >= len(got) > 20
+    scores = kept(SP.token_scores(SP.block_pairs(kept(SP.blocks(c), "b")), p, 3), "all")
+    assert got == sorted(key(r, "t") for r in _plain_matches(scores, order, p).collect())
+    assert {g[0] == g[1] for g in got} == {True, False}
