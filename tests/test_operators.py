@@ -407,3 +407,20 @@ def test_matches_leave_no_table_of_all_pairs(spark, monkeypatch, weight):
     scores = kept(SP.token_scores(SP.block_pairs(kept(SP.blocks(c), "b")), p, 3), "all")
     assert got == sorted(key(r, "t") for r in _plain_matches(scores, order, p).collect())
     assert {g[0] == g[1] for g in got} == {True, False}
+
+
+def test_gold_scores_alone_leave_their_blocks(spark, monkeypatch):
+    """agg_mrr writes the pairs that are gold, not all, and their ranks are those among all."""
+    from pagemill.plans import catalog_pipes as C
+
+    sizes = {}
+    kept = SP.stored
+    for m in (SP, C):
+        monkeypatch.setattr(m, "stored", lambda df, name: (out := kept(df, name), sizes.update({name: out.count()}))[0])
+    got = sorted(map(tuple, C.agg_mrr(spark, "/root/testdata/sf0.001").collect()))
+    b = kept(SP.blocks(C.candidates(spark, "/root/testdata/sf0.001")), "b")
+    scores = kept(SP.token_scores(SP.block_pairs(b, within=False), C.PARAMS), "all")
+    assert max(sizes.values()) < scores.count() / 10
+    by = ["page_a", "page_b"]
+    out = A.retrieval_metrics(A.retrieval(scores, scores.where("u >= 3"), by, "tok_a", "tok_b", "u"), by)
+    assert got == sorted(map(tuple, out.select(*by, *[F.round(c, 6).alias(c) for c in ("mrr", "hit1", "hit3")], "median_rank").collect()))
