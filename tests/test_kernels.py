@@ -1,5 +1,7 @@
 """Array kernels on inputs whose results are known by hand."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -18,6 +20,26 @@ def test_runs_and_gaps():
     assert len(S.merged(spans, 6)) == 2
 
 
+def test_dtw_in_tiles(monkeypatch):
+    """Pairs in tiles of any shape are as pairs alone, equal sequences are at 0 whatever their length, and no plane of all pairs is held."""
+    rng = np.random.default_rng(3)
+    x, y = 1e3 + rng.normal(size=(37, 9, 2)), 1e3 + rng.normal(size=(23, 9, 2))
+    y[:4] = x[:4]
+    i, j = np.divmod(np.arange(37 * 23), 23)
+    want = K.dtw_rows(x, y, i, j).reshape(37, 23)
+    for tile in ((32, 256), (8, 5), (37, 23)):
+        monkeypatch.setattr(K, "TILE", tile)
+        got = K.dtw(x, y)
+        assert np.abs(got - want).max() < 1e-12 and not got[range(4), range(4)].any()
+    monkeypatch.undo()
+    x = rng.normal(size=(512, 16, 2))
+    tracemalloc.start()
+    K.dtw(x, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20  # the result has 2 MB; all pairs' sums would have 70
+
+
 def test_dtw():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(5, 12, 3)), rng.normal(size=(4, 12, 3))
