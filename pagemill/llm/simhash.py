@@ -219,6 +219,13 @@ def links(rows: DataFrame, key: list[str], node: str, words: dict[str, list[str]
     return dealt.mapInArrow(each, "a long, b long").distinct()
 
 
+def linked_fingerprints(classes: DataFrame, distance: int = 4, shared: int = 3) -> DataFrame:
+    """Links (a, b) between classes(fp) of different fingerprints; components of them are those of all pairs with at most distance bits apart."""
+    rows = keyed(classes.select("fp"), ["fp"], distance + shared, shared)
+    rows = _cells(rows, F.xxhash64("fp"))
+    return links(rows, ["t", "k", "cell"], "fp", {"s": ["fp"]}, {"s": distance})
+
+
 def components_by_distance(docs: DataFrame, size: int = 4, distance: int = 4, shared: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints link, directly or through others.
 
@@ -230,10 +237,7 @@ def components_by_distance(docs: DataFrame, size: int = 4, distance: int = 4, sh
     """
     prints = stored(fingerprints(docs, size), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rows = keyed(classes.select("fp"), ["fp"], distance + shared, shared)
-    rows = _cells(rows, F.xxhash64("fp"))
-    found = links(rows, ["t", "k", "cell"], "fp", {"s": ["fp"]}, {"s": distance})
-    parts = components(found)
+    parts = components(linked_fingerprints(classes, distance, shared))
     joined = classes.join(parts, classes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     joined = stored(joined, "classes")
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -241,7 +245,7 @@ def components_by_distance(docs: DataFrame, size: int = 4, distance: int = 4, sh
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The dedup stage's search: keys of BANDS bands of WIDTH minima of the shingle set, and BITS bits of each minimum in MARKS.
+#: What the dedup stage searches beyond fingerprints: keys of BANDS bands of WIDTH minima of the shingle set, and BITS bits of each minimum in MARKS.
 BANDS, WIDTH, BITS = 21, 3, 4
 SEARCH = [f"k{i}" for i in range(BANDS)]
 MARKS = [f"s{i}" for i in range(BITS)]
@@ -293,16 +297,18 @@ def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
 
 
 def sketch(text: bytes | None, size: int = 5) -> list[int]:
-    """Search keys, marks, and the digest of the shingle set, which tells different sets apart; all 0 without words."""
-    shingles = shingle_set(text, size)
-    if not len(shingles):
-        return [0] * (len(SEARCH) + len(MARKS) + 1)
-    return [*searched(shingles), xxhash.xxh64_intdigest(shingles.tobytes(), _SEED)]
+    """Search keys, marks, the digest of the shingle set, which tells different sets apart, and the fingerprint; all 0 without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return [0] * (len(SEARCH) + len(MARKS) + 2)
+    hashes = _shingle_hashes(words, size)
+    shingles = np.unique(hashes)
+    return [*searched(shingles), xxhash.xxh64_intdigest(shingles.tobytes(), _SEED), _majority(hashes)]
 
 
 def sketches(rows: DataFrame, size: int = 5) -> DataFrame:
     """rows(row, doc_id, text) with sketches in place of texts."""
-    names = [*SEARCH, *MARKS, "node"]
+    names = [*SEARCH, *MARKS, "node", "fp"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,13 +458,29 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
+def _by_fingerprint(prints: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of sketches whose fingerprints link as in components_by_distance."""
+    nodes = stored(prints.select("node", "fp").distinct(), "fingerprint-nodes")
+    classes = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-classes")
+    firsts = [classes.select(F.col("fp").alias(f"_{s}"), F.col("first").alias(s)) for s in "ab"]
+    found = linked_fingerprints(classes).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    across = found.join(firsts[0], "_a").join(firsts[1], "_b").select("a", "b")
+    own = nodes.join(classes, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return across.unionAll(own).where("a <> b")
+
+
+def _by_minima(classes: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes that share a search key and are not far apart by MARKS."""
+    rows = classes.select("node", *MARKS, F.posexplode(F.array(*SEARCH)).alias("t", "k"))
+    return links(_cells(rows, F.col("node")), ["t", "k", "cell"], "node", {"s": MARKS}, {"s": MOST_SEARCH})
+
+
 def _labelled(held: DataFrame, row: str, size: int) -> DataFrame:
     """(row, doc_id, node, root) of all rows of held, written; near copies share a root."""
     held = held.select(F.col(row).alias("row"), "doc_id", "text")
     prints = stored(sketches(held, size), "sketches")
     classes = stored(prints.groupBy("node", *MARKS, *SEARCH).agg(F.min("row").alias("row")), "sketch-classes")
-    rows = classes.select("node", *MARKS, F.posexplode(F.array(*SEARCH)).alias("t", "k"))
-    found = links(_cells(rows, F.col("node")), ["t", "k", "cell"], "node", {"s": MARKS}, {"s": MOST_SEARCH})
+    found = _by_fingerprint(prints).unionAll(_by_minima(classes))
     parts = components(found).withColumnRenamed("component", "part")
     parts = small(stored(classes.select("node", "row").join(parts, "node").select("row", "node", "part"), "search-parts"))
     dropped(classes)
@@ -474,12 +496,14 @@ def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, component_id) of all documents; near copies share a component.
 
     Near copies have a Jaccard similarity of their sets of five-word shingles of
-    0.8 or more, directly or through others. Pairs are searched by MinHash bands:
-    21 keys of 3 minima of the shingle set. What an edit is does not matter, only
-    the similarity j: a pair shares no key with a chance of (1 - j ** 3) ** 21,
-    which is 3e-7 at 0.8 and 1e-12 at 0.9. Of the pairs under a key a loose limit
-    takes the unlike ones; what is linked then is verified by its shingles, in
-    parts of bounded size.
+    0.8 or more, directly or through others. Pairs are those whose SimHash
+    fingerprints, of the same shingles with repeats, differ in at most 4 bits; at
+    0.8 about 9 of 64 bits differ, so further pairs come from MinHash bands: 21
+    keys of 3 minima of the shingle set. What an edit is does not matter there,
+    only the similarity j: a pair shares no key with a chance of
+    (1 - j ** 3) ** 21, which is 3e-7 at 0.8 and 1e-12 at 0.9. Of the pairs under
+    a key a loose limit takes the unlike ones. What is linked by either is
+    verified by its shingles, in parts of bounded size.
     """
     held, row = _numbered(docs.select("doc_id", "text"))
     labelled = _labelled(held, row, size)

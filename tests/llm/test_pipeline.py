@@ -215,6 +215,21 @@ def test_large_parts(spark, monkeypatch):
     assert {frozenset(x) for x in got.values()} == want and max(map(len, want)) >= 40
 
 
+def test_fingerprints_find_copies_alone(spark, monkeypatch):
+    """Near copies are linked by SimHash fingerprints at most 4 bits apart even if no band finds them; unlike texts with near fingerprints stay apart."""
+    monkeypatch.setattr(simhash, "_by_minima", lambda classes: classes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
+    rng = np.random.default_rng(9)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(10 + i, t + " end") for i, t in enumerate(base)]
+    line = "one line that comes again and again in both of these texts "
+    rows += [(30, line * 60 + "first"), (31, line * 60 + " ".join(f"x{i}" for i in range(20)))]
+    prints = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    near = {i for i in range(6) if (prints[i] ^ prints[10 + i]).bit_count() <= 4}
+    assert len(near) >= 4 and (prints[30] ^ prints[31]).bit_count() <= 4 and jaccard(shingles(rows[-2][1]), shingles(rows[-1][1])) < 0.8
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 10 if i - 10 in near else i for i, _ in rows}
+
+
 def test_alike_links_through_others():
     """A chain of sets, each like the next only, is one group, and what is like none is its own."""
     whole = np.arange(1000, dtype=np.uint64)
