@@ -123,6 +123,15 @@ def retrieval_metrics(ranks: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def rank_metrics(ranks: DataFrame, by: list[str]) -> DataFrame:
+    """retrieval_metrics of ranks(by, rank, n) that occur n times each."""
+    total, of = F.sum("n"), lambda v: F.sum(v * F.col("n"))
+    return ranks.groupBy(*by).agg(
+        (of(1 / F.col("rank")) / total).alias("mrr"), (of((F.col("rank") <= 1).cast("double")) / total).alias("hit1"),
+        (of((F.col("rank") <= 3).cast("double")) / total).alias("hit3"), F.percentile("rank", 0.5, F.col("n")).alias("median_rank"),
+    )
+
+
 def judged(accepted: DataFrame, gold: DataFrame, seen: DataFrame, on: list[str]) -> DataFrame:
     """How many accepted pairs, named by the columns in on, are gold (correct), judged but not gold (wrong), or never judged."""
     g = gold.select(*on).distinct().withColumn("_g", F.lit(True))

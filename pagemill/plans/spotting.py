@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +33,10 @@ from pagemill.storage import small, stored
 BLOCK = 512
 #: Blocks of either side that a cell of comparisons has, at most on average.
 CELL_BLOCKS = 16
+#: Blocks that a task of gold_ranks keeps of one side, on average, where a page has no more, and that it takes of the other.
+KEPT_BLOCKS, TAKEN_BLOCKS = 256, 64
+#: Pages whose few numbers are broadcast.
+BROADCAST_PAGES = 1000
 
 
 @dataclass(frozen=True)
@@ -358,12 +363,11 @@ def _fine(a: np.ndarray, b: np.ndarray, p: Params) -> np.ndarray:
     return alike & (np.exp(a[..., 0]) >= p.min_match) & (np.exp(b[..., 0]) >= p.min_match)
 
 
-def token_scores(pairs: Cells, p: Params, steps: int = 40, least: float | None = None) -> DataFrame:
+def token_scores(pairs: Cells, p: Params, steps: int = 40) -> DataFrame:
     """For each pair of tokens of a comparison: u, the best mixed score of all candidate pairs; t, the best of those alike
     in size and long enough; and the candidates i, j that reach t, with their cosine and distance.
 
     A page compared with itself leaves out each token with itself, but its moments don't.
-    With least, only pairs whose u is least or more leave their blocks.
     """
     weights, score_of = _weights(p), _scorer(p, steps)
     left = _with_moments(pairs, moments(pairs, p, steps), _moment_names(p))
@@ -372,9 +376,7 @@ def token_scores(pairs: Cells, p: Params, steps: int = 40, least: float | None =
         a, b = (_arrays(r, list(weights)) for r in (x, y))
         m = _components(a, b, p, steps, list(weights))
         ta, tb, u, t, i, j = K.best_by_token(score_of(x, y, m), _fine(a["size"][:, None], b["size"][None], p), a["tok"], b["tok"])
-        kept = np.ones(u.shape, dtype=bool) if least is None else u >= least
-        if x["page"] == y["page"]:
-            kept &= ta[:, None] != tb[None]
+        kept = ta[:, None] != tb[None] if x["page"] == y["page"] else np.ones(u.shape, dtype=bool)
         ga, gb = np.nonzero(kept)
         i, j, t = i[ga, gb], j[ga, gb], t[ga, gb]
         got = i >= 0
@@ -390,6 +392,153 @@ def token_scores(pairs: Cells, p: Params, steps: int = 40, least: float | None =
     return rows.select("page_a", "page_b", "tok_a", "tok_b", "u", *[_known(c) for c in ("t", "i", "j", "cos", "dtw", "hog_dtw")])
 
 
+def packed(b: DataFrame) -> DataFrame:
+    """Blocks as bytes: page, block, n, each row's token by its number within the block (tok), the vectors (feat), their sum (s)
+    and their Gram matrix (q), or again the vectors if these take less."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch.to_dict("records"):
+                a = _arrays(x, ["cos"])
+                f, tok = a["feat"], np.cumsum(np.diff(a["tok"], prepend=a["tok"][0]) != 0, dtype=np.int32)
+                yield pd.DataFrame([(x["page"], x["block"], len(f), tok.tobytes(), f.tobytes(), f.sum(axis=0).tobytes(), (f if len(f) < f.shape[1] else f.T @ f).tobytes())], columns=["page", "block", "n", "tok", "feat", "s", "q"])
+
+    return b.mapInPandas(pack, "page string, block int, n long, tok binary, feat binary, s binary, q binary")
+
+
+def _gram(n: int, q: np.ndarray) -> np.ndarray:
+    """The Gram matrix of n vectors from what packed has of it."""
+    return q.T @ q if n < q.shape[1] else q
+
+
+def _sums_read(x: dict, of: str = "") -> tuple[int, np.ndarray, np.ndarray]:
+    s = np.frombuffer(x[of + "s"])
+    return x[of + "n"], s, np.frombuffer(x[of + "q"]).reshape(-1, len(s))
+
+
+def _page_sums(b: DataFrame) -> DataFrame:
+    """Of each page of packed blocks: blocks, n, s and q over all. A task adds up one page after another, in the order of blocks."""
+    kinds = "page string, blocks int, n long, s binary, q binary"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, blocks, held = None, 0, None
+        row = lambda: pa.RecordBatch.from_pylist([{"page": page, "blocks": blocks, "n": held[0], "s": held[1].tobytes(), "q": held[2].tobytes()}], _arrow(kinds))
+        for batch in batches:
+            for x in batch.to_pylist():
+                n, s, q = _sums_read(x)
+                if held is not None and x["page"] == page:
+                    m, t, r = held
+                    blocks, held = blocks + 1, (m + n, t + s, np.concatenate([r, q]) if m + n < len(s) else _gram(m, r) + _gram(n, q))
+                    continue
+                if held is not None:
+                    yield row()
+                page, blocks, held = x["page"], 1, (n, s, q)
+        if held is not None:
+            yield row()
+
+    return b.select("page", "block", "n", "s", "q").repartition("page").sortWithinPartitions("page", "block").mapInArrow(add, kinds)
+
+
+def _arrow(kinds: str) -> pa.Schema:
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.schema([(c.split()[0], types[c.split()[1]]) for c in kinds.split(", ")])
+
+
+def _product(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of left (page, l_...) with every row of right (r_page, r_...) of another page. Partitions meet; neither side is shuffled, written or sent whole."""
+    return left.hint("shuffle_replicate_nl").join(right, F.col("page") != F.col("r_page"))
+
+
+def _page_moments(sums: DataFrame) -> DataFrame:
+    """Mean m and population deviation d of the cosines of every page with every other, from their sums: no pair of candidates is formed."""
+    kinds = "page string, r_page string, m double, d double"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x in batch.to_pylist():
+                (n, s, q), (k, t, r) = _sums_read(x), _sums_read(x, "r_")
+                m = float((s * t).sum()) / (n * k)
+                v = float((_gram(n, q) * _gram(k, r)).sum()) / (n * k) - m * m
+                rows.append({"page": x["page"], "r_page": x["r_page"], "m": m, "d": 0.0 if v < 0 else math.sqrt(v)})
+            yield pa.RecordBatch.from_pylist(rows, _arrow(kinds))
+
+    cols = ["page", "n", "s", "q"]
+    return _product(sums.select(*cols), sums.select(*[F.col(c).alias(f"r_{c}") for c in cols])).mapInArrow(each, kinds)
+
+
+def gold_ranks(candidates: DataFrame, p: Params, least: float) -> DataFrame:
+    """Of every two pages, how often each rank occurs among the pairs of tokens whose u is least or more, in their rows and in
+    their columns: page_a, page_b, rank, n.
+
+    What scores higher than such a pair is one too, so a token's ranks follow
+    from its own list of them. A block meets all blocks of another page in one
+    task, one after another, where its tokens' lists are ranked; only counts come
+    out. Every two blocks meet twice, once for the ranks from either end. Blocks
+    are dealt once to partitions of whole pages and once to even ones, and
+    partitions meet where they are read, so disk grows with the rows, not with
+    their pairs. Only the cosine may have a weight.
+    """
+    if list(_weights(p)) != ["cos"]:
+        raise ValueError("only the cosine may have a weight")
+    score_of = _scorer(p, 0)
+    b = stored(packed(blocks(candidates)), "packed")
+    sums = stored(_page_sums(b), "page-sums")
+    pages, n, cores = sums.count(), b.count(), b.sparkSession.sparkContext.defaultParallelism
+    few = F.broadcast if pages <= BROADCAST_PAGES else lambda df: df
+    of = stored(_page_moments(sums), "moments").groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("r_page", F.array("m", "d")))).alias("moments"))
+    taken, kept = max(1, min(n, 4 * cores), -(-n // TAKEN_BLOCKS)), max(1, min(pages, -(-n // KEPT_BLOCKS)))
+    left = b.select("page", "block", "tok", "feat").join(few(of), "page").repartition(taken)
+    right = b.select("page", "tok", "feat").join(few(sums.select("page", "blocks")), "page").repartition(kept, "page").coalesce(kept)
+    pairs = _product(left, right.select(*[F.col(c).alias(f"r_{c}") for c in ("page", "tok", "feat", "blocks")]))
+    pairs = pairs.select("page", "block", "r_page", "r_blocks", F.col("moments")[F.col("r_page")].alias("moments"), "tok", "feat", "r_tok", "r_feat")
+    kinds = "page_a string, page_b string, rank long, n long"
+
+    def found(x: tuple, y: tuple, page: str, other: str, moments: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        """Of a block's pairs of tokens with u of least or more: the row's token, and u."""
+        (of_x, f), (of_y, g) = x, y
+        cos = K.cosines(f, g) if page < other else K.cosines(g, f).T  # the same bits from either end
+        i, j = np.nonzero(cos >= moments[0] + (least - 1e-6) * (moments[1] + 1e-8))
+        u = score_of({"moments": {other: moments}}, {"page": other}, {"cos": cos[i, j]})
+        i, j, u = i[u >= least], j[u >= least], u[u >= least]
+        row, col = of_x[i], of_y[j]
+        order = np.lexsort((-u, col, row))
+        row, col, u = row[order], col[order], u[order]
+        first = np.ones(len(u), dtype=bool)
+        first[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1])
+        return row[first], u[first]
+
+    def ranks(row: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks within rows, equals sharing the first, and how often each occurs."""
+        order = np.lexsort((-u, row))
+        row, u = row[order], u[order]
+        place, new = np.arange(len(u)), np.ones(len(u), dtype=bool)
+        new[1:] = row[1:] != row[:-1]
+        start = np.maximum.accumulate(np.where(new, place, 0))
+        new[1:] |= u[1:] != u[:-1]
+        return np.unique(np.maximum.accumulate(np.where(new, place, 0)) - start + 1, return_counts=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[tuple, list] = {}
+        for batch in batches:
+            out = {k: [] for k in ("page_a", "page_b", "rank", "n")}
+            heads = batch.select(["page", "block", "r_page", "r_blocks", "moments"]).to_pylist()
+            blobs = [batch.column(c) for c in ("tok", "feat", "r_tok", "r_feat")]
+            for k, h in enumerate(heads):
+                of_x, f, of_y, g = (np.frombuffer(c[k].as_buffer(), dtype=t) for c, t in zip(blobs, (np.int32, np.float64) * 2, strict=True))
+                key = (h["page"], h["block"], h["r_page"])
+                met.setdefault(key, []).append(found((of_x, f.reshape(len(of_x), -1)), (of_y, g.reshape(len(of_y), -1)), h["page"], h["r_page"], h["moments"]))
+                if len(met[key]) == h["r_blocks"]:
+                    rank, count = ranks(*[np.concatenate(v) for v in zip(*met.pop(key), strict=True)])
+                    for c, v in zip(out, ([min(key[0], key[2])] * len(rank), [max(key[0], key[2])] * len(rank), rank.tolist(), count.tolist()), strict=True):
+                        out[c] += v
+            yield pa.RecordBatch.from_pydict(out, _arrow(kinds))
+        if met:
+            raise RuntimeError(f"{len(met)} blocks did not meet all of a page in their task")
+
+    return pairs.mapInArrow(run, kinds).groupBy("page_a", "page_b", "rank").agg(F.sum("n").alias("n"))
+
+
 _SCORES = "page_a string, page_b string, tok_a long, tok_b long, u double, t double, i long, j long, cos double, dtw double, hog_dtw double"
 
 
