@@ -20,11 +20,9 @@ Beside the files lies the table of ranks, which is as long as the vocabulary.
 
 from __future__ import annotations
 
-import gc
 import itertools
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,6 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +44,9 @@ HEAD = struct.Struct("<4sIIQI")
 BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Blocks in one file.
 FILE_BLOCKS = 16
-#: Pieces in a generation of those that a worker remembers; it keeps two.
+#: Bytes of text that are encoded together.
+BATCH_BYTES = 6 << 20
+#: Parts of pieces in a generation of those that a worker remembers; it keeps two.
 REMEMBERED = 260_000
 _LENGTHS = (1 + ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3)).astype(np.uint8)  # of the four ids of each control byte
 _PLACES = np.arange(4, dtype=np.uint8)
@@ -108,25 +109,28 @@ class Encoder:
 
     With a vocabulary whose pre-tokenizer drops white space, never joins across
     it and sets letters apart from marks, a text's ids are those of its
-    space-separated pieces, in order; pieces repeat, and a worker remembers the
-    ids of those it met lately. New pieces of plain letters, with or without
-    punctuation behind, go through the tokenizer's own byte-pair model many at a
-    time: they are lower-cased as its normalizer would, and ids that end a word
-    tell where the next begins. All other pieces go through the whole tokenizer.
-    A tokenizer of any other kind encodes whole texts.
+    space-separated pieces, in order. Texts are split, pieces are told apart and
+    their ids put together in Arrow, so that each different piece of a batch is
+    looked at once. A piece of plain letters, with or without marks behind, is
+    cut into these two parts; any other is one part. A worker remembers the ids
+    of parts it met lately. New words go through the tokenizer's own byte-pair
+    model many at a time: they are lower-cased as its normalizer would, and ids
+    that end a word tell where the next begins. All other new parts go through
+    the whole tokenizer. A tokenizer of any other kind encodes whole texts.
     """
 
     def __init__(self, path: str, end: int | None):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
         self.before: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {b"": b""}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         suffix = spec["model"].get("end_of_word_suffix")
         self.by_words = bool(suffix) and spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER
+        # control strings begin with "<|", so a word and the marks behind it hold none between them
+        self.by_words = self.by_words and all(t["content"].startswith("<|") for t in spec["added_tokens"])
         if self.by_words:
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
             self.bare = Tokenizer(models.BPE(vocab=spec["model"]["vocab"], merges=merges, end_of_word_suffix=suffix, cache_capacity=0))
@@ -142,80 +146,77 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.width).tobytes() for e in found]
 
-    def _words(self, joined: str, n: int) -> list[bytes]:
-        """Ids of n words that spaces divide, in one go."""
-        ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.width)
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of plain letters, many in one go."""
+        joined = [b" ".join(some).decode().lower() for some in itertools.batched(words, _JOINED)]
+        joined = [j if j.isascii() else j.encode().decode("latin-1").translate(_BYTE_LETTERS) for j in joined]
+        found = self.bare.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), dtype=self.width)
         ends = ids.itemsize * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(ends) != n:
+        if len(ends) != len(words):
             raise ValueError("word ends don't match the words")
         raw, cuts = ids.tobytes(), [0, *ends.tolist()]
         return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
-    def _learn(self, pieces: set[bytes]) -> None:
+    def _of_parts(self, parts: list[bytes], plain: np.ndarray) -> list[bytes]:
+        """Ids of different parts; plain tells which are words."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {b"": b""}
         known, before = self.known, self.before
+        ids = list(map(known.get, parts))
+        gaps = [i for i, x in enumerate(ids) if x is None]
         if before:
-            again = before.keys() & pieces
-            known.update(zip(again, map(before.__getitem__, again), strict=True))
-            pieces = pieces.difference(again)
-        plain = list(filter(bytes.isalpha, pieces))  # ASCII letters
-        marked: list[tuple[bytes, bytes]] = []  # piece, its letters
-        wide: list[tuple[bytes, str, bytes]] = []  # piece, its letters in lower case, the marks behind
-        rest: list[bytes] = []
-        for piece in itertools.filterfalse(bytes.isalpha, pieces):
-            core = piece.rstrip(_MARKS)
-            if core.isalpha():
-                marked.append((piece, core))
-            elif core and not core.isascii() and _LETTERS.fullmatch(text := core.decode()):
-                wide.append((piece, text.lower(), piece[len(core) :]))
-            else:
-                rest.append(piece)
-        plain += {core for _, core in marked if core not in known}.difference(plain)
-        if plain:
-            known.update(zip(plain, self._words(b" ".join(plain).lower().decode(), len(plain)), strict=True))
-        tails = self.tails
-        for piece, core in marked:
-            marks = piece[len(core) :]
-            known[piece] = known[core] + (tails[marks] if marks in tails else self._tail(marks))
-        if wide:
-            words = list({w for _, w, _ in wide})
-            joined = " ".join(words).encode().decode("latin-1").translate(_BYTE_LETTERS)
-            of = dict(zip(words, self._words(joined, len(words)), strict=True))
-            known.update([(piece, of[w] + (tails[marks] if marks in tails else self._tail(marks))) for piece, w, marks in wide])
-        known.update(zip(rest, self._whole([p.decode() for p in rest]), strict=True))
-
-    def _tail(self, marks: bytes) -> bytes:
-        """Ids of the marks behind a word; those up to four long are remembered for good."""
-        ids = self._whole([marks.decode()])[0]
-        if len(marks) <= 4:
-            self.tails[marks] = ids
+            for i in gaps:
+                if (x := before.get(parts[i])) is not None:
+                    ids[i] = known[parts[i]] = x
+            gaps = [i for i in gaps if ids[i] is None]
+        words, others = [i for i in gaps if plain[i]], [i for i in gaps if not plain[i]]
+        new = self._words([parts[i] for i in words]) + self._whole([parts[i].decode() for i in others])
+        for i, x in zip(words + others, new, strict=True):
+            ids[i] = known[parts[i]] = x
         return ids
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+    def _of_pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of different pieces without white space, as binary values."""
+        n, (_, ends, data) = len(pieces), pieces.buffers()
+        if not data:  # no piece but the empty one
+            return pa.array([b""] * n, pa.large_binary())
+        at = np.frombuffer(ends, dtype=np.int32)[: n + 1]
+        octets = np.frombuffer(data, dtype=np.uint8)[: at[-1]]
+        letters = pc.binary_length(pc.ascii_rtrim(pieces, _MARKS)).to_numpy()
+        odd = _ODD[octets]
+        odd[1:] &= ~((octets[:-1] == 0xC3) & _BEHIND_C3[octets[1:]])
+        odds = np.append(0, np.cumsum(odd, dtype=np.int32))
+        letters = np.where(odds[at[:-1] + letters] == odds[at[:-1]], letters, 0)
+        cuts = np.empty(2 * n + 1, dtype=np.int32)
+        cuts[::2], cuts[1::2] = at, at[:-1] + letters
+        # words and what is behind them, in turn, in the bytes of the pieces
+        parts = pa.Array.from_buffers(pa.binary(), 2 * n, [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        plain = np.zeros(len(parts.dictionary), dtype=bool)
+        plain[parts.indices.to_numpy()[::2]] = True
+        ids = self._of_parts(parts.dictionary.to_numpy(zero_copy_only=False).tolist(), plain)
+        found = pa.array(ids, pa.large_binary()).take(parts.indices)
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[: 2 * n + 1 : 2].copy()
+        return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), found.buffers()[2]])
+
+    def __call__(self, texts: list[bytes] | pa.Array) -> list[bytes]:
         """Each UTF-8 text's ids and the end id, as little-endian unsigned integers of self.width."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary())
         if not self.by_words:
-            return [ids + self.end for ids in self._whole([t.decode() for t in texts])]
-        watching = gc.isenabled()
-        gc.disable()  # many small lists without cycles: looking for some would cost a twelfth of the time
-        try:
-            return self._by_pieces(texts)
-        finally:
-            if watching:
-                gc.enable()
-
-    def _by_pieces(self, texts: list[bytes]) -> list[bytes]:
-        split = [_pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.before, self.known = self.known, {}
-        missing = set().union(*split).difference(self.known)
-        if missing:
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) + self.end for pieces in split]
-
-
-def _pieces(text: bytes) -> list[bytes]:
-    """A text's pieces at ASCII white space (the tokenizer sees any other), capitals made small unless there may be a control string."""
-    return (text if b"<|" in text else text.lower()).split()
+            return [ids + self.end for ids in self._whole([t.decode() for t in texts.to_pylist()])]
+        texts = texts.view(pa.string())
+        small = pc.ascii_lower(texts)
+        control = pc.match_substring(texts, "<|")  # there may be a control string, whose case counts
+        split = pc.ascii_split_whitespace(pc.if_else(control, texts, small) if pc.any(control).as_py() else small)
+        pieces = split.flatten().dictionary_encode()  # the tokenizer sees any other white space
+        ids = self._of_pieces(pieces.dictionary).take(pieces.indices)
+        if not len(ids):
+            return [self.end] * len(texts)
+        after = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))
+        cuts = np.frombuffer(ids.buffers()[1], dtype=np.int64)[after].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [b"".join((raw[a:b], self.end)) for a, b in itertools.pairwise(cuts)]
 
 
 #: The normalizer and pre-tokenizer, as in a vocabulary file, for which pieces stand for the text. Fixed values.
@@ -227,9 +228,14 @@ _PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: Letters that composition leaves alone and that have one lower-case letter each, and the marks that may follow.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_MARKS = b".,;:!?"
+#: The marks that may stand behind a word: the pre-tokenizer sets any run of them apart at the end of a piece.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words are of letters that composition leaves alone and that have one lower-case letter each: A-Z, a-z and À to ÿ, which
+#: are C3 and one more byte, but for × and ÷. Bytes that are odd wherever they stand in a word, and those that follow C3.
+_ODD = ~np.isin(np.arange(256), [*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0xC3])
+_BEHIND_C3 = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])
+#: New words that are given to the model as one text.
+_JOINED = 200
 #: Byte-level models write the bytes 161 to 172 and 174 to 255 as the characters of that number, those from 127 to 160 and 173 as 289 on.
 _BYTE_LETTERS = {b: 289 + i for i, b in enumerate([*range(127, 161), 173])}
 
@@ -259,6 +265,13 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(_EXPAND.decompress(memoryview(raw)[1:]), dtype="<u" + chr(raw[0]))
 
 
+def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about BATCH_BYTES of text; one text may go beyond it."""
+    turn = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64) // BATCH_BYTES
+    for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end: int | None = 1) -> DataFrame:
     """doc_id, ids (packed) and n of every whole text; null is an empty text.
 
@@ -270,9 +283,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None = 1) -> DataFrame
         encode = encoder(tokenizer, end)
         seen = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                ids = encode(some.column(1).to_pylist())
+            for some in _bounded(batch):
+                ids = encode(some.column(1))
                 got = np.bincount(np.frombuffer(b"".join(ids), dtype=encode.width))
                 seen = np.append(seen, np.zeros(max(0, len(got) - len(seen)), dtype=np.int64))
                 seen[: len(got)] += got

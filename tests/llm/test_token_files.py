@@ -107,3 +107,45 @@ def test_very_long_texts_and_clashing_columns(spark):
         ids = np.array([*own.encode(t, add_special_tokens=False).ids, 1], dtype="<u4")
         assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_marks_behind_words_cost_one_look(monkeypatch):
+    """Words with any marks behind, new to a worker, don't go through the whole tokenizer one by one; parts are looked up apart."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    encode = token_files.Encoder(PATH, 1)
+    asked: list[str] = []
+    whole = encode._whole
+    monkeypatch.setattr(encode, "_whole", lambda texts: asked.extend(texts) or whole(texts))
+    words = [f"{a}{b}é{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    texts = [" ".join(w + m for w in words) for m in ("***", ")", "###", ".", "'", "|>", "")] + ["", "\x85", "*** )"]
+    got = encode([x.encode() for x in texts])
+    assert sorted(asked) == sorted(["***", ")", "###", ".", "'", "|>", "\x85"])
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, encode.width).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text
+    assert encode(pa.array([b"left out", *(x.encode() for x in texts)]).slice(1)) == got and len(asked) == 7
+
+
+@pytest.mark.parametrize("text", ["\x85", " ", "***", "×", "É", " ", "<|endoftext|>", "<|ENDOFTEXT|>", "é ≠ X́!"])
+def test_a_batch_of_one_kind(text):
+    from tokenizers import Tokenizer
+
+    encode = token_files.Encoder(PATH, 1)
+    want = [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 1]
+    for n in (1, 3):
+        assert [np.frombuffer(x, encode.width).tolist() for x in encode([text.encode()] * n)] == [want] * n
+    assert encode([]) == []
+
+
+def test_batches_bounded_in_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "BATCH_BYTES", 10)
+    texts = [b"", b"abc", b"d" * 25, b"", b"efg", b"hi", b"j" * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(token_files._bounded(batch))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts and len(parts) > 2
+    assert all(sum(map(len, p.column(1).to_pylist()[1:])) <= 10 for p in parts)
+    assert sum(p.num_rows for p in token_files._bounded(batch.slice(0, 0))) == 0
