@@ -76,6 +76,18 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.float64) @ b.astype(np.float64).T
 
 
+def cosine_rows(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (a[i], b[j]) alone, of vectors of any length, each sum taken in the order of the numbers: equal vectors
+    give equal bits. NaN if one has no length."""
+    total, of_a, of_b = np.zeros(len(i)), np.zeros(len(a)), np.zeros(len(b))
+    for k in range(a.shape[1]):
+        total += a[i, k] * b[j, k]
+        of_a += a[:, k] * a[:, k]
+        of_b += b[:, k] * b[:, k]
+    with np.errstate(invalid="ignore"):
+        return np.clip(total / np.sqrt(of_a[i] * of_b[j]), -1.0, 1.0)
+
+
 def best_by_token(score: np.ndarray, allowed: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of a block's scores, rows and cols naming each candidate's token, ascending: for each pair of tokens the best
     score, the best allowed one (-inf if none) and where that is, the first in row order."""

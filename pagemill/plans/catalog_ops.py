@@ -697,7 +697,8 @@ def set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PAIRS + "SELECT page_a, page_b, i, j, round(score, 6) AS score FROM p ORDER BY p.score DESC, i, j LIMIT 15")
 def sort_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).orderBy(F.desc("score"), "i", "j").limit(15).select(*_BOTH, "i", "j", F.round("score", 6).alias("score"))
+    b = stored(S.blocks(candidates(spark, sf_dir, scaled=False)), "blocks")
+    return S.top_pairs(S.block_pairs(b, within=False), 15).select(*_BOTH, "i", "j", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH c AS ({CANDIDATES}), q AS (SELECT * FROM c WHERE cand = 17) SELECT c.cand, round(list_cosine_similarity(c.f, q.f), 6) AS score FROM c, q WHERE c.cand <> 17 AND sqrt(pow(ln(c.w / q.w), 2) + pow(ln(c.h / q.h), 2)) <= -ln(0.85) ORDER BY list_cosine_similarity(c.f, q.f) DESC, c.cand LIMIT 5")

@@ -261,6 +261,33 @@ def standard_scores(pairs: Cells) -> DataFrame:
     return Cells(left, pairs.right).compared(each, kinds)
 
 
+def top_pairs(pairs: Cells, k: int) -> DataFrame:
+    """The k pairs of candidates with the greatest cosine of all comparisons, equals by i and j, in this order: page_a, page_b, i, j, score.
+
+    feat may have any length. Each pair of blocks gives its own k: a product of
+    matrices tells which pairs may be among them, and only these are summed
+    again, number by number, so copies of a vector tie wherever they stand. A
+    vector of length 0 has a score of NaN, which comes first.
+    """
+    kinds = "page_a string, page_b string, i long, j long, score double"
+
+    def each(x: dict, y: dict) -> pd.DataFrame:
+        a, b = (_arrays(r, ["cos"]) for r in (x, y))
+        f, g = a["feat"], b["feat"]
+        with np.errstate(invalid="ignore"):
+            rough = K.cosines(f, g) / np.sqrt((f * f).sum(axis=1)[:, None] * (g * g).sum(axis=1)[None])
+        rough = np.where(np.isnan(rough), np.inf, rough)
+        least = np.partition(rough, max(0, rough.size - k), axis=None)[max(0, rough.size - k)]
+        i, j = np.nonzero(rough >= least - 1e-9)
+        score, i_of, j_of = K.cosine_rows(f, g, i, j), a["cand"][i], b["cand"][j]
+        score = np.where(np.isnan(score), np.inf, score)  # NaN would leave pandas as null
+        first = np.lexsort((j_of, i_of, -score))[:k]
+        return pd.DataFrame({"page_a": x["page"], "page_b": y["page"], "i": i_of[first], "j": j_of[first], "score": score[first]})
+
+    rows = pairs.compared(each, kinds).orderBy(F.desc("score"), "i", "j").limit(k)
+    return rows.withColumn("score", F.when(F.col("score") > 1, F.lit(float("nan"))).otherwise(F.col("score")))
+
+
 def token_background(pairs: Cells) -> DataFrame:
     """Of each comparison, for each token of either side ("a" or "b"): mean and population deviation of its best cosines u with all tokens of the other.
 

@@ -12,8 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as candidates: a page for each label, two to a token, sizes and places made from the number."""
+def candidates(spark: SparkSession, sf_dir: str, scaled: bool = True) -> DataFrame:
+    """Embeddings as candidates: a page for each label, two to a token, sizes and places made from the number. Vectors are scaled to length 1 or as they are."""
     e = table(spark, sf_dir, "embeddings")
     n = F.col("vec_id")
     x0 = ((n * 13) % 40).cast("int")
@@ -21,7 +21,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = (10 + (n * 3) % 11).cast("int")
     return e.select(
         F.concat(F.lit("p"), F.col("label").cast("string")).alias("page"), F.floor(n / 2).cast("long").alias("tok"), n.alias("cand"),
-        w.cast("double").alias("w"), h.cast("double").alias("h"), F.lit(20.0).alias("unit"), V.scaled(F.col("embedding")).alias("feat"),
+        w.cast("double").alias("w"), h.cast("double").alias("h"), F.lit(20.0).alias("unit"), (V.scaled(F.col("embedding")) if scaled else F.col("embedding").cast("array<double>")).alias("feat"),
         F.lit(None).cast("array<double>").alias("seq"), x0.alias("x0"), F.lit(0).alias("y0"), (x0 + w).alias("x1"), h.alias("y1"),
     )
 

@@ -206,6 +206,31 @@ def test_three_components_against_matrices(spark, monkeypatch):
         assert got[key].t == pytest.approx(t, abs=1e-7) if t > -np.inf else got[key].t is None
 
 
+@pytest.mark.parametrize("k", [1, 15, 500])
+def test_top_pairs_against_all(spark, monkeypatch, k):
+    """Copies of vectors, some at another length, tie and go by i and j, whatever block they are in; one without length comes first."""
+    monkeypatch.setattr(SP, "BLOCK", 4)
+    monkeypatch.setattr(SP, "CELL_BLOCKS", 1)
+    rng = np.random.default_rng(5)
+    own = rng.normal(size=(6, 5)).astype(np.float32)
+    rows = []
+    for n, page in enumerate("abcabcabcabcabccabab"):
+        f = own[n * 5 % 6] * 2.0 ** (n % 3) if n != 13 else own[0] * 0
+        rows.append((page, n // 2, n * 7 % 20, 1.0, 1.0, 1.0, f.astype(float).tolist(), None))
+    df = spark.createDataFrame(rows, "page string, tok long, cand long, w double, h double, unit double, feat array<double>, seq array<double>")
+
+    def cosine(f, g):
+        total = square_f = square_g = 0.0
+        for x, y in zip(f, g, strict=True):
+            total, square_f, square_g = total + x * y, square_f + x * x, square_g + y * y
+        return total / math.sqrt(square_f * square_g) if square_f and square_g else math.inf
+
+    want = sorted((-min(cosine(a[6], b[6]), math.inf), a[2], b[2], a[0], b[0]) for a in rows for b in rows if a[0] < b[0])[:k]
+    got = SP.top_pairs(SP.block_pairs(SP.stored(SP.blocks(df), "b"), within=False), k).collect()
+    assert [(r.i, r.j, r.page_a, r.page_b) for r in got] == [w[1:] for w in want]
+    assert [math.inf if math.isnan(r.score) else r.score for r in got] == pytest.approx([min(-w[0], 1.0) if -w[0] < math.inf else math.inf for w in want], abs=1e-12)
+
+
 def test_projection_keeps_relative_variances(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 3, 5)) * np.array([5, 4, 1, 0.5, 0.1])
