@@ -313,6 +313,23 @@ def test_band_join_in_many_tasks(spark):
     assert rows.agg(F.count_distinct("task")).first()[0] > spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("by", [None, ["g"]])
+def test_band_join_writes_each_row_once(spark, monkeypatch, by):
+    """Rows go to blocks of their own cell, not to all cells in reach; all pairs come, over blocks, copies, rows without a size and other columns."""
+    monkeypatch.setattr(J, "BAND_BLOCK", 3)
+    monkeypatch.setattr(J, "BAND_KEPT", 4)
+    rng = np.random.default_rng(6)
+    rows = [(i, int(i % 2), float(w), float(h), f"n{i}") for i, (w, h) in enumerate(rng.integers(0, 30, (60, 2)))] + [(60, 0, None, 5.0, None), (61, 1, 5.0, None, None)]
+    rows += [(100 + i, g, w, h, n) for i, g, w, h, n in rows[:20]]
+    df = spark.createDataFrame(rows, "id int, g int, w double, h double, name string")
+    out = J.band_join(df, df.withColumn("w", F.col("w") * 1.2), 0.7, by)
+    assert "Generate" not in out._jdf.queryExecution().sparkPlan().toString().split("Join" if by else "CartesianProduct", 1)[1]
+    got = sorted((r["id_a"], r["id_b"], r.name_a, r.name_b, round(r.similarity, 9)) for r in out.collect())
+    far = lambda x, y: math.hypot(math.log(x[2] / (y[2] * 1.2)), math.log(x[3] / y[3]))
+    sized = [r for r in rows if r[2] and r[3]]
+    assert got == sorted((x[0], y[0], x[4], y[4], round(math.exp(-far(x, y)), 9)) for x in sized for y in sized if far(x, y) <= -math.log(0.7) and (not by or x[1] == y[1]))
+
+
 def test_majority_by_rank(spark):
     """By the rank of anno_auto_names, two late votes lose to two early ones and three to two that came over a million events before."""
     votes = [("a", 1), ("a", 2), ("b", 2_500_000), ("b", 2_500_001), ("b", 2_500_002), ("c", 0)]
