@@ -498,3 +498,22 @@ def test_ranks_of_gold_pairs_take_disk_by_rows(spark, monkeypatch):
     by = ["page_a", "page_b"]
     out = A.retrieval_metrics(A.retrieval(scores, scores.where("u >= 3"), by, "tok_a", "tok_b", "u"), by)
     assert len(got) > 20 and got == sorted(map(tuple, out.select(*by, *[F.round(x, 6).alias(x) for x in ("mrr", "hit1", "hit3")], "median_rank").collect()))
+
+
+@pytest.mark.parametrize(("name", "times"), [("agg_token_max", 6)])
+def test_scores_of_all_pairs_take_disk_by_rows(spark, monkeypatch, name, times):
+    """A block is sent to few places, however many blocks it meets, and small blocks give what large ones give."""
+    from pagemill.plans import catalog_ops as O
+
+    data, by = "/root/testdata/sf0.001", ("page_a", "page_b", "tok_a", "tok_b", "i", "j")
+    query = lambda: {tuple(r[c] for c in by if c in r and (c, name) not in (("i", "agg_token_max"), ("j", "agg_token_max"))): r for r in getattr(O, name)(spark, data).collect()}
+    want = query()
+    monkeypatch.setattr(SP, "BLOCK", 8)
+    monkeypatch.setattr(SP, "CELL_BLOCKS", 8)
+    before = _shuffled(spark)
+    got = query()
+    used, rows = _shuffled(spark) - before, spark.read.parquet(f"{data}/embeddings.parquet").count()
+    assert used < times * rows * 64 * 8, used
+    assert got.keys() == want.keys() and len(got) > 20_000
+    for key, r in want.items():
+        assert all(v == got[key][c] if not isinstance(v, float) else v == pytest.approx(got[key][c], abs=2e-6) for c, v in r.asDict().items())
