@@ -500,7 +500,7 @@ def test_ranks_of_gold_pairs_take_disk_by_rows(spark, monkeypatch):
     assert len(got) > 20 and got == sorted(map(tuple, out.select(*by, *[F.round(x, 6).alias(x) for x in ("mrr", "hit1", "hit3")], "median_rank").collect()))
 
 
-@pytest.mark.parametrize(("name", "times"), [("agg_token_max", 6), ("agg_background_z", 9)])
+@pytest.mark.parametrize(("name", "times"), [("agg_token_max", 6), ("agg_background_z", 9), ("agg_global_z", 6)])
 def test_scores_of_all_pairs_take_disk_by_rows(spark, monkeypatch, name, times):
     """A block is sent to few places, however many blocks it meets, and small blocks give what large ones give."""
     from pagemill.plans import catalog_ops as O
