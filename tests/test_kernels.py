@@ -40,6 +40,20 @@ def test_dtw_in_tiles(monkeypatch):
     assert peak < 12 << 20  # the result has 2 MB; all pairs' sums would have 70
 
 
+def test_dtw_keeps_sums_of_the_band_alone():
+    """Long sequences take no more room than their band: a plane of sums for each of its cells, not for each step."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(20, 100, 2)), rng.normal(size=(30, 100, 2))
+    i, j = np.divmod(np.arange(20 * 30), 30)
+    for band in (0.0, 0.03, 0.5, 1.0):
+        assert np.abs(K.dtw(x, y, band).ravel() - K.dtw_rows(x, y, i, j, band)).max() < 1e-12
+    tracemalloc.start()
+    K.dtw(x, y, 0.03)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20  # planes of 100 steps would have 13 MB
+
+
 def test_dtw():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(5, 12, 3)), rng.normal(size=(4, 12, 3))
