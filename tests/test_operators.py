@@ -330,6 +330,22 @@ def test_band_join_writes_each_row_once(spark, monkeypatch, by):
     assert got == sorted((x[0], y[0], x[4], y[4], round(math.exp(-far(x, y)), 9)) for x in sized for y in sized if far(x, y) <= -math.log(0.7) and (not by or x[1] == y[1]))
 
 
+def test_band_join_keeps_few_enough_rows_for_short_numbers(spark):
+    """A task's b are numbered in two bytes by the files of its results; all of them come."""
+    one, many = spark.createDataFrame([(0, 10.0, 10.0)], "id int, w double, h double"), spark.range(100_000).selectExpr("cast(id AS int) AS id", "10.0D AS w", "10.0D AS h")
+    tasks = J.band_join(one, many, 0.85).groupBy(F.spark_partition_id()).agg(F.count_distinct("id_b").alias("n")).collect()
+    assert sum(r.n for r in tasks) == 100_000
+    assert max(r.n for r in tasks) <= 2**16
+
+
+def test_triangular_band_join_lists_equal_sizes_by_key(spark):
+    """The b of an a are a range of one list, which repeats from a to a, however rows came."""
+    ids = np.random.default_rng(7).permutation(40).tolist()
+    df = spark.createDataFrame([(i, 10.0, 10.0) for i in ids], "id int, w double, h double")
+    got = [(r.id_a, r.id_b) for r in J.triangular_band_join(df, "id", 0.85).collect()]
+    assert got == list(itertools.combinations(range(40), 2))
+
+
 def test_majority_by_rank(spark):
     """By the rank of anno_auto_names, two late votes lose to two early ones and three to two that came over a million events before."""
     votes = [("a", 1), ("a", 2), ("b", 2_500_000), ("b", 2_500_001), ("b", 2_500_002), ("c", 0)]
